@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curvine.functions.vectors import any_of
+
 BLOCK_ROWS = 4096
 ALL = "_all"
 
@@ -35,7 +37,7 @@ def _with_block_counts(df: DataFrame, names: list[str], sizes: DataFrame | None,
     """
     if sizes is None:
         return df.select("*", *[_blocks(t, block_rows).alias(n) for n, t in zip(names, totals)])
-    hot = sizes.filter(F.greatest(*[F.coalesce(F.col(n), F.lit(0)) for n in names]) > block_rows)
+    hot = sizes.filter(any_of([F.col(n) > block_rows for n in names]))
     return df.join(hot, "g", "left").withColumns({n: _blocks(F.col(n), block_rows) for n in names})
 
 
@@ -67,16 +69,15 @@ def block_join(
     left = left.select(
         "*",
         F.lit(0).alias("side"),
-        F.pmod(F.xxhash64("id"), F.col("nl")).alias("lb"),
+        F.pmod(F.xxhash64("id"), F.col("nl")).cast("int").alias("lb"),
         F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("rb"),
     )
     right = right.select(
         "*",
         F.lit(1).alias("side"),
-        F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).cast("bigint").alias("lb"),
-        F.pmod(F.xxhash64("id"), F.col("nr")).alias("rb"),
-    ).withColumn("rb", F.col("rb").cast("int"))
-    left = left.withColumn("rb", F.col("rb").cast("int"))
+        F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("lb"),
+        F.pmod(F.xxhash64("id"), F.col("nr")).cast("int").alias("rb"),
+    )
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         is_right = table.column("side").to_numpy() == 1
