@@ -249,6 +249,53 @@ def assign_to(df: DataFrame, cids: np.ndarray, vectors: np.ndarray, *, metric="s
     return kept.mapInArrow(run, schema + extra)
 
 
+def nearest_to_few(
+    few: dict, base: DataFrame, k: int, metric: str = "sq_l2", *, class_col: str | None = None, id_col="vec_id", vec_col="embedding"
+) -> DataFrame:
+    """k nearest base rows to each of a few given vectors, in one pass that does not shuffle the base.
+
+    ``few`` maps a query id to its vector, or with ``class_col`` to (class, vector),
+    and then only base rows of that class count. A task emits at most k rows per query.
+    """
+    items = sorted(few.items())
+    q_ids = np.array([i for i, _ in items], dtype=np.int64)
+    vectors = np.array([v[1] if class_col else v for _, v in items], dtype=np.float64)
+    classes = np.array([v[0] for _, v in items]) if class_col else None
+    cols = [F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec")] + ([F.col(class_col).alias("c")] if class_col else [])
+
+    def best_of(rows):
+        q, i, d = (np.concatenate(p) for p in zip(*rows))
+        order = np.lexsort((i, d, q))
+        q, i, d = q[order], i[order], d[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
+        return q[keep], i[keep], d[keep]
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            ids, x = batch.column(0).to_numpy(), kernels.matrix(batch.column(1))
+            groups = [(slice(None), slice(None))]
+            if class_col:
+                own = batch.column(2).to_numpy(zero_copy_only=False)
+                groups = [(np.nonzero(classes == c)[0], np.nonzero(own == c)[0]) for c in np.unique(own)]
+            for qs, rows in groups:
+                q_part, x_part, i_part = q_ids[qs], x[rows], ids[rows]
+                if len(q_part) == 0 or len(x_part) == 0:
+                    continue
+                qi, bi, dist = kernels.top_k(metric, vectors[qs], x_part, k, tie_ids=i_part)
+                held.append((q_part[qi], i_part[bi], dist))
+            if len(held) > 16:
+                held = [best_of(held)]
+        if held:
+            q, i, d = best_of(held)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "neighbor_id", "dist"])
+
+    found = base.filter(F.col(vec_col).isNotNull()).select(*cols).mapInArrow(run, NEIGHBOR_SCHEMA)
+    return merge_candidates(found, k)
+
+
 # --- inverted-file search ----------------------------------------------------
 
 
@@ -324,12 +371,12 @@ def nearest_to_centers(df: DataFrame, centers: DataFrame, *, id_col="vec_id", ve
     """
     from curvine.functions.hashing import id_hash
 
-    near = knn_join(
-        centers.select(F.col(cid_col).alias(id_col), F.col("centroid").alias(vec_col)), df, 1, "sq_l2", id_col=id_col, vec_col=vec_col
-    )
-    picked = near.select(F.col("neighbor_id").alias(id_col)).distinct()
-    missing = len(collect_bounded(centers.select(cid_col))) - picked.count()
-    rest = df.select(id_col).join(picked, id_col, "left_anti")
+    few = {r[0]: r[1] for r in collect_bounded(centers.select(cid_col, "centroid"))}
+    near = nearest_to_few(few, df, 1, id_col=id_col, vec_col=vec_col)
+    found = sorted({r[0] for r in collect_bounded(near.select("neighbor_id"))})
+    picked = df.sparkSession.createDataFrame([(i,) for i in found], f"{id_col} bigint")
+    missing = len(few) - len(found)
+    rest = df.select(id_col).join(F.broadcast(picked), id_col, "left_anti")
     fill = rest.orderBy(id_hash(id_col, seed), id_col).limit(missing)
     return picked.withColumn("filled", F.lit(False)).unionByName(fill.withColumn("filled", F.lit(True)))
 

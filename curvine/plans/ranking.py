@@ -21,10 +21,12 @@ def top_k_within(df: DataFrame, group: Sequence[str], order: Sequence[Column], k
 
 
 def running_totals(
-    df: DataFrame, order: Sequence[Column], sums: dict[str, Column], group: Sequence[str] = ()
+    df: DataFrame, order: Sequence[Column], sums: dict[str, Column], group: Sequence[str] = (), totals_too: bool = False
 ) -> DataFrame:
     """Add inclusive running totals of ``sums`` in the given order, inside each group.
 
+    ``totals_too`` also adds the total of the whole group as ``<name>_total``.
+
     Rows are range partitioned by (group, order), so a hot group spreads over many
     partitions; totals per partition give the offsets, and each partition then
     accumulates on its own. ``order`` must name every row uniquely.
@@ -38,20 +40,25 @@ def running_totals(
     totals = parts.groupBy(*group, "_part").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     # one row per partition and group: this table is as small as the partition count
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)
     offsets = totals.select(
-        *group, "_part", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
+        *group,
+        "_part",
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *[F.sum(f"_t_{n}").over(whole).alias(f"{n}_total") for n in sums],
     )
     local = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = parts.join(offsets, [*group, "_part"])
     return joined.select(
         *df.columns,
         *[(F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(local)).alias(n) for n in sums],
+        *[f"{n}_total" for n in sums if totals_too],
     )
 
 
-def rank_rows(df: DataFrame, order: Sequence[Column], group: Sequence[str] = (), rank: str = "rank") -> DataFrame:
-    """Exact 1-based rank inside each group, at any group size."""
-    return running_totals(df, order, {rank: F.lit(1).cast("bigint")}, group)
+def rank_rows(df: DataFrame, order: Sequence[Column], group: Sequence[str] = (), rank: str = "rank", totals_too: bool = False) -> DataFrame:
+    """Exact 1-based rank inside each group, at any group size; also the group's size on request."""
+    return running_totals(df, order, {rank: F.lit(1).cast("bigint")}, group, totals_too)
 
 
 def half_even(value: Column) -> Column:

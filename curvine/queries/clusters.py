@@ -225,7 +225,7 @@ def dedup_stats(spark, d):
     return dedup.dedup_stats(semdedup_exact(spark, d), EPS)
 
 
-@query("dedup_compare", MAXSIM_SQL + LSH_MAX_SQL[LSH_MAX_SQL.index(", pl AS"):].replace(", m AS", ", m2 AS") + """,
+@query("dedup_compare", MAXSIM_SQL + LSH_MAX_SQL[LSH_MAX_SQL.index(", pl AS"):].replace(",\nm AS", ",\nm2 AS") + """,
 j AS (SELECT coalesce(m.max_sim > 1.0 - 0.6, FALSE) AS x, coalesce(m2.max_sim > 1.0 - 0.6, FALSE) AS y FROM a LEFT JOIN m USING (vec_id) LEFT JOIN m2 USING (vec_id)),
 n AS (SELECT count(*) FILTER (x AND y) AS b, count(*) FILTER (x AND NOT y) AS o1, count(*) FILTER (NOT x AND y) AS o2 FROM j)
 SELECT b AS both, o1 AS only_first, o2 AS only_second, round(b / nullif(b + o1, 0)::DOUBLE, 6) AS recall, round(b / nullif(b + o2, 0)::DOUBLE, 6) AS precision, o1 = o2 AS same_count FROM n""")
