@@ -6,22 +6,30 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the hash: a prime modulus and a multiplier below it, so that
-# the product of two residues stays inside a BIGINT.
+# Fixed values of the hash: a prime modulus and multipliers below it, so that
+# products of two residues stay inside a BIGINT.
 MODULUS = 2147483647
 MULTIPLIER = 1103515245
-STEP = 12345
+SEED_STEP = 134775813
+
+
+def _constants(seed: int) -> tuple[int, int]:
+    return (MULTIPLIER + SEED_STEP * seed) % MODULUS, 12345 + seed % 100_000
 
 
 def id_hash(col: Column | str, seed: int = 0) -> Column:
-    """Hash of an integer id into [0, MODULUS)."""
+    """Hash of an integer id into [0, MODULUS): a product, then a quadratic step."""
     col = F.col(col) if isinstance(col, str) else col
-    return F.pmod(F.pmod(col.cast("bigint"), F.lit(MODULUS)) * F.lit(MULTIPLIER) + F.lit(STEP * seed), F.lit(MODULUS))
+    multiplier, addend = _constants(seed)
+    x = F.pmod(F.pmod(col.cast("bigint"), F.lit(MODULUS)) * F.lit(multiplier), F.lit(MODULUS))
+    return F.pmod(x * (x + F.lit(addend)), F.lit(MODULUS))
 
 
 def id_hash_sql(expr: str, seed: int = 0) -> str:
     """The same hash as SQL text."""
-    return f"((({expr}) % {MODULUS}) * {MULTIPLIER} + {STEP * seed}) % {MODULUS}"
+    multiplier, addend = _constants(seed)
+    x = f"((({expr}) % {MODULUS}) * {multiplier} % {MODULUS})"
+    return f"({x} * ({x} + {addend}) % {MODULUS})"
 
 
 def in_sample(col: Column | str, share: float, seed: int = 0) -> Column:
@@ -35,9 +43,9 @@ def in_sample_sql(expr: str, share: float, seed: int = 0) -> str:
 
 def sign_matrix(rows: int, dim: int, seed: int = 0) -> np.ndarray:
     """Random +1/-1 matrix; entry (i, j) is the parity of the hash of ``i * dim + j``."""
-    cell = np.arange(rows * dim, dtype=np.int64)
-    hashed = (cell % MODULUS * MULTIPLIER + STEP * seed) % MODULUS
-    return np.where(hashed % 2 == 0, 1.0, -1.0).reshape(rows, dim)
+    multiplier, addend = _constants(seed)
+    x = np.arange(rows * dim, dtype=np.int64) % MODULUS * multiplier % MODULUS
+    return np.where(x * (x + addend) % MODULUS % 2 == 0, 1.0, -1.0).reshape(rows, dim)
 
 
 def sign_matrix_sql(rows: int, dim: int, seed: int = 0) -> str:

@@ -254,7 +254,7 @@ def weighted_random_subset(spark, d):
     return out.select("vec_id", F.round("weight", 6).alias("weight"), F.round("scaled_weight", 6).alias("scaled_weight"))
 
 
-@query("gradient_difference", GRAD_SQL + f""", e AS (SELECT vec_id FROM g), {SUBSET_SQL}, gr AS (SELECT vec_id, flatten(list_transform(list_transform(p, lambda x, i: x - CASE WHEN i = label + 1 THEN 1 ELSE 0 END), lambda s: list_transform(b, lambda h: s * h))) AS gd FROM g),
+@query("gradient_difference", GRAD_SQL + f""", {SUBSET_SQL}, gr AS (SELECT vec_id, flatten(list_transform(list_transform(p, lambda x, i: x - CASE WHEN i = label + 1 THEN 1 ELSE 0 END), lambda s: list_transform(b, lambda h: s * h))) AS gd FROM g),
 t AS (SELECT i, sum(gd[i]) AS f, sum(CASE WHEN vec_id IN (SELECT vec_id FROM sub) THEN gd[i] / 0.3 ELSE 0 END) AS s FROM gr, range(1, 641) r(i) GROUP BY i)
 SELECT round(sqrt(sum((f - s) * (f - s))), 6) AS diff, round(sqrt(sum(f * f)), 6) AS full_norm FROM t""")
 def gradient_difference(spark, d):
