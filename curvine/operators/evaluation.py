@@ -1,12 +1,25 @@
-"""Evaluation aggregates."""
+"""Evaluation aggregates; every function returns a small DataFrame."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curvine.functions import kernels
+from curvine.functions import vectors as V
+from curvine.plans.blocks import BLOCK_ROWS, block_join
+from curvine.plans.ranking import running_totals
+
+TINY = 2.220446049250313e-16  # spacing of doubles at 1, added inside logarithms
+
+
+def _ratio(a: Column, b: Column) -> Column:
+    return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+
 
 def label_agreement(spaces: dict[str, DataFrame], labels: DataFrame, id_col="vec_id", label_col="label") -> DataFrame:
     """Share of each query's neighbours that carry its own label, per feature space."""
@@ -18,3 +31,366 @@ def label_agreement(spaces: dict[str, DataFrame], labels: DataFrame, id_col="vec
         share = F.try_divide(F.count_if(F.col("own") == F.col("theirs")).cast("double"), F.count(F.lit(1)))
         shares.append(rows.groupBy("query_id").agg(share.alias(f"same_label_{name}")))
     return reduce(lambda a, b: a.join(b, "query_id"), shares)
+
+
+# --- classification ----------------------------------------------------------------
+
+
+def confusion_matrix(df: DataFrame, pred="pred", label="label") -> DataFrame:
+    return df.groupBy(F.col(label).alias("label"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _per_class(df: DataFrame, pred: str, label: str) -> DataFrame:
+    """Hits, truths and predictions of each class, from the small table of counts."""
+    cells = confusion_matrix(df, pred, label)
+    sides = F.explode(
+        F.array(
+            F.struct(F.col("label").alias("c"), F.col("n").alias("t"), F.lit(0).cast("bigint").alias("p"), F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0).alias("hit")),
+            F.struct(F.col("pred").alias("c"), F.lit(0).cast("bigint").alias("t"), F.col("n").alias("p"), F.lit(0).cast("bigint").alias("hit")),
+        )
+    ).alias("x")
+    return cells.select(sides).groupBy("x.c").agg(F.sum("x.t").alias("t"), F.sum("x.p").alias("p"), F.sum("x.hit").alias("hit"))
+
+
+def classification_report(df: DataFrame, pred="pred", label="label") -> DataFrame:
+    """Accuracy, macro F1, precision and recall, and the mean of accuracy and F1; 0/0 counts as 0."""
+    per = _per_class(df, pred, label)
+    precision, recall = _ratio(F.col("hit"), F.col("p")), _ratio(F.col("hit"), F.col("t"))
+    scores = per.select("t", "hit", precision.alias("pr"), recall.alias("re"))
+    f1 = _ratio(2 * F.col("pr") * F.col("re"), F.col("pr") + F.col("re"))
+    out = scores.agg(
+        F.sum("t").alias("n"), _ratio(F.sum("hit"), F.sum("t")).alias("acc"), F.avg(f1).alias("f1"), F.avg("pr").alias("precision"), F.avg("re").alias("recall")
+    )
+    return out.withColumn("acc_and_f1", (F.col("acc") + F.col("f1")) / 2)
+
+
+def matthews(df: DataFrame, pred="pred", label="label") -> DataFrame:
+    """Matthews correlation for any number of classes."""
+    per = _per_class(df, pred, label)
+    sums = per.agg(
+        F.sum("hit").cast("double").alias("c"), F.sum("t").cast("double").alias("s"), F.sum(F.col("t").cast("double") * F.col("p")).alias("tp"),
+        F.sum(F.col("p").cast("double") * F.col("p")).alias("pp"), F.sum(F.col("t").cast("double") * F.col("t")).alias("tt"),
+    )
+    s = F.col("s")
+    return sums.select(_ratio(F.col("c") * s - F.col("tp"), F.sqrt((s * s - F.col("pp")) * (s * s - F.col("tt")))).alias("mcc"))
+
+
+def _average_ranks(df: DataFrame, value: str) -> DataFrame:
+    """Distinct values with the mean of the ranks their rows take."""
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    run = running_totals(counts, [F.col(value)], {"upto": F.col("n")})
+    return run.select(value, (F.col("upto") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)).alias(f"rank_{value}"))
+
+
+def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Pearson and Spearman correlation and their mean."""
+    rows = df.select(x, y)
+    ranked = rows.join(_average_ranks(rows, x), x).join(_average_ranks(rows, y), y)
+    out = ranked.agg(F.corr(x, y).alias("pearson"), F.corr(f"rank_{x}", f"rank_{y}").alias("spearman"))
+    return out.withColumn("mean", (F.col("pearson") + F.col("spearman")) / 2)
+
+
+TASK_METRICS = {
+    # fixed values: which measure a task is judged by
+    "cola": "mcc", "sst-2": "acc", "mrpc": "acc_and_f1", "sts-b": "correlation", "qqp": "acc_and_f1", "mnli": "acc", "mnli-mm": "acc",
+    "qnli": "acc", "rte": "acc", "wnli": "acc", "hans": "acc", "ag_news": "macro_f1", "dbpedia": "macro_f1", "trec-6": "macro_f1",
+    "imdb": "macro_f1", "pubmed": "macro_f1", "nli": "macro_f1", "sentiment": "macro_f1",
+}
+
+
+def task_metrics(df: DataFrame, task: str, pred="pred", label="label") -> DataFrame:
+    """The measures by which a task is judged."""
+    kind = TASK_METRICS[task]
+    if kind == "mcc":
+        return matthews(df, pred, label)
+    if kind == "correlation":
+        return correlations(df, pred, label)
+    report = classification_report(df, pred, label)
+    if kind == "acc":
+        return report.select("acc")
+    if kind == "macro_f1":
+        return report.select("acc", "f1", "acc_and_f1")
+    positive = df.agg(
+        F.avg((F.col(pred) == F.col(label)).cast("double")).alias("acc"), F.count_if((F.col(pred) == 1) & (F.col(label) == 1)).alias("tp"),
+        F.count_if(F.col(pred) == 1).alias("p"), F.count_if(F.col(label) == 1).alias("t"),
+    )
+    f1 = _ratio(2 * F.col("tp"), F.col("p") + F.col("t"))
+    return positive.select("acc", f1.alias("f1"), ((F.col("acc") + f1) / 2).alias("acc_and_f1"))
+
+
+def topk_accuracy(df: DataFrame, ks: list[int], prob_col="probs", label="label") -> DataFrame:
+    """Share of rows whose label is among the k largest scores; ties to the smaller class."""
+    p = V.doubles(prob_col)
+    own = F.element_at(p, (F.col(label) + 1).cast("int"))
+    ahead = V.let(own, lambda mine: F.size(F.filter(p, lambda x, i: (x > mine) | ((x == mine) & (i < F.col(label))))))
+    rows = df.select(ahead.alias("ahead"))
+    return rows.agg(*[F.round(F.avg((F.col("ahead") < k).cast("double")), 6).alias(f"top{k}") for k in ks])
+
+
+def calibration_bins(df: DataFrame, prob_col="probs", label="label", bins: int = 10) -> DataFrame:
+    """Rows, mean confidence and accuracy per confidence bin (lo, hi]."""
+    conf = F.array_max(V.doubles(prob_col))
+    rows = df.select(conf.alias("conf"), (V.argmax(prob_col) == F.col(label)).cast("double").alias("hit"))
+    per = rows.filter(F.col("conf") > 0).groupBy(F.ceil(F.col("conf") * bins).cast("bigint").alias("bin"))
+    return per.agg(F.count(F.lit(1)).alias("n"), F.avg("hit").alias("acc"), F.avg("conf").alias("conf"))
+
+
+def ece(df: DataFrame, prob_col="probs", label="label", bins: int = 10) -> DataFrame:
+    """Expected calibration error and refinement."""
+    per = calibration_bins(df, prob_col, label, bins)
+    acc = F.col("acc")
+    return per.agg(
+        _ratio(F.sum(F.abs(F.col("conf") - acc) * F.col("n")), F.sum("n")).alias("ece"), _ratio(F.sum(acc * (1 - acc) * F.col("n")), F.sum("n")).alias("refinement")
+    )
+
+
+def row_uncertainty(prob_col="probs") -> dict[str, Column]:
+    """Per-row uncertainty: variation ratio, entropy in bits, deviation over the classes, margin."""
+    p = V.doubles(prob_col)
+    first, second = V.top2(p)
+    mean = V.total(p) / F.size(p)
+    var = V.let(mean, lambda m: V.total(F.transform(p, lambda x: (x - m) * (x - m)))) / F.size(p)
+    return {
+        "var_ratio": F.lit(1.0) - first,
+        "entropy": -V.total(F.transform(p, lambda x: x * F.ln(x + F.lit(TINY)))) / F.ln(F.lit(2.0)),
+        "std": F.sqrt(var),
+        "margin": first - second,
+    }
+
+
+def row_scores(prob_col="probs", label="label", norm: str = "row", global_norm: Column | None = None) -> dict[str, Column]:
+    """Per-row losses: log loss, Brier score as a mean over classes, spherical loss.
+
+    ``norm="global"`` divides by the norm of all rows together, given as ``global_norm``.
+    """
+    p = V.doubles(prob_col)
+    own = F.element_at(p, (F.col(label) + 1).cast("int"))
+    diff = V.minus_onehot(p, label)
+    length = V.l2_norm(p) if norm == "row" else global_norm
+    return {
+        "nll": -F.ln(own + F.lit(TINY)),
+        "brier": V.dot(diff, diff) / F.size(p),
+        "spherical": F.lit(1.0) - own / (length + F.lit(TINY)),
+    }
+
+
+def mean_and_var(df: DataFrame, columns: dict[str, Column], digits: int = 3) -> DataFrame:
+    rows = df.select(*[c.alias(n) for n, c in columns.items()])
+    return rows.agg(*[x for n in columns for x in (F.round(F.avg(n), digits).alias(f"{n}_mean"), F.round(F.var_pop(n), digits).alias(f"{n}_var"))])
+
+
+def label_entropy(df: DataFrame, label="label") -> DataFrame:
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    share = counts.select((F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("p"))  # one row per label
+    return share.agg((-F.sum(F.col("p") * F.ln(F.col("p") + F.lit(TINY)))).alias("entropy"))
+
+
+# --- retrieval -----------------------------------------------------------------------
+
+
+def retrieval_ranks(pairs: DataFrame, *, id_col="vec_id", query_col="query", code_col="code", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rank of each query's own code among all codes: 1 + how many are more similar.
+
+    A task reports one count per query, so nothing of the size of queries times
+    codes is ever written.
+    """
+    ready = pairs.select(F.col(id_col).cast("bigint").alias("id"), V.l2_normalize(query_col, 1e-12).alias("q"), V.l2_normalize(code_col, 1e-12).alias("c"))
+    left = ready.select("id", F.col("q").alias("vec"), V.dot("q", "c").alias("own"))
+    right = ready.select("id", F.col("c").alias("vec"), F.lit(None).cast("double").alias("own"))
+
+    def count(_group, queries, codes):
+        q, c = kernels.matrix(queries.column("vec")), kernels.matrix(codes.column("vec"))
+        q_ids, c_ids = queries.column("id").to_numpy(), codes.column("id").to_numpy()
+        own = queries.column("own").to_numpy()
+        above = np.zeros(len(q), np.int64)
+        step = max(1, kernels.CHUNK_CELLS // max(1, len(c)))
+        for start in range(0, len(q), step):
+            rows = slice(start, start + step)
+            lead = -kernels.near("ip", q[rows], c) - own[rows, None]
+            lead[q_ids[rows, None] == c_ids[None, :]] = -np.inf
+            above[rows] = (lead > kernels.SLACK).sum(axis=1)
+            i, j = np.nonzero(np.abs(lead) <= kernels.SLACK)
+            if len(i):
+                exact = -kernels.exact("ip", q, c, i + start, j) > own[i + start]
+                above[rows] += np.bincount(i[exact], minlength=len(above[rows]))
+        return pa.table({"id": queries.column("id"), "above": pa.array(above)})
+
+    counts = block_join(left, right, count, "id bigint, above bigint", False, block_rows)
+    return counts.groupBy(F.col("id").alias(id_col)).agg((F.sum("above") + 1).cast("bigint").alias("rank"))
+
+
+def mrr(ranks: DataFrame) -> DataFrame:
+    return ranks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.lit(1.0) / F.col("rank")).alias("mrr"))
+
+
+# --- text ----------------------------------------------------------------------------------
+
+
+def words(col, lower: bool = True) -> Column:
+    col = F.col(col) if isinstance(col, str) else col
+    return F.filter(F.split(F.lower(col) if lower else col, r"\s+"), lambda w: w != "")
+
+
+def _grams(tokens: Column, n: int) -> Column:
+    at = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
+    made = F.transform(at, lambda i: F.concat_ws(" ", F.slice(tokens, i, n)))
+    return F.when(F.size(tokens) >= n, made).otherwise(F.array().cast("array<string>"))
+
+
+def _gram_counts(df: DataFrame, keys: list[str], columns: dict[str, str], max_n: int = 4) -> DataFrame:
+    """Count of every n-gram per key and text column: ``(keys..., n, gram, <column>...)``."""
+    sides = []
+    for name, tokens in columns.items():
+        packed = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), _grams(F.col(tokens), n).alias("grams")) for n in range(1, max_n + 1)])).alias("g")
+        one = df.select(*keys, packed).select(*keys, F.col("g.n").alias("n"), F.explode("g.grams").alias("gram"))
+        sides.append(one.select(*keys, "n", "gram", *[F.lit(int(c == name)).alias(c) for c in columns]))
+    union = reduce(DataFrame.unionByName, sides)
+    return union.groupBy(*keys, "n", "gram").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def sari(df: DataFrame, *, id_col: str, source="source", prediction="prediction", references="references") -> DataFrame:
+    """SARI of every row, 1- to 4-grams, averaged over its references."""
+    base = df.select(id_col, words(source).alias("s"), words(prediction).alias("p"), F.posexplode(references).alias("ref_no", "ref")).select(
+        id_col, "ref_no", "s", "p", words("ref").alias("r")
+    )
+    counts = _gram_counts(base, [id_col, "ref_no"], {"s": "s", "p": "p", "r": "r"})
+    s, p, r = F.col("s"), F.col("p"), F.col("r")
+    common, kept = F.least(s, p), F.least(s, p, r)
+    added, wanted = F.greatest(p - s, F.lit(0)), F.greatest(r - s, F.lit(0))
+    dropped, droppable = F.greatest(s - p, F.lit(0)), F.greatest(s - r, F.lit(0))
+    per_n = counts.groupBy(id_col, "ref_no", "n").agg(
+        _ratio(F.sum(kept), F.sum(common)).alias("kp"), _ratio(F.sum(kept), F.sum(F.least(s, r))).alias("kr"),
+        _ratio(F.sum(F.least(added, wanted)), F.sum(added)).alias("add"), _ratio(F.sum(F.least(dropped, droppable)), F.sum(dropped)).alias("del"),
+    )
+    keep = _ratio(2 * F.col("kp") * F.col("kr"), F.col("kp") + F.col("kr"))
+    # an n without any n-gram scores 0, so the sum is over 4 whatever rows exist
+    per_ref = per_n.groupBy(id_col, "ref_no").agg((F.sum(keep + F.col("add") + F.col("del")) / 4 / 3 * 100).alias("x"))
+    scored = per_ref.groupBy(id_col).agg(F.sum("x").alias("x"))
+    refs = df.select(id_col, F.size(references).alias("refs"))
+    return refs.join(scored, id_col, "left").select(id_col, (F.coalesce("x", F.lit(0.0)) / F.col("refs")).alias("sari"))
+
+
+def bleu(df: DataFrame, *, id_col: str, prediction="prediction", references="references", lower: bool = False, smooth: bool = True) -> DataFrame:
+    """Corpus BLEU over whitespace tokens: clipped 1- to 4-gram precisions and brevity penalty.
+
+    A count of matches without any hit is replaced by 1/2, 1/4, ... of one when ``smooth``.
+    """
+    hyp = df.select(id_col, words(prediction, lower).alias("p"))
+    refs = df.select(id_col, F.posexplode(references).alias("ref_no", "ref")).select(id_col, "ref_no", words("ref", lower).alias("r"))
+    p_counts = _gram_counts(hyp, [id_col], {"p": "p"})
+    r_counts = _gram_counts(refs, [id_col, "ref_no"], {"r": "r"}).groupBy(id_col, "n", "gram").agg(F.max("r").alias("r"))
+    matched = p_counts.join(r_counts, [id_col, "n", "gram"], "left").groupBy("n").agg(
+        F.sum(F.least("p", F.coalesce("r", F.lit(0)))).cast("bigint").alias("hit"), F.sum("p").cast("bigint").alias("all")
+    )
+    lengths = (
+        refs.select(id_col, F.size("r").alias("rl")).join(hyp.select(id_col, F.size("p").alias("pl")), id_col).groupBy(id_col)
+        .agg(F.max("pl").alias("pl"), F.min(F.struct(F.abs(F.col("rl") - F.col("pl")).alias("off"), F.col("rl").alias("rl"))).alias("near"))
+        .agg(F.sum("pl").cast("bigint").alias("hyp_len"), F.sum("near.rl").cast("bigint").alias("ref_len"))
+    )
+    table = F.map_from_entries(F.collect_list(F.struct("n", F.struct("hit", "all"))))
+    counts = matched.agg(table.alias("m"), F.count(F.lit(1)).alias("orders"))  # at most four rows
+    one = counts.withColumn("_j", F.lit(1)).join(lengths.withColumn("_j", F.lit(1)), "_j")
+    logs, zeros = F.lit(0.0), F.lit(0)
+    for n in range(1, 5):
+        hit, all_ = F.coalesce(F.col("m")[n]["hit"], F.lit(0)), F.coalesce(F.col("m")[n]["all"], F.lit(0))
+        zeros = zeros + F.when((hit == 0) & (all_ > 0), 1).otherwise(0)
+        value = F.when(hit > 0, hit.cast("double")).otherwise(F.pow(F.lit(0.5), zeros) if smooth else F.lit(0.0))
+        logs = logs + F.when(all_ > 0, F.ln(F.greatest(value / all_, F.lit(1e-300)))).otherwise(F.ln(F.lit(1e-300)))
+    penalty = F.when(F.col("hyp_len") >= F.col("ref_len"), 1.0).when(F.col("hyp_len") == 0, 0.0).otherwise(F.exp(1 - F.try_divide(F.col("ref_len").cast("double"), F.col("hyp_len"))))
+    return one.select("hyp_len", "ref_len", (penalty * F.exp(logs / 4) * 100).alias("bleu"))
+
+
+def lcs_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence, a row of the table packed into one integer."""
+    if not a or not b:
+        return 0
+    places: dict = {}
+    for i, token in enumerate(a):
+        places[token] = places.get(token, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    row = full
+    for token in b:
+        hit = row & places.get(token, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+def rouge_l(df: DataFrame, *, id_col: str, prediction="prediction", references="references") -> DataFrame:
+    """ROUGE-L F1 of every row, whole texts, the best over its references."""
+    pairs = df.select(id_col, words(prediction).alias("p"), F.explode(references).alias("ref")).select(id_col, "p", words("ref").alias("r"))
+
+    @F.pandas_udf("bigint")
+    def common(p, r):
+        return p.combine(r, lambda a, b: lcs_length(list(a), list(b))).astype("int64")
+
+    scored = pairs.select(id_col, F.size("p").alias("np"), F.size("r").alias("nr"), common("p", "r").alias("lcs"))
+    precision, recall = _ratio(F.col("lcs"), F.col("np")), _ratio(F.col("lcs"), F.col("nr"))
+    return scored.select(id_col, precision.alias("a"), recall.alias("b")).groupBy(id_col).agg(
+        (F.max(_ratio(2 * F.col("a") * F.col("b"), F.col("a") + F.col("b"))) * 100).alias("rouge_l")
+    )
+
+
+def fkgl(text) -> Column:
+    """Flesch-Kincaid grade. Syllables of a word: its groups of a, e, i, o, u, y, one less
+    for a final e after another group, at least one; sentences end at . ! or ?."""
+    text = F.col(text) if isinstance(text, str) else text
+    tokens = words(text)
+    sentences = F.greatest(F.size(F.filter(F.split(text, r"[.!?]+"), lambda s: F.trim(s) != "")), F.lit(1))
+
+    def syllables(w):
+        groups = F.size(F.regexp_extract_all(w, F.lit("[aeiouy]+"), F.lit(0)))
+        return F.greatest(groups - F.when(F.endswith(w, F.lit("e")) & (groups > 1), 1).otherwise(0), F.lit(1))
+
+    n = F.size(tokens)
+    total = F.aggregate(tokens, F.lit(0), lambda acc, w: acc + syllables(w))
+    return F.lit(0.39) * n / sentences + F.lit(11.8) * F.coalesce(F.try_divide(total.cast("double"), n), F.lit(0.0)) - F.lit(15.59)
+
+
+# --- selections and runs ----------------------------------------------------------------
+
+
+def pass_at_1(results: DataFrame, task_col: str, passed: Column) -> DataFrame:
+    """Share of tasks that some completion solves."""
+    per = results.groupBy(task_col).agg(F.bool_or(passed).alias("ok"))
+    return per.agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("passed"), F.avg(F.col("ok").cast("double")).alias("pass_at_1"))
+
+
+def selection_recall(truth: DataFrame, found: DataFrame, by: str | None = None, id_col="vec_id") -> DataFrame:
+    """Share of the true selection that was found, overall or per group."""
+    keys = [by] if by else []
+    a = truth.select(*keys, id_col).distinct()
+    marked = a.join(found.select(*keys, id_col).distinct().withColumn("_hit", F.lit(1)), [*keys, id_col], "left")
+    grouped = marked.groupBy(*keys) if by else marked.groupBy()
+    return grouped.agg(
+        F.count(F.lit(1)).alias("truth"), F.count("_hit").alias("found"), F.round(_ratio(F.count("_hit"), F.count(F.lit(1))), 6).alias("recall")
+    )
+
+
+def assignment_agreement(a: DataFrame, b: DataFrame, id_col="vec_id", cid_col="cid") -> DataFrame:
+    joined = a.select(id_col, F.col(cid_col).alias("x")).join(b.select(id_col, F.col(cid_col).alias("y")), id_col)
+    return joined.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("x") == F.col("y")).cast("double")), 6).alias("agreement"))
+
+
+def farthest_by_mean_distance(neighbors: DataFrame, b: int) -> DataFrame:
+    """The b queries whose neighbours are farthest away on average."""
+    per = neighbors.groupBy(F.col("query_id").alias("vec_id")).agg(F.round(F.avg("dist"), 9).alias("mean_dist"))
+    return per.orderBy(F.col("mean_dist").desc(), "vec_id").limit(b)
+
+
+def sweep(settings: dict[str, DataFrame]) -> DataFrame:
+    """Results of several settings under one another, marked by ``setting``."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("setting"), "*") for name, df in settings.items()])
+
+
+def length_stats(df: DataFrame, length: Column) -> DataFrame:
+    return df.select(length.alias("n")).agg(
+        F.count(F.lit(1)).alias("num_samples"), F.round(F.avg("n"), 6).alias("avg_length"), F.max("n").cast("bigint").alias("max_length"),
+        F.min("n").cast("bigint").alias("min_length"), F.sum("n").cast("bigint").alias("total_tokens"),
+    )
+
+
+def run_summary(iterations: DataFrame) -> DataFrame:
+    """Last accuracy and total time of a run from its iteration rows ``(iteration, acc, time)``."""
+    return iterations.agg(
+        F.max("iteration").alias("last_iteration"), F.max_by("acc", "iteration").alias("last_acc"), F.sum("time").alias("total_time")
+    )
