@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,43 +232,50 @@ def words(col, lower: bool = True) -> Column:
     return F.filter(F.split(F.lower(col) if lower else col, r"\s+"), lambda w: w != "")
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    at = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    made = F.transform(at, lambda i: F.concat_ws(" ", F.slice(tokens, i, n)))
-    return F.when(F.size(tokens) >= n, made).otherwise(F.array().cast("array<string>"))
+SOURCE, PREDICTION = -2, -1  # sides of a row beside its references 0, 1, ...
 
 
-def _gram_counts(df: DataFrame, keys: list[str], columns: dict[str, str], max_n: int = 4) -> DataFrame:
-    """Count of every n-gram per key and text column: ``(keys..., n, gram, <column>...)``."""
-    sides = []
-    for name, tokens in columns.items():
-        packed = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), _grams(F.col(tokens), n).alias("grams")) for n in range(1, max_n + 1)])).alias("g")
-        one = df.select(*keys, packed).select(*keys, F.col("g.n").alias("n"), F.explode("g.grams").alias("gram"))
-        sides.append(one.select(*keys, "n", "gram", *[F.lit(int(c == name)).alias(c) for c in columns]))
-    union = reduce(DataFrame.unionByName, sides)
-    return union.groupBy(*keys, "n", "gram").agg(*[F.sum(c).alias(c) for c in columns])
+def _gram_counts(df: DataFrame, id_col: str, texts: dict[int, Column], references: str, lower: bool, max_n: int = 4) -> DataFrame:
+    """Count of every n-gram per row and side: ``(id, refs, n, gram, side, k)``.
+
+    The whole texts are shuffled by id once; every later step groups by the id
+    first and stays in place, so the many times larger n-grams are never shuffled.
+    """
+    refs = F.transform(F.col(references), lambda r, i: F.struct(i.alias("side"), r.alias("text")))
+    fixed = F.array(*[F.struct(F.lit(side).alias("side"), text.alias("text")) for side, text in texts.items()])
+    rows = df.repartition(id_col).select(id_col, F.size(references).alias("refs"), F.explode(F.concat(fixed, refs)).alias("t"))
+    rows = rows.select(id_col, "refs", "t.side", words(F.col("t.text"), lower).alias("g1"))
+    for n in range(2, max_n + 1):
+        rows = NGram(n=n, inputCol="g1", outputCol=f"g{n}").transform(rows)
+    sizes = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"g{n}").alias("grams")) for n in range(1, max_n + 1)]))
+    grams = rows.select(id_col, "refs", "side", sizes.alias("g")).select(id_col, "refs", "side", "g.n", F.explode("g.grams").alias("gram"))
+    return grams.groupBy(id_col, "refs", "n", "gram", "side").agg(F.count(F.lit(1)).alias("k"))
+
+
+def _side(side: int) -> Column:
+    return F.coalesce(F.max(F.when(F.col("side") == side, F.col("k"))), F.lit(0))
 
 
 def sari(df: DataFrame, *, id_col: str, source="source", prediction="prediction", references="references") -> DataFrame:
     """SARI of every row, 1- to 4-grams, averaged over its references."""
-    base = df.select(id_col, words(source).alias("s"), words(prediction).alias("p"), F.posexplode(references).alias("ref_no", "ref")).select(
-        id_col, "ref_no", "s", "p", words("ref").alias("r")
-    )
-    counts = _gram_counts(base, [id_col, "ref_no"], {"s": "s", "p": "p", "r": "r"})
+    counts = _gram_counts(df, id_col, {SOURCE: F.col(source), PREDICTION: F.col(prediction)}, references, True)
+    own = F.collect_list(F.when(F.col("side") >= 0, F.struct(F.col("side").alias("key"), F.col("k").alias("value"))))
+    per_gram = counts.groupBy(id_col, "refs", "n", "gram").agg(_side(SOURCE).alias("s"), _side(PREDICTION).alias("p"), F.map_from_entries(own).alias("r"))
+    per_ref = per_gram.select(
+        id_col, "refs", "n", "s", "p", F.explode(F.transform(F.sequence(F.lit(0), F.col("refs") - 1), lambda i: F.struct(i.alias("no"), F.coalesce(F.col("r")[i], F.lit(0)).alias("r")))).alias("x")
+    ).select(id_col, "refs", "n", "s", "p", "x.no", "x.r")
     s, p, r = F.col("s"), F.col("p"), F.col("r")
-    common, kept = F.least(s, p), F.least(s, p, r)
     added, wanted = F.greatest(p - s, F.lit(0)), F.greatest(r - s, F.lit(0))
     dropped, droppable = F.greatest(s - p, F.lit(0)), F.greatest(s - r, F.lit(0))
-    per_n = counts.groupBy(id_col, "ref_no", "n").agg(
-        _ratio(F.sum(kept), F.sum(common)).alias("kp"), _ratio(F.sum(kept), F.sum(F.least(s, r))).alias("kr"),
+    kept = F.sum(F.least(s, p, r))
+    per_n = per_ref.groupBy(id_col, "refs", "n", "no").agg(
+        _ratio(kept, F.sum(F.least(s, p))).alias("kp"), _ratio(kept, F.sum(F.least(s, r))).alias("kr"),
         _ratio(F.sum(F.least(added, wanted)), F.sum(added)).alias("add"), _ratio(F.sum(F.least(dropped, droppable)), F.sum(dropped)).alias("del"),
     )
     keep = _ratio(2 * F.col("kp") * F.col("kr"), F.col("kp") + F.col("kr"))
     # an n without any n-gram scores 0, so the sum is over 4 whatever rows exist
-    per_ref = per_n.groupBy(id_col, "ref_no").agg((F.sum(keep + F.col("add") + F.col("del")) / 4 / 3 * 100).alias("x"))
-    scored = per_ref.groupBy(id_col).agg(F.sum("x").alias("x"))
-    refs = df.select(id_col, F.size(references).alias("refs"))
-    return refs.join(scored, id_col, "left").select(id_col, (F.coalesce("x", F.lit(0.0)) / F.col("refs")).alias("sari"))
+    scored = per_n.groupBy(id_col).agg((F.sum(keep + F.col("add") + F.col("del")) / 4 / 3 * 100 / F.max("refs")).alias("sari"))
+    return df.select(id_col).join(scored, id_col, "left").fillna(0.0, ["sari"])
 
 
 def bleu(df: DataFrame, *, id_col: str, prediction="prediction", references="references", lower: bool = False, smooth: bool = True) -> DataFrame:
@@ -275,21 +283,17 @@ def bleu(df: DataFrame, *, id_col: str, prediction="prediction", references="ref
 
     A count of matches without any hit is replaced by 1/2, 1/4, ... of one when ``smooth``.
     """
-    hyp = df.select(id_col, words(prediction, lower).alias("p"))
-    refs = df.select(id_col, F.posexplode(references).alias("ref_no", "ref")).select(id_col, "ref_no", words("ref", lower).alias("r"))
-    p_counts = _gram_counts(hyp, [id_col], {"p": "p"})
-    r_counts = _gram_counts(refs, [id_col, "ref_no"], {"r": "r"}).groupBy(id_col, "n", "gram").agg(F.max("r").alias("r"))
-    matched = p_counts.join(r_counts, [id_col, "n", "gram"], "left").groupBy("n").agg(
-        F.sum(F.least("p", F.coalesce("r", F.lit(0)))).cast("bigint").alias("hit"), F.sum("p").cast("bigint").alias("all")
-    )
-    lengths = (
-        refs.select(id_col, F.size("r").alias("rl")).join(hyp.select(id_col, F.size("p").alias("pl")), id_col).groupBy(id_col)
-        .agg(F.max("pl").alias("pl"), F.min(F.struct(F.abs(F.col("rl") - F.col("pl")).alias("off"), F.col("rl").alias("rl"))).alias("near"))
-        .agg(F.sum("pl").cast("bigint").alias("hyp_len"), F.sum("near.rl").cast("bigint").alias("ref_len"))
+    counts = _gram_counts(df, id_col, {PREDICTION: F.col(prediction)}, references, lower)
+    best = F.coalesce(F.max(F.when(F.col("side") >= 0, F.col("k"))), F.lit(0))
+    per_gram = counts.groupBy(id_col, "refs", "n", "gram").agg(_side(PREDICTION).alias("p"), best.alias("r"))
+    matched = per_gram.groupBy("n").agg(F.sum(F.least("p", "r")).alias("hit"), F.sum("p").alias("all"))
+    size = F.size(words(prediction, lower))
+    nearest = F.array_min(F.transform(references, lambda r: V.let(F.size(words(r, lower)), lambda n: F.struct(F.abs(n - F.col("pl")).alias("off"), n.alias("n")))))
+    lengths = df.select(size.alias("pl"), references).select("pl", nearest.alias("near")).agg(
+        F.sum("pl").alias("hyp_len"), F.sum("near.n").alias("ref_len")
     )
     table = F.map_from_entries(F.collect_list(F.struct("n", F.struct("hit", "all"))))
-    counts = matched.agg(table.alias("m"), F.count(F.lit(1)).alias("orders"))  # at most four rows
-    one = counts.withColumn("_j", F.lit(1)).join(lengths.withColumn("_j", F.lit(1)), "_j")
+    one = matched.agg(table.alias("m")).withColumn("_j", F.lit(1)).join(lengths.withColumn("_j", F.lit(1)), "_j")  # one row each
     logs, zeros = F.lit(0.0), F.lit(0)
     for n in range(1, 5):
         hit, all_ = F.coalesce(F.col("m")[n]["hit"], F.lit(0)), F.coalesce(F.col("m")[n]["all"], F.lit(0))
@@ -317,7 +321,8 @@ def lcs_length(a: list, b: list) -> int:
 
 def rouge_l(df: DataFrame, *, id_col: str, prediction="prediction", references="references") -> DataFrame:
     """ROUGE-L F1 of every row, whole texts, the best over its references."""
-    pairs = df.select(id_col, words(prediction).alias("p"), F.explode(references).alias("ref")).select(id_col, "p", words("ref").alias("r"))
+    spread = df.repartition(id_col)  # groups stay in place, and long texts spread over the tasks
+    pairs = spread.select(id_col, words(prediction).alias("p"), F.explode(references).alias("ref")).select(id_col, "p", words("ref").alias("r"))
 
     @F.pandas_udf("bigint")
     def common(p, r):

@@ -143,12 +143,16 @@ def words_sql(text: str, lower: bool = True) -> str:
 
 
 def grams_sql(tokens: str, where: str, keys: str) -> str:
-    return f"SELECT {keys}, n, list_aggregate({tokens}[i:i + n - 1], 'string_agg', ' ') AS gram FROM {where}, range(1, 5) a(n), LATERAL (SELECT unnest(range(1, len({tokens}) - n + 2)) AS i)"
+    lead = f"OVER (PARTITION BY {keys} ORDER BY i)"
+    grams = ["g1", "g1 || ' ' || g2", "g1 || ' ' || g2 || ' ' || g3", "g1 || ' ' || g2 || ' ' || g3 || ' ' || g4"]
+    rows = f"""(SELECT {keys}, g1, lead(g1, 1) {lead} AS g2, lead(g1, 2) {lead} AS g3, lead(g1, 3) {lead} AS g4
+      FROM (SELECT {keys}, unnest({tokens}) AS g1, unnest(range(len({tokens}))) AS i FROM {where}))"""
+    return " UNION ALL ".join(f"SELECT {keys}, {n + 1} AS n, {g} AS gram FROM {rows} WHERE {g} IS NOT NULL" for n, g in enumerate(grams))
 
 
-SARI_SQL = f"""WITH {T_SQL}, b AS (SELECT doc_id, rn, {words_sql('source')} AS s, {words_sql('prediction')} AS p, {words_sql('refs[rn]')} AS r FROM t, range(1, 3) x(rn)),
+SARI_SQL = f"""WITH {T_SQL}, b AS MATERIALIZED (SELECT doc_id, rn, {words_sql('source')} AS s, {words_sql('prediction')} AS p, {words_sql('refs[rn]')} AS r FROM t, range(1, 3) x(rn)),
 g AS ({" UNION ALL ".join(f"SELECT doc_id, rn, n, gram, {int(x == 's')} AS s, {int(x == 'p')} AS p, {int(x == 'r')} AS r FROM ({grams_sql(x, 'b', 'doc_id, rn')})" for x in "spr")}),
-c AS (SELECT doc_id, rn, n, gram, sum(s) AS s, sum(p) AS p, sum(r) AS r FROM g GROUP BY ALL),
+c AS MATERIALIZED (SELECT doc_id, rn, n, gram, sum(s) AS s, sum(p) AS p, sum(r) AS r FROM g GROUP BY ALL),
 f AS (SELECT doc_id, rn, n, coalesce(sum(least(s, p, r)) / nullif(sum(least(s, p)), 0)::DOUBLE, 0) AS kp, coalesce(sum(least(s, p, r)) / nullif(sum(least(s, r)), 0)::DOUBLE, 0) AS kr,
   coalesce(sum(least(greatest(p - s, 0), greatest(r - s, 0))) / nullif(sum(greatest(p - s, 0)), 0)::DOUBLE, 0) AS ad, coalesce(sum(least(greatest(s - p, 0), greatest(s - r, 0))) / nullif(sum(greatest(s - p, 0)), 0)::DOUBLE, 0) AS de FROM c GROUP BY ALL),
 w AS (SELECT doc_id, sum(coalesce(2 * kp * kr / nullif(kp + kr, 0), 0) + ad + de) / 4 / 3 * 100 / 2 AS x FROM f GROUP BY doc_id)
