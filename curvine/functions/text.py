@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvine.functions import vectors as V
@@ -166,13 +166,15 @@ def tfidf(df: DataFrame, *, id_col: str, text_col: str, stop_words: list[str] |
     tokens = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN), F.lit(0))
     stops = F.array(*[F.lit(w) for w in stop_words]) if stop_words else None
     kept = F.filter(tokens, lambda t: ~F.array_contains(stops, t)) if stop_words else tokens
-    counts = df.select(id_col, F.explode(kept).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # whole texts are shuffled by id once; the longer term rows are grouped in place
+    terms = df.repartition(id_col).select(id_col, F.explode(kept).alias("term"))
+    counts = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     vocab = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.col("total").desc(), "term").limit(max_terms)
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     idf = vocab.select("term", (F.ln((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = counts.join(broadcast_if_small(idf, max_terms), "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weighted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return weighted.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 
 
 # --- vectors from tokens -----------------------------------------------------------------------

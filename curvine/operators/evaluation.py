@@ -259,23 +259,37 @@ def _side(side: int) -> Column:
 def sari(df: DataFrame, *, id_col: str, source="source", prediction="prediction", references="references") -> DataFrame:
     """SARI of every row, 1- to 4-grams, averaged over its references."""
     counts = _gram_counts(df, id_col, {SOURCE: F.col(source), PREDICTION: F.col(prediction)}, references, True)
-    own = F.collect_list(F.when(F.col("side") >= 0, F.struct(F.col("side").alias("key"), F.col("k").alias("value"))))
-    per_gram = counts.groupBy(id_col, "refs", "n", "gram").agg(_side(SOURCE).alias("s"), _side(PREDICTION).alias("p"), F.map_from_entries(own).alias("r"))
-    per_ref = per_gram.select(
-        id_col, "refs", "n", "s", "p", F.explode(F.transform(F.sequence(F.lit(0), F.col("refs") - 1), lambda i: F.struct(i.alias("no"), F.coalesce(F.col("r")[i], F.lit(0)).alias("r")))).alias("x")
-    ).select(id_col, "refs", "n", "s", "p", "x.no", "x.r")
-    s, p, r = F.col("s"), F.col("p"), F.col("r")
-    added, wanted = F.greatest(p - s, F.lit(0)), F.greatest(r - s, F.lit(0))
-    dropped, droppable = F.greatest(s - p, F.lit(0)), F.greatest(s - r, F.lit(0))
-    kept = F.sum(F.least(s, p, r))
-    per_n = per_ref.groupBy(id_col, "refs", "n", "no").agg(
-        _ratio(kept, F.sum(F.least(s, p))).alias("kp"), _ratio(kept, F.sum(F.least(s, r))).alias("kr"),
-        _ratio(F.sum(F.least(added, wanted)), F.sum(added)).alias("add"), _ratio(F.sum(F.least(dropped, droppable)), F.sum(dropped)).alias("del"),
+    gram, order = Window.partitionBy(id_col, "n", "gram"), Window.partitionBy(id_col, "n")
+
+    def over(side, window, value="k"):
+        return F.coalesce(F.max(F.when(F.col("side") == side, F.col(value))).over(window), F.lit(0))
+
+    rows = counts.withColumns({"s": over(SOURCE, gram), "p": over(PREDICTION, gram)})
+    s, p, k = F.col("s"), F.col("p"), F.col("k")
+    gone = F.greatest(s - p, F.lit(0))
+    # sums over a side's own n-grams; a reference changes them only where it has the n-gram
+    sums = rows.groupBy(id_col, "refs", "n", "side").agg(
+        F.sum(F.least(s, p)).alias("common"), F.sum(F.greatest(p - s, F.lit(0))).alias("added"), F.sum(gone).alias("dropped"),
+        F.sum(F.least(s, p, k)).alias("kept"), F.sum(F.least(s, k)).alias("shared"),
+        F.sum(F.least(F.greatest(p - s, F.lit(0)), F.greatest(k - s, F.lit(0)))).alias("add_hit"),
+        F.sum(gone - F.least(gone, F.greatest(s - k, F.lit(0)))).alias("wrongly_dropped"),
     )
-    keep = _ratio(2 * F.col("kp") * F.col("kr"), F.col("kp") + F.col("kr"))
-    # an n without any n-gram scores 0, so the sum is over 4 whatever rows exist
-    scored = per_n.groupBy(id_col).agg((F.sum(keep + F.col("add") + F.col("del")) / 4 / 3 * 100 / F.max("refs")).alias("sari"))
-    return df.select(id_col).join(scored, id_col, "left").fillna(0.0, ["sari"])
+    sums = sums.withColumns(
+        {"common": over(SOURCE, order, "common"), "dropped": over(SOURCE, order, "dropped"), "added": over(PREDICTION, order, "added")}
+    )
+    kp, kr = _ratio(F.col("kept"), F.col("common")), _ratio(F.col("kept"), F.col("shared"))
+    scored = sums.select(id_col, "refs", "n", "side", "dropped", "added", "add_hit", "wrongly_dropped", kp.alias("kp"), kr.alias("kr"))
+    one = (
+        _ratio(2 * F.col("kp") * F.col("kr"), F.col("kp") + F.col("kr")) + _ratio(F.col("add_hit"), F.col("added"))
+        + _ratio(F.col("dropped") - F.col("wrongly_dropped"), F.col("dropped"))
+    )
+    is_ref = F.col("side") >= 0
+    # a reference without n-grams of this order asks for everything dropped
+    absent = (F.col("refs") - F.count_if(is_ref)) * F.max((F.col("dropped") > 0).cast("int"))
+    per_n = scored.groupBy(id_col, "refs", "n").agg((F.coalesce(F.sum(F.when(is_ref, one)), F.lit(0.0)) + absent).alias("x"))
+    # an order without any n-gram scores 0, so the sum is over 4 whatever rows exist
+    out = per_n.groupBy(id_col).agg((F.sum("x") / 4 / 3 * 100 / F.max("refs")).alias("sari"))
+    return df.select(id_col).join(out, id_col, "left").fillna(0.0, ["sari"])
 
 
 def bleu(df: DataFrame, *, id_col: str, prediction="prediction", references="references", lower: bool = False, smooth: bool = True) -> DataFrame:
