@@ -22,12 +22,22 @@ from curvine.plans.ranking import rank_rows, top_k_within
 def pick_top(scores: DataFrame, b: int, *, reverse: bool = False, score_col="score", id_col="vec_id") -> DataFrame:
     """The b highest (or with ``reverse`` lowest) scores, ties to the smaller id."""
     order = F.col(score_col).asc() if reverse else F.col(score_col).desc()
-    return scores.orderBy(order, F.col(id_col)).limit(b)
+    return first_rows(scores, [order, F.col(id_col)], b)
+
+
+# Up to here the first rows are merged in one task; more of them are ranked in parallel.
+MAX_HEAP = 100_000
+
+
+def first_rows(df: DataFrame, order: list[Column], b: int) -> DataFrame:
+    if b <= MAX_HEAP:
+        return df.orderBy(*order).limit(b)
+    return rank_rows(df, order, settle=True).filter(F.col("rank") <= b).drop("rank")
 
 
 def pick_random(df: DataFrame, b: int, *, seed: int = 0, id_col="vec_id") -> DataFrame:
     """b distinct random rows, the same in every run."""
-    return df.select(id_col).orderBy(id_hash(id_col, seed), id_col).limit(b)
+    return first_rows(df.select(id_col), [id_hash(id_col, seed), F.col(id_col)], b)
 
 
 # --- contrastive acquisition ---------------------------------------------------

@@ -209,7 +209,7 @@ def cluster_sizes(assigned: DataFrame, cid_col: str = "cid") -> DataFrame:
 def cluster_sorted(assigned: DataFrame, similarity, *, id_col="vec_id", cid_col="cid") -> DataFrame:
     """Members of each cluster ranked by centroid similarity, largest first."""
     rows = assigned.select(id_col, cid_col, similarity.alias("sim"))
-    return rank_rows(rows, [F.col("sim").desc(), F.col(id_col)], [cid_col])
+    return rank_rows(rows, [F.col("sim").desc(), F.col(id_col)], [cid_col], settle=True)
 
 
 # --- seeding ---------------------------------------------------------------------

@@ -15,7 +15,7 @@ from curvine.functions.hashing import id_hash
 from curvine.operators import knn
 from curvine.operators.cluster import group_means
 from curvine.plans.blocks import BLOCK_ROWS, block_join, self_block_join
-from curvine.plans.bounded import collect_bounded
+from curvine.plans.bounded import MAX_BROADCAST_BYTES, collect_bounded
 from curvine.plans.ranking import half_even, rank_rows
 from curvine.session import checkpoint
 
@@ -36,7 +36,7 @@ def deft_select(
     ``int(hard * quota)`` and the cluster allow. One ranking serves both ends.
     """
     rows = assigned.select(id_col, cid_col, distance.alias("dist"))
-    ranked = rank_rows(rows, [F.col("dist"), F.col(id_col)], [cid_col], totals_too=True)
+    ranked = rank_rows(rows, [F.col("dist"), F.col(id_col)], [cid_col], totals_too=True, settle=True)
     quota = F.lit(quota) if isinstance(quota, int) else quota
     n_easy = F.least(F.floor(F.lit(easy) * quota), F.col("rank_total"))
     n_hard = F.least(F.floor(F.lit(hard) * quota), F.col("rank_total") - n_easy)
@@ -113,7 +113,7 @@ def prune_ratio_by_cluster(pruned: DataFrame, cid_col="cid") -> DataFrame:
 
 # --- facility location ---------------------------------------------------------------
 
-PULL = 32
+PULL = 64
 KEEP_EVERY = 32
 FIXED = 1e9
 
@@ -244,10 +244,11 @@ def _settle_cover(points: DataFrame, metric: str, spans: dict, chosen: dict) ->
 class _Frontier:
     """Rows of one class ordered by an upper bound on their gain, fetched a few at a time."""
 
-    def __init__(self):
+    def __init__(self, step: int):
         self.bound: dict[int, int] = {}
         self.vec: dict[int, list] = {}
         self.fetched = 0
+        self.step = step
         self.next_bound: int | None = None
 
 
@@ -268,22 +269,25 @@ def facility_select(
     gains = _first_gains(rows, metric, spans, block_rows)
     order = checkpoint(rank_rows(gains, [F.col("bound").desc(), F.col("id")], ["g"]))
     points = rows.withColumn("cover", F.lit(0.0))
-    fronts = {g: _Frontier() for g in budget}
+    fronts = {g: _Frontier(pull) for g in budget}
     chosen: dict[int, list] = {}
     picks: list[tuple] = []
 
     def fetch(classes: list[int]):
-        spec = [(g, fronts[g].fetched, fronts[g].fetched + pull) for g in classes]
+        spec = [(g, fronts[g].fetched, fronts[g].fetched + fronts[g].step) for g in classes]
         want = order.sparkSession.createDataFrame(spec, "g bigint, lo bigint, hi bigint")
+        # one row past the slice tells the bound on all that is not fetched yet
         got = order.join(F.broadcast(want), "g").filter("rank > lo AND rank <= hi + 1").select("g", "id", "bound", "rank", "hi")
-        ids = got.filter("rank <= hi")
-        peek = {r["g"]: r["bound"] for r in got.filter("rank = hi + 1").collect()}
-        for r in ids.join(rows, ["g", "id"]).select("g", "id", "bound", "vec").collect():
-            fronts[r["g"]].bound[r["id"]] = r["bound"]
-            fronts[r["g"]].vec[r["id"]] = r["vec"]
-        for g in classes:
-            fronts[g].fetched += pull
-            fronts[g].next_bound = peek.get(g)
+        for g, _, hi in spec:
+            fronts[g].fetched, fronts[g].next_bound = hi, None
+        for r in got.join(rows, ["g", "id"]).collect():
+            front = fronts[r["g"]]
+            if r["rank"] > r["hi"]:
+                front.next_bound = r["bound"]
+            else:
+                front.bound[r["id"]], front.vec[r["id"]] = r["bound"], r["vec"]
+                room = MAX_BROADCAST_BYTES // (8 * len(r["vec"]) * max(1, len(budget)))
+                front.step = max(1, min(2 * pull if front.fetched <= pull else 8 * pull, room))
 
     fetch([g for g in budget if budget[g] > 0])
     for step in range(max(budget.values(), default=0)):
@@ -303,7 +307,7 @@ def facility_select(
                 stale = sorted((i for i in front.bound if i not in fresh[g] and front.bound[i] >= best), key=lambda i: (-front.bound[i], i))
                 beyond = front.next_bound is not None and front.next_bound >= best
                 if stale:
-                    asked[g] = [(i, front.vec[i]) for i in stale[:pull]]
+                    asked[g] = [(i, front.vec[i]) for i in stale[: front.step]]
                 elif beyond:
                     more.append(g)
                 else:
@@ -318,7 +322,8 @@ def facility_select(
             picks.append((g, step, best, fresh[g][best] / FIXED))
             chosen.setdefault(g, []).append(fronts[g].vec[best])
             del fronts[g].bound[best]
-        if (step + 1) % KEEP_EVERY == 0:
+        held = sum(len(v) * len(v[0]) * 8 for v in chosen.values() if v)
+        if (step + 1) % KEEP_EVERY == 0 or held > MAX_BROADCAST_BYTES // 2:
             points = _settle_cover(points, metric, spans, chosen)
             chosen = {}
     return df.sparkSession.createDataFrame(picks, f"{class_col} bigint, step bigint, {id_col} bigint, gain double")

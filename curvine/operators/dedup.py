@@ -33,9 +33,11 @@ def semdedup(
     ``mode="lsh"`` looks only at rows sharing a bucket, ``mode="ivf"`` only at the
     ``nprobe`` nearest cells inside the cluster.
     """
+    flags = [F.coalesce(F.col("max_sim") > 1.0 - e, F.lit(False)).alias(flag_name(e)) for e in eps]
     if mode == "exact":
-        best = knn.max_similarity(assigned, within=cid_col, id_col=id_col, vec_col=vec_col, block_rows=block_rows)
-    elif mode == "lsh":
+        rows = knn.max_similarity_all(assigned, within=cid_col, id_col=id_col, vec_col=vec_col, block_rows=block_rows)
+        return rows.select(id_col, cid_col, "max_sim", *flags)
+    if mode == "lsh":
         best = lsh.max_similarity_lsh(assigned, matrix, bits, within=cid_col, id_col=id_col, vec_col=vec_col)
     elif mode == "ivf":
         cells = assigned.select(id_col, F.col(cid_col).alias("_group"), vec_col)
@@ -47,7 +49,6 @@ def semdedup(
     else:
         raise ValueError(f"unknown mode {mode!r}")
     rows = assigned.select(id_col, cid_col).join(best, id_col, "left")
-    flags = [F.coalesce(F.col("max_sim") > 1.0 - e, F.lit(False)).alias(flag_name(e)) for e in eps]
     return rows.select(id_col, cid_col, "max_sim", *flags)
 
 

@@ -111,6 +111,30 @@ def nearest_other(
     return best.select("query_id", F.col("best.neighbor_id").alias("neighbor_id"), F.col("best.dist").alias("dist"))
 
 
+def _max_kernel_all(group, first: pa.Table, second: pa.Table | None, *, metric) -> pa.Table:
+    """As ``_max_kernel``, with the group, and with every row of a block once even without a partner."""
+    found = _max_kernel(group, first, second, metric=metric)
+    if second is None:
+        n = first.num_rows
+        every = pa.table(
+            {"query_id": first.column("id"), "neighbor_id": pa.nulls(n, pa.int64()), "dist": pa.nulls(n, pa.float64())}
+        )
+        found = pa.concat_tables([every, found])
+    return found.append_column("g", pa.array(np.full(found.num_rows, group), pa.int64()))
+
+
+def max_similarity_all(df: DataFrame, *, within: str, id_col="vec_id", vec_col="embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(id, group, max_sim)`` of every row, NULL without a partner.
+
+    The tasks report the lone rows too, so the input is not joined back.
+    """
+    found = self_block_join(
+        _side(df.withColumn(within, F.col(within).cast("bigint")), id_col, vec_col, within), partial(_max_kernel_all, metric="ip"),
+        NEIGHBOR_SCHEMA + ", g bigint", grouped=True, block_rows=block_rows,
+    )
+    return found.groupBy(F.col("query_id").alias(id_col), F.col("g").alias(within)).agg((-F.min("dist")).alias("max_sim"))
+
+
 def max_similarity(df: DataFrame, *, within: str | None, id_col="vec_id", **options) -> DataFrame:
     """``(id, max_sim)``: the largest similarity to any other member of the group."""
     return nearest_other(df, within=within, id_col=id_col, **options).select(

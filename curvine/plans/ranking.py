@@ -21,18 +21,21 @@ def top_k_within(df: DataFrame, group: Sequence[str], order: Sequence[Column], k
 
 
 def running_totals(
-    df: DataFrame, order: Sequence[Column], sums: dict[str, Column], group: Sequence[str] = (), totals_too: bool = False
+    df: DataFrame, order: Sequence[Column], sums: dict[str, Column], group: Sequence[str] = (), totals_too: bool = False,
+    settle: bool = False,
 ) -> DataFrame:
     """Add inclusive running totals of ``sums`` in the given order, inside each group.
 
     ``totals_too`` also adds the total of the whole group as ``<name>_total``.
+    Range partitioning reads its input twice, once for a sample; ``settle`` writes
+    the few columns down first, for inputs that are costly to compute.
 
     Rows are range partitioned by (group, order), so a hot group spreads over many
     partitions; totals per partition give the offsets, and each partition then
     accumulates on its own. ``order`` must name every row uniquely.
     """
     group = list(group)
-    prepared = df.withColumns({f"_v_{n}": c for n, c in sums.items()})
+    prepared = (checkpoint(df) if settle else df).withColumns({f"_v_{n}": c for n, c in sums.items()})
     # fixed by the checkpoint: a rerun task could draw other range bounds
     parts = checkpoint(
         prepared.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_part", F.spark_partition_id())
@@ -56,9 +59,9 @@ def running_totals(
     )
 
 
-def rank_rows(df: DataFrame, order: Sequence[Column], group: Sequence[str] = (), rank: str = "rank", totals_too: bool = False) -> DataFrame:
+def rank_rows(df: DataFrame, order: Sequence[Column], group: Sequence[str] = (), rank: str = "rank", totals_too: bool = False, settle: bool = False) -> DataFrame:
     """Exact 1-based rank inside each group, at any group size; also the group's size on request."""
-    return running_totals(df, order, {rank: F.lit(1).cast("bigint")}, group, totals_too)
+    return running_totals(df, order, {rank: F.lit(1).cast("bigint")}, group, totals_too, settle)
 
 
 def half_even(value: Column) -> Column:

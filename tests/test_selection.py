@@ -192,3 +192,10 @@ def test_mahalanobis_against_numpy(vectors):
     ood.mahalanobis_score(df, ood.fit_gaussians(df, dims=dims)).collect()
     z = np.array([r["embedding"] for r in ood.standardize(df, df).orderBy("vec_id").collect()])
     assert np.allclose(z.mean(axis=0), 0, atol=1e-9) and np.allclose(z.std(axis=0), 1)
+
+
+def test_large_picks_are_ranked_in_parallel(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i % 7)) for i in range(100)], "vec_id bigint, score double")
+    want = sorted(r["vec_id"] for r in active.pick_top(df, 20).collect())
+    monkeypatch.setattr(active, "MAX_HEAP", 10)
+    assert sorted(r["vec_id"] for r in active.pick_top(df, 20).collect()) == want
