@@ -417,7 +417,7 @@ def class_quota(counts: DataFrame, budget: int, *, equal: bool, redistribute: st
     """How many rows each class may give; one row per class in and out.
 
     Equal quotas are ceil(B / C); what small classes cannot fill goes to the others,
-    split by the number of those (``even``) or of the small ones (``reference``).
+    split by the number of those (``even``) or of the small ones (``minority``).
     Otherwise a class gives ceil(n / N * B).
     """
     all_ = counts.agg(F.count(F.lit(1)).alias("c"), F.sum(n_col).alias("total"))
@@ -428,7 +428,7 @@ def class_quota(counts: DataFrame, budget: int, *, equal: bool, redistribute: st
     marked = with_all.withColumn("share", share).withColumn("small", F.col(n_col) < F.col("share"))
     short = marked.agg(
         F.sum(F.when(F.col("small"), F.col("share") - F.col(n_col)).otherwise(0)).alias("extra"),
-        F.count_if(F.col("small") if redistribute == "reference" else ~F.col("small")).alias("among"),
+        F.count_if(F.col("small") if redistribute == "minority" else ~F.col("small")).alias("among"),
     )
     joined = marked.withColumn("_j", F.lit(1)).join(F.broadcast(short.withColumn("_j", F.lit(1))), "_j")
     bonus = F.coalesce(F.ceil(F.try_divide(F.col("extra").cast("double"), F.col("among"))), F.lit(0))

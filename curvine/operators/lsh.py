@@ -76,7 +76,7 @@ def max_similarity_lsh(df: DataFrame, matrix, bits: int, *, within: str | None,
     return knn.max_similarity(buckets, within="bucket", metric=metric, id_col=id_col, vec_col=vec_col)
 
 
-def candidate_pairs(df: DataFrame, matrix, bits: int, min_sim: float, *, within=None, metric="ip", id_col="vec_id", vec_col="embedding") -> DataFrame:
+def candidate_pairs(df: DataFrame, matrix, bits: int, *, min_sim: float, within=None, metric="ip", id_col="vec_id", vec_col="embedding") -> DataFrame:
     """Pairs that share a bucket in some table and are more similar than ``min_sim``, each once."""
     keep = [id_col, vec_col] + ([within] if within else [])
     buckets = by_table(sign_codes(df.select(*keep), matrix, bits, id_col=id_col, vec_col=vec_col), within)

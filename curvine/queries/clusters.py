@@ -8,7 +8,7 @@ from curvine.functions import vectors as V
 from curvine.functions.hashing import id_hash_sql
 from curvine.operators import cluster, dedup, knn
 from curvine.queries.joins import (
-    BITS, LSH_MAX_SQL, MAXSIM_SQL, PAIRS_SQL, centroids_sql, clustered, lsh_planes, with_clusters_sql,
+    LSH_MAX_SQL, MAXSIM_SQL, PAIRS_SQL, centroids_sql, clustered, initial, lsh_setting, with_clusters_sql,
 )
 from curvine.queries.registry import E_SQL, dot_sql, embeddings, query, sq_l2_sql
 
@@ -32,7 +32,7 @@ def assign_cte(name: str, centroids: str, extra: str = "") -> str:
 
 def rounds_sql(k: int, rounds: int) -> str:
     """k-means unrolled; an empty cluster keeps nothing here, so k stays small enough that none is."""
-    parts = [f"WITH {E_SQL}", centroids_sql(k, "c0")]
+    parts = [f"WITH {E_SQL}", centroids_sql(k, "c0", grow=False)]
     for r in range(rounds):
         parts += [assign_cte(f"a{r}", f"c{r}"), mean_sql(f"a{r}", "cid", f"c{r + 1}")]
     parts.append(assign_cte("af", f"c{rounds}"))
@@ -47,7 +47,7 @@ def kmeans_fixed_rounds(spark, d):
 
 
 def two_level_sql(k: int, coarse: int, probes: int, rounds: int) -> str:
-    parts = [f"WITH {E_SQL}", centroids_sql(k, "c0")]
+    parts = [f"WITH {E_SQL}", centroids_sql(k, "c0", grow=False)]
     for r in range(rounds + 1):
         dist = sq_l2_sql("x.centroid", "y.centroid")
         parts.append(f"""g{r} AS (SELECT x.cid, x.centroid, y.cid AS lead FROM c{r} x CROSS JOIN c{r} y WHERE y.cid < {coarse}
@@ -88,7 +88,7 @@ def cluster_sizes(spark, d):
 @query("cluster_sorted", with_clusters_sql(10) + f", s AS (SELECT a.vec_id, a.cid, {dot_sql('a.v', 'c.centroid')} AS sim FROM a JOIN c USING (cid)) SELECT *, row_number() OVER (PARTITION BY cid ORDER BY sim DESC, vec_id) AS rank FROM s")
 def cluster_sorted(spark, d):
     emb = embeddings(spark, d)
-    centroids = cluster.sample_rows(emb, 10)
+    centroids = initial(emb, 10)
     rows = knn.assign(emb, centroids).join(centroids, "cid")
     return cluster.cluster_sorted(rows, V.dot("embedding", "centroid"))
 
@@ -157,7 +157,7 @@ def semdedup_exact(spark, d):
 
 @query("semdedup_lsh", LSH_MAX_SQL + SEM_SQL)
 def semdedup_lsh(spark, d):
-    return dedup.semdedup(clustered(spark, d, 5), EPS, mode="lsh", matrix=lsh_planes(), bits=BITS)
+    return dedup.semdedup(clustered(spark, d, 5), EPS, mode="lsh", **lsh_setting(embeddings(spark, d)))
 
 
 SEM_IVF_SQL = with_clusters_sql(5) + f""", {centroids_sql(8, 'cc', 1)}, pr AS (SELECT a.vec_id, a.cid, a.v, cc.cid AS cell,
@@ -169,7 +169,7 @@ m AS (SELECT * FROM hit UNION ALL SELECT * FROM rest)"""
 
 @query("semdedup_ivf", SEM_IVF_SQL + SEM_SQL)
 def semdedup_ivf(spark, d):
-    cells = cluster.sample_rows(embeddings(spark, d), 8, seed=1)
+    cells = initial(embeddings(spark, d), 8, seed=1)
     return dedup.semdedup(clustered(spark, d, 5), EPS, mode="ivf", centroids=cells, nprobe=3)
 
 

@@ -27,7 +27,7 @@ def _with_centroids(spark, d, k):
 
 
 def deft_sql(dist: str) -> str:
-    return with_clusters_sql(K) + f""", s AS (SELECT a.vec_id, a.cid, {dist} AS dist FROM a JOIN c USING (cid)),
+    return with_clusters_sql(K, grow=False) + f""", s AS (SELECT a.vec_id, a.cid, {dist} AS dist FROM a JOIN c USING (cid)),
 r AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY dist, vec_id) AS rank, count(*) OVER (PARTITION BY cid) AS n,
   greatest(1, floor(count(*) OVER () * {RATIO}::DOUBLE / {K}))::BIGINT AS quota FROM s),
 t AS (SELECT *, least(floor(0.5::DOUBLE * quota), n) AS ne FROM r), u AS (SELECT *, least(floor(0.5::DOUBLE * quota), n - ne) AS nh FROM t)
@@ -69,7 +69,7 @@ pr AS (SELECT vec_id, cid, dist, cluster_size, NOT (by_size OR by_dist) AS kept,
 """ + tail
 
 
-SCIP_ROWS = with_clusters_sql(12) + f", s AS (SELECT a.vec_id, a.cid, 1.0::DOUBLE - {dot_sql('a.v', 'c.centroid')} AS dist FROM a JOIN c USING (cid))"
+SCIP_ROWS = with_clusters_sql(12, grow=False) + f", s AS (SELECT a.vec_id, a.cid, 1.0::DOUBLE - {dot_sql('a.v', 'c.centroid')} AS dist FROM a JOIN c USING (cid))"
 PRUNED = "SELECT vec_id, cid, round(dist, 6) AS dist, cluster_size, kept, reason FROM pr"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from curvine.functions import vectors as V
 from curvine.operators import cluster, evaluation as ev, knn, dedup, coreset
 from curvine.queries.clusters import EPS, semdedup_exact, semdedup_lsh, two_level_sql
-from curvine.queries.joins import CELLS_SQL, L2_XY, LSH_MAX_SQL, MAXSIM_SQL, SPLIT_SQL, knn_sql, labeled_and_pool, with_clusters_sql
+from curvine.queries.joins import CELLS_SQL, L2_XY, LSH_MAX_SQL, MAXSIM_SQL, initial, knn_sql, with_clusters_sql
 from curvine.queries.registry import E_SQL, dot_sql, embeddings, query, softmax_sql, sq_l2_sql, table
 
 # Predictions: softmax of the first four elements times 8; the truth is the label modulo 4.
@@ -242,7 +242,7 @@ SELECT count(*) AS truth, count(ta.query_id) AS found, round(count(ta.query_id)
 def cal_recall(spark, d):
     emb = embeddings(spark, d)
     exact = knn.knn_join(emb, emb, 5, exclude_self=True)
-    approx = knn.ivf_knn_join(emb, emb, cluster.sample_rows(emb, 20), 5, 4, exclude_self=True)
+    approx = knn.ivf_knn_join(emb, emb, initial(emb, 20), 5, 4, exclude_self=True)
     return ev.selection_recall(ev.farthest_by_mean_distance(exact, 50), ev.farthest_by_mean_distance(approx, 50))
 
 
@@ -255,9 +255,9 @@ PROBES = (1, 2, 4)
 def ivf_recall_sweep(spark, d):
     """The cells and the probes are found once for the widest setting; a narrower one keeps fewer probes."""
     emb = embeddings(spark, d).select("vec_id", "embedding")
-    centroids = knn.centroid_matrix(cluster.sample_rows(emb, 20))
-    cells = knn.assign_to(emb, *centroids)
-    probes = knn.assign_to(emb, *centroids, probes=max(PROBES))
+    centroids = initial(emb, 20)
+    cells = knn.assign(emb, centroids)
+    probes = knn.assign(emb, centroids, probes=max(PROBES))
     pair = F.struct("query_id", "neighbor_id").alias("vec_id")
     truth = knn.knn_join(emb, emb, 5, exclude_self=True).select(pair)
     results = {}

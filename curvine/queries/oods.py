@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from curvine.functions import vectors as V
 from curvine.functions.hashing import id_hash_sql, in_sample, in_sample_sql, sign_matrix
-from curvine.operators import cluster, knn, lsh, ood, prompting
+from curvine.operators import lsh, ood, prompting
 from curvine.queries.joins import (
-    CELLS_SQL, CROSS_XY, KL_XY, L2_XY, LABELED_SQL, PROBS_SQL, SPLIT_SQL, knn_sql, labeled_and_pool, prob_rows, with_clusters_sql,
+    CELLS_SQL, CROSS_XY, KL_XY, L2_XY, LABELED_SQL, PROBS_SQL, SPLIT_SQL, initial, knn_sql, labeled_and_pool, prob_rows, with_clusters_sql,
 )
 from curvine.queries.registry import E_SQL, dot_sql, embeddings, query, softmax_sql, sq_l2_sql, table
 
@@ -62,7 +62,7 @@ def ood_knn_two_stage(spark, d):
 tr AS (SELECT * FROM e WHERE label < {KNOWN}), em AS (SELECT * FROM e WHERE vec_id NOT IN (SELECT query_id FROM hit)), rest AS {knn_sql(L2_XY, KTH, 'em', 'tr', 'x.vec_id <> y.vec_id')},
 nn AS (SELECT * FROM hit UNION ALL SELECT * FROM rest) SELECT e.vec_id, -dist AS score FROM e LEFT JOIN nn ON nn.query_id = e.vec_id AND nn.rank = {KTH}""")
 def ood_knn_ivf(spark, d):
-    return _scores(spark, d, mode="ivf", centroids=cluster.sample_rows(embeddings(spark, d), 20), nprobe=4)
+    return _scores(spark, d, mode="ivf", centroids=initial(embeddings(spark, d), 20), nprobe=4)
 
 
 def _lsh_bucket(df):

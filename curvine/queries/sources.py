@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from curvine.functions import vectors as V
 from curvine.functions.hashing import in_sample
 from curvine.operators import cluster, knn
-from curvine.queries.joins import KL_XY, L2_XY, LABELED_SEED, LABELED_SHARE, PROBS_SQL, knn_sql, with_clusters_sql
+from curvine.queries.joins import KL_XY, L2_XY, LABELED_SEED, LABELED_SHARE, PROBS_SQL, initial, knn_sql, with_clusters_sql
 from curvine.queries.oods import KNOWN, KTH, TRAIN_SQL, vote_sql
 from curvine.queries.registry import embeddings, query, table
 from curvine.sources import embeddings as E
@@ -92,7 +92,7 @@ def source_libsvm(spark, d):
 def sink_partitions(spark, d):
     emb = embeddings(spark, d)
     folder = sinks.scratch_folder(spark)
-    sinks.write_partitions(knn.assign(emb, cluster.sample_rows(emb, 5)).select("vec_id", "cid"), folder, "cid")
+    sinks.write_partitions(knn.assign(emb, initial(emb, 5)).select("vec_id", "cid"), folder, "cid")
     return spark.read.parquet(folder).groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("ids"))
 
 
@@ -114,7 +114,7 @@ def _arrivals(spark, d):
     return jobs.read_arrivals(spark, d, "embeddings.parquet", ARRIVAL)
 
 
-@query("stream_assign", with_clusters_sql(10) + " SELECT vec_id, label, cid, cdist FROM a")
+@query("stream_assign", with_clusters_sql(10, grow=False) + " SELECT vec_id, label, cid, cdist FROM a")
 def stream_assign(spark, d):
     folder = sinks.scratch_folder(spark)
     centroids = knn.centroid_matrix(cluster.sample_rows(embeddings(spark, d), 10))

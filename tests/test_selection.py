@@ -95,7 +95,7 @@ def test_quota_redistributes_what_small_classes_lack(spark):
     counts = spark.createDataFrame([(0, 3), (1, 50), (2, 50)], "label bigint, n bigint")
     q = {r["label"]: r["quota"] for r in coreset.class_quota(counts, 30, equal=True).collect()}
     assert q == {0: 10, 1: 14, 2: 14}
-    q = {r["label"]: r["quota"] for r in coreset.class_quota(counts, 30, equal=True, redistribute="reference").collect()}
+    q = {r["label"]: r["quota"] for r in coreset.class_quota(counts, 30, equal=True, redistribute="minority").collect()}
     assert q == {0: 10, 1: 17, 2: 17}
 
 
