@@ -150,9 +150,11 @@ def grams_sql(tokens: str, where: str, keys: str) -> str:
     return " UNION ALL ".join(f"SELECT {keys}, {n + 1} AS n, {g} AS gram FROM {rows} WHERE {g} IS NOT NULL" for n, g in enumerate(grams))
 
 
-SARI_SQL = f"""WITH {T_SQL}, b AS MATERIALIZED (SELECT doc_id, rn, {words_sql('source')} AS s, {words_sql('prediction')} AS p, {words_sql('refs[rn]')} AS r FROM t, range(1, 3) x(rn)),
-g AS ({" UNION ALL ".join(f"SELECT doc_id, rn, n, gram, {int(x == 's')} AS s, {int(x == 'p')} AS p, {int(x == 'r')} AS r FROM ({grams_sql(x, 'b', 'doc_id, rn')})" for x in "spr")}),
-c AS MATERIALIZED (SELECT doc_id, rn, n, gram, sum(s) AS s, sum(p) AS p, sum(r) AS r FROM g GROUP BY ALL),
+# The n-grams of a document are counted once; a row then takes those of four documents.
+SARI_SQL = f"""WITH t AS (SELECT a.doc_id FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 JOIN documents c ON c.doc_id = a.doc_id + 2 JOIN documents f ON f.doc_id = a.doc_id + 3),
+tok AS MATERIALIZED (SELECT doc_id, {words_sql('text')} AS w FROM documents), gc AS MATERIALIZED (SELECT doc_id, n, gram, count(*) AS c FROM ({grams_sql('w', 'tok', 'doc_id')}) GROUP BY ALL),
+g AS (SELECT doc_id, rn, n, gram, c AS s, 0 AS p, 0 AS r FROM gc, range(1, 3) x(rn) UNION ALL SELECT doc_id - 1, rn, n, gram, 0, c, 0 FROM gc, range(1, 3) x(rn) UNION ALL SELECT doc_id - 1 - rn, rn, n, gram, 0, 0, c FROM gc, range(1, 3) x(rn)),
+c AS (SELECT doc_id, rn, n, gram, sum(s) AS s, sum(p) AS p, sum(r) AS r FROM g WHERE doc_id IN (SELECT doc_id FROM t) GROUP BY ALL),
 f AS (SELECT doc_id, rn, n, coalesce(sum(least(s, p, r)) / nullif(sum(least(s, p)), 0)::DOUBLE, 0) AS kp, coalesce(sum(least(s, p, r)) / nullif(sum(least(s, r)), 0)::DOUBLE, 0) AS kr,
   coalesce(sum(least(greatest(p - s, 0), greatest(r - s, 0))) / nullif(sum(greatest(p - s, 0)), 0)::DOUBLE, 0) AS ad, coalesce(sum(least(greatest(s - p, 0), greatest(s - r, 0))) / nullif(sum(greatest(s - p, 0)), 0)::DOUBLE, 0) AS de FROM c GROUP BY ALL),
 w AS (SELECT doc_id, sum(coalesce(2 * kp * kr / nullif(kp + kr, 0), 0) + ad + de) / 4 / 3 * 100 / 2 AS x FROM f GROUP BY doc_id)
