@@ -10,8 +10,8 @@ from curvine.operators import cluster, coreset, knn
 from curvine.plans.bounded import collect_bounded
 from curvine.plans.ranking import rank_rows
 from curvine.queries.clusters import mean_sql, two_level_sql
-from curvine.queries.joins import clustered, with_clusters_sql
-from curvine.queries.registry import E_SQL, dot_sql, embeddings, query, softmax_sql, sq_l2_sql
+from curvine.queries.joins import with_clusters_sql
+from curvine.queries.registry import E_SQL, dot_sql, embeddings, query, sq_l2_sql
 from curvine.queries.vectors import GRAD_SQL, _class_probs
 
 K, RATIO = 7, 0.325

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from curvine.functions import vectors as V
 from curvine.operators import cluster, evaluation as ev, knn, dedup, coreset
-from curvine.queries.clusters import EPS, semdedup_exact, semdedup_lsh, two_level_sql
+from curvine.queries.clusters import semdedup_exact, semdedup_lsh, two_level_sql
 from curvine.queries.joins import CELLS_SQL, L2_XY, LSH_MAX_SQL, MAXSIM_SQL, initial, knn_sql, with_clusters_sql
 from curvine.queries.registry import E_SQL, dot_sql, embeddings, query, softmax_sql, sq_l2_sql, table
 

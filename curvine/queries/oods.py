@@ -8,9 +8,9 @@ from curvine.functions import vectors as V
 from curvine.functions.hashing import id_hash_sql, in_sample, in_sample_sql, sign_matrix
 from curvine.operators import lsh, ood, prompting
 from curvine.queries.joins import (
-    CELLS_SQL, CROSS_XY, KL_XY, L2_XY, LABELED_SQL, PROBS_SQL, SPLIT_SQL, initial, knn_sql, labeled_and_pool, prob_rows, with_clusters_sql,
+    CELLS_SQL, CROSS_XY, KL_XY, L2_XY, PROBS_SQL, SPLIT_SQL, initial, knn_sql, labeled_and_pool, prob_rows, with_clusters_sql,
 )
-from curvine.queries.registry import E_SQL, dot_sql, embeddings, query, softmax_sql, sq_l2_sql, table
+from curvine.queries.registry import E_SQL, dot_sql, embeddings, query, softmax_sql, table
 
 # Labels 0-7 are in-distribution, 8 and 9 are two out-of-distribution sets.
 # Every row is scored against the in-distribution rows other than itself.
