@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvine.llm import repetition, shards
+from curvine.llm import chat, packing, repetition, secret_scan, shards
 from curvine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,24 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_packing")
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+@query("op3_chat")
+def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    fixed = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_conversations(turns.unionByName(fixed)))
+
+
+@query("op7_secrets")
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan(table(spark, folder, "documents"))
+
+
 @query("op9_shards")
 def op9_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shards.shard_documents(table(spark, folder, "documents"))
