@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvine.llm import chat, packing, repetition, secret_scan, shards
+from curvine.llm import chat, packing, quality, repetition, secret_scan, shards
 from curvine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+@query("op2_quality")
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op3_chat")
 def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
