@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvine.llm import chat, packing, quality, repetition, secret_scan, shards
+from curvine.llm import chat, decontam, packing, quality, repetition, secret_scan, shards
 from curvine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,33 @@ def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(fixed)))
 
 
+_LEAK_SQL = r"""
+WITH lower_case AS (
+  SELECT row_number() OVER () AS r, doc_id, NULL AS item_id, coalesce(text, '') AS text FROM documents
+  UNION ALL
+  SELECT -row_number() OVER (), NULL, item_id, text FROM (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark)
+), words AS (
+  SELECT r, doc_id, item_id, list_filter(string_split(regexp_replace(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\x09-\x0D]', ' ', 'g'), ' '), lambda w: w <> '') AS w
+  FROM lower_case
+), items AS (SELECT *, least(len(w), 5) AS width FROM words WHERE r < 0 AND len(w) > 0),
+item_parts AS (
+  SELECT DISTINCT r, item_id, width, w[i:i + width - 1] AS part FROM (SELECT *, unnest(range(1, len(w) - width + 2)) AS i FROM items)
+), doc_parts AS (
+  SELECT DISTINCT r, doc_id, width, w[i:i + width - 1] AS part FROM (
+    SELECT *, unnest(range(1, len(w) - width + 2)) AS i FROM words, (SELECT DISTINCT width FROM items) WHERE r > 0)
+), sizes AS (SELECT r, count(*) AS shingles FROM item_parts GROUP BY r)
+SELECT d.doc_id, i.item_id, s.shingles::INTEGER AS shingles, count(*)::INTEGER AS found
+FROM item_parts i JOIN doc_parts d ON d.width = i.width AND d.part = i.part JOIN sizes s ON s.r = i.r
+GROUP BY d.r, d.doc_id, i.r, i.item_id, s.shingles HAVING count(*) >= 0.8 * s.shingles - 1e-9
+"""
+
+
+@query("op6_decontamination", _LEAK_SQL)
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select("doc_id", "item_id", "shingles", "found")
+
+
 @query("op7_secrets")
 def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan(table(spark, folder, "documents"))
