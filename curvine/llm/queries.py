@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvine.llm import chat, decontam, packing, quality, repetition, secret_scan, shards
+from curvine.llm import chat, decontam, packing, quality, repetition, secret_scan, shards, token_files
 from curvine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,11 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan(table(spark, folder, "documents"))
 
 
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.count_tokens(table(spark, folder, "documents"))
+
+
 @query("op9_shards")
 def op9_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shards.shard_documents(table(spark, folder, "documents"))
