@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from curvine.llm import chat, decontam, packing, quality, repetition, secret_scan, shards, token_files
+from curvine.llm import chat, decontam, packing, quality, repetition, secret_scan, shards, simhash, token_files
 from curvine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +42,12 @@ def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(fixed)))
 
 
+@query("op4_simhash")
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 _LEAK_SQL = r"""
 WITH lower_case AS (
   SELECT row_number() OVER () AS r, doc_id, NULL AS item_id, coalesce(text, '') AS text FROM documents
