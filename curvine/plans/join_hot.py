@@ -17,4 +17,6 @@ def join_lookup(big: DataFrame, lookup: DataFrame, key: str, hot_from: int, weig
     """
     hot = lookup.filter(F.col(weight) >= hot_from)
     cold = lookup.filter(F.col(weight) < hot_from)
-    return big.join(F.broadcast(hot), key).unionByName(big.join(cold, key))
+    # the rows of hot keys leave before the shuffle
+    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return big.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
