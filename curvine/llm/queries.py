@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvine.llm import chat, decontam, packing, quality, repetition, secret_scan, shards, simhash, token_files
+from curvine.llm import chat, decontam, packing, quality, repetition, secret_scan, shards, simhash, suffix_tree, token_files
 from curvine.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op5_suffix_tree")
+def op5_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree.score(table(spark, folder, "documents"))
+
+
 _LEAK_SQL = r"""
 WITH lower_case AS (
   SELECT row_number() OVER () AS r, doc_id, NULL AS item_id, coalesce(text, '') AS text FROM documents
