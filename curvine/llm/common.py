@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,3 +29,13 @@ def id_bucket(buckets: int, name: str = "doc_id") -> Column:
 def lower_words(text: str) -> list[bytes]:
     """The words of a text with A-Z lower-cased; other letters stay."""
     return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def keep_rows(docs: DataFrame, keep: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """The rows whose text ``keep`` accepts, with all their columns and without a shuffle; a null text is passed as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep([t or "" for t in batch.column("text").to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvine.llm.common import text_of
+from curvine.llm.common import keep_rows, text_of
 
 K1, B = 1.2, 0.75
 SHINGLE = 5
@@ -195,6 +195,16 @@ def _expand(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts) + start[own], own
 
 
+def _indexes(items: DataFrame, shingle: int, overlap: float, max_postings: int) -> Iterator:
+    """A broadcast index for each slice of about ``max_postings`` postings."""
+    weighed = weighted_items(items)
+    total = weighed.agg(F.sum(F.size("terms"))).collect()[0][0] or 0
+    slices = max(1, -(-total // max_postings))
+    part = F.pmod(F.xxhash64("key"), F.lit(slices))
+    for s in range(slices):
+        yield items.sparkSession.sparkContext.broadcast(Index(weighed.filter(part == s).collect(), shingle, overlap))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, overlap: float = OVERLAP, max_postings: int = MAX_POSTINGS) -> DataFrame:
     """``(doc_id, item_id, shingles, found, question_found, answer_found)``, one row per document row and item it holds.
 
@@ -203,16 +213,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, overla
     nothing; null and repeated ids and repeated rows are each searched; equal items (id
     and text) count once; empty tables give no rows; other columns are not read.
     """
-    weighed = weighted_items(items)
-    total = weighed.agg(F.sum(F.size("terms"))).collect()[0][0] or 0
-    slices = max(1, -(-total // max_postings))
-    part = F.pmod(F.xxhash64("key"), F.lit(slices))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     found = None
-    for s in range(slices):
-        # about ``max_postings`` postings
-        index = Index(weighed.filter(part == s).collect(), shingle, overlap)
-        one = rows.mapInArrow(_leak_rows(docs.sparkSession.sparkContext.broadcast(index)), "doc_id bigint, item_id bigint, shingles int, found int, question_found int, answer_found int")
+    for index in _indexes(items, shingle, overlap, max_postings):
+        one = rows.mapInArrow(_leak_rows(index), "doc_id bigint, item_id bigint, shingles int, found int, question_found int, answer_found int")
         found = one if found is None else found.unionByName(one)
     return found
 
@@ -229,8 +233,16 @@ def _leak_rows(index):
     return run
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, overlap: float = OVERLAP) -> DataFrame:
-    """The documents that hold no test item, with their columns; rows are told apart by id and text."""
-    key = F.xxhash64("doc_id", "text")
-    bad = find_leaks(docs.select(key.alias("doc_id"), "text"), items, shingle, overlap).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.withColumn("_hit", key).join(bad, "_hit", "left_anti").select(*docs.columns)
+def drop_contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, overlap: float = OVERLAP, max_postings: int = MAX_POSTINGS) -> DataFrame:
+    """The documents that hold no test item, with their columns; null and empty texts stay."""
+
+    def without(index) -> DataFrame:
+        def keep(texts: list[str]) -> list[bool]:
+            bad = {row for row, *_ in index.value.contaminated(texts)}
+            return [i not in bad for i in range(len(texts))]
+
+        return keep_rows(docs, keep)
+
+    for index in _indexes(items, shingle, overlap, max_postings):
+        docs = without(index)
+    return docs

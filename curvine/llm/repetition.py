@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from curvine.llm.common import BLANKS, text_of
+from curvine.llm.common import BLANKS, keep_rows, text_of
 
 SYMBOLS = b"#*$%&|<>"
 MIN_REPEAT = 10
@@ -176,3 +176,8 @@ def quality_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: fl
             yield pa.RecordBatch.from_arrays([ids, *[pa.array(v, pa.bool_() if k in ("base_failed", "kept") else pa.int64()) for k, v in found.items()]], names=["doc_id", *found])
 
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").select("doc_id", text_of().alias("text")).mapInArrow(run, SCHEMA)
+
+
+def keep_good(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
+    """The documents that pass ``quality_rules``, with their columns."""
+    return keep_rows(docs, lambda texts: measure(texts, min_repeat, max_covered, max_longest)["kept"])
