@@ -145,6 +145,10 @@ def _values(prints: np.ndarray, group: list[int]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _mask(bits: tuple[int, ...]) -> np.int64:
+    return np.array(sum(1 << b for b in bits), np.uint64).view(np.int64)[()]
+
+
 def _counter(values: np.ndarray, width: int) -> np.ndarray:
     """The counter of a value: itself while the partition is narrow, else a hash of it."""
     if width <= COUNTER_BITS:
@@ -189,7 +193,7 @@ def thresholds(prints: np.ndarray, groups: list[list[int]], counts: np.ndarray,
         at = lambda v: counts[p][_counter(v, width)]  # noqa: B023, E731
         work = {-1: np.zeros(n), 0: at(values) + 1.0}
         if max_bits >= 1:
-            work[1] = work[0] + sum(at(values ^ np.int64(1 << b)) for b in range(width)) + width
+            work[1] = work[0] + sum(at(values ^ _mask((b,))) for b in range(width)) + width
         for t in range(2, max_bits + 1):
             ball = _choose(width, t)
             work[t] = work[t - 1] + ball * (1 + total / 2.0**width)
@@ -229,7 +233,7 @@ def _probe_rows(groups: list[list[int]], counts, max_bits: int):
                     if not rows.any():
                         break
                     for flips in combinations(range(len(group)), t):
-                        mask = np.int64(sum(1 << b for b in flips))
+                        mask = _mask(flips)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.sum(), p), pa.int32()), pa.array(values[rows] ^ mask), pa.array(prints[rows])], names=["part", "value", "fp"])
 
     return run
