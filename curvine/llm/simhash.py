@@ -316,8 +316,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BIT
     """
     prints = checkpoint(fingerprints(docs, width))
     classes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("n")))
-    # stars only: no part of the links meets in one task
-    groups = connected_components(hamming_links(classes.select("fp"), max_bits, parts, hot_value), small_edges=-1).select(F.col("id").alias("fp"), "component")
+    groups = connected_components(hamming_links(classes.select("fp"), max_bits, parts, hot_value)).select(F.col("id").alias("fp"), "component")
     named = classes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
     labels = checkpoint(named.select("fp", "n", "component").join(smallest, "component"))
