@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from curvine.functions import vectors as V
 from curvine.plans.bounded import broadcast_if_small
+from curvine.plans.join_hot import MAX_HOT_KEYS, join_lookup
 
 # --- filters and pairs ---------------------------------------------------------
 
@@ -153,11 +154,12 @@ def label_words(df: DataFrame, task: str, label_col: str, verbalizers: dict[str,
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
-def tfidf(df: DataFrame, *, id_col: str, text_col: str, stop_words: list[str] | None = None, max_terms: int = 15_000) -> DataFrame:
-    """Normalised term weights ``(id, term, weight)`` of the ``max_terms`` most frequent terms.
+def tfidf(df: DataFrame, *, id_col: str, text_col: str, stop_words: list[str] | None = None, max_terms: int | None = None) -> DataFrame:
+    """Normalised term weights ``(id, term, weight)`` of all terms, or of the ``max_terms`` most frequent ones.
 
-    Weight = count * (ln((1 + n) / (1 + df)) + 1), each row scaled to length 1. The
-    vocabulary is bounded by ``max_terms``, which is what allows it to be broadcast.
+    Weight = count * (ln((1 + n) / (1 + df)) + 1), each row scaled to length 1. All
+    terms are joined with frequent ones kept out of the shuffle; a vocabulary bounded
+    by ``max_terms`` is broadcast if the bound is small.
     """
     if stop_words is None:
         from pyspark.ml.feature import StopWordsRemover
@@ -169,10 +171,17 @@ def tfidf(df: DataFrame, *, id_col: str, text_col: str, stop_words: list[str] |
     # whole texts are shuffled by id once; the longer term rows are grouped in place
     terms = df.repartition(id_col).select(id_col, F.explode(kept).alias("term"))
     counts = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    vocab = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.col("total").desc(), "term").limit(max_terms)
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    idf = vocab.select("term", (F.ln((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = counts.join(broadcast_if_small(idf, max_terms), "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    vocab = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    if max_terms is not None:
+        vocab = vocab.orderBy(F.col("total").desc(), "term").limit(max_terms)
+    n = df.count()
+    idf = vocab.select("term", "df", (F.ln((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    if max_terms is not None:
+        with_idf = counts.join(broadcast_if_small(idf, max_terms), "term")
+    else:
+        # terms in very many texts; a text holds each once, so with t terms a text at most t * MAX_HOT_KEYS of them
+        with_idf = join_lookup(counts, idf, "term", max(1000, n // MAX_HOT_KEYS), "df")
+    weighted = with_idf.select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return weighted.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 

@@ -13,8 +13,8 @@ from curvine.functions import kernels
 from curvine.functions import vectors as V
 from curvine.functions.hashing import id_hash
 from curvine.operators import knn
-from curvine.plans.bounded import collect_bounded
-from curvine.plans.ranking import rank_rows, top_k_within
+from curvine.plans.bounded import TooLarge, collect_bounded
+from curvine.plans.ranking import rank_rows
 
 # --- selection -----------------------------------------------------------------
 
@@ -101,20 +101,15 @@ def cal_select(
     return pick_top(cal_scores(div, operator, id_col=id_col), b, reverse=reverse, id_col=id_col)
 
 
-# Halving a term this often leaves nothing of it in a double.
-HALVINGS = 1000
-
-
 def labeled_centric_scores(divergence: DataFrame, *, id_col="vec_id") -> DataFrame:
     """Ablation: neighbours of the *labelled* rows, folded in their order by s <- (s + d) / 2 from 0.
 
     ``divergence`` has the labelled row as ``neighbor_id`` and the pool row as
-    ``query_id``. The fold is a sum of d / 2^r with r counted from the last row, so
-    only the last terms matter and a pool row near every labelled row is no
-    burden: terms beyond ``HALVINGS`` are below the precision of the sum.
+    ``query_id``. The fold is a sum of d / 2^r with r counted from the last row; every
+    term counts, and a pool row near every labelled row is ranked over many tasks.
     """
-    last = top_k_within(divergence.select("query_id", "neighbor_id", "div"), ["query_id"], [F.col("neighbor_id").desc()], HALVINGS, rank="r")
-    return last.groupBy(F.col("query_id").alias(id_col)).agg(F.sum(F.col("div") * F.pow(F.lit(0.5), F.col("r"))).alias("score"))
+    ranked = rank_rows(divergence.select("query_id", "neighbor_id", "div"), [F.col("neighbor_id").desc()], ["query_id"], rank="r", settle=True)
+    return ranked.groupBy(F.col("query_id").alias(id_col)).agg(F.sum(F.col("div") * F.pow(F.lit(0.5), F.col("r"))).alias("score"))
 
 
 def reuse_stats(neighbors: DataFrame) -> DataFrame:
@@ -167,16 +162,25 @@ def uncertainty_scores(df: DataFrame, logits_col: str, methods=UNCERTAINTY, *, i
     return ready.select(id_col, *[exprs[m].alias(m) for m in methods])
 
 
+# Doubles in a chunk of mixed distributions.
+CHUNK_CELLS = 4_000_000
+
+
 def batchbald_select(
-    df: DataFrame, b: int, *, probs_col="probs", samples: int, classes: int, max_configs: int = 40_000, seed: int = 0, id_col="vec_id"
+    df: DataFrame, b: int, *, probs_col="probs", samples: int, classes: int, method: str = "exact", max_configs: int = 40_000, seed: int = 0, id_col="vec_id"
 ) -> DataFrame:
     """Greedy batch by joint mutual information: ``(step, id, score)``.
 
     ``probs`` is a flat array, ``samples`` rows of ``classes``. Every round scores the
     pool in one pass against the joint table of the picks so far; only that bounded
-    table and the winner move. Beyond ``max_configs`` label combinations the table is
-    drawn at random from the picks' own distributions.
+    table and the winner move. ``method="exact"`` keeps every label combination of the
+    picks and fails beyond ``max_configs`` of them; ``method="sampled"`` draws that many
+    from the picks' own distributions, from the second step on.
     """
+    if method not in ("exact", "sampled"):
+        raise ValueError(f"unknown method {method!r}")
+    if method == "exact" and classes ** max(0, b - 1) > max_configs:
+        raise TooLarge(f"{classes}^{b - 1} label combinations are more than {max_configs}; use method='sampled'")
     k, c = samples, classes
     kept = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(probs_col).alias("probs"))
     joint = np.ones((1, k))
@@ -194,9 +198,11 @@ def batchbald_select(
                 p = kernels.matrix(batch.column(1)).reshape(-1, k, c)
                 cond = _nats(p).sum(axis=2).mean(axis=1)
                 score = np.empty(len(p))
-                for at in range(len(p)):  # one product per row, against at most max_configs configurations
-                    mixed = joint @ p[at] / k
-                    score[at] = _nats(mixed).sum() if not sampled else _sampled_entropy(mixed, joint)
+                weight = joint.mean(axis=1)[None, :, None] * len(joint) if sampled else 1.0
+                step_rows = max(1, CHUNK_CELLS // (len(joint) * c))
+                for at in range(0, len(p), step_rows):  # a chunk of rows against all configurations
+                    mixed = np.einsum("jk,rkc->rjc", joint, p[at : at + step_rows]) / k
+                    score[at : at + step_rows] = (_nats(mixed) / weight).sum(axis=(1, 2))
                 score -= cond
                 free = ~np.isin(ids, picked)
                 if free.any():
@@ -216,7 +222,9 @@ def batchbald_select(
         spent += win["cond"]
         picked.append(win["id"])
         chosen.append(np.array(win["probs"]).reshape(k, c))
-        if c ** (step + 1) <= max_configs:
+        if step == b - 1:
+            break
+        if method == "exact":
             joint = (joint[:, None, :] * chosen[-1].T[None, :, :]).reshape(-1, k)
         else:
             sampled, joint = True, _sample_joint(chosen, max(1, max_configs // k), seed + step)
@@ -227,11 +235,6 @@ def _nats(p: np.ndarray) -> np.ndarray:
     return -p * np.log(p, out=np.zeros_like(p), where=p > 0)
 
 
-def _sampled_entropy(mixed: np.ndarray, joint: np.ndarray) -> float:
-    weight = joint.mean(axis=1, keepdims=True)
-    return float((_nats(mixed) / weight).sum() / len(joint))
-
-
 def _sample_joint(chosen: list[np.ndarray], per_sample: int, seed: int) -> np.ndarray:
     """Joint probabilities of label draws: ``per_sample`` draws from every model sample."""
     rng = np.random.default_rng(seed)

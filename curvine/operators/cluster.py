@@ -288,9 +288,9 @@ def calinski_harabasz(assigned: DataFrame, *, cid_col="cid", vec_col="embedding"
     """
     means = group_means(assigned, [cid_col], vec_col)
     grand = group_means(assigned.withColumn("_one", F.lit(0)), ["_one"], vec_col, "grand").select("grand", F.col("n").alias("total"))
-    squares = assigned.agg(F.sum(F.floor(V.dot(vec_col, vec_col) * 1e9 + 0.5)).alias("sq"))
+    squares = assigned.agg(F.sum(F.floor(V.dot(vec_col, vec_col) * 1e9 + 0.5).cast("decimal(38,0)")).cast("double").alias("sq"))
     per = means.agg(
-        F.sum(F.floor(F.col("n") * V.dot("mean", "mean") * 1e9 + 0.5)).alias("between"), F.count(F.lit(1)).alias("k")
+        F.sum(F.floor(F.col("n") * V.dot("mean", "mean") * 1e9 + 0.5).cast("decimal(38,0)")).cast("double").alias("between"), F.count(F.lit(1)).alias("k")
     )
     one = F.lit(1)
     joined = per.withColumn("_j", one).join(grand.withColumn("_j", one), "_j").join(squares.withColumn("_j", one), "_j")

@@ -14,9 +14,6 @@ from curvine.plans.blocks import BLOCK_ROWS
 from curvine.plans.join_hot import MAX_HOT_KEYS, join_lookup
 from curvine.session import checkpoint
 
-# Up to this many edges a group of edges is joined up inside one task.
-SMALL_EDGES = 200_000
-
 
 def flag_name(eps: float) -> str:
     return f"remove_e{round(eps * 100):02d}"
@@ -55,49 +52,21 @@ def semdedup(
 # --- connected components ---------------------------------------------------------
 
 
-def connected_components(edges: DataFrame, part_col: str | None = None, small_edges: int = SMALL_EDGES) -> DataFrame:
+def connected_components(edges: DataFrame, part_col: str | None = None) -> DataFrame:
     """``(part, id, component)`` for every endpoint, the component named by its smallest id.
 
-    Several graphs (``part_col``) advance together. Small edge sets are joined up
-    per part in one task; larger ones by alternating large-star and small-star
-    rounds (Kiveris et al., 2014), which shorten long chains quickly.
+    Several graphs (``part_col``) advance together, by alternating large-star and
+    small-star rounds (Kiveris et al., 2014), which shorten long chains quickly.
     """
     part = F.col(part_col).cast("bigint") if part_col else F.lit(0).cast("bigint")
     found = checkpoint(
         edges.select(part.alias("part"), F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v")).filter("u <> v").distinct()
     )
-    if found.count() <= small_edges:
-        return found.groupBy("part").applyInArrow(_join_up, "part bigint, id bigint, component bigint")
     stars = _alternate_stars(found)
     roots = stars.select("part", F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return stars.select("part", F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _join_up(key: tuple, table: pa.Table) -> pa.Table:
-    """Labels of one bounded set of edges, by repeatedly taking the smaller label."""
-    u, v = table.column("u").to_numpy(), table.column("v").to_numpy()
-    ids, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = flat[: len(u)], flat[len(u) :]
-    label = np.arange(len(ids))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        # hook the labels themselves as well as the ends, then jump to the roots
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        while True:
-            jumped = new[new]
-            if (jumped == new).all():
-                break
-            new = jumped
-        if (new == label).all():
-            break
-        label = new
-    return pa.table(
-        {"part": pa.array(np.full(len(ids), key[0].as_py()), pa.int64()), "id": pa.array(ids, pa.int64()), "component": pa.array(ids[label], pa.int64())}
-    )
-
-
 def _alternate_stars(edges: DataFrame) -> DataFrame:
     state = None
     while True:

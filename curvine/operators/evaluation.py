@@ -235,8 +235,8 @@ def words(col, lower: bool = True) -> Column:
 SOURCE, PREDICTION = -2, -1  # sides of a row beside its references 0, 1, ...
 
 
-def _gram_counts(df: DataFrame, id_col: str, texts: dict[int, Column], references: str, lower: bool, max_n: int = 4) -> DataFrame:
-    """Count of every n-gram per row and side: ``(id, refs, n, gram, side, k)``.
+def _grams(df: DataFrame, id_col: str, texts: dict[int, Column], references: str, lower: bool, max_n: int = 4) -> DataFrame:
+    """Every n-gram of every side: ``(id, refs, n, gram, side)``.
 
     The whole texts are shuffled by id once; every later step groups by the id
     first and stays in place, so the many times larger n-grams are never shuffled.
@@ -248,8 +248,12 @@ def _gram_counts(df: DataFrame, id_col: str, texts: dict[int, Column], reference
     for n in range(2, max_n + 1):
         rows = NGram(n=n, inputCol="g1", outputCol=f"g{n}").transform(rows)
     sizes = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"g{n}").alias("grams")) for n in range(1, max_n + 1)]))
-    grams = rows.select(id_col, "refs", "side", sizes.alias("g")).select(id_col, "refs", "side", "g.n", F.explode("g.grams").alias("gram"))
-    return grams.groupBy(id_col, "refs", "n", "gram", "side").agg(F.count(F.lit(1)).alias("k"))
+    return rows.select(id_col, "refs", "side", sizes.alias("g")).select(id_col, "refs", "side", "g.n", F.explode("g.grams").alias("gram"))
+
+
+def _gram_counts(df: DataFrame, id_col: str, texts: dict[int, Column], references: str, lower: bool, max_n: int = 4) -> DataFrame:
+    """Count of every n-gram per row and side: ``(id, refs, n, gram, side, k)``."""
+    return _grams(df, id_col, texts, references, lower, max_n).groupBy(id_col, "refs", "n", "gram", "side").agg(F.count(F.lit(1)).alias("k"))
 
 
 def _side(side: int) -> Column:
@@ -257,38 +261,36 @@ def _side(side: int) -> Column:
 
 
 def sari(df: DataFrame, *, id_col: str, source="source", prediction="prediction", references="references") -> DataFrame:
-    """SARI of every row, 1- to 4-grams, averaged over its references."""
-    counts = _gram_counts(df, id_col, {SOURCE: F.col(source), PREDICTION: F.col(prediction)}, references, True)
-    gram, order = Window.partitionBy(id_col, "n", "gram"), Window.partitionBy(id_col, "n")
-
-    def over(side, window, value="k"):
-        return F.coalesce(F.max(F.when(F.col("side") == side, F.col(value))).over(window), F.lit(0))
-
-    rows = counts.withColumns({"s": over(SOURCE, gram), "p": over(PREDICTION, gram)})
-    s, p, k = F.col("s"), F.col("p"), F.col("k")
-    gone = F.greatest(s - p, F.lit(0))
-    # sums over a side's own n-grams; a reference changes them only where it has the n-gram
-    sums = rows.groupBy(id_col, "refs", "n", "side").agg(
-        F.sum(F.least(s, p)).alias("common"), F.sum(F.greatest(p - s, F.lit(0))).alias("added"), F.sum(gone).alias("dropped"),
-        F.sum(F.least(s, p, k)).alias("kept"), F.sum(F.least(s, k)).alias("shared"),
-        F.sum(F.least(F.greatest(p - s, F.lit(0)), F.greatest(k - s, F.lit(0)))).alias("add_hit"),
-        F.sum(gone - F.least(gone, F.greatest(s - k, F.lit(0)))).alias("wrongly_dropped"),
-    )
-    sums = sums.withColumns(
-        {"common": over(SOURCE, order, "common"), "dropped": over(SOURCE, order, "dropped"), "added": over(PREDICTION, order, "added")}
-    )
-    kp, kr = _ratio(F.col("kept"), F.col("common")), _ratio(F.col("kept"), F.col("shared"))
-    scored = sums.select(id_col, "refs", "n", "side", "dropped", "added", "add_hit", "wrongly_dropped", kp.alias("kp"), kr.alias("kr"))
-    one = (
-        _ratio(2 * F.col("kp") * F.col("kr"), F.col("kp") + F.col("kr")) + _ratio(F.col("add_hit"), F.col("added"))
-        + _ratio(F.col("dropped") - F.col("wrongly_dropped"), F.col("dropped"))
-    )
-    is_ref = F.col("side") >= 0
-    # a reference without n-grams of this order asks for everything dropped
-    absent = (F.col("refs") - F.count_if(is_ref)) * F.max((F.col("dropped") > 0).cast("int"))
-    per_n = scored.groupBy(id_col, "refs", "n").agg((F.coalesce(F.sum(F.when(is_ref, one)), F.lit(0.0)) + absent).alias("x"))
+    """SARI of every row, 1- to 4-grams, averaged over its references.
+
+    One hash aggregate counts an n-gram on all sides of its row, with a counter for
+    each reference, and a second one adds up the n-grams of a row; nothing is sorted.
+    The row with the most references says how many counters there are.
+    """
+    most = max(0, df.agg(F.max(F.size(references))).collect()[0][0] or 0)
+    grams = _grams(df, id_col, {SOURCE: F.col(source), PREDICTION: F.col(prediction)}, references, True)
+    sides = {"s": SOURCE, "p": PREDICTION, **{f"k{r}": r for r in range(most)}}
+    counts = grams.groupBy(id_col, "refs", "n", "gram").agg(*[F.count_if(F.col("side") == side).alias(name) for name, side in sides.items()])
+    s, p = F.col("s"), F.col("p")
+    gone, new = F.greatest(s - p, F.lit(0)), F.greatest(p - s, F.lit(0))
+    sums = {"common": F.least(s, p), "added": new, "dropped": gone}
+    for r in range(most):
+        k = F.col(f"k{r}")
+        sums |= {
+            f"kept{r}": F.least(s, p, k), f"shared{r}": F.least(s, k), f"hit{r}": F.least(new, F.greatest(k - s, F.lit(0))),
+            f"wrong{r}": gone - F.least(gone, F.greatest(s - k, F.lit(0))),
+        }
+    per_n = counts.groupBy(id_col, "refs", "n").agg(*[F.sum(v).alias(name) for name, v in sums.items()])
+
+    def one(r: int) -> Column:
+        kp, kr = _ratio(F.col(f"kept{r}"), F.col("common")), _ratio(F.col(f"kept{r}"), F.col(f"shared{r}"))
+        kept = _ratio(2 * kp * kr, kp + kr)
+        dropped = _ratio(F.col("dropped") - F.col(f"wrong{r}"), F.col("dropped"))
+        return F.when(F.col("refs") > r, kept + _ratio(F.col(f"hit{r}"), F.col("added")) + dropped).otherwise(0.0)
+
     # an order without any n-gram scores 0, so the sum is over 4 whatever rows exist
-    out = per_n.groupBy(id_col).agg((F.sum("x") / 4 / 3 * 100 / F.max("refs")).alias("sari"))
+    scored = per_n.select(id_col, "refs", "n", sum([one(r) for r in range(most)], F.lit(0.0)).alias("x"))
+    out = scored.groupBy(id_col).agg(F.try_divide(F.sum("x") / 4 / 3 * 100, F.max("refs")).alias("sari"))
     return df.select(id_col).join(out, id_col, "left").fillna(0.0, ["sari"])
 
 

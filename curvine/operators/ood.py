@@ -11,7 +11,7 @@ from curvine.functions import kernels
 from curvine.functions import vectors as V
 from curvine.operators import knn
 from curvine.plans.bounded import collect_bounded, fits
-from curvine.plans.ranking import running_totals
+from curvine.plans.ranking import rank_rows, running_totals
 
 # --- scores ------------------------------------------------------------------------
 
@@ -307,10 +307,17 @@ def score_stats(scores: DataFrame, set_col: str, score_col: str = "score") -> Da
 
 
 def flag_recall(exact: DataFrame, approx: DataFrame, *, quantile: float = 0.95, score_col="dist", id_col="vec_id") -> DataFrame:
-    """Of the rows above the exact run's quantile, the share an approximate run also puts above it."""
-    cut = exact.agg(F.round(F.percentile(score_col, quantile), 9).alias("t")).scalar()
-    a = exact.select(id_col, (F.round(score_col, 9) > cut).alias("a"))
-    b = approx.select(id_col, (F.round(score_col, 9) > cut).alias("b"))
+    """Of the rows at or above the exact run's quantile, the share an approximate run also puts there; 1 if there are none.
+
+    The quantile lies between two neighbouring ranks, which are found by distributed ranks.
+    """
+    own = exact.filter(F.col(score_col).isNotNull()).select(id_col, F.col(score_col).cast("double").alias("s"))
+    ranked = rank_rows(own, [F.col("s"), F.col(id_col)], totals_too=True, settle=True)
+    at = (F.col("rank_total") - 1) * F.lit(quantile)
+    beside = ranked.filter((F.col("rank") - 1 == F.floor(at)) | (F.col("rank") - 1 == F.ceil(at))).agg(F.min("s").alias("low"), F.max("s").alias("high"), F.max(at - F.floor(at)).alias("part"))
+    cut = beside.agg(F.max(F.round(F.col("low") + (F.col("high") - F.col("low")) * F.col("part"), 9)).alias("t")).scalar()
+    a = exact.select(id_col, (F.round(score_col, 9) >= cut).alias("a"))
+    b = approx.select(id_col, (F.round(score_col, 9) >= cut).alias("b"))
     joined = a.join(b, id_col, "left").select("a", F.coalesce("b", F.lit(False)).alias("b"))
     counts = joined.agg(F.count_if("a").alias("flagged"), F.count_if(F.col("a") & F.col("b")).alias("both"))
-    return counts.select("flagged", "both", F.round(F.try_divide(F.col("both").cast("double"), F.col("flagged")), 6).alias("recall"))
+    return counts.select("flagged", "both", F.coalesce(F.round(F.try_divide(F.col("both").cast("double"), F.col("flagged")), 6), F.lit(1.0)).alias("recall"))

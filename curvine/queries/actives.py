@@ -148,7 +148,7 @@ def batchbald_select(spark, d):
 
 @query("batchbald_sampled")
 def batchbald_sampled(spark, d):
-    picks = active.batchbald_select(_flat_probs(spark, d), 5, samples=4, classes=4, max_configs=64)
+    picks = active.batchbald_select(_flat_probs(spark, d), 5, samples=4, classes=4, method="sampled", max_configs=64)
     return picks.withColumn("score", F.round("score", 6))
 
 

@@ -32,7 +32,7 @@ def assign_cte(name: str, centroids: str, extra: str = "") -> str:
 
 def rounds_sql(k: int, rounds: int) -> str:
     """k-means unrolled; an empty cluster keeps nothing here, so k stays small enough that none is."""
-    parts = [f"WITH {E_SQL}", centroids_sql(k, "c0", grow=False)]
+    parts = [f"WITH {E_SQL}", centroids_sql(k, "c0")]
     for r in range(rounds):
         parts += [assign_cte(f"a{r}", f"c{r}"), mean_sql(f"a{r}", "cid", f"c{r + 1}")]
     parts.append(assign_cte("af", f"c{rounds}"))
@@ -47,7 +47,7 @@ def kmeans_fixed_rounds(spark, d):
 
 
 def two_level_sql(k: int, coarse: int, probes: int, rounds: int) -> str:
-    parts = [f"WITH {E_SQL}", centroids_sql(k, "c0", grow=False)]
+    parts = [f"WITH {E_SQL}", centroids_sql(k, "c0")]
     for r in range(rounds + 1):
         dist = sq_l2_sql("x.centroid", "y.centroid")
         parts.append(f"""g{r} AS (SELECT x.cid, x.centroid, y.cid AS lead FROM c{r} x CROSS JOIN c{r} y WHERE y.cid < {coarse}
@@ -157,7 +157,7 @@ def semdedup_exact(spark, d):
 
 @query("semdedup_lsh", LSH_MAX_SQL + SEM_SQL)
 def semdedup_lsh(spark, d):
-    return dedup.semdedup(clustered(spark, d, 5), EPS, mode="lsh", **lsh_setting(embeddings(spark, d)))
+    return dedup.semdedup(clustered(spark, d, 5), EPS, mode="lsh", **lsh_setting())
 
 
 SEM_IVF_SQL = with_clusters_sql(5) + f""", {centroids_sql(8, 'cc', 1)}, pr AS (SELECT a.vec_id, a.cid, a.v, cc.cid AS cell,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from curvine.functions import vectors as V
@@ -14,19 +12,14 @@ from curvine.queries.registry import E_SQL, dot_sql, embeddings, query, softmax_
 # --- shared inputs ------------------------------------------------------------
 
 
-# Work inside a cluster or cell is quadratic, so their number grows with the table.
-ROWS_PER_CLUSTER = 250_000
-
-
 def initial(emb, k: int, seed: int = 0):
-    """At least k centroids, more for large tables."""
-    return cluster.sample_rows(emb, max(k, math.ceil(emb.count() / ROWS_PER_CLUSTER)), seed=seed)
+    """k centroids; how many serve a table is the caller's choice, like any parameter."""
+    return cluster.sample_rows(emb, k, seed=seed)
 
 
-def centroids_sql(k: int, name: str = "c", seed: int = 0, grow: bool = True) -> str:
-    """CTE of k initial centroids drawn in hash order, or more for large tables."""
+def centroids_sql(k: int, name: str = "c", seed: int = 0) -> str:
+    """CTE of k initial centroids drawn in hash order."""
     h = id_hash_sql("vec_id", seed)
-    k = f"greatest({k}, ceil(count(*) OVER () / {ROWS_PER_CLUSTER}.0))" if grow else k
     return (
         f"{name} AS (SELECT row_number() OVER (ORDER BY {h}, vec_id) - 1 AS cid, v AS centroid FROM e QUALIFY cid < {k})"
     )
@@ -37,8 +30,8 @@ ASSIGN_SQL = f"""a AS (SELECT vec_id, label, v, cid, d AS cdist FROM (
   QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cid) = 1)"""
 
 
-def with_clusters_sql(k: int, grow: bool = True) -> str:
-    return f"WITH {E_SQL}, {centroids_sql(k, grow=grow)}, {ASSIGN_SQL}"
+def with_clusters_sql(k: int) -> str:
+    return f"WITH {E_SQL}, {centroids_sql(k)}, {ASSIGN_SQL}"
 
 
 def clustered(spark, d, k: int):
@@ -139,14 +132,11 @@ def knn_kth_distance(spark, d):
 
 # --- hashing ------------------------------------------------------------------------------
 
-# Six bits serve up to 64 buckets of BUCKET_ROWS rows; larger tables take more bits
-# (the SQL twin states the six-bit case).
-TABLES, BITS, LSH_SEED, BUCKET_ROWS = 8, 6, 3, 4096
+TABLES, BITS, LSH_SEED = 8, 6, 3
 
 
-def lsh_setting(emb) -> dict:
-    bits = max(BITS, math.ceil(math.log2(max(1, emb.count()) / BUCKET_ROWS)))
-    return {"matrix": lsh.planes(TABLES, bits, 64, LSH_SEED), "bits": bits}
+def lsh_setting() -> dict:
+    return {"matrix": lsh.planes(TABLES, BITS, 64, LSH_SEED), "bits": BITS}
 
 
 CODES_SQL = f"""pl AS ({sign_matrix_sql(TABLES * BITS, 64, LSH_SEED)}),
@@ -157,14 +147,14 @@ codes AS (SELECT vec_id, row // {BITS} AS tbl, sum(CASE WHEN {dot_sql('signs', '
 @query("lsh_sign_codes", f"WITH {E_SQL}, {CODES_SQL} SELECT vec_id, list(code ORDER BY tbl) AS codes FROM codes GROUP BY vec_id")
 def lsh_sign_codes(spark, d):
     emb = embeddings(spark, d)
-    return lsh.sign_codes(emb, **lsh_setting(emb)).select("vec_id", "codes")
+    return lsh.sign_codes(emb, **lsh_setting()).select("vec_id", "codes")
 
 
 @query("lsh_candidate_pairs", f"""WITH {E_SQL}, {CODES_SQL}, p AS (SELECT DISTINCT x.vec_id AS id_a, y.vec_id AS id_b FROM codes x JOIN codes y ON x.tbl = y.tbl AND x.code = y.code AND x.vec_id < y.vec_id)
 SELECT id_a, id_b, {dot_sql('x.v', 'y.v')} AS sim FROM p JOIN e x ON x.vec_id = id_a JOIN e y ON y.vec_id = id_b WHERE {dot_sql('x.v', 'y.v')} > 0.35""")
 def lsh_candidate_pairs(spark, d):
     emb = embeddings(spark, d)
-    return lsh.candidate_pairs(emb, min_sim=0.35, **lsh_setting(emb))
+    return lsh.candidate_pairs(emb, min_sim=0.35, **lsh_setting())
 
 
 LSH_MAX_SQL = with_clusters_sql(5) + f", {CODES_SQL}" + f""", p AS (SELECT DISTINCT x.vec_id AS i, y.vec_id AS j FROM codes x JOIN codes y ON x.tbl = y.tbl AND x.code = y.code AND x.vec_id <> y.vec_id),
@@ -173,7 +163,7 @@ m AS (SELECT i AS vec_id, max({dot_sql('x.v', 'y.v')}) AS max_sim FROM p JOIN a
 
 @query("max_sim_lsh", LSH_MAX_SQL + " SELECT vec_id, max_sim FROM m")
 def max_sim_lsh(spark, d):
-    return lsh.max_similarity_lsh(clustered(spark, d, 5), within="cid", **lsh_setting(embeddings(spark, d)))
+    return lsh.max_similarity_lsh(clustered(spark, d, 5), within="cid", **lsh_setting())
 
 
 WIDE_ROWS, WIDE, WIDE_SEED = 3, 1.5, 5

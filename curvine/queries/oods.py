@@ -203,8 +203,8 @@ def ood_score_stats(spark, d):
 
 
 @query("ood_recall", SCORE_SQL + ", " + _two_sql()[len(TRAIN_SQL) + 2 :].replace("SELECT e.vec_id, -dist AS score FROM e LEFT", ", ap AS (SELECT e.vec_id, -dist AS score FROM e LEFT") + f""")
-, cu AS (SELECT round(quantile_cont(-score, 0.95), 9) AS t FROM sc), fl AS (SELECT round(-sc.score, 9) > t AS a, coalesce(round(-ap.score, 9) > t, FALSE) AS b FROM sc JOIN ap USING (vec_id), cu)
-SELECT count(*) FILTER (a) AS flagged, count(*) FILTER (a AND b) AS both, round(count(*) FILTER (a AND b)::DOUBLE / nullif(count(*) FILTER (a), 0), 6) AS recall FROM fl""")
+, cu AS (SELECT round(quantile_cont(-score, 0.95), 9) AS t FROM sc), fl AS (SELECT round(-sc.score, 9) >= t AS a, coalesce(round(-ap.score, 9) >= t, FALSE) AS b FROM sc JOIN ap USING (vec_id), cu)
+SELECT count(*) FILTER (a) AS flagged, count(*) FILTER (a AND b) AS both, coalesce(round(count(*) FILTER (a AND b)::DOUBLE / nullif(count(*) FILTER (a), 0), 6), 1.0) AS recall FROM fl""")
 def ood_recall(spark, d):
     exact, approx = _scores(spark, d), ood_knn_two_stage(spark, d)
     return ood.flag_recall(*[s.select("vec_id", (-F.col("score")).alias("dist")) for s in (exact, approx)])

@@ -78,16 +78,27 @@ def prompt_render(spark, d):
 STOP = ["and", "are", "for", "in", "of", "on", "that", "the", "to", "with"]
 
 
-@query("tfidf", r"""WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents),
+def tfidf_sql(limit: str) -> str:
+    return r"""WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents),
 c AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term NOT IN (""" + ", ".join(f"'{w}'" for w in STOP) + r""") GROUP BY ALL),
-v AS (SELECT term, sum(tf) AS total, count(*) AS df FROM c GROUP BY term ORDER BY total DESC, term LIMIT 15000),
+v AS (SELECT term, sum(tf) AS total, count(*) AS df FROM c GROUP BY term """ + limit + r"""),
 w AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::DOUBLE) + 1) AS w FROM c JOIN v USING (term))
-SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w"""
+
+
+@query("tfidf", tfidf_sql(""))
 def tfidf(spark, d):
     out = T.tfidf(table(spark, d, "documents"), id_col="doc_id", text_col="text", stop_words=STOP)
     return out.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
+# The bounded vocabulary is the feature.
+@query("tfidf_top_terms", tfidf_sql("ORDER BY total DESC, term LIMIT 2000"))
+def tfidf_top_terms(spark, d):
+    out = T.tfidf(table(spark, d, "documents"), id_col="doc_id", text_col="text", stop_words=STOP, max_terms=2000)
+    return out.select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
 # A row's 64 elements as 8 tokens of 8 dimensions; a token with a negative first element is masked.
 @query("masked_mean_pool", f"""WITH {E_SQL}, t AS (SELECT vec_id, list_transform(range(8), lambda k: v[(k * 8 + 1)::INT:(k * 8 + 8)::INT]) AS t FROM e), k AS (SELECT vec_id, list_filter(t, lambda x: x[1] >= 0) AS kept FROM t)
 SELECT vec_id, list_transform(range(1, 9), lambda i: round(coalesce(list_sum(list_transform(kept, lambda x: x[i])), 0.0) / greatest(len(kept), 1e-9), 6)) AS pooled FROM k""")
