@@ -7,6 +7,8 @@ equal vectors give equal distances.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 
@@ -39,25 +41,37 @@ def _unit(x):
 
 def near(metric: str, q: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All distances between two blocks, to shortlisting accuracy; smaller is nearer."""
+    return near_to(metric, b)(q)
+
+
+def near_to(metric: str, b: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """``near`` for one base block and any number of queries; norms and logs of the base are taken once."""
     if metric == "ip":
-        return -(q @ b.T)
+        return lambda q: -(q @ b.T)
     if metric == "cosine":
-        return 1.0 - _unit(q) @ _unit(b).T
+        unit = _unit(b).T
+        return lambda q: 1.0 - _unit(q) @ unit
     if metric == "sq_l2":
-        return (q * q).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (q @ b.T)
+        squares = (b * b).sum(axis=1)[None, :]
+        return lambda q: (q * q).sum(axis=1)[:, None] + squares - 2.0 * (q @ b.T)
     if metric == "kl":
-        log_b = np.log(b + SMOOTHING)
-        return (b * log_b).sum(axis=1)[None, :] - np.log(q + SMOOTHING) @ b.T
+        self_term = (b * np.log(b + SMOOTHING)).sum(axis=1)[None, :]
+        return lambda q: self_term - np.log(q + SMOOTHING) @ b.T
     if metric == "cross":
-        return -(q @ np.log(b + SMOOTHING).T)
+        log_b = np.log(b + SMOOTHING).T
+        return lambda q: -(q @ log_b)
     if metric == "l1":
-        out = np.zeros((len(q), len(b)))
-        for d in range(q.shape[1]):
-            out += np.abs(q[:, d, None] - b[None, :, d])
-        return out
+        return lambda q: _near_l1(q, b)
     raise ValueError(f"unknown metric {metric!r}")
 
 
+def _near_l1(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(q), len(b)))
+    for d in range(q.shape[1]):
+        out += np.abs(q[:, d, None] - b[None, :, d])
+    return out
+
+
 def _fold(terms) -> np.ndarray:
     acc = 0.0
     for term in terms:
@@ -65,8 +79,13 @@ def _fold(terms) -> np.ndarray:
     return acc
 
 
-def exact(metric: str, q, b, qi, bi) -> np.ndarray:
-    """Distances of the row pairs (qi, bi), summed left to right."""
+def lengths(metric: str, x: np.ndarray) -> np.ndarray | None:
+    """Norms summed left to right, where the metric needs them."""
+    return np.sqrt(_fold(x[:, d] * x[:, d] for d in range(x.shape[1]))) if metric == "cosine" else None
+
+
+def exact(metric: str, q, b, qi, bi, q_length=None, b_length=None) -> np.ndarray:
+    """Distances of the row pairs (qi, bi), summed left to right; ``lengths`` of both blocks may be given."""
     dims = range(q.shape[1])  # one dimension at a time, so memory stays at one value per pair
 
     def gather(f):
@@ -75,9 +94,9 @@ def exact(metric: str, q, b, qi, bi) -> np.ndarray:
     if metric == "ip":
         return -gather(lambda x, y: x * y)
     if metric == "cosine":
-        qn = np.sqrt(_fold(q[:, d] * q[:, d] for d in dims))
-        bn = np.sqrt(_fold(b[:, d] * b[:, d] for d in dims))
-        scale = qn[qi] * bn[bi]
+        q_length = lengths(metric, q) if q_length is None else q_length
+        b_length = lengths(metric, b) if b_length is None else b_length
+        scale = q_length[qi] * b_length[bi]
         inner = gather(lambda x, y: x * y)
         return 1.0 - np.divide(inner, scale, out=np.zeros_like(inner), where=scale > 0)
     if metric == "sq_l2":
@@ -106,8 +125,9 @@ def top_k(metric, q, b, k, q_ids=None, b_ids=None, skip_same=False, tie_ids=None
     out = []
     if len(q) == 0 or len(b) == 0:
         return np.empty(0, int), np.empty(0, int), np.empty(0)
+    to_b, scales = near_to(metric, b), (lengths(metric, q), lengths(metric, b))
     for rows in _row_chunks(len(q), len(b)):
-        approx = near(metric, q[rows], b)
+        approx = to_b(q[rows])
         if skip_same:
             approx[q_ids[rows][:, None] == b_ids[None, :]] = np.inf
         if k < len(b):
@@ -117,7 +137,7 @@ def top_k(metric, q, b, k, q_ids=None, b_ids=None, skip_same=False, tie_ids=None
             keep = np.isfinite(approx)
         qi, bi = np.nonzero(keep)
         qi = qi + rows.start
-        dist = exact(metric, q, b, qi, bi) if len(qi) else np.empty(0)
+        dist = exact(metric, q, b, qi, bi, *scales) if len(qi) else np.empty(0)
         order = np.lexsort((tie_ids[bi], dist, qi))
         qi, bi, dist = qi[order], bi[order], dist[order]
         first = np.searchsorted(qi, qi, side="left")
@@ -129,12 +149,13 @@ def top_k(metric, q, b, k, q_ids=None, b_ids=None, skip_same=False, tie_ids=None
 def pairs_below(metric, q, b, limit):
     """Row pairs with a distance below ``limit``."""
     out = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+    to_b, scales = near_to(metric, b), (lengths(metric, q), lengths(metric, b))
     for rows in _row_chunks(len(q), len(b)):
-        qi, bi = np.nonzero(near(metric, q[rows], b) < limit + SLACK)
+        qi, bi = np.nonzero(to_b(q[rows]) < limit + SLACK)
         if len(qi) == 0:
             continue
         qi = qi + rows.start
-        dist = exact(metric, q, b, qi, bi)
+        dist = exact(metric, q, b, qi, bi, *scales)
         hit = dist < limit
         out.append((qi[hit], bi[hit], dist[hit]))
     return tuple(np.concatenate(part) for part in zip(*out))

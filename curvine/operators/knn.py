@@ -20,6 +20,7 @@ from curvine.functions import kernels
 from curvine.plans.blocks import BLOCK_ROWS, block_join, self_block_join
 from curvine.plans.bounded import TooLarge, collect_bounded, fits
 from curvine.plans.ranking import top_k_within
+from curvine.session import checkpoint
 
 NEIGHBOR_SCHEMA = "query_id bigint, neighbor_id bigint, dist double"
 
@@ -44,11 +45,40 @@ def _nearest_kernel(_group, left: pa.Table, right: pa.Table, *, k, metric, skip_
     return _neighbors(q_ids[qi], b_ids[bi], dist)
 
 
+# A base of at most so many bytes of doubles is sent to the queries.
+SMALL_BYTES = 16 * 1024 * 1024
+
+
+def small_side(side: DataFrame, most_bytes: int | None = None) -> pa.Table | None:
+    """Rows ``(id, vec)`` as a table if they take at most ``most_bytes``, else None."""
+    most_bytes = SMALL_BYTES if most_bytes is None else most_bytes
+    first = side.select(F.size("vec")).limit(1).collect()
+    if not first:
+        return None
+    most = most_bytes // (8 * max(1, first[0][0]))
+    if side.select("id").limit(most + 1).count() > most:
+        return None
+    return side.toArrow()
+
+
 def candidates(
     queries: DataFrame, base: DataFrame, k: int, metric: str, *, id_col="vec_id", vec_col="embedding",
     within: str | None = None, exclude_self: bool = False, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """The k nearest per query and base block; at most k rows leave a task per query."""
+    """The k nearest per query and base block; at most k rows leave a task per query.
+
+    A base that is proved small by its bytes travels to the queries instead, which are
+    then not shuffled; the kernel and its answer are the same.
+    """
+    if within is None and (few := small_side(_side(base, id_col, vec_col, None))) is not None:
+        held = base.sparkSession.sparkContext.broadcast(few)
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    yield from _nearest_kernel(None, pa.Table.from_batches([batch]), held.value, k=k, metric=metric, skip_same=exclude_self).to_batches()
+
+        return _side(queries, id_col, vec_col, None).mapInArrow(run, NEIGHBOR_SCHEMA)
     return block_join(
         _side(queries, id_col, vec_col, within),
         _side(base, id_col, vec_col, within),
@@ -341,7 +371,8 @@ def ivf_knn_join(
     found = candidates(
         probed, cells, k, metric, id_col=id_col, vec_col=vec_col, within="cid", exclude_self=exclude_self, block_rows=block_rows
     )
-    near = merge_candidates(found, k)
+    # written down once: the answer and the rescue of queries without any both read it
+    near = checkpoint(merge_candidates(found, k))
     empty = queries.join(near.select(F.col("query_id").alias(id_col)).distinct(), id_col, "left_anti")
     rescued = knn_join(
         empty, base, k, metric, id_col=id_col, vec_col=vec_col, within=within, exclude_self=exclude_self, block_rows=block_rows

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from curvine.functions import kernels
 from curvine.functions.hashing import gaussian_matrix, sign_matrix
 from curvine.operators import knn
+from curvine.session import checkpoint
 
 
 def planes(tables: int, bits: int, dim: int, seed: int, kind: str = "signs") -> np.ndarray:
@@ -100,6 +101,7 @@ def lsh_knn_join(
     near = knn.merge_candidates(found, k, distinct=overlapping)
     if fallback == "none":
         return near
+    near = checkpoint(near)
     full = near.filter(F.col("rank") == k).select(F.col("query_id").alias(id_col))
     short = queries.select(*keep).join(full, id_col, "left_anti")
     rescued = knn.knn_join(short, base, k, metric, id_col=id_col, vec_col=vec_col, exclude_self=exclude_self)

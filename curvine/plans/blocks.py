@@ -11,19 +11,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvine.functions.vectors import any_of
 
-# Larger blocks copy each row less often (once per block on the other side); two
-# blocks of 16384 x 768 doubles take 200 MB beside the chunk of distances.
+# Larger blocks copy each row less often (once per block on the other side), but two of
+# them must fit into a task beside a chunk of distances: at most so many rows, and so
+# many bytes of doubles.
 BLOCK_ROWS = 16384
+BLOCK_BYTES = 128 * 1024 * 1024
 ALL = "_all"
 
 
-def _blocks(count, block_rows: int):
-    return F.greatest(F.lit(1), F.ceil(F.coalesce(count, F.lit(0)) / F.lit(block_rows))).cast("int")
+def _blocks(count, block_rows: Column):
+    return F.greatest(F.lit(1), F.ceil(F.coalesce(count, F.lit(0)) / block_rows)).cast("int")
+
+
+def _row_limit(df: DataFrame, block_rows: int) -> Column:
+    """Rows of a block: ``block_rows``, or fewer if that many vectors ``vec`` as long as the first take too many bytes."""
+    if "vec" not in df.columns:
+        return F.lit(block_rows)
+    width = df.select(F.size("vec").alias("w")).limit(1).scalar()
+    return F.greatest(F.lit(1), F.least(F.lit(block_rows), F.floor(F.lit(BLOCK_BYTES) / (8 * F.greatest(F.coalesce(width, F.lit(1)), F.lit(1)))))).cast("int")
 
 
 def _scalar_count(df: DataFrame):
@@ -55,6 +65,7 @@ def block_join(
 
     Both inputs have the same columns; with ``grouped`` one of them is ``g``.
     """
+    limit = _row_limit(right, block_rows)
     sizes, totals = None, None
     if grouped:
         sizes = (
@@ -66,8 +77,8 @@ def block_join(
     else:
         totals = (_scalar_count(left), _scalar_count(right))
         left, right = (d.withColumn("g", F.lit(0)) for d in (left, right))
-    left = _with_block_counts(left, ["nl", "nr"], sizes, totals, block_rows)
-    right = _with_block_counts(right, ["nl", "nr"], sizes, totals, block_rows)
+    left = _with_block_counts(left, ["nl", "nr"], sizes, totals, limit)
+    right = _with_block_counts(right, ["nl", "nr"], sizes, totals, limit)
     left = left.select(
         "*",
         F.lit(0).alias("side"),
@@ -100,13 +111,14 @@ def self_block_join(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Every unordered pair of blocks once; the second block is None for a block with itself."""
+    limit = _row_limit(df, block_rows)
     sizes, totals = None, None
     if grouped:
         sizes = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     else:
         totals = (_scalar_count(df),)
         df = df.withColumn("g", F.lit(0))
-    df = _with_block_counts(df, ["n"], sizes, totals, block_rows)
+    df = _with_block_counts(df, ["n"], sizes, totals, limit)
     own = df.withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).select(
         "*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
     )
