@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvine.functions import kernels
@@ -280,6 +280,11 @@ def seed_centers(
 # --- scores -------------------------------------------------------------------------
 
 
+def _whole(value) -> Column:
+    """Billionths as a whole number without a 64-bit bound, so that sums do not depend on their order."""
+    return F.floor((value * 1e9 + 0.5).cast("decimal(38,9)")).cast("decimal(38,0)")
+
+
 def calinski_harabasz(assigned: DataFrame, *, cid_col="cid", vec_col="embedding") -> DataFrame:
     """Between-cluster over within-cluster dispersion, each per degree of freedom.
 
@@ -288,9 +293,9 @@ def calinski_harabasz(assigned: DataFrame, *, cid_col="cid", vec_col="embedding"
     """
     means = group_means(assigned, [cid_col], vec_col)
     grand = group_means(assigned.withColumn("_one", F.lit(0)), ["_one"], vec_col, "grand").select("grand", F.col("n").alias("total"))
-    squares = assigned.agg(F.sum(F.floor(V.dot(vec_col, vec_col) * 1e9 + 0.5).cast("decimal(38,0)")).cast("double").alias("sq"))
+    squares = assigned.agg(F.sum(_whole(V.dot(vec_col, vec_col))).cast("double").alias("sq"))
     per = means.agg(
-        F.sum(F.floor(F.col("n") * V.dot("mean", "mean") * 1e9 + 0.5).cast("decimal(38,0)")).cast("double").alias("between"), F.count(F.lit(1)).alias("k")
+        F.sum(_whole(F.col("n") * V.dot("mean", "mean"))).cast("double").alias("between"), F.count(F.lit(1)).alias("k")
     )
     one = F.lit(1)
     joined = per.withColumn("_j", one).join(grand.withColumn("_j", one), "_j").join(squares.withColumn("_j", one), "_j")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,28 @@ def build_session(app: str = "curvine", master: str | None = None, **conf: str)
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application, so that tasks can import it anywhere.
+
+    Not needed where the package is installed on the cluster, and harmless there.
+    """
+    sc = spark.sparkContext
+    if not getattr(sc, "_curvine_shipped", False):
+        root = os.path.dirname(os.path.abspath(__file__))
+        # the driver serves the archive to the executors while the application runs
+        archive = os.path.join(tempfile.mkdtemp(prefix="curvine-code-"), "curvine.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for folder, _, files in os.walk(root):
+                for name in sorted(files):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.join("curvine", os.path.relpath(path, root)))
+        sc.addPyFile(archive)
+        sc._curvine_shipped = True
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import struct
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +42,21 @@ class _Rows(InputPartition):
         self.path, self.first, self.count, self.start, self.dim, self.dtype = path, first, count, start, dim, dtype
 
 
-def _open(path: str):
-    system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    return system, name
+# Schemes of Hadoop that Arrow knows by another name.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs", "wasb": "abfs"}
+
+
+def open_uri(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, Hadoop's schemes included, and the path inside it."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 def _files(path: str) -> list[tuple[str, int]]:
     """Files of a folder in name order, or the one file, with their sizes."""
-    system, name = _open(path)
+    system, name = open_uri(path)
     info = system.get_file_info(name)
     if info.type == fs.FileType.Directory:
         found = system.get_file_info(fs.FileSelector(name))
@@ -77,14 +85,20 @@ class MatrixReader(DataSourceReader):
     def partitions(self):
         opts = self.options
         rows_per_task = int(opts.get("rowspertask", 65536))
-        system, _ = _open(opts["path"])
+        system, _ = open_uri(opts["path"])
         out, first = [], 0
-        for name, size in _files(opts["path"]):
-            if "dim" in opts:
+        files = _files(opts["path"])
+        raw = "dim" in opts
+        with ThreadPoolExecutor(16) as pool:  # a header is one short read of a remote file
+            headers = [None] * len(files) if raw else list(pool.map(lambda f: _header(system, f[0]), files))
+        for (name, size), header in zip(files, headers):
+            if raw:
                 dtype, dim, start = opts.get("dtype", "<f4"), int(opts["dim"]), 0
-                n = size // (dim * np.dtype(dtype).itemsize)
+                n, tail = divmod(size, dim * np.dtype(dtype).itemsize)
+                if tail:
+                    raise ValueError(f"{name} ends inside a row: {size} bytes are no multiple of {dim} x {dtype}")
             else:
-                start, dtype, n, dim = _header(system, name)
+                start, dtype, n, dim = header
             width = dim * np.dtype(dtype).itemsize
             for row in range(0, n, rows_per_task):
                 out.append(_Rows(name, first + row, min(rows_per_task, n - row), start + row * width, dim, dtype))
@@ -92,7 +106,7 @@ class MatrixReader(DataSourceReader):
         return out
 
     def read(self, part: _Rows):
-        system, _ = _open(self.options["path"])
+        system, _ = open_uri(self.options["path"])
         width = part.dim * np.dtype(part.dtype).itemsize
         step = 8192
         with system.open_input_file(part.path) as f:
@@ -138,7 +152,7 @@ def write_matrix(df: DataFrame, path: str, *, id_col="vec_id", vec_col="embeddin
 
     A task writes a temporary name and moves it over, so a repeated task leaves one file.
     """
-    system, name = _open(path)
+    system, name = open_uri(path)
     system.create_dir(name, recursive=True)
 
     def run(batches):
