@@ -15,13 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curvine.llm.common import text_of
 from curvine.llm.tokenizing import encoder, public_path
 from curvine.session import checkpoint
+from curvine.sources.embeddings import open_uri
 from curvine.sources.sinks import scratch_folder
 
 BLOCK_TOKENS = 2 * 1024 * 1024
@@ -29,10 +29,6 @@ VOCABULARY, END_ID = "byte_bpe_multi_50k.tiktoken", 50256
 DTYPE = "<u2"
 
 
-def _system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if ":" in path.split("/", 1)[0] else (fs.LocalFileSystem(), path)
-
-
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, dtype: str = DTYPE) -> DataFrame:
     """Write one flat token file per task; ``(path, length, doc_ids)`` of each, in the order of its documents.
 
@@ -42,7 +38,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     end = np.array([end_id], dtype).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = _system(folder)
+        system, base = open_uri(folder)
         system.create_dir(base, recursive=True)
         encode, ids, size, name = encoder(path), [], 0, f"tokens-{uuid.uuid4().hex}.bin"
         with system.open_output_stream(f"{base}/{name}") as out:
@@ -81,7 +77,7 @@ def scan_token_files(files: DataFrame, end_id: int = END_ID, dtype: str = DTYPE,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, total, block in zip(*[batch.column(c).to_pylist() for c in ("path", "tokens", "block")]):
-                system, name = _system(path)
+                system, name = open_uri(path)
                 first = block * block_tokens
                 count = min(block_tokens, total - first)
                 with system.open_input_file(name) as file:
