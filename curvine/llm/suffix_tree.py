@@ -36,8 +36,9 @@ PARENT_WEIGHT = 4.0
 FOLDS, HELD_OUT = 10, 0
 END = 10  # a word holds no line feed
 END_WORD = b"\n"
-PIECE_BYTES = 4 << 20
-BLOCK_BYTES = 32 << 20
+# What a task works on at once, keeps before it passes its counts on, and sends in one batch.
+PIECE_CHARS, TALLY_KEYS, BATCH_ROWS = 1 << 20, 600_000, 100_000
+BLOCK_BYTES = 16 << 20
 UNIFORM = 1 / 256
 
 
@@ -61,38 +62,37 @@ def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return gram[keep], np.cumsum(lengths) - lengths
 
 
-def _pieces(words: list[list[bytes]]) -> Iterator[list[int]]:
-    """Rows in groups of bounded size."""
-    group, size = [], 0
-    for i, w in enumerate(words):
-        n = sum(map(len, w)) + len(w)
-        if group and size + n > PIECE_BYTES:
-            yield group
-            group, size = [], 0
-        group.append(i)
-        size += n
-    if group:
-        yield group
+def _pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with a bounded number of characters; a longer text is a range of its own."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if i > start and size + len(text) > PIECE_CHARS:
+            yield start, i
+            start, size = i, 0
+        size += len(text)
+    if start < len(texts):
+        yield start, len(texts)
 
 
-def _merged(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(inverse, np.concatenate(sums), len(key)).astype(np.int64)
+class _Tally:
+    """Counts of grams and words of the training texts; texts held out only name theirs.
 
+    It is emptied whenever it has grown to ``TALLY_KEYS``, so a task's memory is bounded.
+    """
 
-class _Tally:
-    """Counts of grams and words of the training texts; texts held out only name theirs."""
+    def __init__(self, block: int | None = None) -> None:
+        self.block = block
+        self.clear()
 
-    def __init__(self) -> None:
+    def clear(self) -> None:
         self.gram, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.words: Counter[bytes] = Counter()
 
-    def add(self, texts: list[str], held: list[bool]) -> None:
-        words = [lower_words(t) for t in texts]
-        for rows in _pieces(words):
+    def add(self, texts: list[str], held: list[bool]) -> Iterator[pa.RecordBatch]:
+        for first, last in _pieces(texts):
             parts = [(self.gram, self.n)]
             for kind in (False, True):
-                own = [words[i] for i in rows if held[i] == kind]
+                own = [lower_words(texts[i]) for i in range(first, last) if held[i] == kind]
                 if not own:
                     continue
                 gram, n = np.unique(_grams([symbols(w) for w in own])[0], return_counts=True)
@@ -100,18 +100,25 @@ class _Tally:
                 for w in own:
                     self.words.update(dict.fromkeys(w, 0) if kind else w)
                 self.words[END_WORD] += 0 if kind else len(own)
-            self.gram, self.n = _merged(*map(list, zip(*parts)))
+            keys, sums = zip(*parts)
+            self.gram, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            self.n = np.bincount(inverse, np.concatenate(sums), len(self.gram)).astype(np.int64)
+            if len(self.gram) + len(self.words) > TALLY_KEYS:
+                yield from self.flush()
 
-    def batch(self, block: int | None = None) -> pa.RecordBatch:
+    def flush(self) -> Iterator[pa.RecordBatch]:
         grams, words = len(self.gram), len(self.words)
         columns = {
             "gram": pa.concat_arrays([pa.array(self.gram), pa.nulls(words, pa.int64())]),
             "word": pa.concat_arrays([pa.nulls(grams, pa.binary()), pa.array(list(self.words), pa.binary())]),
             "n": pa.array(np.concatenate([self.n, np.fromiter(self.words.values(), np.int64, words)])),
         }
-        if block is not None:
-            columns = {"block": pa.array(np.full(grams + words, block), pa.int64()), **columns}
-        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        if self.block is not None:
+            columns = {"block": pa.array(np.full(grams + words, self.block), pa.int64()), **columns}
+        self.clear()
+        whole = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        for at in range(0, whole.num_rows, BATCH_ROWS):
+            yield whole.slice(at, BATCH_ROWS)
 
 
 def count_corpus(rows: DataFrame) -> DataFrame:
@@ -120,8 +127,8 @@ def count_corpus(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally()
         for batch in batches:
-            tally.add(batch.column("text").to_pylist(), batch.column("held_out").to_pylist())
-        yield tally.batch()
+            yield from tally.add(batch.column("text").to_pylist(), batch.column("held_out").to_pylist())
+        yield from tally.flush()
 
     counted = rows.mapInArrow(run, "gram bigint, word binary, n bigint")
     return counted.groupBy("gram", "word").agg(F.sum("n").alias("n"))
@@ -176,7 +183,7 @@ def score(docs: DataFrame, held_out: Column | None = None, min_gain: float = MIN
     )
     size = rows.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     blocks = max(1, -(-size // block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks))).repartition("block")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks))).repartition("block").sortWithinPartitions("block")
     wanted = dealt.mapInArrow(_wanted_rows, "block bigint, gram bigint, word binary, n bigint").drop("n")
     by_gram = wanted.filter("gram IS NOT NULL").select("block", "gram").join(values.filter("gram IS NOT NULL").select("gram", "value"), "gram")
     by_word = wanted.filter("word IS NOT NULL").select("block", "word").join(values.filter("word IS NOT NULL").select("word", "value", "known"), "word")
@@ -188,47 +195,49 @@ def score(docs: DataFrame, held_out: Column | None = None, min_gain: float = MIN
 
 
 def _wanted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tallies: dict[int, _Tally] = {}
+    """The grams and words of each block; the rows come block by block."""
+    tally = None
     for batch in batches:
-        block, texts = batch.column("block").to_numpy(), batch.column("text").to_pylist()
-        for b in np.unique(block):
-            own = [texts[i] for i in np.flatnonzero(block == b)]
-            tallies.setdefault(int(b), _Tally()).add(own, [True] * len(own))
-    for b, tally in tallies.items():
-        # the end of a text is a word of every block
-        tally.words[END_WORD] += 0
-        yield tally.batch(b)
+        block, texts = batch.column("block").to_numpy(), batch.column("text")
+        edges = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)) if len(block) else np.zeros(0, np.int64)
+        for first, last in zip(edges, edges[1:]):
+            if tally is None or tally.block != block[first]:
+                if tally:
+                    yield from tally.flush()
+                tally = _Tally(int(block[first]))
+            yield from tally.add(texts.slice(first, last - first).to_pylist(), [True] * int(last - first))
+    if tally:
+        yield from tally.flush()
 
 
 def _scorer(total: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        grams, words = answers.filter(answers.column("gram").is_valid()), answers.filter(answers.column("word").is_valid())
+        grams = answers.filter(answers.column("gram").is_valid())
         gram, value = grams.column("gram").to_numpy(), grams.column("value").to_numpy()
-        by = np.argsort(gram)
+        by = np.argsort(gram, kind="stable")
         gram, value = gram[by], value[by]
-        base = dict(zip(words.column("word").to_pylist(), zip(words.column("value").to_pylist(), words.column("known").to_pylist())))
-        ids = docs.column("text")
+        words = answers.filter(answers.column("word").is_valid())
+        place = {w: i for i, w in enumerate(words.column("word").to_pylist())}
+        base, known = words.column("value").to_numpy(), words.column("known").to_numpy()
         out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        for at in range(0, len(ids), 512):
-            split = [lower_words(t) for t in ids.slice(at, 512).to_pylist()]
-            for group in _pieces(split):
-                own = [split[i] for i in group]
+        for batch in docs.select(["text"]).to_batches(max_chunksize=1000):
+            texts = batch.column(0).to_pylist()
+            for first, last in _pieces(texts):
+                own = [lower_words(t) for t in texts[first:last]]
                 asked, starts = _grams([symbols(w) for w in own])
-                place = np.minimum(np.searchsorted(gram, asked), len(gram) - 1)
-                if not np.array_equal(gram[place], asked):
+                row = np.minimum(np.searchsorted(gram, asked), len(gram) - 1)
+                if not np.array_equal(gram[row], asked):
                     raise LookupError("a context of this block has no value")
-                out["score"] += np.add.reduceat(value[place], starts).tolist()
+                out["score"] += np.add.reduceat(value[row], starts).tolist()
                 for w in own:
-                    got = [base[x] for x in w]
-                    got.append(base[END_WORD])
-                    out["n_tokens"].append(len(got))
-                    out["n_known"].append(sum(k for _, k in got))
-                    out["base_score"].append(sum(v for v, _ in got))
-        n = len(ids)
+                    at = np.fromiter(map(place.__getitem__, [*w, END_WORD]), np.int64, len(w) + 1)
+                    out["n_tokens"].append(len(at))
+                    out["n_known"].append(int(known[at].sum()))
+                    out["base_score"].append(float(base[at].sum()))
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()),
-                "train_tokens": pa.array([total] * n, pa.int64()), "base_score": pa.array(out["base_score"], pa.float64()), "score": pa.array(out["score"], pa.float64()),
+                "train_tokens": pa.array([total] * docs.num_rows, pa.int64()), "base_score": pa.array(out["base_score"], pa.float64()), "score": pa.array(out["score"], pa.float64()),
             }
         )
 
