@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvine.functions import vectors as V
+from curvine.functions.hashing import id_hash
 from curvine.plans.bounded import broadcast_if_small
 from curvine.plans.join_hot import MAX_HOT_KEYS, join_lookup
 
@@ -61,6 +62,10 @@ def pad_or_cut(ids, length: int, pad: int = 0) -> Column:
     return F.concat(F.slice(ids, 1, length), F.array_repeat(F.lit(pad), missing))
 
 
+# Ids are spread by this factor before the position of a token is added.
+POSITIONS = 1_000_003
+
+
 def mask_tokens(id_col, ids, *, mask_id: int, vocab: int, special: list[int] = (), rate: float = 0.15, seed: int = 0) -> tuple[Column, Column]:
     """Inputs and labels for masked-token training.
 
@@ -72,7 +77,7 @@ def mask_tokens(id_col, ids, *, mask_id: int, vocab: int, special: list[int] = (
     ids = F.col(ids) if isinstance(ids, str) else ids
 
     def draw(i, salt, buckets):
-        return F.pmod(F.xxhash64(id_col, i, F.lit(seed), F.lit(salt)), F.lit(buckets))
+        return F.pmod(id_hash(id_col.cast("bigint") * POSITIONS + i, 10 * seed + salt), F.lit(buckets))
 
     def chosen(t, i):
         plain = ~t.isin(*special) if special else F.lit(True)
@@ -109,6 +114,16 @@ VERBALIZERS = {
     "subj": {"0": "subjective", "1": "objective"},
     "agnews": {"1": "world", "2": "sports", "3": "business", "4": "technology"},
     "cb": {"contradiction": "false", "entailment": "true", "neutral": "neither"},
+    "cr": {"0": "negative", "1": "positive"},
+    "dbpedia": {
+        "1": "company", "2": "school", "3": "artist", "4": "athlete", "5": "politics", "6": "transportation", "7": "building", "8": "nature",
+        "9": "village", "10": "animal", "11": "plant", "12": "album", "13": "film", "14": "book",
+    },
+    "mpqa": {"0": "negative", "1": "positive"},
+    "mr": {"0": "negative", "1": "positive"},
+    "rte": {"not_entailment": "false", "entailment": "true"},
+    "sst5": {"0": "terrible", "1": "bad", "2": "okay", "3": "good", "4": "great"},
+    "trec": {"0": "description", "1": "entity", "2": "expression", "3": "human", "4": "location", "5": "number"},
 }
 
 

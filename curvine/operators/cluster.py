@@ -190,6 +190,9 @@ def mllib_kmeans(
     from curvine.functions.hashing import in_sample
 
     fit_on = df if fit_share >= 1.0 else df.filter(in_sample(id_col, fit_share, seed))
+    if cosine:
+        # a zero vector has no direction; it is assigned, but cannot be fitted
+        fit_on = fit_on.filter(F.aggregate(V.doubles(vec_col), F.lit(0.0), lambda a, x: a + x * x) > 0)
     ready = fit_on.select(array_to_vector(V.doubles(vec_col)).alias("features"))
     model = KMeans(k=k, maxIter=max_iter, seed=seed, distanceMeasure="cosine" if cosine else "euclidean").fit(ready)
     centers = np.array(model.clusterCenters())
@@ -277,6 +280,27 @@ def seed_centers(
     return df.sparkSession.createDataFrame(picks, f"step bigint, {id_col} bigint, mind double")
 
 
+def cluster_pick(
+    pool: DataFrame, k: int, *, how: str, labeled: DataFrame | None = None, rounds: int = 10, seed: int = 0, id_col="vec_id", vec_col="embedding",
+) -> DataFrame:
+    """k pool rows ``(vec_id)`` spread over the vectors, all scaled to length 1.
+
+    ``how="kmeans"`` takes the nearest row to each centre of k-means over the pool;
+    ``weighted`` (k-means++) and ``farthest`` pick one row after the other, away from
+    the rows of ``labeled`` as well. A row is picked once.
+    """
+    unit = pool.filter(F.col(vec_col).isNotNull()).select(id_col, V.l2_normalize(vec_col, 1e-12).alias(vec_col))
+    if how == "kmeans":
+        _, centers = kmeans(unit, sample_rows(unit, k, seed=seed, id_col=id_col, vec_col=vec_col), max_iter=rounds, tol=0.0, id_col=id_col, vec_col=vec_col, seed=seed)
+        return knn.nearest_to_centers(unit, centers, id_col=id_col, vec_col=vec_col, seed=seed).select(id_col)
+    if how not in ("weighted", "farthest"):
+        raise ValueError(f"unknown method {how!r}")
+    existing = None
+    if labeled is not None:
+        existing = labeled.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("cid"), V.l2_normalize(vec_col, 1e-12).alias("centroid"))
+    return seed_centers(unit, k, how=how, existing=existing, seed=seed, id_col=id_col, vec_col=vec_col).select(id_col)
+
+
 # --- scores -------------------------------------------------------------------------
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from curvine.functions import vectors as V
 from curvine.functions.hashing import id_hash_sql
 from curvine.operators import active, knn
+from curvine.queries.clusters import mean_sql, seeding_from_sql, weighted_pick
 from curvine.queries.joins import L2_XY, LABELED_SQL, SPLIT_SQL, knn_sql, labeled_and_pool
-from curvine.queries.registry import E_SQL, dot_sql, embeddings, query, softmax_sql, table
+from curvine.queries.registry import E_SQL, dot_sql, embeddings, query, softmax_sql, sq_l2_sql, table
 
 C = 4
 
@@ -160,7 +161,7 @@ def random_select(spark, d):
     return active.pick_random(embeddings(spark, d), 25, seed=11)
 
 
-@query("farthest_select", None)
+@query("farthest_select", seeding_from_sql(f"WITH {E_SQL}, l AS (SELECT * FROM e WHERE {LABELED_SQL}), q AS (SELECT vec_id, v FROM e WHERE NOT ({LABELED_SQL})), {mean_sql('l', 'label', 'lm', out='v')}", "q", 5, lambda i: "mind DESC", "lm"))
 def farthest_select(spark, d):
     """Farthest-first picks from the pool, conditioned on the labelled rows' class means."""
     from curvine.operators import cluster
@@ -170,6 +171,45 @@ def farthest_select(spark, d):
     return cluster.seed_centers(pool, 5, how="farthest", existing=centers).select("step", "vec_id", F.round("mind", 6).alias("mind"))
 
 
+UNIT_POOL_SQL = f"WITH {E_SQL}, u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt({dot_sql('v', 'v')})) AS v FROM e), l AS (SELECT * FROM u WHERE {LABELED_SQL}), q AS (SELECT * FROM u WHERE NOT ({LABELED_SQL}))"
+
+
+def _picked(name: str, pick) -> str:
+    return f"SELECT vec_id FROM ({seeding_from_sql(UNIT_POOL_SQL, 'q', 6, pick, 'l')})"
+
+
+@query("cluster_pick_farthest", _picked("farthest", lambda i: "round(mind, 9) DESC"))
+def cluster_pick_farthest(spark, d):
+    from curvine.operators import cluster
+
+    labeled, pool = labeled_and_pool(embeddings(spark, d))
+    return cluster.cluster_pick(pool, 6, how="farthest", labeled=labeled)
+
+
+@query("cluster_pick_weighted", _picked("weighted", weighted_pick))
+def cluster_pick_weighted(spark, d):
+    from curvine.operators import cluster
+
+    labeled, pool = labeled_and_pool(embeddings(spark, d))
+    return cluster.cluster_pick(pool, 6, how="weighted", labeled=labeled)
+
+
+def _kmeans_pick_sql(k: int, rounds: int) -> str:
+    parts = [UNIT_POOL_SQL, f"c0 AS (SELECT row_number() OVER (ORDER BY {id_hash_sql('vec_id', 0)}, vec_id) - 1 AS cid, v AS centroid FROM q QUALIFY cid < {k})"]
+    for r in range(rounds):
+        parts.append(f"""a{r} AS (SELECT x.vec_id, x.v, c.cid FROM q x CROSS JOIN c{r} c QUALIFY row_number() OVER (PARTITION BY x.vec_id ORDER BY {sq_l2_sql('x.v', 'c.centroid')}, c.cid) = 1)""")
+        parts.append(mean_sql(f"a{r}", "cid", f"c{r + 1}"))
+    return ", ".join(parts) + f" SELECT DISTINCT vec_id FROM (SELECT x.vec_id FROM q x CROSS JOIN c{rounds} c QUALIFY row_number() OVER (PARTITION BY c.cid ORDER BY {sq_l2_sql('x.v', 'c.centroid')}, x.vec_id) = 1)"
+
+
+@query("cluster_pick_kmeans", _kmeans_pick_sql(6, 3))
+def cluster_pick_kmeans(spark, d):
+    from curvine.operators import cluster
+
+    _, pool = labeled_and_pool(embeddings(spark, d))
+    return cluster.cluster_pick(pool, 6, how="kmeans", rounds=3)
+
+
 @query("stratified_split", f"""WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), t AS (SELECT label, n, 100.0::DOUBLE * n / sum(n) OVER () AS exact FROM n),
 f AS (SELECT *, floor(exact)::BIGINT AS base FROM t), q AS (SELECT label, base + CASE WHEN row_number() OVER (ORDER BY base - exact, label) <= 100 - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM f)
 SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {id_hash_sql('vec_id', 5)}, vec_id) <= quota AS selected FROM embeddings JOIN q USING (label)""")

@@ -11,6 +11,7 @@ from curvine.queries.joins import (
     LSH_MAX_SQL, MAXSIM_SQL, PAIRS_SQL, centroids_sql, clustered, initial, lsh_setting, with_clusters_sql,
 )
 from curvine.queries.registry import E_SQL, dot_sql, embeddings, query, sq_l2_sql
+from curvine.queries.vectors import GRAD_SQL, _class_probs
 
 # The vectors are far apart, so thresholds that remove something are wide.
 EPS = [0.50, 0.55, 0.60, 0.65]
@@ -68,9 +69,21 @@ def kmeans_ivf_rounds(spark, d):
     return assigned.select("vec_id", "cid", F.round("cdist", 6).alias("cdist"))
 
 
-@query("kmeans_spherical")
+def spherical_sql(k: int, rounds: int) -> str:
+    """Spherical k-means unrolled: nearest by inner product, means scaled to length 1."""
+    near = lambda name, c: f"""{name} AS (SELECT vec_id, v, cid, s AS sim FROM (SELECT e.vec_id, e.v, c.cid, {dot_sql('e.v', 'c.centroid')} AS s FROM e CROSS JOIN {c} c)
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, cid) = 1)"""
+    parts = [f"WITH {E_SQL}", centroids_sql(k, "c0")]
+    for r in range(rounds):
+        length = f"sqrt({dot_sql('centroid', 'centroid')})"
+        parts += [near(f"a{r}", f"c{r}"), mean_sql(f"a{r}", "cid", f"m{r}"), f"c{r + 1} AS (SELECT cid, list_transform(centroid, lambda x: x / {length}) AS centroid FROM m{r})"]
+    return ", ".join([*parts, near("af", f"c{rounds}")])
+
+
+@query("kmeans_spherical", spherical_sql(7, 3) + " SELECT vec_id, cid, round(sim, 6) AS centroid_sim FROM af")
 def kmeans_spherical(spark, d):
-    assigned, _ = cluster.mllib_kmeans(embeddings(spark, d), 10, cosine=True)
+    emb = embeddings(spark, d)
+    assigned, _ = cluster.kmeans(emb, cluster.sample_rows(emb, 7), max_iter=3, tol=0.0, spherical=True)
     return assigned.select("vec_id", "cid", F.round(-F.col("cdist"), 6).alias("centroid_sim"))
 
 
@@ -96,6 +109,10 @@ def cluster_sorted(spark, d):
 # --- seeding ---------------------------------------------------------------------------
 
 
+def weighted_pick(i: int) -> str:
+    return f"CASE WHEN mind > 0 THEN -ln(({id_hash_sql('vec_id', i)} + 1)::DOUBLE / 2147483648.0) / mind ELSE 'inf'::DOUBLE END"
+
+
 def seeding_sql(k: int, pick) -> str:
     h = id_hash_sql("vec_id", 0)
     parts = [f"WITH {E_SQL}", f"s0 AS (SELECT 0::BIGINT AS step, vec_id, v, NULL::DOUBLE AS mind FROM e ORDER BY {h}, vec_id LIMIT 1)"]
@@ -106,7 +123,7 @@ def seeding_sql(k: int, pick) -> str:
     return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT step, vec_id, mind FROM s{i}" for i in range(k))
 
 
-@query("kmeans_pp_seeding", seeding_sql(5, lambda i: f"CASE WHEN mind > 0 THEN -ln(({id_hash_sql('vec_id', i)} + 1)::DOUBLE / 2147483648.0) / mind ELSE 'inf'::DOUBLE END"))
+@query("kmeans_pp_seeding", seeding_sql(5, weighted_pick))
 def kmeans_pp_seeding(spark, d):
     return cluster.seed_centers(embeddings(spark, d), 5, how="weighted")
 
@@ -116,10 +133,22 @@ def kcenter_greedy(spark, d):
     return cluster.seed_centers(embeddings(spark, d), 5, how="farthest")
 
 
-@query("badge_select")
-def badge_select(spark, d):
-    from curvine.queries.vectors import _class_probs
+def seeding_from_sql(ctes: str, rows: str, k: int, pick, centers: str | None = None) -> str:
+    """``seeding_sql`` over any CTE (vec_id, v), after given centres (v) or from the first row by hash."""
+    parts, first = [ctes], 0
+    if centers is None:
+        parts.append(f"s0 AS (SELECT 0::BIGINT AS step, vec_id, v, NULL::DOUBLE AS mind FROM {rows} ORDER BY {id_hash_sql('vec_id', 0)}, vec_id LIMIT 1)")
+        first = 1
+    for i in range(first, k):
+        chosen = " UNION ALL ".join([*([f"SELECT v FROM {centers}"] if centers else []), *[f"SELECT v FROM s{j}" for j in range(i)]])
+        parts.append(f"m{i} AS (SELECT e.vec_id, any_value(e.v) AS v, min({sq_l2_sql('e.v', 'k.v')}) AS mind FROM {rows} e CROSS JOIN ({chosen}) k GROUP BY e.vec_id)")
+        parts.append(f"s{i} AS (SELECT {i}::BIGINT AS step, vec_id, v, mind FROM m{i} ORDER BY {pick(i)}, vec_id LIMIT 1)")
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT step, vec_id, round(mind, 6) AS mind FROM s{i}" for i in range(k))
+
 
+@query("badge_select", seeding_from_sql(GRAD_SQL + """, sc AS (SELECT vec_id, b, list_transform(p, lambda x, i: x - CASE WHEN i = list_position(p, list_max(p)) THEN 1 ELSE 0 END) AS s FROM g),
+bv AS (SELECT vec_id, flatten(list_transform(s, lambda x: list_transform(b, lambda h: x * h))) AS v FROM sc)""", "bv", 5, weighted_pick))
+def badge_select(spark, d):
     probs = _class_probs(spark, d)
     badge = probs.select("vec_id", V.outer_flat(V.minus_onehot("p", V.argmax("p")), "b").alias("embedding"))
     return cluster.seed_centers(badge, 5, how="weighted").select("step", "vec_id", F.round("mind", 6).alias("mind"))
@@ -139,7 +168,19 @@ def cluster_contingency(spark, d):
     return cluster.cluster_contingency(clustered(spark, d, 10), "cid", "label")
 
 
-@query("cluster_matched_accuracy")
+def matching_sql(k: int) -> str:
+    """The best one-to-one match by a table over sets of labels, one cluster after the other."""
+    parts = [
+        with_clusters_sql(k), "cn AS (SELECT cid, label, count(*) AS n FROM a GROUP BY ALL)", "ri AS (SELECT cid, row_number() OVER (ORDER BY cid) - 1 AS i FROM (SELECT DISTINCT cid FROM cn))",
+        "li AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS j FROM (SELECT DISTINCT label FROM cn))", "g AS (SELECT i, j, n FROM cn JOIN ri USING (cid) JOIN li USING (label))", "d0 AS (SELECT 0::BIGINT AS used, 0::BIGINT AS best)",
+    ]
+    for i in range(k):
+        parts.append(f"""d{i + 1} AS (SELECT used, max(best) AS best FROM (SELECT used, best FROM d{i} UNION ALL
+  SELECT used | (1::BIGINT << j::INTEGER), best + n FROM d{i} JOIN g ON i = {i} AND (used >> j::INTEGER) & 1 = 0) GROUP BY used)""")
+    return ", ".join(parts) + f" SELECT max(best)::BIGINT AS hits, (SELECT sum(n) FROM cn)::BIGINT AS total, max(best) / (SELECT sum(n) FROM cn)::DOUBLE AS accuracy FROM d{k}"
+
+
+@query("cluster_matched_accuracy", matching_sql(10))
 def cluster_matched_accuracy(spark, d):
     return cluster.matched_accuracy(clustered(spark, d, 10), "cid", "label")
 

@@ -287,3 +287,12 @@ def method_compare(spark, d):
     counts = {name: df.agg(F.count(F.lit(1)).alias("removed")) for name, df in removed.items()}
     rows = ev.sweep(counts).select(F.col("setting").alias("method"), (total - F.col("removed")).alias("kept"), total.alias("total"))
     return rows.select("method", "kept", F.round(100.0 * F.col("kept") / F.col("total"), 4).alias("kept_percent"))
+
+
+# Iterations: the documents by id modulo 10, their share of good labels as accuracy and their length as time.
+@query("run_summary", """WITH i AS (SELECT d.doc_id % 10 AS iteration, avg(l.quality) AS acc, sum(d.n_chars)::BIGINT AS time FROM documents d JOIN labels l USING (doc_id) GROUP BY ALL)
+SELECT max(iteration) AS last_iteration, round(arg_max(acc, iteration), 6) AS last_acc, sum(time)::BIGINT AS total_time FROM i""")
+def run_summary(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    per = rows.groupBy((F.col("doc_id") % 10).alias("iteration")).agg(F.avg("quality").alias("acc"), F.sum("n_chars").alias("time"))
+    return ev.run_summary(per).withColumn("last_acc", F.round("last_acc", 6))

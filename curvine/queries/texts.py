@@ -46,7 +46,15 @@ def pad_clamp_ids(spark, d):
     return _ids(spark, d).select("doc_id", T.pad_or_cut(T.clamp_ids("ids", 200), 256).alias("input_ids"))
 
 
-@query("mlm_masking")
+def masking_sql(rate: float, mask_id: int, vocab: int, special: int) -> str:
+    draw = lambda salt, buckets: f"({id_hash_sql(f'doc_id * {T.POSITIONS} + i - 1', salt)} % {buckets})"
+    chosen = f"(t <> {special} AND {draw(1, 1_000_000)} < {int(rate * 1_000_000)})"
+    kind = draw(2, 10)
+    return f"""SELECT doc_id, list_transform(ids, lambda t, i: CASE WHEN NOT {chosen} THEN t WHEN {kind} < 8 THEN {mask_id} WHEN {kind} = 8 THEN ({draw(3, vocab)})::INTEGER ELSE t END) AS input_ids,
+list_transform(ids, lambda t, i: CASE WHEN {chosen} THEN t ELSE -100 END) AS labels FROM ids"""
+
+
+@query("mlm_masking", f"WITH {IDS_SQL} " + masking_sql(0.15, 103, 1000, 32))
 def mlm_masking(spark, d):
     inputs, labels = T.mask_tokens("doc_id", "ids", mask_id=103, vocab=1000, special=[32])
     return _ids(spark, d).select("doc_id", inputs.alias("input_ids"), labels.alias("labels"))
