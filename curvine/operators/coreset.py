@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from decimal import Decimal
 
 import numpy as np
@@ -15,7 +16,7 @@ from curvine.functions.hashing import id_hash
 from curvine.operators import knn
 from curvine.operators.cluster import group_means
 from curvine.plans.blocks import BLOCK_ROWS, block_join, self_block_join
-from curvine.plans.bounded import MAX_BROADCAST_BYTES, collect_bounded
+from curvine.plans.bounded import MAX_BROADCAST_BYTES, TooLarge, collect_bounded
 from curvine.plans.ranking import half_even, rank_rows
 from curvine.session import checkpoint
 
@@ -263,6 +264,8 @@ def facility_select(
     new ones: a round scores again just the rows whose bound could still win, in
     passes that move no vectors, and makes the same picks as scoring all. All
     classes advance together. The first gains need each class against itself once.
+    Every pick is at least one pass: meant for small budgets, where the exact picks of
+    plain greedy matter; ``greedi`` takes a number of jobs that no budget changes.
     """
     rows = _class_rows(df, class_col, id_col, vec_col)
     spans = class_spans(rows, metric, block_rows)
@@ -289,6 +292,11 @@ def facility_select(
                 room = MAX_BROADCAST_BYTES // (8 * len(r["vec"]) * max(1, len(budget)))
                 front.step = max(1, min(2 * pull if front.fetched <= pull else 8 * pull, room))
 
+    first = rows.select(F.size("vec").alias("d")).limit(1).collect()
+    if first:  # the first fetch is bounded by bytes like every later one
+        room = MAX_BROADCAST_BYTES // (8 * max(1, first[0]["d"]) * max(1, len(budget)))
+        for front in fronts.values():
+            front.step = max(1, min(pull, room))
     fetch([g for g in budget if budget[g] > 0])
     for step in range(max(budget.values(), default=0)):
         live = [g for g in budget if budget[g] > step and fronts[g].bound]
@@ -451,22 +459,115 @@ def class_proportions(counts: DataFrame, class_col="label", n_col="n") -> DataFr
     return joined.select(class_col, half_even(F.col(n_col).cast("double") / F.col("low")).alias("prop"))
 
 
+# Doubles of one part, and rows of one merge: what a task may hold.
+PART_BYTES = 256 * 1024 * 1024
+MERGE_ROWS = 20_000
+
+
+def _greedy_in_task(metric: str, budget: dict[int, int]):
+    """A kernel ``(g, id, vec, w)`` -> picks with their vectors: plain greedy over the rows of one group.
+
+    Old gains bound new ones, so a round looks again only at rows that could still
+    win. A pick's weight adds up the weights of the rows most similar to it.
+    """
+    how = {"euclidean": "sq_l2", "l1": "l1", "cosine": "cosine"}[metric]
+
+    def kernel(key: tuple, table: pa.Table) -> pa.Table:
+        group = key[0].as_py()
+        table = table.sort_by("id")
+        ids, vec, w = table.column("id").to_numpy(), kernels.matrix(table.column("vec")), table.column("w").to_numpy()
+        if vec.nbytes > PART_BYTES:
+            raise TooLarge(f"a part of {len(ids)} rows takes {vec.nbytes} bytes; use more parts")
+        step = max(1, kernels.CHUNK_CELLS // max(1, len(ids)))
+        chunks = [slice(at, at + step) for at in range(0, len(ids), step)]
+        span = 0.0
+        if metric != "cosine":
+            near = kernels.near_to(how, vec)
+            top = max(float(near(vec[c]).max()) for c in chunks)
+            span = top if metric == "l1" else max(top, 0.0) ** 0.5
+        first = np.concatenate([kernels.fixed_point(np.maximum(_similarity(metric, vec[c], vec, span), 0.0), FIXED).sum(axis=1) for c in chunks])
+        waiting = [(-int(gain), i) for i, gain in enumerate(first)]
+        heapq.heapify(waiting)
+        cover = np.zeros(len(ids))
+        picks, gains = [], []
+        while waiting and len(picks) < budget.get(group, 0):
+            bound, i = heapq.heappop(waiting)
+            if picks:
+                base = kernels.fixed_point(cover, FIXED)
+                sim = kernels.fixed_point(_similarity(metric, vec[i : i + 1], vec, span)[0], FIXED)
+                bound = -int((np.maximum(sim, base) - base).sum())
+            if waiting and (bound, i) > waiting[0]:
+                heapq.heappush(waiting, (bound, i))
+                continue
+            picks.append(i)
+            gains.append(-bound / FIXED)
+            cover = np.maximum(cover, _similarity(metric, vec, vec[i : i + 1], span)[:, 0])
+        weight = np.zeros(len(picks))
+        if picks:
+            _, best, _ = kernels.top_k(how, vec, vec[picks], 1)
+            weight = np.bincount(best, weights=w, minlength=len(picks))
+        return pa.table(
+            {
+                "g": pa.array(np.full(len(picks), group), pa.int64()), "step": pa.array(np.arange(len(picks)), pa.int64()), "id": pa.array(ids[picks], pa.int64()),
+                "gain": pa.array(gains, pa.float64()), "w": pa.array(weight, pa.float64()), "vec": kernels.list_column(vec[picks], pa.float64()),
+            }
+        )
+
+    return kernel
+
+
 def greedi(
-    df: DataFrame, budget: dict[int, int], parts: int, *, metric: str = "cosine", seed: int = 0, class_col="label", id_col="vec_id", vec_col="embedding"
+    df: DataFrame, budget: dict[int, int], parts: int, *, first_share: float = 1.0, metric: str = "cosine", seed: int = 0, class_col="label", id_col="vec_id",
+    vec_col="embedding",
 ) -> DataFrame:
-    """Two-stage greedy: select inside random parts of each class, then among the union of those picks.
+    """Greedy in rounds of bounded tasks: inside random parts of each class, then among the union of those picks.
+
+    A part gives ``first_share`` of its class's budget (1/2 for the half-budget merge),
+    the last round the whole. A union of more than ``MERGE_ROWS`` picks is merged in
+    several rounds. Every round is one job, whatever the budget; a part that does not
+    fit into a task fails with the advice to use more parts. Returns ``(class, step,
+    id, gain, weight)``; weights add up the rows a final pick stands for.
+    """
+    first = {c: max(1, int(b * first_share)) if b > 0 else 0 for c, b in budget.items()}
+    rows = _class_rows(df, class_col, id_col, vec_col).select(
+        (F.col("g") * parts + F.pmod(id_hash("id", seed), F.lit(parts))).alias("g"), "id", V.doubles("vec").alias("vec"), F.lit(1.0).alias("w")
+    )
+    fan_in = max(2, MERGE_ROWS // max(1, max(first.values(), default=1)))
+    schema = "g bigint, step bigint, id bigint, gain double, w double, vec array<double>"
+    while True:
+        each = {c * parts + i: b for c, b in first.items() for i in range(parts)}
+        picked = rows.groupBy("g").applyInArrow(_greedy_in_task(metric, each), schema)
+        group, i = F.floor(F.col("g") / parts).cast("bigint"), F.pmod("g", F.lit(parts))
+        parts = -(-parts // fan_in)
+        rows = picked.select((group * parts + F.floor(i / fan_in)).cast("bigint").alias("g"), "id", "vec", "w")
+        if parts == 1:
+            break
+    final = rows.groupBy("g").applyInArrow(_greedy_in_task(metric, budget), schema)
+    return final.select(F.col("g").alias(class_col), "step", F.col("id").alias(id_col), "gain", F.col("w").alias("weight"))
+
+
+def log_objective(picks: DataFrame, ceilings: DataFrame, *, alpha: float = 1.0, class_col="label") -> DataFrame:
+    """Add ``log_value`` and ``log_gain``: the log-normalised objective after each pick and what the pick adds.
 
-    Returns ``(class, step, id, gain, weight)``; weights add up the first-stage
-    weights of the picks a final pick stands for.
+    ``ceilings`` is ``(class, ceiling)``: the sum of gains if every row were picked. The
+    value is ln(1 + alpha * gains / ceiling) / ln(1 + alpha), so picking all gives 1.
     """
-    split = df.withColumn("_part", F.col(class_col).cast("bigint") * parts + F.pmod(id_hash(id_col, seed), F.lit(parts)))
-    first_budget = {c * parts + i: b for c, b in budget.items() for i in range(parts)}
-    first = facility_select(split, first_budget, metric=metric, class_col="_part", id_col=id_col, vec_col=vec_col)
-    weights = medoid_weights(split, first, metric=metric, class_col="_part", id_col=id_col, vec_col=vec_col)
-    union = df.join(F.broadcast(weights.select(id_col, "weight")), id_col)
-    final = facility_select(union, budget, metric=metric, class_col=class_col, id_col=id_col, vec_col=vec_col)
-    total = medoid_weights(union, final, metric=metric, weight_col="weight", class_col=class_col, id_col=id_col, vec_col=vec_col)
-    return final.join(total.select(id_col, "weight"), id_col)
+    sofar = Window.partitionBy(class_col).orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    value = F.ln(1 + F.lit(alpha) * F.try_divide(F.sum("gain").over(sofar), F.col("ceiling"))) / F.ln(F.lit(1.0 + alpha))
+    valued = picks.join(ceilings, class_col).withColumn("log_value", value)
+    before = F.lag("log_value", 1, 0.0).over(Window.partitionBy(class_col).orderBy("step"))
+    return valued.withColumn("log_gain", F.col("log_value") - before).drop("ceiling")
+
+
+def objective_ceilings(df: DataFrame, metric: str = "cosine", *, class_col="label", id_col="vec_id", vec_col="embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(class, ceiling)``: every row's similarity to itself, summed; 1 each for cosine (0 for a zero row), else the class's span."""
+    rows = _class_rows(df, class_col, id_col, vec_col)
+    if metric == "cosine":
+        own = (F.aggregate(V.doubles("vec"), F.lit(0.0), lambda a, x: a + x * x) > 0).cast("double")
+        return rows.groupBy(F.col("g").alias(class_col)).agg(F.sum(own).alias("ceiling"))
+    spans = class_spans(rows, metric, block_rows)
+    table = df.sparkSession.createDataFrame(list(spans.items()), f"{class_col} bigint, span double")
+    return rows.groupBy(F.col("g").alias(class_col)).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(table), class_col).select(class_col, (F.col("n") * F.col("span")).alias("ceiling"))
 
 
 # --- baselines and checks ------------------------------------------------------------------

@@ -226,22 +226,40 @@ def class_interleave(spark, d):
 
 
 PARTS = 2
-GREEDI_SQL = (
-    f"WITH {E_SQL}, rw AS (SELECT vec_id, v, label::BIGINT * {PARTS} + ({id_hash_sql('vec_id', 0)}) % {PARTS} AS g FROM e), " + sims_plain("rw", "sm", "cosine") + ", " + greedy_sql("sm", 2)
-    + f""", pk AS ({union_picks(2)}), w AS (SELECT pk.vec_id, count(best.i)::DOUBLE AS w FROM pk LEFT JOIN (SELECT sm.g, i, j FROM sm JOIN pk ON pk.label = sm.g AND pk.vec_id = j
+
+
+def greedi_sql(first: int, last: int) -> str:
+    """``first`` picks of each part, then ``last`` among them."""
+    return (
+        f"WITH {E_SQL}, rw AS (SELECT vec_id, v, label::BIGINT * {PARTS} + ({id_hash_sql('vec_id', 0)}) % {PARTS} AS g FROM e), " + sims_plain("rw", "sm", "cosine") + ", " + greedy_sql("sm", first)
+        + f""", pk AS ({union_picks(first)}), w AS (SELECT pk.vec_id, count(best.i)::DOUBLE AS w FROM pk LEFT JOIN (SELECT sm.g, i, j FROM sm JOIN pk ON pk.label = sm.g AND pk.vec_id = j
   QUALIFY row_number() OVER (PARTITION BY i ORDER BY sim DESC, pk.step) = 1) best ON best.j = pk.vec_id GROUP BY pk.vec_id),
-rw2 AS (SELECT e.vec_id, v, label::BIGINT AS g FROM e JOIN w USING (vec_id)), """ + sims_plain("rw2", "s2", "cosine") + ", " + greedy_sql("s2", 2, "f")
-    + f""", fk AS ({union_picks(2, "f")}), b2 AS (SELECT i, j FROM s2 JOIN fk ON fk.label = s2.g AND fk.vec_id = j QUALIFY row_number() OVER (PARTITION BY i ORDER BY sim DESC, fk.step) = 1)
+rw2 AS (SELECT e.vec_id, v, label::BIGINT AS g FROM e JOIN w USING (vec_id)), """ + sims_plain("rw2", "s2", "cosine") + ", " + greedy_sql("s2", last, "f")
+        + f""", fk AS ({union_picks(last, "f")}), b2 AS (SELECT i, j FROM s2 JOIN fk ON fk.label = s2.g AND fk.vec_id = j QUALIFY row_number() OVER (PARTITION BY i ORDER BY sim DESC, fk.step) = 1)
 SELECT fk.label, fk.step, fk.vec_id, fk.gain, sum(w.w) AS weight FROM fk JOIN b2 ON b2.j = fk.vec_id JOIN w ON w.vec_id = b2.i GROUP BY ALL"""
-)
+    )
 
 
-@query("greedi_two_stage", GREEDI_SQL)
+@query("greedi_two_stage", greedi_sql(2, 2))
 def greedi_two_stage(spark, d):
     picks = coreset.greedi(embeddings(spark, d), {c: 2 for c in _classes(spark, d)}, PARTS)
     return picks.select("label", "step", "vec_id", F.round("gain", 6).alias("gain"), "weight")
 
 
+@query("greedi_half_budget", greedi_sql(1, 2))
+def greedi_half_budget(spark, d):
+    picks = coreset.greedi(embeddings(spark, d), {c: 2 for c in _classes(spark, d)}, PARTS, first_share=0.5)
+    return picks.select("label", "step", "vec_id", F.round("gain", 6).alias("gain"), "weight")
+
+
+@query("facility_log_value", FL_SQL + f""", {ALL_PICKS}, n AS (SELECT label::BIGINT AS label, count(*) AS n FROM e GROUP BY ALL),
+lv AS (SELECT label, step, vec_id, ln(1 + sum(gain) OVER (PARTITION BY label ORDER BY step) / n) / ln(2.0::DOUBLE) AS log_value FROM pk JOIN n USING (label))
+SELECT label, step, vec_id, round(log_value, 6) AS log_value, round(log_value - coalesce(lag(log_value) OVER (PARTITION BY label ORDER BY step), 0), 6) AS log_gain FROM lv""")
+def facility_log_value(spark, d):
+    picks = coreset.log_objective(_facility(spark, d), coreset.objective_ceilings(embeddings(spark, d)))
+    return picks.select("label", "step", "vec_id", F.round("log_value", 6).alias("log_value"), F.round("log_gain", 6).alias("log_gain"))
+
+
 # --- baselines -----------------------------------------------------------------------------
 
 

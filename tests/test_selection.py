@@ -199,3 +199,38 @@ def test_large_picks_are_ranked_in_parallel(spark, monkeypatch):
     want = sorted(r["vec_id"] for r in active.pick_top(df, 20).collect())
     monkeypatch.setattr(active, "MAX_HEAP", 10)
     assert sorted(r["vec_id"] for r in active.pick_top(df, 20).collect()) == want
+
+
+def test_merged_greedy_takes_a_fixed_number_of_jobs(spark, vectors, monkeypatch):
+    """Deep merges keep the weights of all rows, and the number of jobs does not follow the budget."""
+    from curvine.operators import coreset
+
+    df, _, label = vectors
+    sizes = {int(c): int((label == c).sum()) for c in set(label.tolist())}
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(budget, parts):
+        spark.sparkContext.setJobGroup(f"merge-{budget}-{parts}", "")
+        rows = coreset.greedi(df, {c: budget for c in sizes}, parts).collect()
+        spark.sparkContext.setJobGroup("", "")
+        return rows, len(tracker.getJobIdsForGroup(f"merge-{budget}-{parts}"))
+
+    few, one = jobs(2, 3)
+    many, two = jobs(12, 3)
+    assert one == two
+    monkeypatch.setattr(coreset, "MERGE_ROWS", 12)
+    deep, _ = jobs(5, 8)
+    for rows, budget in ((few, 2), (many, 12), (deep, 5)):
+        for c, n in sizes.items():
+            own = sorted((r["step"], r["weight"]) for r in rows if r["label"] == c)
+            assert [s for s, _ in own] == list(range(min(budget, n))) and sum(w for _, w in own) == n
+
+
+def test_a_part_too_large_for_a_task_fails(spark, vectors, monkeypatch):
+    import pytest
+
+    from curvine.operators import coreset
+
+    monkeypatch.setattr(coreset, "PART_BYTES", 100)
+    with pytest.raises(Exception, match="use more parts"):
+        coreset.greedi(vectors[0], {c: 2 for c in range(6)}, 1).collect()
