@@ -11,7 +11,7 @@ from curvine.functions import kernels
 from curvine.functions import vectors as V
 from curvine.functions.hashing import id_hash
 from curvine.operators import knn
-from curvine.plans.bounded import collect_bounded
+from curvine.plans.bounded import TooLarge, collect_bounded
 from curvine.plans.ranking import rank_rows
 from curvine.session import checkpoint
 
@@ -89,8 +89,8 @@ def sample_rows(df: DataFrame, k: int, *, seed: int = 0, id_col="vec_id", vec_co
 
 
 def centroid_frame(df: DataFrame, cids: np.ndarray, vectors: np.ndarray) -> DataFrame:
-    rows = [(int(c), [float(x) for x in v]) for c, v in zip(cids, vectors)]
-    return df.sparkSession.createDataFrame(rows, "cid bigint, centroid array<double>")
+    table = pa.table({"cid": pa.array(cids, pa.int64()), "centroid": kernels.list_column(np.asarray(vectors, np.float64), pa.float64())})
+    return df.sparkSession.createDataFrame(table)
 
 
 def _normalized(x: np.ndarray) -> np.ndarray:
@@ -115,7 +115,8 @@ def kmeans(
     rows = df.select(id_col, vec_col)
     for step in range(max_iter):
         assigned = assign_rows(rows, cids, vectors, metric, coarse, nprobe, vec_col)
-        found = {r["cid"]: r["mean"] for r in collect_bounded(group_means(assigned, ["cid"], vec_col))}
+        # one row per centroid at most
+        found = {r["cid"]: r["mean"] for r in collect_bounded(group_means(assigned, ["cid"], vec_col), len(cids))}
         new = vectors.copy()
         for i, cid in enumerate(cids):
             if int(cid) in found:
@@ -137,7 +138,7 @@ def kmeans(
 def _require_small(centroids: DataFrame):
     small = knn.centroid_matrix(centroids)
     if small is None:
-        raise ValueError("the centroids do not fit into a task; cluster in two levels")
+        raise TooLarge(f"the centroids take more than {knn.CENTROID_BYTES} bytes")
     return small
 
 
@@ -152,11 +153,13 @@ def _assign_two_level(df, cids, vectors, metric, coarse, nprobe, vec_col) -> Dat
 
     The first ``coarse`` centroids lead the groups; every centroid joins its nearest leader.
     """
-    leaders = vectors[:coarse]
-    _, group, _ = kernels.top_k(metric, vectors, leaders, 1)
+    _, group, _ = kernels.top_k(metric, vectors, vectors[:coarse], 1)
     at = df.columns.index(vec_col)
+    sent = df.sparkSession.sparkContext.broadcast((cids, vectors, group))
 
     def run(batches):
+        cids, vectors, group = sent.value
+        leaders = vectors[:coarse]
         for batch in batches:
             if batch.num_rows == 0:
                 continue

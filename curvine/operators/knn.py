@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from curvine.functions import kernels
 from curvine.plans.blocks import BLOCK_ROWS, block_join, self_block_join
-from curvine.plans.bounded import TooLarge, collect_bounded, fits
+from curvine.plans.bounded import collect_bounded
 from curvine.plans.ranking import top_k_within
 from curvine.session import checkpoint
 
@@ -243,18 +243,22 @@ def similar_pairs_topk(df: DataFrame, k: int, min_sim: float, *, within: str, me
 # --- assignment to a bounded set of centroids -------------------------------
 
 
+# Doubles of all centroids: 100 000 of 768 dimensions take 0.6 GB. Their number is a
+# parameter of the caller, never a function of the rows.
+CENTROID_BYTES = 1 << 30
+
+
 def centroid_matrix(centroids: DataFrame, cid_col: str = "cid", vec_col: str = "centroid") -> tuple[np.ndarray, np.ndarray] | None:
     """Centroids as arrays when they are few enough to travel to every task, else None."""
-    try:
-        rows = collect_bounded(centroids.select(cid_col, vec_col).orderBy(cid_col))
-    except TooLarge:
-        return None
-    if not rows:
+    first = centroids.select(F.size(vec_col)).limit(1).collect()
+    if not first:
         raise ValueError("no centroids")
-    vectors = np.array([r[1] for r in rows], dtype=np.float64)
-    if not fits(*vectors.shape):
+    most = CENTROID_BYTES // (8 * max(1, first[0][0]))
+    found = centroids.select(F.col(cid_col).cast("bigint").alias("c"), F.col(vec_col).cast("array<double>").alias("v")).limit(most + 1).toArrow()
+    if found.num_rows > most:
         return None
-    return np.array([r[0] for r in rows], dtype=np.int64), vectors
+    found = found.sort_by("c")
+    return found.column("c").to_numpy(), kernels.matrix(found.column("v"))
 
 
 def assign(
@@ -283,8 +287,10 @@ def assign_to(df: DataFrame, cids: np.ndarray, vectors: np.ndarray, *, metric="s
     """``assign`` for centroids already held as arrays; also works on a streaming DataFrame."""
     kept = df.filter(F.col(vec_col).isNotNull())
     at = df.columns.index(vec_col)
+    sent = df.sparkSession.sparkContext.broadcast((cids, vectors))
 
     def run(batches):
+        cids, vectors = sent.value
         for batch in batches:
             if batch.num_rows == 0:
                 continue
