@@ -123,18 +123,25 @@ def eval_retrieval_ranks(spark, d):
     return _ranks(spark, d)
 
 
-# --- texts: a document, the next one as its prediction, the two after that as references ---
+# --- texts: a document, the next one by id as its prediction, the two after that as references; the last goes on with the first ---
 
-T_SQL = """t AS (SELECT a.doc_id, a.text AS source, b.text AS prediction, [c.text, f.text] AS refs FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 JOIN documents c ON c.doc_id = a.doc_id + 2 JOIN documents f ON f.doc_id = a.doc_id + 3)"""
+T_SQL = """o AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents),
+t AS (SELECT a.doc_id, a.text AS source, b.text AS prediction, [c.text, f.text] AS refs FROM o a JOIN o b ON b.i = (a.i + 1) % a.n JOIN o c ON c.i = (a.i + 2) % a.n JOIN o f ON f.i = (a.i + 3) % a.n)"""
 
 
 def _triples(spark, d):
+    from curvine.plans.ranking import rank_rows
+    from curvine.session import checkpoint
+
     docs = table(spark, d, "documents").select("doc_id", "text")
+    # only ids are ranked; texts join their place once for each role
+    places = checkpoint(rank_rows(docs.select("doc_id"), [F.col("doc_id")], rank="i", totals_too=True))
 
     def shifted(k, name):
-        return docs.select((F.col("doc_id") - k).alias("doc_id"), F.col("text").alias(name))
+        at = F.pmod(F.col("i") - 1 - k, F.col("i_total")).alias("i")
+        return docs.join(places, "doc_id").select(*(["doc_id"] if k == 0 else []), at, F.col("text").alias(name))
 
-    rows = docs.withColumnRenamed("text", "source").join(shifted(1, "prediction"), "doc_id").join(shifted(2, "r1"), "doc_id").join(shifted(3, "r2"), "doc_id")
+    rows = shifted(0, "source").join(shifted(1, "prediction"), "i").join(shifted(2, "r1"), "i").join(shifted(3, "r2"), "i")
     return rows.select("doc_id", "source", "prediction", F.array("r1", "r2").alias("references"))
 
 
@@ -151,10 +158,10 @@ def grams_sql(tokens: str, where: str, keys: str) -> str:
 
 
 # The n-grams of a document are counted once; a row then takes those of four documents.
-SARI_SQL = f"""WITH t AS (SELECT a.doc_id FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 JOIN documents c ON c.doc_id = a.doc_id + 2 JOIN documents f ON f.doc_id = a.doc_id + 3),
-tok AS MATERIALIZED (SELECT doc_id, {words_sql('text')} AS w FROM documents), gc AS MATERIALIZED (SELECT doc_id, n, gram, count(*) AS c FROM ({grams_sql('w', 'tok', 'doc_id')}) GROUP BY ALL),
-g AS (SELECT doc_id, rn, n, gram, c AS s, 0 AS p, 0 AS r FROM gc, range(1, 3) x(rn) UNION ALL SELECT doc_id - 1, rn, n, gram, 0, c, 0 FROM gc, range(1, 3) x(rn) UNION ALL SELECT doc_id - 1 - rn, rn, n, gram, 0, 0, c FROM gc, range(1, 3) x(rn)),
-c AS (SELECT doc_id, rn, n, gram, sum(s) AS s, sum(p) AS p, sum(r) AS r FROM g WHERE doc_id IN (SELECT doc_id FROM t) GROUP BY ALL),
+SARI_SQL = f"""WITH o AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, text FROM documents), t AS (SELECT doc_id FROM o), z AS (SELECT count(*) AS z FROM o),
+tok AS MATERIALIZED (SELECT doc_id, {words_sql('text')} AS w FROM o), gc AS MATERIALIZED (SELECT doc_id, n, gram, count(*) AS c FROM ({grams_sql('w', 'tok', 'doc_id')}) GROUP BY ALL),
+g AS (SELECT doc_id, rn, n, gram, c AS s, 0 AS p, 0 AS r FROM gc, range(1, 3) x(rn) UNION ALL SELECT (doc_id - 1 + z) % z, rn, n, gram, 0, c, 0 FROM gc, z, range(1, 3) x(rn) UNION ALL SELECT (doc_id - 1 - rn + z) % z, rn, n, gram, 0, 0, c FROM gc, z, range(1, 3) x(rn)),
+c AS (SELECT doc_id, rn, n, gram, sum(s) AS s, sum(p) AS p, sum(r) AS r FROM g GROUP BY ALL),
 f AS (SELECT doc_id, rn, n, coalesce(sum(least(s, p, r)) / nullif(sum(least(s, p)), 0)::DOUBLE, 0) AS kp, coalesce(sum(least(s, p, r)) / nullif(sum(least(s, r)), 0)::DOUBLE, 0) AS kr,
   coalesce(sum(least(greatest(p - s, 0), greatest(r - s, 0))) / nullif(sum(greatest(p - s, 0)), 0)::DOUBLE, 0) AS ad, coalesce(sum(least(greatest(s - p, 0), greatest(s - r, 0))) / nullif(sum(greatest(s - p, 0)), 0)::DOUBLE, 0) AS de FROM c GROUP BY ALL),
 w AS (SELECT doc_id, sum(coalesce(2 * kp * kr / nullif(kp + kr, 0), 0) + ad + de) / 4 / 3 * 100 / 2 AS x FROM f GROUP BY doc_id)
