@@ -24,8 +24,9 @@ SCOPE = 400
 # Certain patterns as (kind, pattern, group to measure, characters needed, cheap test).
 CERTAIN = [
     ("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6, r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"),
-    ("access", r"AKIA[A-Z0-9]+", 0, 20, r"AKIA[A-Z0-9]"),
-    ("hex", r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
+    # a match takes all it can, so asking for the length in the pattern finds the same spans without the short ones
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20, r"AKIA[A-Z0-9]{16}"),
+    ("hex", r"[0-9a-f]{24,}", 0, 24, r"[0-9a-f]{24}"),
 ]
 # Weak parts, in the same form.
 WEAK = [
