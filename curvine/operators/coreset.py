@@ -17,7 +17,8 @@ from curvine.operators import knn
 from curvine.operators.cluster import group_means
 from curvine.plans.blocks import BLOCK_ROWS, block_join, self_block_join
 from curvine.plans.bounded import MAX_BROADCAST_BYTES, TooLarge, collect_bounded
-from curvine.plans.ranking import half_even, rank_rows
+from curvine.plans.join_hot import MAX_HOT_KEYS, join_lookup
+from curvine.plans.ranking import half_even, rank_rows, running_totals
 from curvine.session import checkpoint
 
 # --- easy and hard rows of every cluster ------------------------------------------
@@ -58,29 +59,24 @@ def scip_prune(
 ) -> DataFrame:
     """Prune a share ``p`` of the rows: first from the smallest clusters, then the farthest of the rest.
 
-    Returns every row as ``(id, cid, dist, cluster_size, kept, reason)``. Cluster
-    sizes, one number per cluster, decide on the driver which clusters go whole;
-    only rows of the clusters at the cut, and the rows that stay, are ranked.
+    Returns every row as ``(id, cid, dist, cluster_size, kept, reason)``. Running totals
+    over the table of cluster sizes decide which clusters go whole, so three numbers
+    reach the driver; only rows of the clusters at the cut, and the rows that stay,
+    are ranked.
     """
     rows = checkpoint(assigned.select(id_col, cid_col, distance.alias("dist")))
-    sizes = {r[0]: r["n"] for r in collect_bounded(rows.groupBy(cid_col).agg(F.count(F.lit(1)).alias("n")))}
-    n = sum(sizes.values())
+    sizes = checkpoint(rows.groupBy(cid_col).agg(F.count(F.lit(1)).alias("cluster_size")))
+    n = sizes.agg(F.sum("cluster_size")).collect()[0][0] or 0
     total = round_half_even(p, n)
     size_quota = round_half_even(alpha, total)
-    whole, cut, left = [], [], size_quota
-    for size in sorted(set(sizes.values())):
-        same = [c for c, s in sizes.items() if s == size]
-        if size * len(same) <= left:
-            whole += same
-            left -= size * len(same)
-        else:
-            cut = same if left else []
-            break
-    fate = rows.sparkSession.createDataFrame(
-        [(c, s, c in whole, c in cut) for c, s in sizes.items()], f"{cid_col} bigint, cluster_size bigint, whole boolean, cut boolean"
-    )
-    # one row per cluster, and collect_bounded has checked how many there are
-    marked = rows.join(F.broadcast(fate), cid_col)
+    per_size = sizes.groupBy("cluster_size").agg((F.col("cluster_size") * F.count(F.lit(1))).alias("rows"))
+    upto = checkpoint(running_totals(per_size, [F.col("cluster_size")], {"upto": F.col("rows")}))
+    inside = F.col("upto") <= size_quota
+    largest, spent, at_cut_size = upto.agg(F.max(F.when(inside, F.col("cluster_size"))), F.max(F.when(inside, F.col("upto"))), F.min(F.when(~inside, F.col("cluster_size")))).collect()[0]
+    left = size_quota - (spent or 0)
+    cut = left > 0 and at_cut_size is not None
+    fate = sizes.withColumns({"whole": F.col("cluster_size") <= (largest or 0), "cut": F.col("cluster_size") == (at_cut_size if cut else -1)})
+    marked = join_lookup(rows, fate, cid_col, max(1, n // MAX_HOT_KEYS), "cluster_size")
     pruned = marked.filter("whole").withColumn("reason", F.lit("size"))
     rest = marked.filter("NOT whole")
     if cut:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,10 @@ def energy_score(logits, temperature: float = 1.0) -> Column:
 # --- Mahalanobis ----------------------------------------------------------------------
 
 
+# Tasks whose sums are added up together first.
+FAN_IN = 1024
+
+
 class GaussianFit:
     """Class means and precision matrices; small arrays on the driver."""
 
@@ -78,24 +83,30 @@ def _scatter(df: DataFrame, class_col: str, vec_col: str, per_class: bool) -> tu
             rows_out = [(0, c, -1, n, s) for c, (n, s) in sums.items()]
             rows_out += [(1, c, i, 0, line) for c, m in outer.items() for i, line in enumerate(m)]
             kind, c, i, n, v = zip(*rows_out)
+            task = np.full(len(kind), TaskContext.get().partitionId())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kind, pa.int64()), pa.array(c, pa.int64()), pa.array(i, pa.int64()), pa.array(n, pa.int64()), kernels.list_column(np.array(v), pa.float64())],
-                names=["kind", "c", "i", "n", "v"],
+                [pa.array(kind, pa.int64()), pa.array(c, pa.int64()), pa.array(i, pa.int64()), pa.array(n, pa.int64()), kernels.list_column(np.array(v), pa.float64()), pa.array(task, pa.int64())],
+                names=["kind", "c", "i", "n", "v", "task"],
             )
 
     def add_up(key, table):
+        # in the order of the tasks, so that a repeated run adds up alike
+        table = table.sort_by("task")
         total = kernels.matrix(table.column("v")).sum(axis=0, keepdims=True)
         return pa.table(
             {
                 **{name: pa.array([k.as_py()], pa.int64()) for name, k in zip(("kind", "c", "i"), key)},
                 "n": pa.array([int(table.column("n").to_numpy().sum())], pa.int64()),
                 "v": kernels.list_column(total, pa.float64()),
+                "task": table.column("task").slice(0, 1),
             }
         )
 
-    schema = "kind bigint, c bigint, i bigint, n bigint, v array<double>"
-    # one row per task in a group, whatever the number of input rows
-    parts = collect_bounded(rows.mapInArrow(run, schema).groupBy("kind", "c", "i").applyInArrow(add_up, schema))
+    schema = "kind bigint, c bigint, i bigint, n bigint, v array<double>, task bigint"
+    # one line per task and matrix row, added up in two steps: no group holds more than tasks / FAN_IN or FAN_IN lines
+    lines = rows.mapInArrow(run, schema)
+    some = lines.withColumn("some", F.expr(f"task div {FAN_IN}")).groupBy("kind", "c", "i", "some").applyInArrow(add_up, schema)
+    parts = collect_bounded(some.groupBy("kind", "c", "i").applyInArrow(add_up, schema))
     sums = {r["c"]: (r["n"], np.array(r["v"])) for r in parts if r["kind"] == 0}
     outer: dict = {}
     for r in sorted((r for r in parts if r["kind"] == 1), key=lambda r: (r["c"], r["i"])):
