@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +38,10 @@ FOLDS, HELD_OUT = 10, 0
 END = 10  # a word holds no line feed
 END_WORD = b"\n"
 # What a task works on at once, keeps before it passes its counts on, and sends in one batch.
-PIECE_CHARS, TALLY_KEYS, BATCH_ROWS = 1 << 20, 600_000, 100_000
-BLOCK_BYTES = 16 << 20
+PIECE_CHARS, TALLY_KEYS, BATCH_ROWS = 1 << 20, 1_600_000, 100_000
+BLOCK_BYTES = 32 << 20
+# Keys: a mark, then the six bytes of a gram or the bytes of a word. Values travel as whole numbers of this unit.
+GRAM, WORD, UNIT = b"\x01", b"\x02", 1e-8
 UNIFORM = 1 / 256
 
 
@@ -74,6 +77,20 @@ def _pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def _gram_keys(gram: np.ndarray) -> pa.Array:
+    rows = np.empty((len(gram), DEPTH + 2), np.uint8)
+    rows[:, 0] = GRAM[0]
+    rows[:, 1:] = gram.astype(">i8").view(np.uint8).reshape(-1, 8)[:, 7 - DEPTH :]
+    return pa.Array.from_buffers(pa.binary(), len(gram), [None, pa.py_buffer(np.arange(len(gram) + 1, dtype=np.int32) * (DEPTH + 2)), pa.py_buffer(rows.tobytes())])
+
+
+def _grams_of(keys: pa.Array) -> np.ndarray:
+    rows = np.frombuffer(b"".join(keys.to_pylist()), np.uint8).reshape(-1, DEPTH + 2)
+    wide = np.zeros((len(rows), 8), np.uint8)
+    wide[:, 7 - DEPTH :] = rows[:, 1:]
+    return wide.view(">i8").ravel().astype(np.int64)
+
+
 class _Tally:
     """Counts of grams and words of the training texts; texts held out only name theirs.
 
@@ -85,36 +102,39 @@ class _Tally:
         self.clear()
 
     def clear(self) -> None:
-        self.gram, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.words: Counter[bytes] = Counter()
 
     def add(self, texts: list[str], held: list[bool]) -> Iterator[pa.RecordBatch]:
         for first, last in _pieces(texts):
-            parts = [(self.gram, self.n)]
             for kind in (False, True):
                 own = [lower_words(texts[i]) for i in range(first, last) if held[i] == kind]
                 if not own:
                     continue
                 gram, n = np.unique(_grams([symbols(w) for w in own])[0], return_counts=True)
-                parts.append((gram, n * (not kind)))
+                self.parts.append((gram, n * (not kind)))
                 for w in own:
                     self.words.update(dict.fromkeys(w, 0) if kind else w)
                 self.words[END_WORD] += 0 if kind else len(own)
-            keys, sums = zip(*parts)
-            self.gram, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            self.n = np.bincount(inverse, np.concatenate(sums), len(self.gram)).astype(np.int64)
-            if len(self.gram) + len(self.words) > TALLY_KEYS:
+            if sum(len(g) for g, _ in self.parts) > TALLY_KEYS:
+                self.merge()
+            if len(self.words) + len(self.parts[0][0]) > TALLY_KEYS:
                 yield from self.flush()
 
+    def merge(self) -> None:
+        keys, sums = zip(*self.parts)
+        gram, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        self.parts = [(gram, np.bincount(inverse, np.concatenate(sums), len(gram)).astype(np.int64))]
+
     def flush(self) -> Iterator[pa.RecordBatch]:
-        grams, words = len(self.gram), len(self.words)
-        columns = {
-            "gram": pa.concat_arrays([pa.array(self.gram), pa.nulls(words, pa.int64())]),
-            "word": pa.concat_arrays([pa.nulls(grams, pa.binary()), pa.array(list(self.words), pa.binary())]),
-            "n": pa.array(np.concatenate([self.n, np.fromiter(self.words.values(), np.int64, words)])),
-        }
+        if not self.parts:
+            return
+        self.merge()
+        gram, n = self.parts[0]
+        words = pa.array([WORD + w for w in self.words], pa.binary())
+        columns = {"key": pa.concat_arrays([_gram_keys(gram), words]), "n": pa.array(np.concatenate([n, np.fromiter(self.words.values(), np.int64, len(words))]))}
         if self.block is not None:
-            columns = {"block": pa.array(np.full(grams + words, self.block), pa.int64()), **columns}
+            columns = {"block": pa.array(np.full(len(columns["n"]), self.block), pa.int64()), "key": columns["key"]}
         self.clear()
         whole = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
         for at in range(0, whole.num_rows, BATCH_ROWS):
@@ -122,7 +142,7 @@ class _Tally:
 
 
 def count_corpus(rows: DataFrame) -> DataFrame:
-    """``(gram, word, n)``: training counts of all grams and words, one of ``gram`` and ``word`` null."""
+    """``(key, n)``: training counts of all grams and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally()
@@ -130,8 +150,7 @@ def count_corpus(rows: DataFrame) -> DataFrame:
             yield from tally.add(batch.column("text").to_pylist(), batch.column("held_out").to_pylist())
         yield from tally.flush()
 
-    counted = rows.mapInArrow(run, "gram bigint, word binary, n bigint")
-    return counted.groupBy("gram", "word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "key binary, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def tree_probabilities(grams: DataFrame, depth: int = DEPTH, min_gain: float = MIN_GAIN) -> DataFrame:
@@ -175,23 +194,20 @@ def score(docs: DataFrame, held_out: Column | None = None, min_gain: float = MIN
     held_out = (id_bucket(FOLDS) == HELD_OUT) if held_out is None else held_out
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counts = checkpoint(count_corpus(rows))
-    words = counts.filter("word IS NOT NULL")
-    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).collect()[0]
-    tree = tree_probabilities(counts.filter("gram IS NOT NULL"), DEPTH, min_gain)
-    values = tree.select("gram", F.lit(None).cast("binary").alias("word"), F.log10("p").alias("value"), F.lit(None).cast("boolean").alias("known")).unionByName(
-        words.select("gram", "word", F.log10((F.col("n") + 0.1) / (F.lit(total) + 0.1 * (kinds + 1))).alias("value"), (F.col("n") > 0).alias("known"))
-    )
+    is_word = F.substring("key", 1, 1) == F.lit(WORD)
+    total, kinds = counts.filter(is_word).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).collect()[0]
+    grams = counts.filter(~is_word).select(F.conv(F.hex(F.substring("key", 2, DEPTH + 1)), 16, 10).cast("bigint").alias("gram"), "n")
+    tree = tree_probabilities(grams, DEPTH, min_gain)
+    # 0 for the leading zeros that a number drops
+    gram_key = F.unhex(F.concat(F.lit(GRAM.hex()), F.lpad(F.hex("gram"), 2 * (DEPTH + 1), "0")))
+    values = counts.filter(is_word).select("key", F.col("n").alias("value")).unionByName(tree.select(gram_key.alias("key"), F.round(F.log10("p") / UNIT).cast("bigint").alias("value")))
     size = rows.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     blocks = max(1, -(-size // block_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks))).repartition("block").sortWithinPartitions("block")
-    wanted = dealt.mapInArrow(_wanted_rows, "block bigint, gram bigint, word binary, n bigint").drop("n")
-    by_gram = wanted.filter("gram IS NOT NULL").select("block", "gram").join(values.filter("gram IS NOT NULL").select("gram", "value"), "gram")
-    by_word = wanted.filter("word IS NOT NULL").select("block", "word").join(values.filter("word IS NOT NULL").select("word", "value", "known"), "word")
-    answers = by_gram.select("block", "gram", F.lit(None).cast("binary").alias("word"), "value", F.lit(None).cast("boolean").alias("known")).unionByName(
-        by_word.select("block", F.lit(None).cast("bigint").alias("gram"), "word", "value", "known")
-    )
+    wanted = dealt.mapInArrow(_wanted_rows, "block bigint, key binary")
+    answers = wanted.join(values, "key").select("block", "key", "value")
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(int(total)), schema)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(int(total), int(kinds)), schema)
 
 
 def _wanted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,15 +226,17 @@ def _wanted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from tally.flush()
 
 
-def _scorer(total: int):
+def _scorer(total: int, kinds: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        grams = answers.filter(answers.column("gram").is_valid())
-        gram, value = grams.column("gram").to_numpy(), grams.column("value").to_numpy()
+        is_word = pc.starts_with(answers.column("key"), WORD)
+        grams = answers.filter(pc.invert(is_word))
+        gram, value = _grams_of(grams.column("key")), grams.column("value").to_numpy() * UNIT
         by = np.argsort(gram, kind="stable")
         gram, value = gram[by], value[by]
-        words = answers.filter(answers.column("word").is_valid())
-        place = {w: i for i, w in enumerate(words.column("word").to_pylist())}
-        base, known = words.column("value").to_numpy(), words.column("known").to_numpy()
+        words = answers.filter(is_word)
+        place = {w[1:]: i for i, w in enumerate(words.column("key").to_pylist())}
+        count = words.column("value").to_numpy()
+        base, known = np.log10((count + 0.1) / (total + 0.1 * (kinds + 1))), count > 0
         out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
         for batch in docs.select(["text"]).to_batches(max_chunksize=1000):
             texts = batch.column(0).to_pylist()
