@@ -41,7 +41,7 @@ END_WORD = b"\n"
 PIECE_CHARS, TALLY_KEYS, BATCH_ROWS = 1 << 20, 1_600_000, 100_000
 BLOCK_BYTES = 32 << 20
 # Keys: a mark, then the six bytes of a gram or the bytes of a word. Values travel as whole numbers of this unit.
-GRAM, WORD, UNIT = b"\x01", b"\x02", 1e-8
+GRAM, WORD, UNIT = b"\x01", b"\x02", 1e-11
 UNIFORM = 1 / 256
 
 
