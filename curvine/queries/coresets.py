@@ -252,7 +252,7 @@ def greedi_half_budget(spark, d):
     return picks.select("label", "step", "vec_id", F.round("gain", 6).alias("gain"), "weight")
 
 
-@query("facility_log_value", FL_SQL + f""", {ALL_PICKS}, n AS (SELECT label::BIGINT AS label, count(*) AS n FROM e GROUP BY ALL),
+@query("facility_log_value", FL_SQL + f""", pk AS ({' UNION ALL '.join(f'SELECT g AS label, {t}::BIGINT AS step, vec_id, gain FROM p{t}' for t in range(STEPS))}), n AS (SELECT label::BIGINT AS label, count(*) AS n FROM e GROUP BY ALL),
 lv AS (SELECT label, step, vec_id, ln(1 + sum(gain) OVER (PARTITION BY label ORDER BY step) / n) / ln(2.0::DOUBLE) AS log_value FROM pk JOIN n USING (label))
 SELECT label, step, vec_id, round(log_value, 6) AS log_value, round(log_value - coalesce(lag(log_value) OVER (PARTITION BY label ORDER BY step), 0), 6) AS log_gain FROM lv""")
 def facility_log_value(spark, d):
