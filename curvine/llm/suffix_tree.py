@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ FOLDS, HELD_OUT = 10, 0
 END = 10  # a word holds no line feed
 END_WORD = b"\n"
 # What a task works on at once, keeps before it passes its counts on, and sends in one batch.
-PIECE_CHARS, TALLY_KEYS, BATCH_ROWS = 1 << 20, 1_600_000, 100_000
+ROWS, PIECE_CHARS, TALLY_KEYS, BATCH_ROWS = 1000, 1 << 19, 1_400_000, 100_000
 BLOCK_BYTES = 32 << 20
 # Keys: a mark, then the six bytes of a gram or the bytes of a word. Values travel as whole numbers of this unit.
 GRAM, WORD, UNIT = b"\x01", b"\x02", 1e-11
@@ -104,22 +105,28 @@ class _Tally:
     def clear(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.words: Counter[bytes] = Counter()
-
-    def add(self, texts: list[str], held: list[bool]) -> Iterator[pa.RecordBatch]:
-        for first, last in _pieces(texts):
-            for kind in (False, True):
-                own = [lower_words(texts[i]) for i in range(first, last) if held[i] == kind]
-                if not own:
-                    continue
-                gram, n = np.unique(_grams([symbols(w) for w in own])[0], return_counts=True)
-                self.parts.append((gram, n * (not kind)))
-                for w in own:
-                    self.words.update(dict.fromkeys(w, 0) if kind else w)
-                self.words[END_WORD] += 0 if kind else len(own)
-            if sum(len(g) for g, _ in self.parts) > TALLY_KEYS:
-                self.merge()
-            if len(self.words) + len(self.parts[0][0]) > TALLY_KEYS:
-                yield from self.flush()
+        self.named: set[bytes] = set()
+
+    def add(self, texts: pa.Array, held: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(texts), ROWS):
+            some, held_some = texts.slice(at, ROWS).to_pylist(), held[at : at + ROWS]
+            for first, last in _pieces(some):
+                for kind in (False, True):
+                    own = [lower_words(some[i]) for i in range(first, last) if held_some[i] == kind]
+                    if not own:
+                        continue
+                    gram, n = np.unique(_grams([symbols(w) for w in own])[0], return_counts=True)
+                    self.parts.append((gram, n * (not kind)))
+                    for w in own:
+                        (self.named if kind else self.words).update(w)
+                    if kind:
+                        self.named.add(END_WORD)
+                    else:
+                        self.words[END_WORD] += len(own)
+                if sum(len(g) for g, _ in self.parts) > TALLY_KEYS:
+                    self.merge()
+                if len(self.words) + len(self.named) + len(self.parts[0][0]) > TALLY_KEYS:
+                    yield from self.flush()
 
     def merge(self) -> None:
         keys, sums = zip(*self.parts)
@@ -131,14 +138,18 @@ class _Tally:
             return
         self.merge()
         gram, n = self.parts[0]
-        words = pa.array([WORD + w for w in self.words], pa.binary())
-        columns = {"key": pa.concat_arrays([_gram_keys(gram), words]), "n": pa.array(np.concatenate([n, np.fromiter(self.words.values(), np.int64, len(words))]))}
-        if self.block is not None:
-            columns = {"block": pa.array(np.full(len(columns["n"]), self.block), pa.int64()), "key": columns["key"]}
+        for at in range(0, len(gram), BATCH_ROWS):
+            yield self._batch(_gram_keys(gram[at : at + BATCH_ROWS]), n[at : at + BATCH_ROWS])
+        for words in (self.words.items(), ((w, 0) for w in self.named if w not in self.words)):
+            words = iter(words)
+            while some := list(islice(words, BATCH_ROWS)):
+                yield self._batch(pa.array([WORD + w for w, _ in some], pa.binary()), np.array([c for _, c in some]))
         self.clear()
-        whole = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-        for at in range(0, whole.num_rows, BATCH_ROWS):
-            yield whole.slice(at, BATCH_ROWS)
+
+    def _batch(self, keys: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        if self.block is None:
+            return pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64())], names=["key", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), self.block), pa.int64()), keys], names=["block", "key"])
 
 
 def count_corpus(rows: DataFrame) -> DataFrame:
@@ -147,7 +158,7 @@ def count_corpus(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally()
         for batch in batches:
-            yield from tally.add(batch.column("text").to_pylist(), batch.column("held_out").to_pylist())
+            yield from tally.add(batch.column("text"), batch.column("held_out").to_numpy(zero_copy_only=False))
         yield from tally.flush()
 
     return rows.mapInArrow(run, "key binary, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
@@ -195,6 +206,8 @@ def score(docs: DataFrame, held_out: Column | None = None, min_gain: float = MIN
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counts = checkpoint(count_corpus(rows))
     is_word = F.substring("key", 1, 1) == F.lit(WORD)
+    # the shuffle that counted is over; the files of shuffles nobody holds go with the next collection
+    docs.sparkSession.sparkContext._jvm.System.gc()
     total, kinds = counts.filter(is_word).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).collect()[0]
     grams = counts.filter(~is_word).select(F.conv(F.hex(F.substring("key", 2, DEPTH + 1)), 16, 10).cast("bigint").alias("gram"), "n")
     tree = tree_probabilities(grams, DEPTH, min_gain)
@@ -221,7 +234,7 @@ def _wanted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if tally:
                     yield from tally.flush()
                 tally = _Tally(int(block[first]))
-            yield from tally.add(texts.slice(first, last - first).to_pylist(), [True] * int(last - first))
+            yield from tally.add(texts.slice(first, last - first), np.ones(last - first, bool))
     if tally:
         yield from tally.flush()
 
@@ -243,10 +256,12 @@ def _scorer(total: int, kinds: int):
             for first, last in _pieces(texts):
                 own = [lower_words(t) for t in texts[first:last]]
                 asked, starts = _grams([symbols(w) for w in own])
+                # sorted queries are far quicker to look up
+                asked, inverse = np.unique(asked, return_inverse=True)
                 row = np.minimum(np.searchsorted(gram, asked), len(gram) - 1)
                 if not np.array_equal(gram[row], asked):
                     raise LookupError("a context of this block has no value")
-                out["score"] += np.add.reduceat(value[row], starts).tolist()
+                out["score"] += np.add.reduceat(value[row][inverse], starts).tolist()
                 for w in own:
                     at = np.fromiter(map(place.__getitem__, [*w, END_WORD]), np.int64, len(w) + 1)
                     out["n_tokens"].append(len(at))
