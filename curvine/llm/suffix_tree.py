@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvine.llm.common import id_bucket, lower_words, text_of
-from curvine.session import checkpoint
+from curvine.sources.sinks import scratch_folder
 
 DEPTH = 5
 MIN_GAIN = 2.0
@@ -39,7 +39,7 @@ FOLDS, HELD_OUT = 10, 0
 END = 10  # a word holds no line feed
 END_WORD = b"\n"
 # What a task works on at once, keeps before it passes its counts on, and sends in one batch.
-ROWS, PIECE_CHARS, TALLY_KEYS, BATCH_ROWS = 1000, 1 << 19, 1_400_000, 100_000
+ROWS, PIECE_CHARS, MERGE_KEYS, TALLY_KEYS, BATCH_ROWS = 500, 1 << 18, 300_000, 1_200_000, 50_000
 BLOCK_BYTES = 32 << 20
 # Keys: a mark, then the six bytes of a gram or the bytes of a word. Values travel as whole numbers of this unit.
 GRAM, WORD, UNIT = b"\x01", b"\x02", 1e-11
@@ -123,7 +123,7 @@ class _Tally:
                         self.named.add(END_WORD)
                     else:
                         self.words[END_WORD] += len(own)
-                if sum(len(g) for g, _ in self.parts) > TALLY_KEYS:
+                if sum(len(g) for g, _ in self.parts[1:]) > MERGE_KEYS:
                     self.merge()
                 if len(self.words) + len(self.named) + len(self.parts[0][0]) > TALLY_KEYS:
                     yield from self.flush()
@@ -193,6 +193,22 @@ def tree_probabilities(grams: DataFrame, depth: int = DEPTH, min_gain: float = M
     return below
 
 
+# Shuffle files of a finished query are removed when this setting is on.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """The rows as a compressed table in the shared folder; the shuffle that made them is removed."""
+    spark, path = df.sparkSession, scratch_folder(df.sparkSession)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def score(docs: DataFrame, held_out: Column | None = None, min_gain: float = MIN_GAIN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per input row.
 
@@ -204,10 +220,8 @@ def score(docs: DataFrame, held_out: Column | None = None, min_gain: float = MIN
     """
     held_out = (id_bucket(FOLDS) == HELD_OUT) if held_out is None else held_out
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    counts = checkpoint(count_corpus(rows))
+    counts = _written(count_corpus(rows))
     is_word = F.substring("key", 1, 1) == F.lit(WORD)
-    # the shuffle that counted is over; the files of shuffles nobody holds go with the next collection
-    docs.sparkSession.sparkContext._jvm.System.gc()
     total, kinds = counts.filter(is_word).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).collect()[0]
     grams = counts.filter(~is_word).select(F.conv(F.hex(F.substring("key", 2, DEPTH + 1)), 16, 10).cast("bigint").alias("gram"), "n")
     tree = tree_probabilities(grams, DEPTH, min_gain)
