@@ -198,11 +198,10 @@ def batchbald_select(
                 p = kernels.matrix(batch.column(1)).reshape(-1, k, c)
                 cond = _nats(p).sum(axis=2).mean(axis=1)
                 score = np.empty(len(p))
-                weight = joint.mean(axis=1)[None, :, None] * len(joint) if sampled else 1.0
                 step_rows = max(1, CHUNK_CELLS // (len(joint) * c))
                 for at in range(0, len(p), step_rows):  # a chunk of rows against all configurations
                     mixed = np.einsum("jk,rkc->rjc", joint, p[at : at + step_rows]) / k
-                    score[at : at + step_rows] = (_nats(mixed) / weight).sum(axis=(1, 2))
+                    score[at : at + step_rows] = _sampled_entropy(mixed, joint) if sampled else _nats(mixed).sum(axis=(1, 2))
                 score -= cond
                 free = ~np.isin(ids, picked)
                 if free.any():
@@ -235,6 +234,12 @@ def _nats(p: np.ndarray) -> np.ndarray:
     return -p * np.log(p, out=np.zeros_like(p), where=p > 0)
 
 
+def _sampled_entropy(mixed: np.ndarray, joint: np.ndarray):
+    """Joint entropy from drawn configurations; ``mixed`` may hold many rows."""
+    weight = joint.mean(axis=1)[:, None]
+    return (_nats(mixed) / weight).sum(axis=(-2, -1)) / len(joint)
+
+
 def _sample_joint(chosen: list[np.ndarray], per_sample: int, seed: int) -> np.ndarray:
     """Joint probabilities of label draws: ``per_sample`` draws from every model sample."""
     rng = np.random.default_rng(seed)
