@@ -1,13 +1,12 @@
 """Benchmark decontamination: BM25 over test items with block-max WAND, then verification.
 
 Spark weighs every term of every test item by BM25. An index holds the posting lists,
-cut into blocks of items with the largest weight of each block. Documents are read in
-overlapping passages, each long enough that an item that lies in the text lies whole in
-one of them, and every passage is a query. Weights are divided by the score an item
-must at least reach when enough of it is in the passage, so the threshold is 1 for all
-items and nothing above it is missed. Sums of list maxima skip passages, sums of block
-maxima skip blocks, and only what is left is scored exactly. Every hit is verified on
-the shingles of question and answer.
+cut into blocks of items with the largest weight of each block. The different terms of
+a whole document are one query, as the parts of an item may lie anywhere in the text.
+Weights are divided by the score an item must at least reach when enough of it is in
+the document, so the threshold is 1 for all items and nothing above it is missed. Sums
+of list maxima skip documents, sums of block maxima skip blocks, and only what is left
+is scored exactly. Every hit is verified on the shingles of question and answer.
 
 A benchmark larger than ``MAX_POSTINGS`` is searched in slices, one pass over the
 documents for each, so a task never holds more than one slice.
@@ -93,7 +92,6 @@ class Index:
 
     def __init__(self, rows: list, shingle: int, overlap: float, block_items: int = BLOCK_ITEMS):
         entries = []
-        self.longest = shingle
         for row in rows:
             question, answer = split_answer(row["text"])
             words = question + answer
@@ -107,7 +105,6 @@ class Index:
             ordered = sorted(weights.values())
             least = max(sum(ordered[: max(1, len(ordered) - max(0, absent))]), ordered[0])
             entries.append((least, Item(row["item_id"], parts), weights))
-            self.longest = max(self.longest, len(words))
         # items with like thresholds share a block, which keeps its maxima close
         entries.sort(key=lambda e: (e[0], e[1].item_id or 0))
         self.items = [e[1] for e in entries]
@@ -126,22 +123,22 @@ class Index:
         self.term_max = np.maximum.reduceat(self.block_max, self.term_from[:-1]) if len(opens) else np.zeros(0)
         self.blocks = -(-len(self.items) // block_items)
 
-    def search(self, passage: np.ndarray, term: np.ndarray, passages: int) -> tuple[np.ndarray, np.ndarray]:
-        """All (passage, item) whose score reaches 1; input: one row per passage and distinct term."""
+    def search(self, doc: np.ndarray, term: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """All (document, item) whose score reaches 1; input: one row per document and distinct term."""
         slack = 1 - 1e-9
-        # sums of list maxima: passages that cannot reach the threshold leave
-        may = np.bincount(passage, self.term_max[term], passages) >= slack
-        keep = may[passage]
-        passage, term = passage[keep], term[keep]
+        # sums of list maxima: documents that cannot reach the threshold leave
+        may = np.bincount(doc, self.term_max[term], docs) >= slack
+        keep = may[doc]
+        doc, term = doc[keep], term[keep]
         at, row = _expand(self.term_from[term], self.term_from[term + 1])
-        cell = passage[row] * self.blocks + self.block[at]
+        cell = doc[row] * self.blocks + self.block[at]
         # sums of block maxima: blocks that cannot hold an item above the threshold leave
         cells, inverse = np.unique(cell, return_inverse=True)
         high = np.bincount(inverse, self.block_max[at], len(cells)) >= slack
         keep = high[inverse]
         at, row = at[keep], row[keep]
         posting, own = _expand(self.block_from[at], self.block_from[at + 1])
-        pair = passage[row[own]] * len(self.items) + self.item[posting]
+        pair = doc[row[own]] * len(self.items) + self.item[posting]
         pairs, inverse = np.unique(pair, return_inverse=True)
         hits = pairs[np.bincount(inverse, self.weight[posting], len(pairs)) >= slack]
         return np.divmod(hits, max(1, len(self.items)))
@@ -163,27 +160,21 @@ class Index:
     def _verified(self, group: list[tuple[int, list[bytes]]]) -> Iterator[tuple[int, Item, int, int]]:
         if not self.terms:
             return
-        get, stride = self.terms.get, self.longest
+        get = self.terms.get
         ids = np.fromiter((get(w, -1) for _, words in group for w in words), np.int64, sum(len(w) for _, w in group))
-        lengths = np.array([len(w) for _, w in group], np.int64)
-        # strips of ``stride`` words; a passage is a strip and the next one of the same text
-        strips = np.maximum(1, -(-lengths // stride))
-        first = np.cumsum(strips) - strips
-        doc = np.repeat(np.arange(len(group)), lengths)
-        place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        strip = first[doc] + place // stride
+        doc = np.repeat(np.arange(len(group)), [len(w) for _, w in group])
         known = ids >= 0
-        strip, ids, inner = strip[known], ids[known], (place[known] >= stride)
-        key = np.unique(np.concatenate([strip * len(self.terms) + ids, (strip[inner] - 1) * len(self.terms) + ids[inner]]))
-        passage, item = self.search(*np.divmod(key, len(self.terms)), int(strips.sum()))
-        docs = np.searchsorted(first, passage, side="right") - 1
+        key = np.unique(doc[known] * len(self.terms) + ids[known])
+        docs, item = self.search(*np.divmod(key, len(self.terms)), len(group))
         for d in np.unique(docs):
             row, words = group[d]
-            there = set(shingles(words, self.shingle)) if len(words) > self.shingle else {tuple(words)}
-            for i in np.unique(item[docs == d]):
+            there: dict[int, set[tuple[bytes, ...]]] = {}
+            for i in item[docs == d]:
                 one = self.items[i]
                 width = len(next(iter(one.parts)))
-                q, a = one.found(there if width == self.shingle else set(zip(*[words[k:] for k in range(width)])))
+                if width not in there:
+                    there[width] = set(zip(*[words[k:] for k in range(width)]))
+                q, a = one.found(there[width])
                 if q + a >= self.overlap * len(one.parts) - 1e-9:
                     yield row, one, q, a
 

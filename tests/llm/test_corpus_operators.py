@@ -171,6 +171,23 @@ def test_leaks(spark, odd_rows, max_postings):
     assert Counter(r.doc_id for r in kept.collect()) == want and bad
 
 
+@pytest.mark.parametrize("max_postings", [1_000_000, 60])
+def test_leaks_of_items_in_pieces(spark, max_postings):
+    items = [(i, sentence(3000 + i, 38)) for i in range(6)] + [(10, "alpha beta"), (11, sentence(3100, 60))]
+    docs = []
+    for i, (_, text) in enumerate(items):
+        words = text.split()
+        for gap in (0, 50, 200, 3000):
+            for cuts in ([len(words) // 2], [len(words) // 3, 2 * len(words) // 3]):
+                pieces = [" ".join(words[a:b]) for a, b in zip([0, *cuts], [*cuts, len(words)])]
+                # the last piece first, as an exam may print its answers
+                docs.append((len(docs), f" {sentence(4000 + len(docs), gap)} ".join(reversed(pieces))))
+    got = Counter((r.doc_id, r.item_id, r.shingles, r.found) for r in decontam.find_leaks(make(spark, docs), items_of(spark, items), max_postings=max_postings).collect())
+    assert got == brute_leaks(docs, items) and sum(got.values()) > 24
+    kept = decontam.drop_contaminated(make(spark, docs), items_of(spark, items), max_postings=max_postings)
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, *_ in got}
+
+
 def test_leaks_of_empty_tables(spark, odd, odd_rows, empty):
     none = items_of(spark, [])
     assert decontam.find_leaks(odd, none).count() == 0
