@@ -3,9 +3,9 @@
 Certain spans are matches of fixed patterns. Weak parts (a dense random-looking word, an
 account name, an address) prove nothing alone. An interval join of the parts inside
 scopes links them: a weak secret is reported only near an access identifier, and the
-address only near both. Scopes are windows of characters; the join goes by window
-number and its neighbours, and a window has room for few parts, so no text makes many
-pairs, whatever its length.
+address only near both. Scopes are windows of characters; the join goes by the numbers
+of all windows that one part covers and the other reaches, and a window has room for few
+parts, so no text makes many pairs, whatever its length.
 
 Spark has no function for the positions of all matches, so a text is split at the
 matches, and the positions are running totals of the lengths of gaps and matches.
@@ -83,21 +83,27 @@ def _linked(spans: DataFrame, scope: int) -> DataFrame:
     # texts without a weak part leave before any join
     has = spans.groupBy(KEY).agg(F.collect_set("kind").alias("kinds"))
     both = has.filter(F.arrays_overlap("kinds", F.array(F.lit("access"), F.lit("account"))) & F.array_contains("kinds", "key")).select(KEY)
-    parts = spans.filter(F.col("kind").isin(["access", "account", "key", "endpoint"])).join(both, KEY, "left_semi").withColumn("scope", F.expr(f"start div {scope}"))
-    near = parts.withColumn("scope", F.explode(F.array(F.col("scope") - 1, F.col("scope"), F.col("scope") + 1)))
+    parts = spans.filter(F.col("kind").isin(["access", "account", "key", "endpoint"])).join(both, KEY, "left_semi")
+
+    def windows(of: DataFrame, reach: int) -> DataFrame:
+        """One row for each window between ``reach`` characters before a part and as many behind it."""
+        ends = of.withColumn("first", F.expr(f"greatest(start - {reach}, 0) div {scope}"))
+        return ends.withColumn("scope", F.explode(F.sequence("first", F.expr(f"(end + {reach}) div {scope}"))))
+
+    near = windows(parts, scope)
 
     def beside(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Pairs of parts at most a scope apart."""
+        """Pairs of parts at most a scope apart, each from the first window both have."""
         a, b = left.alias("a"), right.alias("b")
         close = (F.col("a.start") <= F.col("b.end") + scope) & (F.col("b.start") <= F.col("a.end") + scope)
-        return a.join(b, (F.col(f"a.{KEY}") == F.col(f"b.{KEY}")) & (F.col("a.scope") == F.col("b.scope")) & close)
+        return a.join(b, (F.col(f"a.{KEY}") == F.col(f"b.{KEY}")) & (F.col("a.scope") == F.col("b.scope")) & (F.col("a.scope") == F.greatest("a.first", "b.first")) & close)
 
-    pair = beside(parts.filter(F.col("kind").isin(["access", "account"])), near.filter("kind = 'key'"))
+    pair = beside(windows(parts.filter(F.col("kind").isin(["access", "account"])), 0), near.filter("kind = 'key'"))
     linked = pair.select(
         F.col(f"a.{KEY}").alias(KEY),
         F.explode(F.array(F.struct("a.kind", "a.start", "a.end"), F.struct("b.kind", "b.start", "b.end"))).alias("s"),
     ).select(KEY, "s.*").distinct()
-    keys = linked.filter("kind = 'key'").withColumn("scope", F.expr(f"start div {scope}"))
+    keys = windows(linked.filter("kind = 'key'"), 0)
     places = beside(keys, near.filter("kind = 'endpoint'")).select(F.col(f"b.{KEY}").alias(KEY), "b.kind", "b.start", "b.end").distinct()
     return linked.filter("kind <> 'access'").unionByName(places)
 

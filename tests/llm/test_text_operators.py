@@ -129,6 +129,23 @@ def test_weak_parts_need_each_other(spark):
         assert all(0 <= int(a) < int(b) <= len(text) for _, a, b in spans)
 
 
+def test_weak_parts_meet_at_every_alignment(spark):
+    long_key = (KEY * 4)[:128]
+    place, account = "https://vault.example.com/" + "x" * 500, "user=alice9"
+    texts = []
+    for shift in [*range(0, 400, 13), 399]:
+        lead = "." * shift
+        for gap in (391, 400, 401):
+            both = {"account", "key"} if gap <= 400 else set()
+            space = " " * gap
+            texts += [(lead + KEY + space + account, both), (lead + " " + account + space + KEY, both), (lead + " user=" + "n" * 700 + space + KEY, both), (lead + long_key + space + account, both)]
+            texts.append((f"{lead}{place}{space}{KEY} {account}", {"account", "key"} | ({"endpoint"} if gap <= 400 else set())))
+    got = {r.doc_id: r.spans for r in secret_scan.scan(make(spark, [(i, t) for i, (t, _) in enumerate(texts)])).collect()}
+    for i, (text, kinds) in enumerate(texts):
+        spans = [s.split(":")[0] for s in got[i].split(",") if s]
+        assert sorted(spans) == sorted(kinds), (i, got[i])
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é token = 'abcdef12' and " + "0" * 30 + ".", 3), (2, "clean", 5), (3, None, None), (1, "secret=" + "a" * 30, 0)], "doc_id bigint, text string, n_chars bigint")
     got = sorted(((r.doc_id, r.text, r.n_chars) for r in secret_scan.redact(docs).collect()), key=repr)
