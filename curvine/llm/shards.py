@@ -2,15 +2,19 @@
 
 Documents with the same text are linked. Shards are labels: in every round the
 linked documents of a text vote with the shard they are in, move together to the
-shard most of them are in, and are let in only while that shard has room. Texts with
-more copies than a part of a shard are cut into parts first, so that a text with a
-third of all rows fills several shards and no quota breaks. Documents without a copy
-cut no edge wherever they go; they even out the shards, whose row counts end at most
-one apart.
+shard with room for all of them where most of them are, and are let in only while that
+shard has room. Only texts with more copies than a shard has rows are cut first, into
+parts of a whole shard and a rest; a part fills its shard, so parts of one text could
+not meet in one. Large parts (few, whatever the input) are placed one after the other,
+the largest first; small ones in rounds, until none of those left fits anywhere. Documents
+without a copy cut no edge wherever they go; they even out the shards, whose row
+counts end at most one apart.
 """
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +23,11 @@ from curvine.plans.ranking import rank_rows, running_totals
 from curvine.session import checkpoint
 
 SHARDS = 24
-ROUNDS = 4
-PARTS_OF_A_SHARD = 4
+# Parts above this share of a shard are placed by the driver: at most so many for each shard.
+LARGE_PER_SHARD = 64
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard, copies)``, one row per input row.
 
     ``size`` is the UTF-8 length of the text plus 8, ``slot`` counts from 0 inside the
@@ -44,15 +48,19 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     unique = [F.col("doc_id"), F.col("size"), F.col("text_crc32")]
     ranked = rank_rows(rows, unique, ["same"], "copy", totals_too=True).withColumnRenamed("copy_total", "copies")
-    part_rows = max(1, total // (shards * PARTS_OF_A_SHARD))
+    part_rows = max(1, total // shards)
     ranked = checkpoint(
         ranked.withColumn("part", F.concat_ws(":", "same", F.expr(f"(copy - 1) div {part_rows}")))
         .withColumn("label", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(shards)).cast("int"))
         .drop("same", "copy")
     )
     linked, lone = ranked.filter("copies > 1"), ranked.filter("copies = 1")
-    settled, room = _propagate(linked, quota, rounds)
-    placed = linked.join(settled, "part", "left")
+    # the votes of a part are at most one row per shard, so placing never touches documents
+    votes = checkpoint(linked.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n")))
+    large, room = _place_large(votes, quota)
+    settled, room = _propagate(votes.join(F.broadcast(large), "part", "left_anti"), room)
+    small = linked.join(F.broadcast(large.select("part")), "part", "left_anti").join(settled, "part", "left")
+    placed = linked.join(F.broadcast(large), "part").unionByName(small)
     kept = ["doc_id", "size", "text_crc32", "copies"]
     rest = placed.filter("shard IS NULL").select(*kept).unionByName(lone.select(*kept))
     filled = rank_rows(rest, [F.xxhash64("doc_id", "text_crc32"), *unique], rank="nth", settle=True)
@@ -70,30 +78,49 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     )
 
 
-def _propagate(linked: DataFrame, quota: list[int], rounds: int) -> tuple[DataFrame, list[int]]:
+def _place_large(votes: DataFrame, quota: list[int]) -> tuple[DataFrame, list[int]]:
+    """``(part, shard)`` of the large parts, null where no shard has room for all rows, and the room left."""
+    sizes = votes.groupBy("part").agg(F.sum("n").alias("total")).filter(F.col("total") * LARGE_PER_SHARD > max(quota))
+    # at most LARGE_PER_SHARD parts and a few per shard
+    rows = votes.join(F.broadcast(sizes), "part").groupBy("part", "total").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("votes")).collect()
+    room = list(quota)
+    out = []
+    for row in sorted(rows, key=lambda r: (-r["total"], r["part"])):
+        turn = zlib.crc32(row["part"].encode())
+        fits = [s for s, r in enumerate(room) if r >= row["total"]]
+        to = max(fits, key=lambda s: (row["votes"].get(s, 0), (s + turn) % len(room)), default=None)
+        if to is not None:
+            room[to] -= row["total"]
+        out.append((row["part"], to))
+    return votes.sparkSession.createDataFrame(out, "part string, shard int"), room
+
+
+def _propagate(votes: DataFrame, room: list[int]) -> tuple[DataFrame, list[int]]:
     """``(part, shard)`` for the parts that found a place, and the rows every shard has left.
 
-    The votes of a part are at most one row per shard, so rounds never touch documents.
+    The first in line always fits, so every round places a part until none has room.
     """
-    votes = checkpoint(linked.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n")))
-    room = list(quota)
     settled = None
-    for _ in range(rounds):
-        open_shards = [s for s, r in enumerate(room) if r > 0]
-        if not open_shards:
-            break
-        waiting = votes if settled is None else votes.join(settled, "part", "left_anti")
-        is_open = F.col("label").isin(open_shards)
-        other = F.element_at(F.array(*[F.lit(s) for s in open_shards]), (F.pmod(F.xxhash64("part"), F.lit(len(open_shards))) + 1).cast("int"))
+    votes = checkpoint(votes)
+    sizes = checkpoint(votes.groupBy("part").agg(F.sum("n").alias("total")))
+    while max(room) > 0:
+        rooms = F.array(*[F.lit(r).cast("bigint") for r in room])
+        waiting = votes.join(sizes, "part")
+        if settled is not None:
+            waiting = waiting.join(settled, "part", "left_anti")
+        fits = F.element_at(rooms, F.col("label") + 1) >= F.col("total")
+        places = F.filter(F.array(*[F.lit(s) for s in range(len(room))]), lambda s: F.element_at(rooms, s + 1) >= F.col("total"))
         # most votes win; a tie goes to the label that follows the part's own hash
-        turn = F.pmod(F.col("label") + F.xxhash64("part"), F.lit(len(quota)))
-        wanted = waiting.groupBy("part").agg(
-            F.sum("n").alias("n"), F.max_by(F.when(is_open, F.col("label")), F.when(is_open, F.struct("n", turn))).alias("to")
-        ).withColumn("to", F.coalesce("to", other))
-        lined_up = running_totals(wanted, [(-F.col("n")), F.col("part")], {"upto": F.col("n")}, ["to"], settle=True)
-        space = F.element_at(F.array(*[F.lit(r).cast("bigint") for r in room]), F.col("to") + 1)
-        moved = checkpoint(lined_up.filter(F.col("upto") <= space).select("part", F.col("to").alias("shard"), "n"))
-        taken = {r["shard"]: r["n"] for r in moved.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        turn = F.pmod(F.col("label") + F.xxhash64("part"), F.lit(len(room)))
+        wanted = (
+            waiting.groupBy("part", "total").agg(F.max_by(F.when(fits, F.col("label")), F.when(fits, F.struct("n", turn))).alias("to"))
+            .withColumn("places", places).filter(F.size("places") > 0)
+            .withColumn("to", F.coalesce("to", F.element_at("places", (F.pmod(F.xxhash64("part"), F.size("places")) + 1).cast("int"))))
+            .select("part", "total", "to")
+        )
+        lined_up = running_totals(wanted, [(-F.col("total")), F.col("part")], {"upto": F.col("total")}, ["to"], settle=True)
+        moved = checkpoint(lined_up.filter(F.col("upto") <= F.element_at(rooms, F.col("to") + 1)).select("part", F.col("to").alias("shard"), "total"))
+        taken = {r["shard"]: r["n"] for r in moved.groupBy("shard").agg(F.sum("total").alias("n")).collect()}
         if not taken:
             break
         room = [r - taken.get(s, 0) for s, r in enumerate(room)]

@@ -123,6 +123,15 @@ def test_copies_stay_together_and_a_hot_text_is_split(spark):
     assert got[got.copies == 450].shard.nunique() <= 4
 
 
+@pytest.mark.parametrize("total,copies", [(480, [20, 20, 10, 10, 10]), (150, [6, 5, 3, 3, 2, 2])])
+def test_groups_that_fit_a_shard_stay_whole(spark, total, copies):
+    rows = [(1000 * g + i, f"group {g}") for g, n in enumerate(copies) for i in range(n)]
+    rows += [(100_000 + i, sentence(i + 1, 8)) for i in range(total - len(rows))]
+    got = shards.shard_documents(make(spark, rows)).toPandas()
+    check_shards(rows, got, 24)
+    assert (got[got.copies > 1].groupby("text_crc32").shard.nunique() == 1).all()
+
+
 def test_only_copies(spark):
     rows = [(i, f"text {i // 2}") for i in range(100)]
     check_shards(rows, shards.shard_documents(make(spark, rows), 7).toPandas(), 7)
