@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvine.llm import chat, decontam, packing, quality, repetition, secret_scan, shards, simhash, suffix_tree, token_files
+from curvine.llm import chat, circulant, decontam, packing, periods, quality, repetition, secret_scan, shards, simhash, suffix_tree, token_files, variants
 from curvine.llm.common import table
 from curvine.session import ship
 
@@ -116,3 +116,73 @@ def op9_shards(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_repetition")
 def op10_repetition(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.quality_rules(table(spark, folder, "documents"))
+
+
+# crc32 bit by bit: the table of one byte, then a fold over the bytes; the runs' code points lie below 256.
+_VARIANT_SQL = r"""
+WITH RECURSIVE bits AS MATERIALIZED (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256))::BIGINT AS i)
+), runs AS MATERIALIZED (
+  SELECT coalesce(doc_id::VARCHAR, '') AS d, w, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents)
+  WHERE length(w) >= 7 GROUP BY ALL
+), coded AS (
+  SELECT *, flatten(list_transform(string_split(d || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + unicode(c)::BIGINT // 64, 128 + unicode(c)::BIGINT % 64] END)) AS bytes
+  FROM runs
+), hashed AS (
+  SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) AS h FROM coded, bits
+), words AS MATERIALIZED (
+  SELECT w AS word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS w, n FROM hashed)
+  WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2
+), cuts AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS MATERIALIZED (
+  SELECT DISTINCT * FROM (
+    SELECT a.word, a.n, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION ALL SELECT a.word, a.n, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+    UNION ALL SELECT b.word, b.n, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word)
+), best AS (
+  SELECT word, any_value(n) AS n, count(*) AS n_near, first(other ORDER BY m DESC, other) AS form, max(m) AS form_n FROM near GROUP BY word
+), forms AS MATERIALIZED (SELECT word, form, form_n FROM best WHERE form_n >= 10 * n
+), ahead AS (
+  SELECT word, form AS root FROM forms
+  UNION ALL SELECT a.word, f.form FROM ahead a JOIN forms f ON f.word = a.root
+)
+SELECT w.word, w.n, f.form, coalesce(r.root, w.word) AS root, coalesce(b.n_near, 0)::BIGINT AS n_near, f.form_n::BIGINT AS form_n
+FROM words w LEFT JOIN best b USING (word) LEFT JOIN forms f USING (word)
+LEFT JOIN (SELECT word, root FROM ahead WHERE root NOT IN (SELECT word FROM forms)) r USING (word)
+"""
+
+
+@query("op11_spelling_variants", _VARIANT_SQL)
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, folder, "documents"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periods.digests(table(spark, folder, "documents"), plant=True)
+
+
+_NEAR_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), sets AS MATERIALIZED (
+  SELECT r, doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 1, least(len(w), 1) + 1)), lambda i: array_to_string(w[i:i + 2], ' '))) AS parts FROM words
+), parts AS MATERIALIZED (SELECT r, len(parts) AS size, unnest(parts) AS part FROM sets
+), links AS MATERIALIZED (
+  SELECT a.r AS x, b.r AS y FROM parts a JOIN parts b ON a.part = b.part AND a.r < b.r
+  GROUP BY a.r, b.r, a.size, b.size HAVING 100 * count(*) >= 85 * (a.size + b.size - count(*))
+), edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT r AS x, r AS y FROM sets UNION SELECT reach.x, edges.y FROM reach JOIN edges ON edges.x = reach.y
+)
+SELECT s.doc_id, len(s.parts)::BIGINT AS n_shingles, min(t.doc_id) AS component_id, s.doc_id IS NOT DISTINCT FROM min(t.doc_id) AS kept
+FROM sets s JOIN reach ON reach.x = s.r JOIN sets t ON t.r = reach.y GROUP BY s.r, s.doc_id, s.parts
+"""
+
+
+@query("op13_circulant_minhash", _NEAR_SQL)
+def op13_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return circulant.near_duplicates(table(spark, folder, "documents"))
