@@ -447,7 +447,7 @@ def ivf_refresh(previous: DataFrame, current: DataFrame, *, max_new_share: float
 
     One row: previous, current, gone, added and ``reuse``. Extending needs every
     previous id to be still there, the same dimension, and, except for a flat
-    index, a share of new rows below ``max_new_share``.
+    index, a share of new rows among the current ones below ``max_new_share``.
     """
     both = previous.select(F.col("id"), F.lit(1).alias("p"), F.lit(0).alias("c")).unionByName(
         current.select(F.col("id"), F.lit(0).alias("p"), F.lit(1).alias("c"))
@@ -458,7 +458,7 @@ def ivf_refresh(previous: DataFrame, current: DataFrame, *, max_new_share: float
         F.count_if((F.col("p") == 1) & (F.col("c") == 0)).alias("n_gone"),
         F.count_if((F.col("p") == 0) & (F.col("c") == 1)).alias("n_added"),
     )
-    small_change = F.lit(flat) | (F.try_divide(F.col("n_added").cast("double"), F.col("n_previous")) < max_new_share)
+    small_change = F.lit(flat) | (F.try_divide(F.col("n_added").cast("double"), F.col("n_current")) < max_new_share)
     return counts.withColumn("reuse", F.lit(same_dim) & (F.col("n_gone") == 0) & F.coalesce(small_change, F.lit(False)))
 
 

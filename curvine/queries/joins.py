@@ -227,7 +227,7 @@ def knn_two_stage(spark, d):
 
 @query("ivf_incremental_assign", f"""WITH {E_SQL}, {centroids_sql(20)}, {ASSIGN_SQL}, n AS (SELECT count(*) FILTER ({LABELED_SQL}) AS n_previous, count(*) AS n_current, 0::BIGINT AS n_gone,
   count(*) FILTER (NOT ({LABELED_SQL})) AS n_added FROM e)
-SELECT a.cid, count(*) FILTER ({LABELED_SQL}) AS n_old, count(*) FILTER (NOT ({LABELED_SQL})) AS n_new, any_value(n_added::DOUBLE / n_previous < 0.3) AS reuse FROM a CROSS JOIN n GROUP BY a.cid""")
+SELECT a.cid, count(*) FILTER ({LABELED_SQL}) AS n_old, count(*) FILTER (NOT ({LABELED_SQL})) AS n_new, any_value(n_added::DOUBLE / n_current < 0.3) AS reuse FROM a CROSS JOIN n GROUP BY a.cid""")
 def ivf_incremental_assign(spark, d):
     """New rows join the cells of the old index; the rule says whether that is still allowed."""
     emb = embeddings(spark, d)
@@ -240,6 +240,49 @@ def ivf_incremental_assign(spark, d):
     return counts.select("*", rule.scalar().alias("reuse"))
 
 
+# Three rounds by the hash of the id: 60, 20 and 20 in a hundred rows.
+ROUND_SEED, ROUND_ENDS = 17, (0.6, 0.8, 1.0)
+
+
+def _stored_sql(last: int) -> str:
+    """Search of rounds 0 to ``last``, as if one index had been built from them."""
+    here = f"cells{last}"
+    return f"""{here} AS (SELECT * FROM a WHERE {in_sample_sql('vec_id', ROUND_ENDS[last], ROUND_SEED)}),
+probes{last} AS (SELECT e.vec_id, e.v, c.cid FROM e CROSS JOIN (SELECT * FROM c WHERE cid IN (SELECT cid FROM {here})) c
+  QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY {sq_l2_sql('e.v', 'c.centroid')}, c.cid) <= 4)"""
+
+
+@query("ivf_stored_rounds", with_clusters_sql(20) + f""", {_stored_sql(1)}, {_stored_sql(2)}
+SELECT 1 AS round, query_id, rank, neighbor_id, dist FROM {knn_sql(L2_XY, 5, 'probes1', 'cells1', 'x.cid = y.cid AND x.vec_id <> y.vec_id')}
+UNION ALL SELECT 2, query_id, rank, neighbor_id, dist FROM {knn_sql(L2_XY, 5, 'probes2', 'cells2', 'x.cid = y.cid AND x.vec_id <> y.vec_id')}""")
+def ivf_stored_rounds(spark, d):
+    """An index on disk, two rounds appended to it, searched as of either round."""
+    from curvine.operators import stored_ivf
+    from curvine.sources.sinks import scratch_folder
+
+    emb = embeddings(spark, d)
+    upto = [in_sample("vec_id", end, ROUND_SEED) for end in ROUND_ENDS]
+    index = stored_ivf.build_index(emb.filter(upto[0]), initial(emb, 20), scratch_folder(spark))
+    first = stored_ivf.append_round(index, emb.filter(~upto[0] & upto[1]))
+    second = stored_ivf.append_round(first, emb.filter(~upto[1]))
+    found = [stored_ivf.search(i, emb, 5, 4, exclude_self=True).select(F.lit(i.round).alias("round"), "*") for i in (first, second)]
+    return found[0].unionByName(found[1])
+
+
+@query("ivf_refresh_rule", f"""WITH r AS (SELECT unnest([0.1, 0.3, 0.7, 0.71, 0.8]::DOUBLE[]) AS share),
+n AS (SELECT share, count(*) FILTER ({id_hash_sql('vec_id', 3)} < floor(share * 2147483647)) AS n_previous, count(*) AS n_current FROM embeddings CROSS JOIN r GROUP BY share)
+SELECT share, n_previous, n_current, 0::BIGINT AS n_gone, n_current - n_previous AS n_added, (n_current - n_previous)::DOUBLE / n_current < 0.3 AS reuse FROM n""")
+def ivf_refresh_rule(spark, d):
+    """The rule for several earlier states of one table, each a share of its rows."""
+    ids = embeddings(spark, d).select(F.col("vec_id").alias("id"))
+    shares = [0.1, 0.3, 0.7, 0.71, 0.8]
+    rows = [knn.ivf_refresh(ids.filter(in_sample("id", s, 3)), ids).select(F.lit(s).alias("share"), "*") for s in shares]
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.unionByName(row)
+    return out
+
+
 PAIRS_SQL = with_clusters_sql(5) + f""", prs AS (SELECT x.vec_id AS id_a, y.vec_id AS id_b, {dot_sql('x.v', 'y.v')} AS sim FROM a x JOIN a y ON x.cid = y.cid AND x.vec_id < y.vec_id)"""
 
 

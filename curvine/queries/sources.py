@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curvine.functions import vectors as V
-from curvine.functions.hashing import in_sample
+from curvine.functions.hashing import in_sample, sign_matrix, sign_matrix_sql
 from curvine.operators import cluster, knn
 from curvine.queries.joins import KL_XY, L2_XY, LABELED_SEED, LABELED_SHARE, PROBS_SQL, initial, knn_sql, with_clusters_sql
 from curvine.queries.oods import KNOWN, KTH, TRAIN_SQL, vote_sql
-from curvine.queries.registry import embeddings, query, table
+from curvine.queries.registry import E_SQL, dot_sql, embeddings, query, table
 from curvine.sources import embeddings as E
 from curvine.sources import sinks
 from curvine.sources import texts as T
-from curvine.streaming import jobs
+from curvine.streaming import jobs, stateful
 
 
 @query("source_matrix", "SELECT vec_id, embedding[1]::DOUBLE AS first, embedding[64]::DOUBLE AS last, len(embedding)::BIGINT AS dim FROM embeddings")
@@ -139,3 +139,78 @@ def stream_anchor_vote(spark, d):
         rows, f"{folder}/anchors", f"{folder}/out", f"{folder}/progress", 5, id_col="vec_id", label_col="label", prob_col="p", once=True
     ).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("query_id", "pred")
+
+
+# --- streams with state -------------------------------------------------------------
+
+STEPS = 3
+
+
+def _in_steps(rows, spark, run) -> None:
+    """Hand over the rows ``(..., step)`` one step after the other; every step goes on from the checkpoint of the one before."""
+    folder = sinks.scratch_folder(spark)
+    schema = rows.drop("step").schema
+    for step in range(STEPS):
+        rows.filter(F.col("step") == step).drop("step").write.mode("append").parquet(f"{folder}/arrivals")
+        run(spark.readStream.schema(schema).parquet(f"{folder}/arrivals"), folder).awaitTermination()
+
+
+FILTER_BITS, FILTER_SIM, FILTER_KEEP = 4, 0.3, 300
+_FILTER_SQL = f"""WITH RECURSIVE {E_SQL}, pl AS ({sign_matrix_sql(FILTER_BITS, 64, 21)}),
+coded AS (SELECT vec_id, v, (SELECT sum(CASE WHEN {dot_sql('signs', 'v')} >= 0 THEN 1::BIGINT << ({FILTER_BITS} - 1 - row) ELSE 0 END) FROM pl) AS bucket FROM e),
+lined AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY vec_id) AS r FROM coded),
+walk AS (
+  SELECT bucket, 0::BIGINT AS r, []::STRUCT(id BIGINT, v DOUBLE[])[] AS kept FROM (SELECT DISTINCT bucket FROM coded)
+  UNION ALL
+  SELECT w.bucket, x.r, CASE WHEN len(list_filter(w.kept, lambda k: k.id > x.vec_id - {FILTER_KEEP} AND {dot_sql('k.v', 'x.v')} > {FILTER_SIM})) = 0
+    THEN list_append(w.kept, struct_pack(id := x.vec_id, v := x.v)) ELSE w.kept END
+  FROM walk w JOIN lined x ON x.bucket = w.bucket AND x.r = w.r + 1
+)
+SELECT k.id AS vec_id FROM (SELECT unnest(kept) AS k FROM walk QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY r DESC) = 1)"""
+
+
+@query("stream_near_duplicates", _FILTER_SQL)
+def stream_near_duplicates(spark, d):
+    """Vectors arrive one a second in three steps, and survivors of the last 300 seconds count."""
+    emb = embeddings(spark, d)
+    last = emb.agg(F.max("vec_id")).scalar()
+    rows = emb.select("vec_id", "embedding", F.timestamp_seconds(F.col("vec_id") + 1_700_000_000).alias("ts"), F.floor(STEPS * F.col("vec_id") / (last + 1)).alias("step"))
+    planes, out = sign_matrix(FILTER_BITS, 64, 21), []
+
+    def run(arrivals, folder):
+        out[:] = [f"{folder}/out"]
+        return stateful.near_duplicate_stream(arrivals, planes, FILTER_BITS, FILTER_SIM, out[0], f"{folder}/progress", keep=f"{FILTER_KEEP} seconds", once=True)
+
+    _in_steps(rows, spark, run)
+    return spark.read.parquet(out[0]).select(F.col("id").alias("vec_id"))
+
+
+# Every eleventh event arrives one step late; the steps are thirds of the time, a window is a day, and two days may pass.
+_LATE_SQL = f"""WITH r AS (SELECT *, epoch_us(ts) AS us, epoch_us(min(ts) OVER ()) AS low, epoch_us(max(ts) OVER ()) AS high FROM events),
+s AS (SELECT *, least({STEPS - 1}, {STEPS} * (us - low) // (high - low + 1) + CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END) AS step, us - us % 86400000000 AS start FROM r),
+m AS (SELECT step, max(us) AS most FROM s GROUP BY step),
+w AS (SELECT a.step, coalesce(max(b.most), 172800000000) - 172800000000 AS mark FROM m a LEFT JOIN m b ON b.step < a.step GROUP BY a.step),
+g AS (SELECT start, event_type, count(value) AS n, count(*) FILTER (value > 30) AS n_flagged, sum(round(value * 1000)::HUGEINT)::DOUBLE AS t, sum((round(value * 1000)::HUGEINT) * (round(value * 1000)::HUGEINT))::DOUBLE AS q
+  FROM s JOIN w USING (step) WHERE (start + 86400000000) // 1000 > mark // 1000 GROUP BY start, event_type)
+SELECT strftime(make_timestamp(start), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, n, n_flagged, round(t / n / 1000, 9) AS mean,
+  round(sqrt(greatest(q / n - (t / n) * (t / n), 0)) / 1000, 9) AS std, round(n_flagged::DOUBLE / n, 9) AS flagged_share
+FROM g WHERE (start + 86400000000) // 1000 <= (SELECT max(us) - 172800000000 FROM s) // 1000"""
+
+
+@query("stream_window_stats", _LATE_SQL)
+def stream_window_stats(spark, d):
+    """Daily statistics by event type of events that come in three steps, some of them a step late."""
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    step = F.floor((F.unix_micros("ts") - low) * STEPS / F.lit(high - low + 1)) + F.when(F.col("event_id") % 11 == 0, 1).otherwise(0)
+    out = []
+
+    def run(arrivals, folder):
+        out[:] = [f"{folder}/out"]
+        return stateful.window_stats_stream(arrivals, F.col("value") > 30, out[0], f"{folder}/progress", late="2 days", by=("event_type",), once=True)
+
+    _in_steps(events.withColumn("step", F.least(step, F.lit(STEPS - 1))), spark, run)
+    found = spark.read.parquet(out[0])
+    return found.select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", "n_flagged", *[F.round(c, 9).alias(c) for c in ("mean", "std", "flagged_share")]
+    )
