@@ -161,6 +161,25 @@ def pairs_below(metric, q, b, limit):
     return tuple(np.concatenate(part) for part in zip(*out))
 
 
+def up_to(metric, q, b, limits, q_ids=None, b_ids=None, skip_same=False):
+    """Distances up to each query's own limit: (q rows, distances)."""
+    out = [(np.empty(0, int), np.empty(0))]
+    if len(q) == 0 or len(b) == 0:
+        return out[0]
+    to_b, scales = near_to(metric, b), (lengths(metric, q), lengths(metric, b))
+    for rows in _row_chunks(len(q), len(b)):
+        approx = to_b(q[rows])
+        if skip_same:
+            approx[q_ids[rows][:, None] == b_ids[None, :]] = np.inf
+        limit = limits[rows][:, None]
+        qi, bi = np.nonzero((approx <= limit + SLACK * (1.0 + np.abs(limit))) & np.isfinite(approx))
+        qi = qi + rows.start
+        dist = exact(metric, q, b, qi, bi, *scales) if len(qi) else np.empty(0)
+        hit = dist <= limits[qi]
+        out.append((qi[hit], dist[hit]))
+    return tuple(np.concatenate(part) for part in zip(*out))
+
+
 def spanning_forest(n, i, j, weight):
     """A maximum spanning forest of a weighted graph on n nodes.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from curvine.functions import kernels
 from curvine.functions import vectors as V
 from curvine.operators import knn
+from curvine.operators.kth import kth_score
 from curvine.plans.bounded import collect_bounded, fits
 from curvine.plans.ranking import rank_rows, running_totals
 
@@ -21,8 +22,9 @@ def ood_knn_score(
     queries: DataFrame, train: DataFrame, k: int, *, mode: str = "exact", exclude_self: bool = False, id_col="vec_id", vec_col="embedding", **options
 ) -> DataFrame:
     """Minus the squared distance to the k-th training row; NULL when there are fewer than k."""
+    if mode == "exact":
+        return kth_score(queries, train, k, id_col=id_col, vec_col=vec_col, exclude_self=exclude_self, **options)
     joins = {
-        "exact": lambda: knn.knn_join(queries, train, k, id_col=id_col, vec_col=vec_col, exclude_self=exclude_self, **options),
         "two_stage": lambda: knn.two_stage_knn_join(queries, train, options["matrix"], k, id_col=id_col, vec_col=vec_col, exclude_self=exclude_self),
         "ivf": lambda: knn.ivf_knn_join(
             queries, train, options["centroids"], k, options["nprobe"], id_col=id_col, vec_col=vec_col, exclude_self=exclude_self

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from curvine.functions import vectors as V
 from curvine.functions.hashing import id_hash_sql, in_sample, in_sample_sql, sign_matrix, sign_matrix_sql
 from curvine.operators import cluster, evaluation, knn, lsh
+from curvine.operators.kth import kth_score
 from curvine.queries.registry import E_SQL, dot_sql, embeddings, query, softmax_sql, sq_l2_sql
 
 # --- shared inputs ------------------------------------------------------------
@@ -127,7 +128,7 @@ def max_sim_in_cluster(spark, d):
 @query("knn_kth_distance", f"WITH {E_SQL}, n AS {knn_sql(L2_XY, 10, 'e', 'e', 'x.vec_id <> y.vec_id')} SELECT e.vec_id, -n.dist AS score FROM e LEFT JOIN n ON e.vec_id = n.query_id AND n.rank = 10")
 def knn_kth_distance(spark, d):
     emb = embeddings(spark, d)
-    return knn.kth_distance(knn.knn_join(emb, emb, 10, "sq_l2", exclude_self=True), emb, 10)
+    return kth_score(emb, emb, 10, exclude_self=True)
 
 
 # --- hashing ------------------------------------------------------------------------------
