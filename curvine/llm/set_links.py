@@ -1,12 +1,15 @@
 """Groups of similar sets from shared buckets: every link is verified on the whole sets.
 
-Sets that share a bucket are candidates. They are brought in line by bucket, size and id,
-in one range shuffle that spreads a crowded bucket over many tasks. Each set is verified
-with its nearest predecessor first, one pair per set, which joins most groups of near
-copies. Buckets that still hold several groups are then compared whole: small ones as
-pairs, each different pair once; large ones in pairs of blocks, in which only the sets
-outside the bucket's largest group look at the others, and a task reports one link for
-each two groups it joins. No pair of a bucket is left out.
+Sets that share a bucket are candidates. They are brought in line by bucket in one range
+shuffle that spreads a crowded bucket over many tasks. Each set is first verified with one
+other: the set of its buckets that meets the most others, for a text that many resemble
+shares most buckets. One pair per set joins most groups of near copies.
+
+Buckets that still hold several groups are then compared whole. Small ones list their
+pairs, each different pair once. Large ones are cut into pairs of blocks, in which only
+the sets outside the largest group look at the others, and a task reports one link for
+each two groups it joins. Large buckets with sets in common are compared together
+where that means fewer comparisons than bucket by bucket. No pair of a bucket is left out.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from curvine.plans.blocks import block_join
 from curvine.session import checkpoint
 
 # A bucket of up to so many sets lists its pairs, a larger one is cut into blocks.
-SMALL_BUCKET, BLOCK_ROWS = 64, 256
+SMALL_BUCKET, BLOCK_ROWS = 64, 512
 EDGE = 1e-9
 
 
@@ -36,47 +39,44 @@ def number_sets(prints: DataFrame, order: Column) -> DataFrame:
     return checkpoint(classes.withColumn("set_id", F.monotonically_increasing_id()))
 
 
-def lined_up(classes: DataFrame, similarity: float) -> DataFrame:
-    """``(bucket, id, size, before, before_size)``: the sets of shared buckets; ``before`` precedes in the bucket.
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """``(bucket, id, size)``: the sets of buckets with more than one set.
 
-    ``before`` is null for the first of a bucket or task, and where the sizes alone rule a
-    link out. The first and the last row of a task stay too, as their bucket may go on in
-    the next task.
+    The first and the last row of a task stay too, as their bucket may go on in the next
+    task.
     """
-    names = ["bucket", "id", "size", "before", "before_size"]
+    names = ["bucket", "id", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64)
-        held, last, first = [none] * 3, None, True
+        held, shared = None, True
         for batch in batches:
-            held = [np.append(h, batch.column(c).to_numpy()) for h, c in zip(held, names[:3])]
-            if len(held[0]) > 1:
-                yield _in_line(held, last, first, False, similarity, names)
-                last, held, first = [h[-2:-1] for h in held], [h[-1:] for h in held], False
-        if len(held[0]):
-            yield _in_line(held, last, first, True, similarity, names)
+            rows = [batch.column(c).to_numpy() for c in names]
+            if held is not None:
+                rows = [np.append(h, r) for h, r in zip(held, rows)]
+            if not len(rows[0]):
+                continue
+            # ``shared`` says whether the first row is known to stay
+            same = rows[0][1:] == rows[0][:-1]
+            stay = np.append(shared, same) | np.append(same, False)
+            yield pa.RecordBatch.from_arrays([pa.array(r[:-1][stay[:-1]]) for r in rows], names=names)
+            held, shared = [r[-1:] for r in rows], bool(stay[-1])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(h) for h in held], names=names)
 
     rows = classes.select(F.explode("buckets").alias("bucket"), F.col("set_id").alias("id"), F.col("size").cast("bigint").alias("size"))
-    sorted_rows = rows.repartitionByRange("bucket", "size", "id").sortWithinPartitions("bucket", "size", "id")
-    return sorted_rows.mapInArrow(run, "bucket bigint, id bigint, size bigint, before bigint, before_size bigint")
-
-
-def _in_line(rows, last, first, over, similarity, names) -> pa.RecordBatch:
-    """The rows of shared buckets, but for the last one while more rows follow; ``last`` is the row before these."""
-    n_last = 0 if last is None else 1
-    bucket, ids, size = (np.append(b, r) if n_last else r for b, r in zip(last or rows, rows))
-    same = bucket[1:] == bucket[:-1]
-    behind, ahead = np.append(False, same), np.append(same, False)
-    stay = behind | ahead
-    stay[0] |= first
-    stay[-1] |= over
-    near = behind.copy()
-    near[1:] &= size[:-1] >= similarity * size[1:] - EDGE
-    out = slice(n_last, None if over else len(bucket) - 1)
-    stay, near = stay[out], near[out]
-    before = np.append(-1, ids[:-1])[out], np.append(-1, size[:-1])[out]
-    columns = [pa.array(x[out][stay]) for x in (bucket, ids, size)] + [pa.array(b[stay], mask=~near[stay]) for b in before]
-    return pa.RecordBatch.from_arrays(columns, names=names)
+    return rows.repartitionByRange("bucket", "id").sortWithinPartitions("bucket", "id").mapInArrow(run, "bucket bigint, id bigint, size bigint")
+
+
+def _with_hub(shared: DataFrame, similarity: float) -> DataFrame:
+    """``(id_a, id_b)``: each set and the one of its buckets whose buckets are the largest, where the sizes allow a link."""
+    rows = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    weight = shared.join(rows, "bucket").groupBy("id").agg(F.sum("n").alias("weight"))
+    weighed = shared.join(weight, "id")
+    hubs = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "id", "size")).alias("hub"))
+    best = F.max(F.struct("hub.weight", "hub.id", "hub.size")).alias("hub")
+    picks = weighed.join(hubs, "bucket").filter(F.col("hub.id") != F.col("id")).groupBy("id", "size").agg(best)
+    fits = F.least("size", "hub.size") >= similarity * F.greatest("size", "hub.size") - EDGE
+    return picks.filter(fits).select(F.least("id", "hub.id").alias("id_a"), F.greatest("id", "hub.id").alias("id_b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -84,7 +84,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     side = lambda s: sets.select(F.col("id").alias(f"id_{s}"), F.col("parts").alias(f"parts_{s}"))
     both = F.size(F.array_intersect("parts_a", "parts_b"))
     close = both >= similarity * (F.size("parts_a") + F.size("parts_b") - both) - EDGE
-    return pairs.join(side("a"), "id_a").join(side("b"), "id_b").filter(close).select("id_a", "id_b")
+    # the second of a pair first: the first may be one that many are compared with
+    return pairs.join(side("b"), "id_b").join(side("a"), "id_a").filter(close).select("id_a", "id_b")
 
 
 def _joins(similarity: float):
@@ -125,6 +126,29 @@ def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sets.flatten().to_numpy(), np.cumsum(sizes) - sizes, sizes
 
 
+def _crowds(large: DataFrame, mixed: DataFrame) -> DataFrame:
+    """``(g, id, component, outside)``: the sets to compare in blocks, for rows ``(bucket, id, component)`` of large buckets.
+
+    ``mixed (bucket, rows, main, n_main)`` tells of each bucket its largest component.
+    Buckets with sets in common form a cluster; a cluster is one group if that takes
+    fewer comparisons than its buckets one by one.
+    """
+    first = large.groupBy("bucket").agg(F.min("id").alias("first"))
+    star = large.join(first, "bucket").select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))
+    clusters = checkpoint(connected_components(star).select("id", F.col("component").alias("cluster")))
+    inside = large.select("id", "component").distinct().join(clusters, "id")
+    shares = inside.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    most = shares.groupBy("cluster").agg(F.sum("n").alias("sets"), F.max(F.struct("n", "component")).alias("most"))
+    of_bucket = first.join(clusters.withColumnRenamed("id", "first"), "first").join(mixed, "bucket")
+    apart = of_bucket.groupBy("cluster").agg(F.sum(F.col("rows").cast("double") * (F.col("rows") - F.col("n_main"))).alias("cost"))
+    together = F.col("sets").cast("double") * (F.col("sets") - F.col("most.n")) <= F.col("cost")
+    chosen = checkpoint(most.join(apart, "cluster").select("cluster", F.col("most.component").alias("main"), together.alias("together")))
+    whole = inside.join(chosen.filter("together"), "cluster").select(F.concat_ws(":", F.lit("c"), "cluster").alias("g"), "id", "component", (F.col("component") != F.col("main")).alias("outside"))
+    alone = of_bucket.select("bucket", "cluster", "main").join(chosen.filter("NOT together").select("cluster"), "cluster").select("bucket", "main")
+    single = large.join(alone, "bucket").select(F.concat_ws(":", F.lit("b"), "bucket").alias("g"), "id", "component", (F.col("component") != F.col("main")).alias("outside"))
+    return whole.unionByName(single)
+
+
 def linked_sets(
     classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, small_bucket: int = SMALL_BUCKET, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -133,27 +157,25 @@ def linked_sets(
     ``classes`` has ``(set_id, size, buckets)``, and ``sets_of`` gives ``(id, parts)``, whole
     sets without repeats, of the ids it is handed.
     """
-    shared = checkpoint(lined_up(classes, similarity))
+    shared = checkpoint(shared_buckets(classes))
     sets = checkpoint(sets_of(shared.select("id").distinct()))
-    nearest = shared.filter("before IS NOT NULL").groupBy(F.col("id").alias("id_b")).agg(F.max(F.struct("before_size", "before")).alias("p"))
-    tried = checkpoint(nearest.select(F.col("p.before").alias("id_a"), "id_b"))
+    tried = checkpoint(_with_hub(shared, similarity))
     links = checkpoint(verified(tried, sets, similarity))
     known = connected_components(links).select("id", "component")
-    members = checkpoint(shared.select("bucket", "id", "size").join(known, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    members = checkpoint(shared.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")))
     # buckets of one component are done
     shares = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = F.max(F.struct("n", "component"))
-    mixed = checkpoint(shares.groupBy("bucket").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("kinds"), largest.alias("most")).filter("kinds > 1").select("bucket", "rows", F.col("most.component").alias("main")))
-    rest = members.join(mixed, "bucket")
-    few, many = rest.filter(F.col("rows") <= small_bucket), rest.filter(F.col("rows") > small_bucket)
-
-    a, b = few.alias("a"), few.select("bucket", "id", "size", "component").alias("b")
-    may = (F.col("a.size") >= similarity * F.col("b.size") - EDGE) & (F.struct("a.size", "a.id") < F.struct("b.size", "b.id"))
-    beside = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component")) & may)
+    of_bucket = shares.groupBy("bucket").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("kinds"), F.max(F.struct("n", "component")).alias("most"))
+    mixed = checkpoint(of_bucket.filter("kinds > 1").select("bucket", "rows", F.col("most.component").alias("main"), F.col("most.n").alias("n_main")))
+    few = members.join(mixed.filter(F.col("rows") <= small_bucket).select("bucket"), "bucket")
+    large = mixed.filter(F.col("rows") > small_bucket)
+
+    a, b = few.alias("a"), few.alias("b")
+    may = (F.col("a.size") >= similarity * F.col("b.size") - EDGE) & (F.col("b.size") >= similarity * F.col("a.size") - EDGE)
+    beside = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.id") < F.col("b.id")) & may)
     untried = beside.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct().join(tried, ["id_a", "id_b"], "left_anti")
 
-    crowd = many.select(F.col("bucket").alias("g"), "id", "component", (F.col("component") != F.col("main")).alias("outside")).join(sets, "id")
-    outside = crowd.filter("outside").drop("outside")
-    blocks = block_join(outside, crowd.drop("outside"), _joins(similarity), "id_a bigint, id_b bigint", True, block_rows)
+    crowd = _crowds(checkpoint(members.join(large.select("bucket"), "bucket").select("bucket", "id", "component")), large).join(sets, "id")
+    blocks = block_join(crowd.filter("outside").drop("outside"), crowd.drop("outside"), _joins(similarity), "id_a bigint, id_b bigint", True, block_rows)
     more = verified(untried, sets, similarity).unionByName(blocks)
     return connected_components(links.unionByName(more)).select("id", "component")

@@ -101,12 +101,31 @@ def test_recall_of_the_bands():
     assert total > 200 and found == total
 
 
-def test_sets_in_line(spark):
-    """Only shared buckets stay, each set with its predecessor where sizes allow a link."""
-    rows = [(1, 10, [7, 8]), (2, 10, [7, 9]), (3, 100, [7]), (4, 50, [11])]
+@pytest.mark.parametrize("batch", [10_000, 1, 2])
+def test_only_shared_buckets_stay(spark, batch):
+    rows = [(i, 10, [i % 7, 100 + i // 2, 1000 + i]) for i in range(40)]
     classes = spark.createDataFrame(rows, "set_id bigint, size bigint, buckets array<bigint>").coalesce(1)
-    got = {(r.bucket, r.id): r.before for r in set_links.lined_up(classes, 0.85).collect()}
-    assert got[7, 1] is None and got[7, 2] == 1 and got[7, 3] is None
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = [(r.bucket, r.id) for r in set_links.shared_buckets(classes).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(b, i) for i, _, buckets in rows for b in buckets[:2]}
+    assert len(got) == len(set(got)) and want <= set(got)
+    # at most the two ends of each task besides
+    assert len(set(got) - want) <= 2 * 8
+
+
+def test_crowds_choose_the_fewer_comparisons(spark):
+    """Buckets with much in common are one group, buckets that touch in one set stay apart."""
+    dense = [(b, i, 0 if i < 5 else i) for b in range(3) for i in range(10)]
+    loose = [(10 + b, 100 + 9 * b + i, 100 + 9 * b + i) for b in range(6) for i in range(10)]
+    large = spark.createDataFrame(dense + loose, "bucket bigint, id bigint, component bigint")
+    mixed = spark.createDataFrame([(b, 10, 0, 5) for b in range(3)] + [(10 + b, 10, 100 + 9 * b, 1) for b in range(6)], "bucket bigint, rows bigint, main bigint, n_main bigint")
+    got = set_links._crowds(large, mixed).collect()
+    assert {r.g for r in got} == {"c:0", *[f"b:{10 + b}" for b in range(6)]}
+    assert {r.id: r.outside for r in got if r.g == "c:0"} == {i: i >= 5 for i in range(10)}
+    assert sum(r.g != "c:0" for r in got) == 60 and sum(not r.outside for r in got if r.g != "c:0") == 6
 
 
 def test_empty_tables_and_columns(spark, empty):
