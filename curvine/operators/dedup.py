@@ -52,31 +52,75 @@ def semdedup(
 # --- connected components ---------------------------------------------------------
 
 
+# Edges that a task contracts at once.
+CONTRACT_ROWS = 1 << 20
+
+
 def connected_components(edges: DataFrame, part_col: str | None = None) -> DataFrame:
     """``(part, id, component)`` for every endpoint, the component named by its smallest id.
 
-    Several graphs (``part_col``) advance together, by alternating large-star and
-    small-star rounds (Kiveris et al., 2014), which shorten long chains quickly.
+    Tasks first contract the edges they hold to stars. Several graphs (``part_col``) then
+    advance together, by alternating large-star and small-star rounds (Kiveris et al.,
+    2014), which shorten long chains quickly, until the stars of all tasks agree.
     """
     part = F.col(part_col).cast("bigint") if part_col else F.lit(0).cast("bigint")
-    found = checkpoint(
-        edges.select(part.alias("part"), F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v")).filter("u <> v").distinct()
-    )
-    stars = _alternate_stars(found)
+    stars = _agreed(checkpoint(_contracted(edges.select(part.alias("part"), F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v")).filter("u <> v"))))
     roots = stars.select("part", F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return stars.select("part", F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _alternate_stars(edges: DataFrame) -> DataFrame:
-    state = None
+def _stars(part: np.ndarray, u: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+    """Edges ``(part, node, smallest node of its component)`` that connect what the given edges connect."""
+    out: list[list[np.ndarray]] = [[], [], []]
+    for p in np.unique(part):
+        here = part == p
+        nodes, flat = np.unique(np.concatenate([u[here], v[here]]), return_inverse=True)
+        a, b = flat[: here.sum()], flat[here.sum() :]
+        label = np.arange(len(nodes))
+        while True:
+            low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+            if np.array_equal(low, high):
+                break
+            np.minimum.at(label, high, low)
+            while not np.array_equal(label[label], label):
+                label = label[label]
+        rest = label != np.arange(len(nodes))
+        for column, values in zip(out, (np.full(rest.sum(), p), nodes[rest], nodes[label[rest]])):
+            column.append(values)
+    return [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in out]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """``(part, u, v)`` as stars, contracted inside each task; a bounded number of edges is held."""
+
+    def run(batches):
+        names = ["part", "u", "v"]
+        held, rows = [[], [], []], 0
+        for batch in batches:
+            for column, name in zip(held, names):
+                column.append(batch.column(name).to_numpy())
+            rows += batch.num_rows
+            if rows >= CONTRACT_ROWS:
+                star = _stars(*[np.concatenate(c) for c in held])
+                held, rows = [[c] for c in star], len(star[0])
+                if rows >= CONTRACT_ROWS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in star], names=names)
+                    held, rows = [[], [], []], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _stars(*[np.concatenate(c) for c in held])], names=names)
+
+    return edges.select("part", F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")).mapInArrow(run, "part bigint, u bigint, v bigint")
+
+
+def _agreed(edges: DataFrame) -> DataFrame:
+    """Stars of whole components: every node has one edge to its root, and no root has one."""
     while True:
-        total, mark = edges.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("part", "u", "v").cast("decimal(38,0)"))
-        ).collect()[0]
-        if (total, mark) == state:
+        ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("child")), F.struct(F.col("v").alias("node"), F.lit(0).alias("child")))).alias("e")
+        nodes = edges.select("part", ends).groupBy("part", "e.node").agg(F.sum("e.child").alias("above"), F.min("e.child").alias("least"))
+        total, open_ = nodes.agg(F.sum("above"), F.count_if((F.col("above") > 1) | ((F.col("above") == 1) & (F.col("least") == 0)))).first()
+        if not open_:
             return edges
-        state = (total, mark)
-        edges = checkpoint(_small_star(_large_star(edges, total), total))
+        edges = checkpoint(_contracted(_small_star(_large_star(edges, total), total)))
 
 
 def _with_lowest(rows: DataFrame, total: int) -> DataFrame:

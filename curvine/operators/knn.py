@@ -388,14 +388,18 @@ def ivf_knn_join(
 
 def two_stage_knn_join(
     queries: DataFrame, base: DataFrame, matrix: np.ndarray, k: int, *, widen: int = 2, id_col="vec_id", vec_col="embedding",
-    exclude_self=False,
+    exclude_self=False, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Shortlist ``widen * k`` neighbours in a low-dimensional projection, then rank them exactly."""
+    """Shortlist ``widen * k`` neighbours in a low-dimensional projection, then rank them exactly.
+
+    The shortlist is ids; full vectors meet by blocks (``pair_distance``).
+    """
     rough = knn_join(
         project_rows(queries, matrix, id_col, vec_col), project_rows(base, matrix, id_col, vec_col), widen * k, "sq_l2",
-        id_col=id_col, vec_col=vec_col, exclude_self=exclude_self,
+        id_col=id_col, vec_col=vec_col, exclude_self=exclude_self, block_rows=block_rows,
     )
-    scored = pair_distance(rough, queries, base, id_col=id_col, vec_col=vec_col)
+    # both sides of the second step read it
+    scored = pair_distance(checkpoint(rough.select("query_id", "neighbor_id")), queries, base, id_col=id_col, vec_col=vec_col, block_rows=block_rows)
     return merge_candidates(scored, k)
 
 
@@ -416,13 +420,44 @@ def project_rows(df: DataFrame, matrix: np.ndarray, id_col="vec_id", vec_col="em
     return kept.mapInArrow(run, f"{id_col} bigint, {vec_col} array<double>")
 
 
-def pair_distance(pairs: DataFrame, queries: DataFrame, base: DataFrame, *, id_col="vec_id", vec_col="embedding") -> DataFrame:
-    """Exact squared distance for given ``(query_id, neighbor_id)`` pairs."""
-    from curvine.functions.vectors import sq_l2
+def _pairs_of_blocks(_key, asks: pa.Table, refs: pa.Table, *, metric: str) -> pa.Table:
+    """Distances of the pairs listed by the queries ``(query_id, vec, others)`` with the rows ``(neighbor_id, vec)``."""
+    if not asks.num_rows or not refs.num_rows:
+        return _neighbors([], [], [])
+    others = asks.column("others").combine_chunks()
+    q_ids, wanted = asks.column("query_id").to_numpy(), others.flatten().to_numpy()
+    qi = np.repeat(np.arange(asks.num_rows), others.value_lengths().to_numpy())
+    refs = refs.sort_by("neighbor_id")
+    b_ids = refs.column("neighbor_id").to_numpy()
+    bi = np.minimum(np.searchsorted(b_ids, wanted), len(b_ids) - 1)
+    there = b_ids[bi] == wanted
+    qi, bi = qi[there], bi[there]
+    dist = kernels.exact(metric, kernels.matrix(asks.column("vec")), kernels.matrix(refs.column("vec")), qi, bi) if len(qi) else np.empty(0)
+    return _neighbors(q_ids[qi], b_ids[bi], dist)
+
 
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("_q"))
-    b = base.select(F.col(id_col).alias("neighbor_id"), F.col(vec_col).alias("_b"))
-    return pairs.join(q, "query_id").join(b, "neighbor_id").select("query_id", "neighbor_id", sq_l2("_q", "_b").alias("dist"))
+def pair_distance(
+    pairs: DataFrame, queries: DataFrame, base: DataFrame, metric: str = "sq_l2", *, id_col="vec_id", vec_col="embedding", block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Exact distances of given distinct ``(query_id, neighbor_id)`` pairs; ids are distinct on either side.
+
+    Pairs are grouped by the blocks of their two rows. A query's vector goes once to each
+    block that it asks, a base vector once to each block of queries that asks for it,
+    however many pairs they are in, and a pair itself is two ids.
+    """
+    q, b = (_side(df, id_col, vec_col, None) for df in (queries, base))
+    n_q, n_b = (max(1, -(-side.select("id").count() // block_rows)) for side in (q, b))
+    block = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    named = pairs.select("query_id", "neighbor_id", block("query_id", n_q).alias("qb"), block("neighbor_id", n_b).alias("bb"))
+    # a query's list is as long as its shortlist at most
+    lists = named.groupBy("qb", "bb", "query_id").agg(F.collect_list("neighbor_id").alias("others"))
+    asks = lists.join(q.withColumnRenamed("id", "query_id"), "query_id").select("qb", "bb", "query_id", "vec", "others")
+    refs = named.select("qb", "bb", "neighbor_id").distinct().join(b.withColumnRenamed("id", "neighbor_id"), "neighbor_id").select(F.col("qb").alias("ask"), F.col("bb").alias("ref"), "neighbor_id", "vec")
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        return _pairs_of_blocks(key, left, right, metric=metric)
+
+    return asks.groupBy("qb", "bb").cogroup(refs.groupBy("ask", "ref")).applyInArrow(run, NEIGHBOR_SCHEMA)
 
 
 def nearest_to_centers(df: DataFrame, centers: DataFrame, *, id_col="vec_id", vec_col="embedding", cid_col="cid", seed: int = 0) -> DataFrame:

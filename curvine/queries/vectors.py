@@ -146,7 +146,7 @@ def grad_proxy(spark, d):
 
 
 @query("badge_embedding", GRAD_SQL + """, s AS (SELECT vec_id, b, list_transform(p, lambda x, i: x - CASE WHEN i = list_position(p, list_max(p)) THEN 1 ELSE 0 END) AS sc FROM g)
-SELECT vec_id, flatten(list_transform(sc, lambda s: list_transform(b, lambda h: round(s * h, 6)))) AS badge FROM s""")
+SELECT vec_id, flatten(list_transform(sc, lambda s: list_transform(b, lambda h: round(s * h, 6) + 0.0::DOUBLE))) AS badge FROM s""")
 def badge_embedding(spark, d):
     probs = _class_probs(spark, d)
     scales = V.minus_onehot("p", V.argmax("p"))

@@ -72,3 +72,39 @@ def test_about_k_numbers_a_query_leave_the_tasks(spark, in_blocks):
     most = sent.agg(F.max("n")).first()[0]
     assert sent.count() == 80 and sent.agg(F.avg("n")).first()[0] < 1.25 * kth.sample_rank(k, blocks) * blocks < 1000 and most < 2500
     assert sent.filter(F.col("n") >= k).count() >= 78
+
+
+# --- exact distances of listed pairs --------------------------------------------------------
+
+
+@pytest.mark.parametrize("block_rows", [16384, 32, 5])
+def test_listed_pairs_by_blocks(spark, vectors, block_rows):
+    df, x, _ = vectors
+    rng = np.random.default_rng(4)
+    # row 0 is asked for by every query
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 300, (900, 2))} | {(i, 0) for i in range(300)})
+    listed = spark.createDataFrame(pairs, "query_id bigint, neighbor_id bigint")
+    got = {(r.query_id, r.neighbor_id): r.dist for r in knn.pair_distance(listed, df, df, block_rows=block_rows).collect()}
+    assert got.keys() == set(pairs)
+    assert all(abs(d - ((x[a] - x[b]) ** 2).sum()) < 1e-12 for (a, b), d in got.items())
+
+
+def test_pairs_of_unknown_rows_have_no_distance(spark, vectors):
+    df, _, _ = vectors
+    listed = spark.createDataFrame([(1, 2), (1, 900), (900, 1)], "query_id bigint, neighbor_id bigint")
+    assert [(r.query_id, r.neighbor_id) for r in knn.pair_distance(listed, df, df).collect()] == [(1, 2)]
+
+
+def test_two_stages_in_blocks_agree_with_one(spark, vectors):
+    from curvine.functions.hashing import sign_matrix
+
+    df, x, _ = vectors
+    matrix = sign_matrix(4, 8, 42)
+    rows = lambda n: sorted(tuple(r) for r in knn.two_stage_knn_join(df, df, matrix, 6, exclude_self=True, block_rows=n).collect())
+    assert rows(16384) == rows(40)
+    low = x @ matrix.T
+    want = []
+    for i in range(300):
+        rough = [j for _, j in sorted((((low[i] - low[j]) ** 2).sum(), j) for j in range(300) if j != i)[:12]]
+        want += [(i, r + 1, j) for r, (_, j) in enumerate(sorted((((x[i] - x[j]) ** 2).sum(), j) for j in rough)[:6])]
+    assert [r[:3] for r in rows(16384)] == sorted(want)
