@@ -260,38 +260,92 @@ def _side(side: int) -> Column:
     return F.coalesce(F.max(F.when(F.col("side") == side, F.col("k"))), F.lit(0))
 
 
+# Tokens counted at once; a row with more is a part of its own.
+SARI_TOKENS = 200_000
+
+
+def _gram_ids(codes: np.ndarray, side: np.ndarray, row: np.ndarray, max_n: int):
+    """Per size of n-gram: the number of each n-gram, equal in a row where its words are, and the side it lies in."""
+    kinds = int(codes.max(initial=0)) + 1
+    gram = np.unique(row * kinds + codes, return_inverse=True)[1]
+    for n in range(1, max_n + 1):
+        if n > 1:
+            whole = side[: len(side) - n + 1] == side[n - 1 :]
+            at = np.flatnonzero(whole)
+            full = np.full(len(side), -1)
+            full[at] = np.unique(gram[at] * kinds + codes[at + n - 1], return_inverse=True)[1]
+            gram = full
+        here = np.flatnonzero(gram >= 0)
+        yield gram[here], here
+        if n < max_n:
+            # a longer n-gram begins where one of this size does
+            gram = np.where(gram >= 0, gram, 0)
+
+
+def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.zeros(len(a)), where=b != 0)
+
+
+def _sari_part(texts: pa.ListArray) -> np.ndarray:
+    """SARI of rows of token lists: source, prediction, then the references."""
+    sizes = texts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    lists = texts.flatten()
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row_of = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(row_of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    side = np.repeat(np.arange(len(row_of)), lengths)
+    refs, total = sizes - 2, np.zeros(len(sizes))
+    for gram, at in _gram_ids(codes, side, row_of[side], 4):
+        grams = int(gram.max(initial=-1)) + 1
+        row = np.zeros(grams, np.int64)
+        row[gram] = row_of[side[at]]
+        of = place[side[at]]
+
+        def count(k: int, gram=gram, of=of, grams=grams) -> np.ndarray:
+            return np.bincount(gram[of == k], minlength=grams)
+
+        def by_row(x: np.ndarray, row=row) -> np.ndarray:
+            return np.bincount(row, x, len(sizes))
+
+        s, p = count(0), count(1)
+        gone, new = np.maximum(s - p, 0), np.maximum(p - s, 0)
+        common, added, dropped = by_row(np.minimum(s, p)), by_row(new), by_row(gone)
+        for r in range(int(refs.max(initial=0))):
+            k = count(2 + r)
+            kept, shared = by_row(np.minimum(np.minimum(s, p), k)), by_row(np.minimum(s, k))
+            hit, wrong = by_row(np.minimum(new, np.maximum(k - s, 0))), by_row(gone - np.minimum(gone, np.maximum(s - k, 0)))
+            kp, kr = _share(kept, common), _share(kept, shared)
+            total += np.where(refs > r, _share(2 * kp * kr, kp + kr) + _share(hit, added) + _share(dropped - wrong, dropped), 0.0)
+    return _share(total / 4 / 3 * 100, refs.astype(float))
+
+
 def sari(df: DataFrame, *, id_col: str, source="source", prediction="prediction", references="references") -> DataFrame:
-    """SARI of every row, 1- to 4-grams, averaged over its references.
+    """SARI of every row, 1- to 4-grams, averaged over its references; a row without references scores 0.
 
-    One hash aggregate counts an n-gram on all sides of its row, with a counter for
-    each reference, and a second one adds up the n-grams of a row; nothing is sorted.
-    The row with the most references says how many counters there are.
+    Tokens are numbered and n-grams counted for many rows at once inside a task, in
+    memory bounded by ``SARI_TOKENS`` or the largest row; nothing but texts is moved.
     """
-    most = max(0, df.agg(F.max(F.size(references))).collect()[0][0] or 0)
-    grams = _grams(df, id_col, {SOURCE: F.col(source), PREDICTION: F.col(prediction)}, references, True)
-    sides = {"s": SOURCE, "p": PREDICTION, **{f"k{r}": r for r in range(most)}}
-    counts = grams.groupBy(id_col, "refs", "n", "gram").agg(*[F.count_if(F.col("side") == side).alias(name) for name, side in sides.items()])
-    s, p = F.col("s"), F.col("p")
-    gone, new = F.greatest(s - p, F.lit(0)), F.greatest(p - s, F.lit(0))
-    sums = {"common": F.least(s, p), "added": new, "dropped": gone}
-    for r in range(most):
-        k = F.col(f"k{r}")
-        sums |= {
-            f"kept{r}": F.least(s, p, k), f"shared{r}": F.least(s, k), f"hit{r}": F.least(new, F.greatest(k - s, F.lit(0))),
-            f"wrong{r}": gone - F.least(gone, F.greatest(s - k, F.lit(0))),
-        }
-    per_n = counts.groupBy(id_col, "refs", "n").agg(*[F.sum(v).alias(name) for name, v in sums.items()])
-
-    def one(r: int) -> Column:
-        kp, kr = _ratio(F.col(f"kept{r}"), F.col("common")), _ratio(F.col(f"kept{r}"), F.col(f"shared{r}"))
-        kept = _ratio(2 * kp * kr, kp + kr)
-        dropped = _ratio(F.col("dropped") - F.col(f"wrong{r}"), F.col("dropped"))
-        return F.when(F.col("refs") > r, kept + _ratio(F.col(f"hit{r}"), F.col("added")) + dropped).otherwise(0.0)
-
-    # an order without any n-gram scores 0, so the sum is over 4 whatever rows exist
-    scored = per_n.select(id_col, "refs", "n", sum([one(r) for r in range(most)], F.lit(0.0)).alias("x"))
-    out = scored.groupBy(id_col).agg(F.try_divide(F.sum("x") / 4 / 3 * 100, F.max("refs")).alias("sari"))
-    return df.select(id_col).join(out, id_col, "left").fillna(0.0, ["sari"])
+    none = F.array().cast("array<array<string>>")
+    side = lambda col: F.coalesce(words(F.col(col)), F.array().cast("array<string>"))
+    others = F.transform(F.col(references), lambda r: F.coalesce(words(r), F.array().cast("array<string>")))
+    rows = df.select(id_col, F.concat(F.array(side(source), side(prediction)), F.coalesce(others, none)).alias("texts"))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            texts = batch.column(1)
+            inner = np.concatenate([[0], np.cumsum(texts.flatten().value_lengths().to_numpy(zero_copy_only=False))])
+            ends = inner[np.cumsum(texts.value_lengths().to_numpy(zero_copy_only=False))]
+            out, first, base = [], 0, 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(ends, base + SARI_TOKENS, side="right")))
+                out.append(_sari_part(texts.slice(first, last - first)))
+                first, base = last, int(ends[last - 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], names=[id_col, "sari"])
+
+    return rows.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, sari double")
 
 
 def bleu(df: DataFrame, *, id_col: str, prediction="prediction", references="references", lower: bool = False, smooth: bool = True) -> DataFrame:
