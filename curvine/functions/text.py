@@ -9,6 +9,7 @@ from curvine.functions import vectors as V
 from curvine.functions.hashing import id_hash
 from curvine.plans.bounded import broadcast_if_small
 from curvine.plans.join_hot import MAX_HOT_KEYS, join_lookup
+from curvine.session import checkpoint
 
 # --- filters and pairs ---------------------------------------------------------
 
@@ -183,9 +184,10 @@ def tfidf(df: DataFrame, *, id_col: str, text_col: str, stop_words: list[str] |
     tokens = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN), F.lit(0))
     stops = F.array(*[F.lit(w) for w in stop_words]) if stop_words else None
     kept = F.filter(tokens, lambda t: ~F.array_contains(stops, t)) if stop_words else tokens
-    # whole texts are shuffled by id once; the longer term rows are grouped in place
+    # whole texts are shuffled by id once; the longer term rows are grouped in place, and
+    # written down, as the vocabulary and both ways of the lookup read them
     terms = df.repartition(id_col).select(id_col, F.explode(kept).alias("term"))
-    counts = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = checkpoint(terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
     vocab = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     if max_terms is not None:
         vocab = vocab.orderBy(F.col("total").desc(), "term").limit(max_terms)

@@ -14,6 +14,7 @@ from curvine.operators import knn
 from curvine.plans.bounded import TooLarge, collect_bounded
 from curvine.plans.ranking import rank_rows
 from curvine.session import checkpoint
+from curvine.sources.sinks import scratch_folder
 
 SCALE = 1e9
 FLUSH_GROUPS = 4096
@@ -135,6 +136,38 @@ def kmeans(
     return assign_rows(df, cids, vectors, metric, coarse, nprobe, vec_col), centroid_frame(df, cids, vectors)
 
 
+def minibatch_kmeans(
+    df: DataFrame, init: DataFrame, *, batches: int, epochs: int = 1, spherical: bool = False, seed: int = 0, id_col="vec_id", vec_col="embedding"
+) -> tuple[DataFrame, DataFrame]:
+    """Mini-batch k-means (Sculley, 2010) from given centroids: ``(assigned rows, centroids)``.
+
+    A hash of the id deals the rows into ``batches`` parts, written once, and a step reads
+    one part: its rows go to their nearest centroid, and every centroid moves towards the
+    mean of its rows by their share among all rows it has seen, so its rate falls as
+    it learns. A centroid without rows in a batch stays. Rows that are not in the sample of
+    a step cost nothing; an epoch reads every row once, where a round of ``kmeans``
+    moves the centroids once. ``spherical`` compares directions and returns unit centroids.
+    """
+    cids, vectors = _require_small(init)
+    vectors, metric = vectors.copy(), "ip" if spherical else "sq_l2"
+    spark, path = df.sparkSession, scratch_folder(df.sparkSession)
+    dealt = df.filter(F.col(vec_col).isNotNull()).select(id_col, vec_col, F.pmod(id_hash(id_col, seed), F.lit(batches)).alias("batch"))
+    dealt.write.partitionBy("batch").parquet(path)
+    rows, seen = spark.read.parquet(path), np.zeros(len(cids))
+    for step in range(epochs * batches):
+        part = rows.filter(F.col("batch") == step % batches).select(id_col, vec_col)
+        # one row per centroid at most
+        found = {r["cid"]: r for r in collect_bounded(group_means(knn.assign_to(part, cids, vectors, metric=metric, vec_col=vec_col), ["cid"], vec_col), len(cids))}
+        for i, cid in enumerate(cids):
+            if int(cid) in found:
+                n, mean = found[int(cid)]["n"], np.array(found[int(cid)]["mean"])
+                seen[i] += n
+                vectors[i] = vectors[i] + (mean - vectors[i]) * (n / seen[i])
+        if spherical:
+            vectors = _normalized(vectors)
+    return knn.assign_to(df, cids, vectors, metric=metric, vec_col=vec_col), centroid_frame(df, cids, vectors)
+
+
 def _require_small(centroids: DataFrame):
     small = knn.centroid_matrix(centroids)
     if small is None:

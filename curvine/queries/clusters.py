@@ -87,6 +87,28 @@ def kmeans_spherical(spark, d):
     return assigned.select("vec_id", "cid", F.round(-F.col("cdist"), 6).alias("centroid_sim"))
 
 
+MINI_BATCHES, MINI_SEED = 4, 11
+
+
+def minibatch_sql(k: int) -> str:
+    """Mini-batch steps unrolled; ``n`` is how many rows a centroid has seen."""
+    parts = [f"WITH {E_SQL}", centroids_sql(k, "i"), "c0 AS (SELECT cid, centroid, 0::BIGINT AS n FROM i)"]
+    for b in range(MINI_BATCHES):
+        own = f"b{b} AS (SELECT * FROM e WHERE {id_hash_sql('vec_id', MINI_SEED)} % {MINI_BATCHES} = {b})"
+        near = assign_cte(f"a{b}", f"c{b}").replace("FROM e CROSS JOIN", f"FROM b{b} e CROSS JOIN")
+        step = f"""c{b + 1} AS (SELECT c.cid, c.n + coalesce(m.n, 0) AS n, CASE WHEN m.n IS NULL THEN c.centroid ELSE
+  list_transform(list_zip(c.centroid, m.mean), lambda t: t[1] + (t[2] - t[1]) * (m.n::DOUBLE / (c.n + m.n))) END AS centroid FROM c{b} c LEFT JOIN m{b} m USING (cid))"""
+        parts += [own, near, mean_sql(f"a{b}", "cid", f"m{b}", out="mean"), step]
+    return ", ".join([*parts, assign_cte("af", f"c{MINI_BATCHES}")])
+
+
+@query("kmeans_minibatch", minibatch_sql(10) + " SELECT vec_id, cid, round(cdist, 6) AS cdist FROM af")
+def kmeans_minibatch(spark, d):
+    emb = embeddings(spark, d)
+    assigned, _ = cluster.minibatch_kmeans(emb, initial(emb, 10), batches=MINI_BATCHES, seed=MINI_SEED)
+    return assigned.select("vec_id", "cid", F.round("cdist", 6).alias("cdist"))
+
+
 @query("kmeans_sampled_fit")
 def kmeans_sampled_fit(spark, d):
     assigned, _ = cluster.mllib_kmeans(embeddings(spark, d), 10, cosine=False, fit_share=0.5, normalize_centroids=True)

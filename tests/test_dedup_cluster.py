@@ -129,3 +129,45 @@ def test_mllib_kmeans_repeats(vectors):
     a, _ = cluster.mllib_kmeans(df, 4, cosine=True)
     b, _ = cluster.mllib_kmeans(df, 4, cosine=True)
     assert sorted(a.select("vec_id", "cid").collect()) == sorted(b.select("vec_id", "cid").collect())
+
+
+def plain_minibatch(x, ids, init, batches, epochs, seed):
+    """Sculley's mini-batches, each batch moving its centroids at once."""
+    from curvine.functions.hashing import _constants
+
+    multiplier, addend = _constants(seed)
+    h = ids % 2147483647 * multiplier % 2147483647
+    h = h * (h + addend) % 2147483647
+    centers, seen = init.copy(), np.zeros(len(init))
+    for step in range(epochs * batches):
+        rows = x[h % batches == step % batches]
+        near = ((rows[:, None] - centers[None]) ** 2).sum(2).argmin(1)
+        for c in range(len(centers)):
+            mine = rows[near == c]
+            if len(mine):
+                seen[c] += len(mine)
+                centers[c] += (mine.mean(0) - centers[c]) * len(mine) / seen[c]
+    return centers
+
+
+@pytest.mark.parametrize("batches,epochs", [(1, 1), (5, 1), (7, 3)])
+def test_minibatch_steps(vectors, batches, epochs):
+    df, x, _ = vectors
+    init = cluster.sample_rows(df, 6)
+    start = np.array([r.centroid for r in init.orderBy("cid").collect()])
+    assigned, centers = cluster.minibatch_kmeans(df, init, batches=batches, epochs=epochs, seed=4)
+    got = np.array([r.centroid for r in centers.orderBy("cid").collect()])
+    assert np.allclose(got, plain_minibatch(x, np.arange(300), start, batches, epochs, 4), atol=1e-6)
+    rows = sorted((r.vec_id, r.cid) for r in assigned.collect())
+    assert [c for _, c in rows] == ((x[:, None] - got[None]) ** 2).sum(2).argmin(1).tolist()
+
+
+def test_minibatches_come_close_to_full_rounds(vectors):
+    df, x, _ = vectors
+    init = cluster.sample_rows(df, 6)
+    cost = lambda frame: sum(r.cdist for r in frame.collect())
+    full, _ = cluster.kmeans(df, init, max_iter=12, tol=0.0)
+    few, _ = cluster.minibatch_kmeans(df, init, batches=6, epochs=4)
+    unit, centers = cluster.minibatch_kmeans(df, init, batches=3, spherical=True)
+    assert cost(few) < 1.08 * cost(full)
+    assert np.allclose([np.linalg.norm(r.centroid) for r in centers.collect()], 1.0)
