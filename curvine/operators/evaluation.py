@@ -389,20 +389,48 @@ def lcs_length(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
+def _rouge_part(texts: pa.ListArray) -> list[float | None]:
+    """Best F1 of rows of token lists: the prediction, then its references; None without references."""
+    sizes = texts.value_lengths().to_numpy(zero_copy_only=False)
+    lists = texts.flatten()
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    codes = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    sides = np.split(codes, ends[:-1]) if len(ends) else []
+    mark, out, at = np.zeros(int(codes.max(initial=0)) + 1, bool), [], 0
+    for n in sizes:
+        best, p = None, sides[at]
+        for r in sides[at + 1 : at + n]:
+            # words of one side only are in no common subsequence
+            mark[r] = True
+            mine = p[mark[p]]
+            mark[r] = False
+            mark[mine] = True
+            common = lcs_length(mine.tolist(), r[mark[r]].tolist())
+            mark[mine] = False
+            precision, recall = common / len(p) if len(p) else 0.0, common / len(r) if len(r) else 0.0
+            f1 = 2 * precision * recall / (precision + recall) * 100 if common else 0.0
+            best = f1 if best is None else max(best, f1)
+        out.append(best)
+        at += n
+    return out
+
+
 def rouge_l(df: DataFrame, *, id_col: str, prediction="prediction", references="references") -> DataFrame:
-    """ROUGE-L F1 of every row, whole texts, the best over its references."""
-    spread = df.repartition(id_col)  # groups stay in place, and long texts spread over the tasks
-    pairs = spread.select(id_col, words(prediction).alias("p"), F.explode(references).alias("ref")).select(id_col, "p", words("ref").alias("r"))
-
-    @F.pandas_udf("bigint")
-    def common(p, r):
-        return p.combine(r, lambda a, b: lcs_length(list(a), list(b))).astype("int64")
-
-    scored = pairs.select(id_col, F.size("p").alias("np"), F.size("r").alias("nr"), common("p", "r").alias("lcs"))
-    precision, recall = _ratio(F.col("lcs"), F.col("np")), _ratio(F.col("lcs"), F.col("nr"))
-    return scored.select(id_col, precision.alias("a"), recall.alias("b")).groupBy(id_col).agg(
-        (F.max(_ratio(2 * F.col("a") * F.col("b"), F.col("a") + F.col("b"))) * 100).alias("rouge_l")
-    )
+    """ROUGE-L F1 of every row, whole texts, the best over its references; rows without references are left out.
+
+    Tokens are numbered for a whole batch, and a row of the table is one number of as many
+    bits as the text has words, so a text of n words against one of m takes m steps.
+    """
+    side = lambda col: F.coalesce(words(col), F.array().cast("array<string>"))
+    rows = df.select(id_col, F.concat(F.array(side(F.col(prediction))), F.transform(references, side)).alias("texts")).filter(F.size("texts") > 1)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_rouge_part(batch.column(1)), pa.float64())], names=[id_col, "rouge_l"])
+
+    # long texts spread over the tasks
+    return rows.repartition(id_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, rouge_l double")
 
 
 def fkgl(text) -> Column:

@@ -187,7 +187,20 @@ def eval_bleu(spark, d):
     return _round(ev.bleu(_triples(spark, d), id_col="doc_id"), "bleu")
 
 
-@query("eval_rouge_l")
+# The row of the table as its rising steps: step k is the first word of the prediction at which a common subsequence of k words can end.
+ROUGE_SQL = f"""WITH o AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS z, {words_sql('text')} AS w FROM documents),
+tok AS MATERIALIZED (SELECT i, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1))::INTEGER AS j FROM o),
+places AS (SELECT i, word, list(j ORDER BY j) AS ps FROM tok GROUP BY ALL),
+pairs AS (SELECT p.i, p.z, x.rn, (p.i + 1) % p.z AS a, (p.i + 1 + x.rn) % p.z AS b FROM o p, range(1, 3) x(rn)),
+hits AS (SELECT q.i, q.rn, list(ps ORDER BY t.j) AS l FROM pairs q JOIN tok t ON t.i = q.b JOIN places s ON s.i = q.a AND s.word = t.word GROUP BY q.i, q.rn),
+l AS (SELECT i, rn, len(list_reduce(list_prepend([]::INTEGER[], l), lambda u, ps: list_filter(list_transform(list_append(u, 1000000000), lambda t, k:
+  least(t, coalesce(list_min(list_filter(ps, lambda p: p > CASE WHEN k = 1 THEN 0 ELSE u[k - 1] END)), 1000000000))), lambda t: t < 1000000000))) AS lcs FROM hits),
+r AS (SELECT q.i, q.rn, coalesce(lcs, 0) AS lcs, len(x.w) AS np, len(y.w) AS nr FROM pairs q JOIN o x ON x.i = q.a JOIN o y ON y.i = q.b LEFT JOIN l ON l.i = q.i AND l.rn = q.rn),
+f AS (SELECT i, max(CASE WHEN lcs = 0 THEN 0 ELSE 2 * (lcs / np) * (lcs / nr) / (lcs / np + lcs / nr) END) * 100 AS x FROM r GROUP BY i)
+SELECT count(*) AS n, round(avg(x), 6) AS rouge_l FROM f"""
+
+
+@query("eval_rouge_l", ROUGE_SQL)
 def eval_rouge_l(spark, d):
     rows = ev.rouge_l(_triples(spark, d), id_col="doc_id")
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("rouge_l"), 6).alias("rouge_l"))
