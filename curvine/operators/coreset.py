@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 from decimal import Decimal
 
 import numpy as np
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from curvine.functions import kernels
 from curvine.functions import vectors as V
-from curvine.functions.hashing import id_hash
+from curvine.functions.hashing import MODULUS, id_hash
 from curvine.operators import knn
 from curvine.operators.cluster import group_means
 from curvine.plans.blocks import BLOCK_ROWS, block_join, self_block_join
@@ -333,6 +335,81 @@ def facility_select(
     return df.sparkSession.createDataFrame(picks, f"{class_col} bigint, step bigint, {id_col} bigint, gain double")
 
 
+def draw_limit(budget: int, eps: float) -> int:
+    """Rows whose hash lies below it are the candidates of a step: n / budget * ln(1 / eps) of n rows on average."""
+    return int(min(1.0, math.log(1 / eps) / max(1, budget)) * MODULUS)
+
+
+def _drawn(rows: DataFrame, limits: dict[int, int], steps: range, seed: int, room: int) -> Iterator[tuple[range, dict]]:
+    """Candidates ``{class: {id: (vec, steps it is drawn for)}}`` of as many steps as a pass may bring, then of the next ones."""
+    sizes = {r["g"]: (r["n"], r["d"]) for r in collect_bounded(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")))}
+    most = sum(8 * sizes[g][0] * sizes[g][1] * limits[g] / MODULUS for g in limits if g in sizes)
+    each = max(1, min(len(steps), int(room / max(1.0, most)))) if len(steps) else 1
+    limit_of = F.element_at(F.create_map(*[F.lit(x) for g, n in limits.items() for x in (g, n)]), F.col("g"))
+    for first in range(steps.start, steps.stop, each):
+        part = range(first, min(first + each, steps.stop))
+        hit = F.array_compact(F.array(*[F.when(id_hash("id", seed + t) < limit_of, F.lit(t)) for t in part]))
+        found: dict = {g: {} for g in limits}
+        for r in rows.filter(F.col("g").isin(list(limits))).withColumn("steps", hit).filter(F.size("steps") > 0).toLocalIterator():
+            found[r["g"]][r["id"]] = (r["vec"], set(r["steps"]))
+        yield part, found
+
+
+def facility_stochastic(
+    df: DataFrame, budget: dict[int, int], *, eps: float = 0.1, seed: int = 0, metric: str = "cosine", class_col="label", id_col="vec_id",
+    vec_col="embedding", block_rows: int = BLOCK_ROWS, pull: int = PULL,
+) -> DataFrame:
+    """Stochastic greedy facility location per class (Mirzasoleiman et al., 2015): ``(class, step, id, gain)``.
+
+    Every step looks at a random part of the class only, drawn by the hash of id and step,
+    n / budget * ln(1 / eps) rows on average, and picks the one that adds most (ties to
+    the smaller id); the expected value is within eps of plain greedy's bound. No class
+    meets itself: the candidates of several steps come in one pass and get their gains
+    in another, and as gains only shrink, a step scores again just those that could still
+    win. A step that draws no new row takes the unpicked row of smallest hash. Candidates
+    of one step must fit into the driver's bounded room, which ``eps`` and the budget set.
+    """
+    rows = checkpoint(_class_rows(df, class_col, id_col, vec_col))
+    spans = class_spans(rows, metric, block_rows)
+    points = rows.withColumn("cover", F.lit(0.0))
+    limits = {g: draw_limit(b, eps) for g, b in budget.items() if b > 0}
+    chosen: dict[int, list] = {}
+    taken: dict[int, set] = {g: set() for g in limits}
+    picks: list[tuple] = []
+    for part, drawn in _drawn(rows, limits, range(max(budget.values(), default=0)), seed, MAX_BROADCAST_BYTES // 2):
+        bound = _gain_pass(points, metric, spans, chosen, {g: [(i, v) for i, (v, _) in c.items() if i not in taken[g]] for g, c in drawn.items()})
+        for step in part:
+            live = {g: {i: v for i, (v, at) in drawn[g].items() if step in at and i not in taken[g]} for g in limits if budget[g] > step}
+            for g in [g for g, c in live.items() if not c]:
+                rest = rows.filter(F.col("g") == g).join(F.broadcast(rows.sparkSession.createDataFrame([(i,) for i in taken[g]], "id bigint")), "id", "left_anti")
+                live[g] = {r["id"]: r["vec"] for r in rest.orderBy(id_hash("id", seed + step), "id").limit(1).collect()}
+            live = {g: c for g, c in live.items() if c}
+            fresh: dict[int, dict[int, int]] = {g: {} for g in live}
+            open_ = set(live)
+            while open_:
+                asked = {}
+                for g in sorted(open_):
+                    best = max(fresh[g].values(), default=-1)
+                    stale = sorted((i for i in live[g] if i not in fresh[g] and bound.get((g, i), best + 1) >= best), key=lambda i: (-bound.get((g, i), 0), i))
+                    if stale:
+                        asked[g] = [(i, live[g][i]) for i in stale[:pull]]
+                    else:
+                        open_.discard(g)
+                if asked:
+                    for key, gain in _gain_pass(points, metric, spans, chosen, asked).items():
+                        bound[key] = fresh[key[0]][key[1]] = gain
+            for g in live:
+                best = max(fresh[g], key=lambda i: (fresh[g][i], -i))
+                picks.append((g, step, best, fresh[g][best] / FIXED))
+                chosen.setdefault(g, []).append(live[g][best])
+                taken[g].add(best)
+            held = sum(len(v) * len(v[0]) * 8 for v in chosen.values() if v)
+            if (step + 1) % KEEP_EVERY == 0 or held > MAX_BROADCAST_BYTES // 2:
+                points = _settle_cover(points, metric, spans, chosen)
+                chosen = {}
+    return df.sparkSession.createDataFrame(picks, f"{class_col} bigint, step bigint, {id_col} bigint, gain double")
+
+
 def residual_candidates(
     df: DataFrame, k: int, *, selected: dict[int, list] | None = None, class_col="label", id_col="vec_id", vec_col="embedding"
 ) -> DataFrame:

@@ -119,16 +119,20 @@ def prune_ratio_by_cluster(spark, d):
 COS_XY = f"{dot_sql('x.v', 'y.v')} / (x.norm * y.norm)"
 
 
-def greedy_sql(sims: str, steps: int, prefix: str = "p") -> str:
-    """CTEs of picks: p0, p1, ... each (g, vec_id, gain)."""
+def greedy_sql(sims: str, steps: int, prefix: str = "p", draw=None) -> str:
+    """CTEs of picks: p0, p1, ... each (g, vec_id, gain); ``draw`` gives a step's hash and its limit, for candidates drawn at random."""
     parts = []
     for t in range(steps):
+        first = "gain DESC"
+        if draw:
+            h, limit = draw(t)
+            first = f"{h} < {limit} DESC, CASE WHEN {h} < {limit} THEN gain ELSE -{h} END DESC"
         cover = " UNION ALL ".join(f"SELECT {sims}.g, i, s FROM {sims} JOIN {prefix}{u} k ON k.g = {sims}.g AND k.vec_id = j" for u in range(t)) or f"SELECT g, i, 0::HUGEINT AS s FROM {sims} WHERE i = j"
         taken = " UNION ALL ".join(f"SELECT g, vec_id FROM {prefix}{u}" for u in range(t)) or "SELECT NULL::BIGINT AS g, NULL::BIGINT AS vec_id"
         parts.append(f"""{prefix}{t} AS (SELECT q.g, q.j AS vec_id, sum(greatest(q.s, cv.s) - cv.s)::DOUBLE / 1e9 AS gain FROM {sims} q
   JOIN (SELECT g, i, greatest(0, max(s)) AS s FROM ({cover}) GROUP BY g, i) cv ON cv.g = q.g AND cv.i = q.i
   WHERE (q.g, q.j) NOT IN (SELECT (g, vec_id) FROM ({taken}) WHERE g IS NOT NULL) GROUP BY q.g, q.j
-  QUALIFY row_number() OVER (PARTITION BY q.g ORDER BY gain DESC, q.j) = 1)""")
+  QUALIFY row_number() OVER (PARTITION BY q.g ORDER BY {first}, q.j) = 1)""")
     return ", ".join(parts)
 
 
@@ -174,6 +178,20 @@ def facility_greedy_l2(spark, d):
     return _facility(spark, d, "euclidean").withColumn("gain", F.round("gain", 6))
 
 
+DRAW_STEPS, DRAW_EPS, DRAW_SEED = 4, 0.3, 31
+
+
+def _draw(step: int) -> tuple[str, int]:
+    return id_hash_sql("q.j", DRAW_SEED + step), coreset.draw_limit(DRAW_STEPS, DRAW_EPS)
+
+
+@query("facility_stochastic", CLASS_ROWS + ", " + sims_plain("rw", "sm", "cosine") + ", " + greedy_sql("sm", DRAW_STEPS, draw=_draw) + " " + union_picks(DRAW_STEPS))
+def facility_stochastic(spark, d):
+    """A third of each class is looked at in a step."""
+    found = coreset.facility_stochastic(embeddings(spark, d), {c: DRAW_STEPS for c in _classes(spark, d)}, eps=DRAW_EPS, seed=DRAW_SEED)
+    return found.withColumn("gain", F.round("gain", 6))
+
+
 RES_SQL = f"""WITH {E_SQL}, {mean_sql('e', 'label', 'lm')}, r AS (SELECT label, list_transform(centroid, lambda x: x * n) AS residual FROM lm)
 SELECT e.label::BIGINT AS label, row_number() OVER (PARTITION BY e.label ORDER BY {sq_l2_sql('e.v', 'residual')}, vec_id) AS rank, vec_id AS neighbor_id, round({sq_l2_sql('e.v', 'residual')}, 6) AS dist
 FROM e JOIN r USING (label) QUALIFY rank <= 10"""

@@ -234,3 +234,45 @@ def test_a_part_too_large_for_a_task_fails(spark, vectors, monkeypatch):
     monkeypatch.setattr(coreset, "PART_BYTES", 100)
     with pytest.raises(Exception, match="use more parts"):
         coreset.greedi(vectors[0], {c: 2 for c in range(6)}, 1).collect()
+
+
+def plain_stochastic(x, label, budget, eps, seed):
+    """Every step scores its drawn rows against all points of the class."""
+    from curvine.functions.hashing import _constants
+
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    out, ids = [], np.arange(len(x))
+    for g, b in budget.items():
+        own = ids[label == g]
+        sim = np.maximum(unit[own] @ unit[own].T, 0)
+        cover, taken = np.zeros(len(own)), set()
+        for step in range(b):
+            multiplier, addend = _constants(seed + step)
+            h = own % 2147483647 * multiplier % 2147483647
+            h = h * (h + addend) % 2147483647
+            new = [i for i in range(len(own)) if own[i] not in taken]
+            drawn = [i for i in new if h[i] < coreset.draw_limit(b, eps)] or [min(new, key=lambda i: (h[i], own[i]))]
+            best = max(drawn, key=lambda i: (round(np.maximum(sim[i] - cover, 0).sum(), 6), -own[i]))
+            out.append((g, step, int(own[best])))
+            cover, taken = np.maximum(cover, sim[best]), taken | {own[best]}
+    return sorted(out)
+
+
+@pytest.mark.parametrize("eps,pull", [(0.3, 64), (0.3, 2), (0.99, 64)])
+def test_stochastic_greedy_scores_the_drawn_rows(vectors, eps, pull):
+    df, x, label = vectors
+    budget = {0: 6, 1: 3, 2: 0, 3: 5}
+    got = sorted((r.label, r.step, r.vec_id) for r in coreset.facility_stochastic(df, budget, eps=eps, seed=9, pull=pull).collect())
+    assert got == plain_stochastic(x, label, budget, eps, 9)
+
+
+def test_stochastic_greedy_comes_close_to_plain_greedy(vectors, monkeypatch):
+    df, x, label = vectors
+    budget = {g: 5 for g in range(6)}
+    value = lambda rows: sum(r.gain for r in rows.collect())
+    whole = value(coreset.facility_select(df, budget))
+    drawn = coreset.facility_stochastic(df, budget, eps=0.05)
+    assert value(drawn) > 0.9 * whole
+    # one step at a time gives the same picks
+    monkeypatch.setattr(coreset, "MAX_BROADCAST_BYTES", 1)
+    assert sorted(map(tuple, coreset.facility_stochastic(df, budget, eps=0.05).collect())) == sorted(map(tuple, drawn.collect()))
