@@ -34,10 +34,38 @@ def vote(neighbors: DataFrame, labels: DataFrame, *, id_col: str, label_col: str
     return counts.groupBy("query_id").agg(F.min_by("y", F.struct((-F.col("n")).alias("a"), F.col("y"))).alias("pred"))
 
 
+# Metrics whose anchors can be prepared: the distance is minus an inner product with what is stored.
+PREPARED = ("kl", "cross")
+
+
+def stored_anchors(anchors: DataFrame, metric: str, *, id_col: str, label_col: str, prob_col: str) -> DataFrame:
+    """``(id, label, ready)``: anchors as a vote takes them, with every logarithm of theirs taken once.
+
+    KL(anchor || query) is the anchor's negative entropy minus the sum of its
+    probabilities times the query's logs, so ``ready`` is the probabilities and the negative
+    entropy; for ``cross`` it is the log probabilities.
+    """
+    made = prepare_anchors(anchors, id_col=id_col, label_col=label_col, prob_col=prob_col)
+    ready = F.concat(F.col(prob_col), F.array("neg_entropy")) if metric == "kl" else F.col("log_p")
+    return made.select(id_col, label_col, ready.alias("ready"))
+
+
+def vote_stored(queries: DataFrame, stored: DataFrame, k: int, *, metric: str = "kl", id_col: str, label_col: str, vec_col: str, exclude_self: bool = False) -> DataFrame:
+    """Classify by the k nearest of ``stored_anchors``; nothing about an anchor is computed again."""
+    if metric not in PREPARED:
+        raise ValueError(f"anchors cannot be prepared for {metric!r}")
+    asked = F.concat(V.log_smooth(vec_col), F.array(F.lit(-1.0))) if metric == "kl" else V.doubles(vec_col)
+    near = knn.knn_join(queries.select(id_col, asked.alias("ready")), stored, k, "ip", id_col=id_col, vec_col="ready", exclude_self=exclude_self)
+    return vote(near, stored, id_col=id_col, label_col=label_col)
+
+
 def knn_vote(
     queries: DataFrame, anchors: DataFrame, k: int, *, metric: str = "kl", id_col: str, label_col: str, vec_col: str, exclude_self: bool = False
 ) -> DataFrame:
     """Classify by the k nearest anchors: ``kl`` is KL(anchor || query), ``cross`` ranks by sum of query * log anchor."""
+    if metric in PREPARED:
+        stored = stored_anchors(anchors, metric, id_col=id_col, label_col=label_col, prob_col=vec_col)
+        return vote_stored(queries, stored, k, metric=metric, id_col=id_col, label_col=label_col, vec_col=vec_col, exclude_self=exclude_self)
     near = knn.knn_join(queries, anchors, k, metric, id_col=id_col, vec_col=vec_col, exclude_self=exclude_self)
     return vote(near, anchors, id_col=id_col, label_col=label_col)
 

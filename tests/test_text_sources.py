@@ -13,6 +13,7 @@ from curvine.functions import text as T
 from curvine.operators import evaluation as ev
 from curvine.sources import embeddings as E
 from curvine.sources import sinks, texts
+from curvine.operators import knn, prompting
 from curvine.streaming import jobs
 
 
@@ -215,3 +216,42 @@ def test_anchor_stream_in_several_batches_uses_what_arrived(spark):
         jobs.anchor_stream(arrivals, f"{work}/a", f"{work}/o", f"{work}/c", 1, id_col="id", label_col="y", prob_col="p", once=True).awaitTermination()
     got = {r["query_id"]: r["pred"] for r in spark.read.parquet(f"{work}/o").collect()}
     assert got == {1: 0, 3: 1, 4: 0}
+
+
+def test_compacted_anchor_store_gives_the_same_votes(spark):
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet([1.0] * 4, 70)
+    rows = [(i, int(i % 3) if i % 4 else None, p[i].tolist()) for i in range(70)]
+    want = {}
+    for every in (1000, 2):
+        source, work = folder(), folder()
+        for part in range(7):
+            spark.createDataFrame(rows[10 * part : 10 * part + 10], "id bigint, y int, p array<double>").coalesce(1).write.mode("append").parquet(source)
+            arrivals = jobs.read_arrivals(spark, source, "*.parquet", "id bigint, y int, p array<double>")
+            jobs.anchor_stream(arrivals, f"{work}/a", f"{work}/o", f"{work}/c", 3, id_col="id", label_col="y", prob_col="p", once=True, compact_every=every).awaitTermination()
+        got = {r["query_id"]: r["pred"] for r in spark.read.parquet(f"{work}/o").collect()}
+        want = want or got
+        assert got == want and len(got) == 18
+        if every == 2:
+            # three tables of all anchors so far, each marked
+            marks = spark.read.parquet(f"{work}/a/marks")
+            assert sorted(r.upto for r in marks.select("upto").distinct().collect()) == [1, 3, 5]
+            held = spark.read.parquet(f"{work}/a/compact/upto=5")
+            assert sorted(r.id for r in held.collect()) == [i for i in range(60) if i % 4]
+    # the last batch votes among all anchors
+    stored = [(i, y, q) for i, y, q in rows if y is not None]
+    for i in (60, 64, 68):
+        kl = sorted((sum(a * (np.log(a + 1e-10) - np.log(b + 1e-10)) for a, b in zip(q, p[i])), j, y) for j, y, q in stored)
+        votes = [y for *_, y in kl[:3]]
+        assert want[i] == min(set(votes), key=lambda y: (-votes.count(y), y))
+
+
+def test_stored_anchors_vote_like_the_kernels(spark):
+    rng = np.random.default_rng(9)
+    p = rng.dirichlet([0.5] * 6, 80)
+    df = spark.createDataFrame([(i, i % 5, p[i].tolist()) for i in range(80)], "id bigint, y int, p array<double>")
+    names = {"id_col": "id", "label_col": "y"}
+    for metric in ("kl", "cross"):
+        near = knn.knn_join(df, df, 4, metric, id_col="id", vec_col="p", exclude_self=True)
+        plain = {tuple(r) for r in prompting.vote(near, df, **names).collect()}
+        assert {tuple(r) for r in prompting.knn_vote(df, df, 4, metric=metric, vec_col="p", exclude_self=True, **names).collect()} == plain
