@@ -427,7 +427,12 @@ def residual_select(
     df: DataFrame, budget: dict[int, int], *, candidates: int = 20, batch: int = 5, metric: str = "cosine", class_col="label", id_col="vec_id",
     vec_col="embedding",
 ) -> DataFrame:
-    """Pick in batches among the rows nearest to the residual: ``(class, step, id, gain)``."""
+    """Pick in batches among the rows nearest to the residual: ``(class, step, id, gain)``.
+
+    The residual is what the picks leave of a class's summed vectors; each batch looks at
+    the ``candidates`` rows nearest to it. Picks are settled into the cover of the points
+    like those of ``facility_select``, so no pass grows with the picks before it.
+    """
     rows = _class_rows(df, class_col, id_col, vec_col)
     spans = class_spans(rows, metric)
     points = rows.withColumn("cover", F.lit(0.0))
@@ -443,7 +448,8 @@ def residual_select(
         free = rows.join(F.broadcast(used), "id", "left_anti")
         near = knn.nearest_to_few({g: (g, totals[g]) for g in live}, free, candidates, class_col="g", id_col="id", vec_col="vec")
         pool: dict[int, dict] = {}
-        for r in near.join(rows.select(F.col("id").alias("neighbor_id"), "vec"), "neighbor_id").collect():
+        # a few ids per class, sent to the vectors
+        for r in rows.select(F.col("id").alias("neighbor_id"), "vec").join(F.broadcast(near.select("query_id", "neighbor_id")), "neighbor_id").collect():
             pool.setdefault(r["query_id"], {})[r["neighbor_id"]] = r["vec"]
         if not pool:
             break
@@ -459,6 +465,9 @@ def residual_select(
                 taken[g].append(best)
                 chosen.setdefault(g, []).append(vec)
                 totals[g] = totals[g] - np.array(vec)  # only the newest pick changes the residual
+        if sum(map(len, chosen.values())) >= KEEP_EVERY:
+            points = _settle_cover(points, metric, spans, chosen)
+            chosen = {}
     return df.sparkSession.createDataFrame(picks, f"{class_col} bigint, step bigint, {id_col} bigint, gain double")
 
 

@@ -119,21 +119,23 @@ def prune_ratio_by_cluster(spark, d):
 COS_XY = f"{dot_sql('x.v', 'y.v')} / (x.norm * y.norm)"
 
 
+def pick_sql(sims: str, t: int, prefix: str = "p", draw=None, among: str = "") -> str:
+    """CTE of the picks of step t: (g, vec_id, gain)."""
+    first = "gain DESC"
+    if draw:
+        h, limit = draw(t)
+        first = f"{h} < {limit} DESC, CASE WHEN {h} < {limit} THEN gain ELSE -{h} END DESC"
+    cover = " UNION ALL ".join(f"SELECT {sims}.g, i, s FROM {sims} JOIN {prefix}{u} k ON k.g = {sims}.g AND k.vec_id = j" for u in range(t)) or f"SELECT g, i, 0::HUGEINT AS s FROM {sims} WHERE i = j"
+    taken = " UNION ALL ".join(f"SELECT g, vec_id FROM {prefix}{u}" for u in range(t)) or "SELECT NULL::BIGINT AS g, NULL::BIGINT AS vec_id"
+    return f"""{prefix}{t} AS (SELECT q.g, q.j AS vec_id, sum(greatest(q.s, cv.s) - cv.s)::DOUBLE / 1e9 AS gain FROM {sims} q
+  JOIN (SELECT g, i, greatest(0, max(s)) AS s FROM ({cover}) GROUP BY g, i) cv ON cv.g = q.g AND cv.i = q.i {among}
+  WHERE (q.g, q.j) NOT IN (SELECT (g, vec_id) FROM ({taken}) WHERE g IS NOT NULL) GROUP BY q.g, q.j
+  QUALIFY row_number() OVER (PARTITION BY q.g ORDER BY {first}, q.j) = 1)"""
+
+
 def greedy_sql(sims: str, steps: int, prefix: str = "p", draw=None) -> str:
     """CTEs of picks: p0, p1, ... each (g, vec_id, gain); ``draw`` gives a step's hash and its limit, for candidates drawn at random."""
-    parts = []
-    for t in range(steps):
-        first = "gain DESC"
-        if draw:
-            h, limit = draw(t)
-            first = f"{h} < {limit} DESC, CASE WHEN {h} < {limit} THEN gain ELSE -{h} END DESC"
-        cover = " UNION ALL ".join(f"SELECT {sims}.g, i, s FROM {sims} JOIN {prefix}{u} k ON k.g = {sims}.g AND k.vec_id = j" for u in range(t)) or f"SELECT g, i, 0::HUGEINT AS s FROM {sims} WHERE i = j"
-        taken = " UNION ALL ".join(f"SELECT g, vec_id FROM {prefix}{u}" for u in range(t)) or "SELECT NULL::BIGINT AS g, NULL::BIGINT AS vec_id"
-        parts.append(f"""{prefix}{t} AS (SELECT q.g, q.j AS vec_id, sum(greatest(q.s, cv.s) - cv.s)::DOUBLE / 1e9 AS gain FROM {sims} q
-  JOIN (SELECT g, i, greatest(0, max(s)) AS s FROM ({cover}) GROUP BY g, i) cv ON cv.g = q.g AND cv.i = q.i
-  WHERE (q.g, q.j) NOT IN (SELECT (g, vec_id) FROM ({taken}) WHERE g IS NOT NULL) GROUP BY q.g, q.j
-  QUALIFY row_number() OVER (PARTITION BY q.g ORDER BY {first}, q.j) = 1)""")
-    return ", ".join(parts)
+    return ", ".join(pick_sql(sims, t, prefix, draw) for t in range(steps))
 
 
 def union_picks(steps: int, prefix: str = "p", gain: str = "round(gain, 6)") -> str:
@@ -202,9 +204,30 @@ def craig_residual_candidates(spark, d):
     return coreset.residual_candidates(embeddings(spark, d), 10).withColumn("dist", F.round("dist", 6))
 
 
-@query("craig_residual_select")
+RES_BATCHES, RES_BATCH = 2, 2
+
+
+def residual_sql() -> str:
+    """Batches of picks among the ten rows nearest to what the earlier batches leave of the sums."""
+    parts = ["rs0 AS (SELECT label::BIGINT AS g, list_transform(centroid, lambda x: x * n) AS v FROM lm)"]
+    for b in range(RES_BATCHES):
+        steps = range(b * RES_BATCH, (b + 1) * RES_BATCH)
+        taken = " UNION ALL ".join(f"SELECT vec_id FROM p{u}" for u in range(steps[0])) or "SELECT -1 AS vec_id"
+        parts.append(f"""pool{b} AS (SELECT rw.g, vec_id FROM rw JOIN rs{b} r ON r.g = rw.g WHERE vec_id NOT IN ({taken})
+  QUALIFY row_number() OVER (PARTITION BY rw.g ORDER BY {sq_l2_sql('rw.v', 'r.v')}, vec_id) <= 10)""")
+        parts += [pick_sql("sm", t, among=f"JOIN pool{b} po ON po.g = q.g AND po.vec_id = q.j") for t in steps]
+        left = "r.v"
+        joins = ""
+        for t in steps:
+            joins += f" JOIN p{t} k{t} ON k{t}.g = r.g JOIN rw w{t} ON w{t}.vec_id = k{t}.vec_id"
+            left = f"list_transform(list_zip({left}, w{t}.v), lambda x: x[1] - x[2])"
+        parts.append(f"rs{b + 1} AS (SELECT r.g, {left} AS v FROM rs{b} r{joins})")
+    return ", ".join(parts)
+
+
+@query("craig_residual_select", CLASS_ROWS + ", " + sims_plain("rw", "sm", "cosine") + f", {mean_sql('e', 'label', 'lm')}, " + residual_sql() + " " + union_picks(RES_BATCHES * RES_BATCH))
 def craig_residual_select(spark, d):
-    picks = coreset.residual_select(embeddings(spark, d), {c: 4 for c in _classes(spark, d)}, candidates=10, batch=2)
+    picks = coreset.residual_select(embeddings(spark, d), {c: RES_BATCHES * RES_BATCH for c in _classes(spark, d)}, candidates=10, batch=RES_BATCH)
     return picks.withColumn("gain", F.round("gain", 6))
 
 
