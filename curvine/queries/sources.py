@@ -60,6 +60,17 @@ def source_text_csv(spark, d):
     return T.read_text_task(spark, folder, "ag_news")
 
 
+@query("source_quoted_csv", "SELECT doc_id, source, text FROM documents")
+def source_quoted_csv(spark, d):
+    """Texts with line breaks and quotes, from files that many tasks read."""
+    from curvine.sources.quoted import read_quoted_csv
+
+    folder = sinks.scratch_folder(spark)
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    docs.write.csv(folder, header=True, escape='"', quoteAll=True, emptyValue="", lineSep="\n")
+    return read_quoted_csv(spark, folder, "doc_id bigint, source string, text string")
+
+
 @query("source_question_lines", "SELECT role AS label, count(*) AS n FROM conversations GROUP BY role")
 def source_question_lines(spark, d):
     folder = sinks.scratch_folder(spark)
