@@ -8,6 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curvine.sources.quoted import read_quoted_csv
+
 
 def head(df: DataFrame, n: int, *order: str) -> DataFrame:
     """The first n rows in a stated order, so that a rerun reads the same rows."""
@@ -65,8 +67,12 @@ def _pick(df: DataFrame, spec: int | str, label: int | str) -> Column:
 def read_text_task(spark: SparkSession, path: str, task: str, *, labels: tuple[str, ...] = ()) -> DataFrame:
     """``(text_a, text_b, label)`` of a task's file; rows without text or label are dropped."""
     spec = TASKS[task]
-    quoted = {"escape": '"', "multiLine": True} if spec.quote else {}
-    df = spark.read.csv(path, sep=spec.sep, header=spec.header, quote=spec.quote, mode="PERMISSIVE", **quoted)
+    if spec.quote:
+        # the names come from the head of a file; the records from all splits of all files
+        names = spark.read.csv(path, sep=spec.sep, header=spec.header, quote=spec.quote, escape=spec.quote, multiLine=True).columns
+        df = read_quoted_csv(spark, path, ", ".join(f"`{n}` string" for n in names), sep=spec.sep, header=spec.header, quote=spec.quote)
+    else:
+        df = spark.read.csv(path, sep=spec.sep, header=spec.header, quote=spec.quote, mode="PERMISSIVE")
     text_b = _pick(df, spec.text_b, spec.label) if spec.text_b is not None else F.lit(None).cast("string")
     rows = df.select(_pick(df, spec.text_a, spec.label).alias("text_a"), text_b.alias("text_b"), _pick(df, spec.label, spec.label).alias("label"))
     rows = rows.filter(F.col("text_a").isNotNull() & F.col("label").isNotNull())
