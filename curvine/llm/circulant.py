@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvine.llm.common import lower_words, text_of
+from curvine.llm.common import few_rows, lower_words, text_of
 from curvine.llm.set_links import linked_sets, number_sets
 from curvine.plans.join_hot import MAX_HOT_KEYS, join_lookup
 from curvine.session import checkpoint
@@ -81,7 +81,7 @@ def set_prints(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: in
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
             columns = {
                 "key": pa.array([xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets], pa.binary()),
@@ -103,7 +103,7 @@ def sets_of_rows(docs: DataFrame, width: int = WIDTH):
     """For ``linked_sets``: the shingles of wanted sets, read again from one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             sets = pa.array([shingle_set(t, width) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), sets], names=["id", "parts"])
 

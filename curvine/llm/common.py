@@ -31,6 +31,21 @@ def lower_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def unused_name(docs: DataFrame, name: str) -> str:
+    """The name, made longer until no column has it in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that what Python makes of the texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def keep_rows(docs: DataFrame, keep: Callable[[list[str]], list[bool]]) -> DataFrame:
     """The rows whose text ``keep`` accepts, with all their columns and without a shuffle; a null text is passed as empty."""
 

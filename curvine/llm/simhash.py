@@ -321,15 +321,3 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BIT
     smallest = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
     labels = checkpoint(named.select("fp", "n", "component").join(smallest, "component"))
     return join_lookup(prints, labels, "fp", max(1, prints.count() // MAX_HOT_KEYS), "n").select("doc_id", "row_key", "fp", "component", "component_id")
-
-
-def keep_one(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents with one row of each group: the smallest id, then the smallest row key.
-
-    A row with a null id stays only where its group has no other id. Columns stay as
-    they are.
-    """
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
-    kept = near_duplicates(docs, width, max_bits).groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.row_key").alias("_kept"))
-    rows = docs.withColumn("_kept", F.xxhash64("doc_id", "text")).join(kept, "_kept", "left_semi")
-    return rows.dropDuplicates(["_kept"]).select(*docs.columns)

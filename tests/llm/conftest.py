@@ -11,7 +11,7 @@ def sentence(seed: int, n: int) -> str:
     return " ".join(out)
 
 
-CLASHING = {name: "x" for name in ("fp", "same", "copy", "part", "label", "kind", "length", "n", "block", "gram", "value", "shard", "hits", "piece", "_text", "_row", "score", "held_out", "row_key", "n_chars")}
+CLASHING = {name: "x" for name in ("fp", "same", "copy", "part", "label", "kind", "length", "n", "block", "gram", "value", "shard", "hits", "piece", "_text", "_row", "score", "held_out", "row_key", "n_chars", "_list", "_clean", "_kept", "kept_row", "spans", "n_hex", "n_assign", "n_access", "base_sha256", "doc", "list", "key", "size", "buckets", "component", "word", "w", "i", "h")}
 
 
 def make(spark, rows):

@@ -1,9 +1,10 @@
 """The pipeline: planted cases are caught, clean documents stay, every stage by brute force."""
 
 import corpus_pipeline
-from curvine.llm import repetition, simhash
-from tests.llm.conftest import sentence
-from tests.llm.test_corpus_operators import brute_groups, brute_leaks
+from curvine.llm import repetition
+from tests.llm.conftest import CLASHING, sentence
+from tests.llm.test_corpus_operators import brute_leaks
+from tests.llm.test_near_copies import brute_groups
 from tests.llm.test_text_operators import plain_spans
 
 
@@ -24,13 +25,13 @@ def test_stages(spark, tmp_path, odd_rows):
             left = [r for r, ok in zip(left, repetition.measure([t or "" for _, t in left])["kept"]) if ok]
             assert got == sorted(left, key=repr)
         elif name == "near-dedup":
-            prints = [simhash.fingerprint(t or "") for _, t in left]
-            groups = brute_groups(prints, 3)
-            assert len(got) == len(set(groups.values())) and set(got) <= set(left)
-            for g in set(groups.values()):
-                ids = [d for (d, _), p in zip(left, prints) if groups[p] == g and d is not None]
-                assert sum((d, t) in got for d, t in set(left) if groups[simhash.fingerprint(t or "")] == g) == 1
-                assert not ids or min(ids) in {d for d, _ in got}
+            groups = brute_groups([t or "" for _, t in left])
+            assert len(got) == len(set(groups)) and set(got) <= set(left)
+            for g in set(groups):
+                members = [row for row, h in zip(left, groups) if h == g]
+                ids = [d for d, _ in members if d is not None]
+                stays = [row for row in set(members) if row in got]
+                assert len(stays) == 1 and (not ids or stays[0][0] == min(ids))
             left = got
         elif name == "decontamination":
             left = [r for r in left if not brute_leaks([r], [(1, leak)])]
@@ -50,3 +51,17 @@ def test_an_empty_table_passes_through(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_stages_leave_clashing_names_alone(spark, tmp_path, odd):
+    folder = f"file://{tmp_path}"
+    odd.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, sentence(900, 40))], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    before = {(r.doc_id, r.text) for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        rows = docs.collect()
+        assert docs.columns == odd.columns and rows and {(r.doc_id, r.text) for r in rows} <= before
+        assert all(r[c] == "x" for r in rows for c in CLASHING)
+    assert corpus_pipeline.pack(spark, docs, folder).count() >= len(rows)
