@@ -225,7 +225,12 @@ def _leak_rows(index):
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, overlap: float = OVERLAP, max_postings: int = MAX_POSTINGS) -> DataFrame:
-    """The documents that hold no test item, with their columns; null and empty texts stay."""
+    """The documents that hold no test item, with their columns as they are, whatever their names.
+
+    Null and empty texts stay; null and repeated ids and repeated rows are judged row by
+    row; items without a word, and an empty table of items, drop nothing; an empty table of
+    documents gives no rows.
+    """
 
     def without(index) -> DataFrame:
         def keep(texts: list[str]) -> list[bool]:

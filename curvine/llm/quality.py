@@ -141,5 +141,11 @@ def score(docs: DataFrame, model: Model, piece: int = PIECE) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """Fit on the labelled rows that are not held out, then score every row."""
+    """Fit on the labelled rows that are not held out, then score every row.
+
+    A null text is empty and has a score; null and repeated ids and repeated rows each keep
+    their row; a label without a document or value teaches nothing, an id labelled twice
+    takes its higher label; without labels every score is the same; an empty table gives no rows; other
+    columns are not read.
+    """
     return score(docs, fit(docs, labels, label))

@@ -179,5 +179,9 @@ def quality_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: fl
 
 
 def keep_good(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
-    """The documents that pass ``quality_rules``, with their columns."""
+    """The documents that pass ``quality_rules``, with their columns as they are, whatever their names.
+
+    Null, empty and blank texts have too few words and go; null and repeated ids and
+    repeated rows are judged row by row; an empty table gives no rows.
+    """
     return keep_rows(docs, lambda texts: measure(texts, min_repeat, max_covered, max_longest)["kept"])

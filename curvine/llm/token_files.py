@@ -33,6 +33,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     """Write one flat token file per task; ``(path, length, doc_ids)`` of each, in the order of its documents.
 
     A rerun task writes a file with a new name, and only the names in the result count.
+    A null or empty text is its end alone; null and repeated ids and repeated rows each have
+    their place; an empty table may give files without a document; other columns are not read.
     """
     path = path or public_path(VOCABULARY)
     end = np.array([end_id], dtype).tobytes()
