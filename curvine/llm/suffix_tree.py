@@ -18,9 +18,7 @@ adds them up per text. Counts, contexts and values all grow with the corpus.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +37,9 @@ FOLDS, HELD_OUT = 10, 0
 END = 10  # a word holds no line feed
 END_WORD = b"\n"
 # What a task works on at once, keeps before it passes its counts on, and sends in one batch.
-ROWS, PIECE_CHARS, MERGE_KEYS, TALLY_KEYS, BATCH_ROWS = 500, 1 << 18, 300_000, 1_200_000, 50_000
-BLOCK_BYTES = 32 << 20
+ROWS, PIECE_CHARS, MERGE_BYTES, TALLY_BYTES, BATCH_ROWS = 500, 1 << 18, 12 << 20, 24 << 20, 50_000
+# A block's texts, and the characters scored at once: each looks up the block's words anew.
+BLOCK_BYTES, SCORE_CHARS = 32 << 20, 1 << 20
 # Keys: a mark, then the six bytes of a gram or the bytes of a word. Values travel as whole numbers of this unit.
 GRAM, WORD, UNIT = b"\x01", b"\x02", 1e-11
 UNIFORM = 1 / 256
@@ -66,11 +65,11 @@ def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return gram[keep], np.cumsum(lengths) - lengths
 
 
-def _pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with a bounded number of characters; a longer text is a range of its own."""
+def _pieces(texts: list[str], most: int = PIECE_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most so many characters; a longer text is a range of its own."""
     start = size = 0
     for i, text in enumerate(texts):
-        if i > start and size + len(text) > PIECE_CHARS:
+        if i > start and size + len(text) > most:
             yield start, i
             start, size = i, 0
         size += len(text)
@@ -86,16 +85,20 @@ def _gram_keys(gram: np.ndarray) -> pa.Array:
 
 
 def _grams_of(keys: pa.Array) -> np.ndarray:
-    rows = np.frombuffer(b"".join(keys.to_pylist()), np.uint8).reshape(-1, DEPTH + 2)
+    """The numbers of gram keys, read from the buffer in which they lie side by side."""
+    ends = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]
+    rows = np.frombuffer(keys.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, DEPTH + 2)
     wide = np.zeros((len(rows), 8), np.uint8)
     wide[:, 7 - DEPTH :] = rows[:, 1:]
     return wide.view(">i8").ravel().astype(np.int64)
 
 
 class _Tally:
-    """Counts of grams and words of the training texts; texts held out only name theirs.
+    """Counts of grams and words of the training texts; texts held out only name theirs, with a count of 0.
 
-    It is emptied whenever it has grown to ``TALLY_KEYS``, so a task's memory is bounded.
+    Grams are sorted numbers and words lie in Arrow buffers, so a worker holds about 16 bytes
+    a gram and a word's bytes and 12. They are passed on as soon as they take
+    ``TALLY_BYTES``; merging holds them twice, with what came since the last merge.
     """
 
     def __init__(self, block: int | None = None) -> None:
@@ -103,9 +106,8 @@ class _Tally:
         self.clear()
 
     def clear(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.words: Counter[bytes] = Counter()
-        self.named: set[bytes] = set()
+        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
+        self.words: list[pa.Table] = []
 
     def add(self, texts: pa.Array, held: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(texts), ROWS):
@@ -116,42 +118,52 @@ class _Tally:
                     if not own:
                         continue
                     gram, n = np.unique(_grams([symbols(w) for w in own])[0], return_counts=True)
-                    self.parts.append((gram, n * (not kind)))
-                    for w in own:
-                        (self.named if kind else self.words).update(w)
-                    if kind:
-                        self.named.add(END_WORD)
-                    else:
-                        self.words[END_WORD] += len(own)
-                if sum(len(g) for g, _ in self.parts[1:]) > MERGE_KEYS:
+                    self.grams.append((gram, n * (not kind)))
+                    found = pa.array([w for words in own for w in [*words, END_WORD]], pa.binary()).value_counts()
+                    self.words.append(_counted(found.field(0), pc.multiply(found.field(1), int(not kind))))
+                if self._size(1) > MERGE_BYTES:
                     self.merge()
-                if len(self.words) + len(self.named) + len(self.parts[0][0]) > TALLY_KEYS:
-                    yield from self.flush()
+                    if self._size(0) > TALLY_BYTES:
+                        yield from self.flush()
+
+    def _size(self, start: int) -> int:
+        return sum(g.nbytes + n.nbytes for g, n in self.grams[start:]) + sum(w.nbytes for w in self.words[start:])
 
     def merge(self) -> None:
-        keys, sums = zip(*self.parts)
+        keys, sums = zip(*self.grams)
         gram, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        self.parts = [(gram, np.bincount(inverse, np.concatenate(sums), len(gram)).astype(np.int64))]
+        self.grams = [(gram, np.bincount(inverse, np.concatenate(sums), len(gram)).astype(np.int64))]
+        words = pa.concat_tables(self.words).group_by("word").aggregate([("n", "sum")])
+        self.words = [_counted(words.column("word").combine_chunks(), words.column("n_sum").combine_chunks())]
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.parts:
+        if not self.grams:
             return
         self.merge()
-        gram, n = self.parts[0]
+        (gram, n), words = self.grams[0], self.words[0]
         for at in range(0, len(gram), BATCH_ROWS):
-            yield self._batch(_gram_keys(gram[at : at + BATCH_ROWS]), n[at : at + BATCH_ROWS])
-        for words in (self.words.items(), ((w, 0) for w in self.named if w not in self.words)):
-            words = iter(words)
-            while some := list(islice(words, BATCH_ROWS)):
-                yield self._batch(pa.array([WORD + w for w, _ in some], pa.binary()), np.array([c for _, c in some]))
+            yield self._batch(_gram_keys(gram[at : at + BATCH_ROWS]), pa.array(n[at : at + BATCH_ROWS], pa.int64()))
+        for some in words.to_batches(max_chunksize=BATCH_ROWS):
+            yield self._batch(_marked(some.column("word")), some.column("n"))
         self.clear()
+        # what the buffers took goes back, as this process is used again
+        pa.default_memory_pool().release_unused()
 
-    def _batch(self, keys: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    def _batch(self, keys: pa.Array, n: pa.Array) -> pa.RecordBatch:
         if self.block is None:
-            return pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64())], names=["key", "n"])
+            return pa.RecordBatch.from_arrays([keys, n], names=["key", "n"])
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), self.block), pa.int64()), keys], names=["block", "key"])
 
 
+def _marked(words: pa.Array) -> pa.Array:
+    """The keys of words."""
+    return pc.binary_join_element_wise(pa.scalar(WORD, pa.binary()), words, pa.scalar(b"", pa.binary()))
+
+
+def _counted(words: pa.Array, n: pa.Array) -> pa.Table:
+    return pa.table({"word": words, "n": pc.cast(n, pa.int64())})
+
+
 def count_corpus(rows: DataFrame) -> DataFrame:
     """``(key, n)``: training counts of all grams and words."""
 
@@ -257,17 +269,17 @@ def _scorer(total: int, kinds: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         is_word = pc.starts_with(answers.column("key"), WORD)
         grams = answers.filter(pc.invert(is_word))
-        gram, value = _grams_of(grams.column("key")), grams.column("value").to_numpy() * UNIT
+        gram, value = _grams_of(grams.column("key").combine_chunks()), grams.column("value").to_numpy() * UNIT
         by = np.argsort(gram, kind="stable")
         gram, value = gram[by], value[by]
         words = answers.filter(is_word)
-        place = {w[1:]: i for i, w in enumerate(words.column("key").to_pylist())}
+        named = words.column("key").combine_chunks()
         count = words.column("value").to_numpy()
         base, known = np.log10((count + 0.1) / (total + 0.1 * (kinds + 1))), count > 0
         out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
         for batch in docs.select(["text"]).to_batches(max_chunksize=1000):
             texts = batch.column(0).to_pylist()
-            for first, last in _pieces(texts):
+            for first, last in _pieces(texts, SCORE_CHARS):
                 own = [lower_words(t) for t in texts[first:last]]
                 asked, starts = _grams([symbols(w) for w in own])
                 # sorted queries are far quicker to look up
@@ -276,11 +288,12 @@ def _scorer(total: int, kinds: int):
                 if not np.array_equal(gram[row], asked):
                     raise LookupError("a context of this block has no value")
                 out["score"] += np.add.reduceat(value[row][inverse], starts).tolist()
-                for w in own:
-                    at = np.fromiter(map(place.__getitem__, [*w, END_WORD]), np.int64, len(w) + 1)
-                    out["n_tokens"].append(len(at))
-                    out["n_known"].append(int(known[at].sum()))
-                    out["base_score"].append(float(base[at].sum()))
+                tokens = np.array([len(w) + 1 for w in own], np.int64)
+                place = pc.index_in(_marked(pa.array([x for w in own for x in [*w, END_WORD]], pa.binary())), value_set=named).to_numpy(zero_copy_only=False)
+                starts = np.cumsum(tokens) - tokens
+                out["n_tokens"] += tokens.tolist()
+                out["n_known"] += np.add.reduceat(known[place].astype(np.int64), starts).tolist()
+                out["base_score"] += [float(base[place[a : a + n]].sum()) for a, n in zip(starts, tokens)]
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()),
