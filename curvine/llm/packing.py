@@ -8,10 +8,10 @@ many rows as fillings times lengths in a filling, which depends on the capacity
 
 The search takes the largest piece left, enumerates the undominated fillings of the
 room beside it, and repeats the filling for as many sequences as its lengths last.
-Fillings are tried in order of waste; a branch ends when its waste can no longer beat
-the best packing found (the first is best fit decreasing), and the search ends when
-the packing meets the lower bound or the step budget is used up. The budget limits the
-search for a better packing, never the pieces packed.
+Fillings are enumerated one after the other in order of waste, without a cut; a branch ends
+when its waste can no longer beat the best packing found (the first is best fit
+decreasing), and the search ends when the packing meets the lower bound or the step budget
+is used up. The budget limits the search for a better packing, never the pieces packed.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ from curvine.session import checkpoint
 CAPACITY = 1024
 END_ID = 2
 STEPS = 4_000
-BRANCHES = 6
+# Stretch of an enumeration that counts as a step.
+TICK = 64
 # Pieces of one length are ranked inside buckets of about this many rows.
 BUCKET_ROWS = 20_000
 
@@ -66,105 +67,148 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, Filling]]:
     return plan
 
 
-def fillings(counts: np.ndarray, room: int, branches: int = BRANCHES) -> list[tuple[int, ...]]:
-    """Undominated sets of lengths that fit into ``room``, least waste first.
-
-    One length that fits exactly dominates every other set. Otherwise sets of one,
-    two and three lengths where none can be exchanged for a longer one that is left,
-    and larger sets by filling the rest with the longest that fits. Sets whose sum
-    does not exceed the longest single one are dominated by it.
+def _reachable(sizes: list[int], room: int) -> int:
+    """Bit n is set if lengths from ``sizes``, taken any number of times, add up to n."""
+    bits, full = 1, (1 << (room + 1)) - 1
+    for size in sizes:
+        step = size
+        while step <= room:
+            bits |= (bits << step) & full
+            step *= 2
+    return bits
+
+
+def _dominated(filling: list[int], left: list[int], room: int) -> bool:
+    """Whether a free length could take the place of one shorter piece, or of several pieces, and still fit."""
+    slack = room - sum(filling)
+    free = 0
+    for size, n in enumerate(left):
+        if n > 0:
+            free |= 1 << size
+    single = several = 0
+    for size in filling:
+        several |= (several | single) << size
+        single |= 1 << size
+    above, spread = 0, several
+    for _ in range(slack):
+        above, spread = (above | single) << 1, spread | (spread << 1)
+    return bool((above | spread) & free & ((1 << (room + 1)) - 1))
+
+
+def fillings(counts: np.ndarray, room: int) -> Iterator[tuple[int, ...] | None]:
+    """The undominated sets of lengths that fit into ``room``, one after the other, least waste first.
+
+    A set is dominated if a length that is left can be exchanged for one of its shorter
+    ones, or for several together, without leaving the room (Martello and Toth, 1990); sets
+    of one sum come with the longest lengths first. None is a step without a set, so that a caller
+    can count the work. Nothing is cut: whoever reads to the end has seen all.
     """
-    if room <= 0:
-        return [()]
-    if counts[room] > 0:
-        return [(room,)]
-    sizes = np.flatnonzero(counts[: room + 1])
-    if not len(sizes):
-        return [()]
-    # the longest length left that is not above x
-    upto = np.zeros(room + 1, np.int64)
-    upto[sizes] = sizes
-    upto = np.maximum.accumulate(upto)
-    found: dict[tuple[int, ...], int] = {(int(sizes[-1]),): int(sizes[-1])}
-
-    def second(first: np.ndarray, space: np.ndarray) -> np.ndarray:
-        b = upto[np.clip(np.minimum(first, space), 0, room)]
-        short = (b == first) & (counts[b] < 2) & (b > 0)
-        return np.where(short, upto[np.maximum(np.minimum(b - 1, space), 0)], b)
-
-    def add_pairs(before: tuple[int, ...], space: int) -> int:
-        firsts = sizes[(sizes <= space) & (sizes <= (before[-1] if before else space))][::-1]
-        if not len(firsts):
-            return 0
-        b = second(firsts, space - firsts)
-        total = firsts + b
-        grows = np.append(True, b[1:] > np.maximum.accumulate(b)[:-1])
-        best = 0
-        keep = np.flatnonzero(grows)
-        for i in keep[np.argsort(-total[keep], kind="stable")][:branches]:
-            chosen = [*before, int(firsts[i])] + ([int(b[i])] if b[i] else [])
-            left = room - sum(chosen)
-            used = chosen.count
-            while left > 0:
-                x = int(upto[min(left, chosen[-1])])
-                while x and used(x) >= counts[x]:
-                    x = int(upto[x - 1])
-                if not x:
-                    break
-                chosen.append(x)
-                left -= x
-            if all(chosen.count(x) <= counts[x] for x in set(chosen)):
-                found[tuple(sorted(chosen, reverse=True))] = sum(chosen)
-                best = max(best, sum(chosen))
-        return best
-
-    if add_pairs((), room) < room:
-        for first in sizes[::-1][:64]:
-            if first < room and add_pairs((int(first),), room - int(first)) == room:
+    left = [int(n) for n in counts[: room + 1]] if room > 0 else [0]
+    sizes = [s for s in range(room, 0, -1) if left[s] > 0]
+    if not sizes:
+        yield ()
+        return
+    reached, found, ticks = _reachable(sizes, room), False, 0
+    for goal in range(room, 0, -1):
+        if not reached >> goal & 1:
+            continue
+        # a filling grows by lengths that do not increase; an entry of the stack is a place in ``sizes``
+        chosen: list[int] = []
+        rest, stack = goal, [0]
+        while stack:
+            ticks += 1
+            if ticks % TICK == 0:
+                yield None
+            i = stack[-1]
+            while i < len(sizes) and (sizes[i] > rest or left[sizes[i]] == 0 or not reached >> (rest - sizes[i]) & 1):
+                i += 1
+            if i == len(sizes):
+                stack.pop()
+                if chosen:
+                    last = chosen.pop()
+                    left[last] += 1
+                    rest += last
+                continue
+            stack[-1] = i + 1
+            size = sizes[i]
+            if size == rest:
+                left[size] -= 1
+                chosen.append(size)
+                if not _dominated(chosen, left, room):
+                    found = True
+                    yield tuple(chosen)
+                chosen.pop()
+                left[size] += 1
+                continue
+            chosen.append(size)
+            left[size] -= 1
+            rest -= size
+            stack.append(i)
+    if not found:
+        yield ()
+
+
+def _branches(left: np.ndarray, capacity: int, most: int) -> Iterator[tuple[int, Filling] | None]:
+    """``(sequences, filling)`` around the largest piece left, of at most ``most`` waste: every filling as often as it lasts, then every filling once."""
+    largest = int(np.flatnonzero(left)[-1])
+    rest = left.copy()
+    rest[largest] -= 1
+    for once in (False, True):
+        for filling in fillings(rest, capacity - largest):
+            if filling is None:
+                yield None
+                continue
+            if capacity - largest - sum(filling) > most:
+                # all that follow waste as much
                 break
-    single = int(sizes[-1])
-    kept = [(s, f) for f, s in found.items() if s > single or len(f) == 1]
-    kept.sort(key=lambda x: (-x[0], len(x[1]), tuple(-v for v in x[1])))
-    return [f for _, f in kept[:branches]]
+            own: dict[int, int] = {}
+            for s in (largest, *filling):
+                own[s] = own.get(s, 0) + 1
+            repeat = min(int(left[s]) // t for s, t in own.items())
+            if not once or repeat > 1:
+                yield 1 if once else repeat, tuple(own.items())
 
 
 def plan_bins(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[int, Filling]]:
-    """The packing found: ``(sequences, ((length, times), ...))``; ``counts[n]`` pieces have length n."""
+    """The packing found: ``(sequences, ((length, times), ...))``; ``counts[n]`` pieces have length n.
+
+    Only the waste bound and ``steps`` (branches taken, and stretches of the enumeration)
+    limit the search; with steps enough the packing has the fewest sequences there are.
+    """
     counts = np.asarray(counts, np.int64)
     total = int((counts * np.arange(len(counts))).sum())
     lowest = max(-(-total // capacity), int(counts[capacity // 2 + 1 :].sum()))
     incumbent = best_fit(counts, capacity)
     fewest = sum(m for m, _ in incumbent)
-    # depth first; an entry holds what is left, the sequences and waste so far, and the way there
-    stack: list[tuple[np.ndarray, int, int, tuple | None]] = [(counts, 0, 0, None)]
+    if fewest <= lowest:
+        return incumbent
+    room = lambda: (fewest - 1) * capacity - total  # noqa: E731  the waste that a better packing may have
+    # depth first; an entry holds what is left, the sequences and waste so far, and its branches
+    stack = [(counts, 0, 0, _branches(counts, capacity, room()))]
+    way: list[tuple[int, Filling]] = []
     while stack and fewest > lowest and steps > 0:
         steps -= 1
-        left, used, waste, way = stack.pop()
-        allowed = (fewest - 1) * capacity - total
-        if waste > allowed:
+        left, used, waste, branches = stack[-1]
+        taken = next(branches, ())
+        if taken == ():
+            stack.pop()
+            if way:
+                way.pop()
             continue
-        sizes = np.flatnonzero(left)
-        if not len(sizes):
-            fewest, incumbent = used, []
-            while way:
-                incumbent.append(way[0])
-                way = way[1]
-            incumbent.reverse()
+        if taken is None:
             continue
-        largest = int(sizes[-1])
-        rest = left.copy()
-        rest[largest] -= 1
-        for filling in reversed(fillings(rest, capacity - largest)):
-            own: dict[int, int] = {}
-            for s in (largest, *filling):
-                own[s] = own.get(s, 0) + 1
-            repeat = min(int(left[s]) // t for s, t in own.items())
-            after = left.copy()
-            for s, t in own.items():
-                after[s] -= repeat * t
-            lost = waste + repeat * (capacity - sum(s * t for s, t in own.items()))
-            if lost <= allowed:
-                stack.append((after, used + repeat, lost, ((repeat, tuple(own.items())), way)))
+        repeat, filling = taken
+        lost = waste + repeat * (capacity - sum(s * t for s, t in filling))
+        if lost > room():
+            continue
+        after = left.copy()
+        for s, t in filling:
+            after[s] -= repeat * t
+        if after.any():
+            way.append((repeat, filling))
+            stack.append((after, used + repeat, lost, _branches(after, capacity, room() - lost)))
+        elif used + repeat < fewest:
+            fewest, incumbent = used + repeat, [*way, (repeat, filling)]
     return incumbent
 
 
@@ -189,13 +233,14 @@ def _places(plan: list[tuple[int, Filling]], capacity: int) -> dict[int, tuple[n
 def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids])``: the token ids of a text and ``end_id``, cut only beyond ``capacity``.
 
-    All pieces of a cut text are full but the first, which takes what is over.
+    All pieces of a cut text are full but the first, which takes what is over. The string
+    of a special token in a text gives its special id.
     """
     path = path or public_path("byte_bpe_50k.tiktoken")
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, special=True)
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):

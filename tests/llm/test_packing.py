@@ -1,3 +1,4 @@
+import itertools
 import zlib
 from collections import Counter
 
@@ -47,6 +48,41 @@ def test_small_plans_are_optimal(seed):
     assert check_plan(counts, packing.plan_bins(counts, 30), 30) == fewest(sizes, 30)
 
 
+def plain_fillings(counts, room):
+    """Every set that fits, without those in which a free length can replace one shorter piece or several."""
+    items = [s for s in range(1, room + 1) for _ in range(int(counts[s]))]
+    sets = {c for k in range(1, len(items) + 1) for c in itertools.combinations(items, k) if sum(c) <= room}
+    out = set()
+    for c in sets:
+        free = Counter(items) - Counter(c)
+        parts = {p for k in range(1, len(c) + 1) for p in itertools.combinations(c, k)}
+        if not any(sum(p) <= y <= sum(p) + room - sum(c) and (len(p) > 1 or y > p[0]) for p in parts for y in free):
+            out.add(tuple(sorted(c, reverse=True)))
+    return out or {()}
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_fillings_are_all_undominated_sets_by_waste(seed):
+    rng = np.random.default_rng(seed)
+    room = int(rng.integers(0, 25))
+    counts = np.bincount(rng.integers(1, 20, int(rng.integers(0, 10))), minlength=26)
+    got = [f for f in packing.fillings(counts, room) if f is not None]
+    assert len(got) == len(set(got)) and set(got) == plain_fillings(counts, room)
+    assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+
+
+def test_triples_that_fill_the_room():
+    """Best fit decreasing needs more sequences than there are; the search finds the fewest."""
+    rng = np.random.default_rng(0)
+    sizes = []
+    for _ in range(12):
+        a = int(rng.integers(300, 400))
+        b = int(rng.integers(280, 774 - a))
+        sizes += [a, b, 1024 - a - b]
+    counts = np.bincount(sizes, minlength=1025)
+    assert check_plan(counts, packing.plan_bins(counts), 1024) == 12 < sum(m for m, _ in packing.best_fit(counts, 1024))
+
+
 @pytest.mark.parametrize("low,high,n", [(1, 1025, 5000), (1, 40, 3000), (500, 1025, 900), (1024, 1025, 10), (1, 2, 5000)])
 def test_plans_hold_every_piece(low, high, n):
     counts = np.bincount(np.random.default_rng(0).integers(low, high, n), minlength=1025)
@@ -54,9 +90,21 @@ def test_plans_hold_every_piece(low, high, n):
 
 
 def test_ranks_ids_match_the_tokenizers_file():
-    ranks, plain = (tokenizing.encoder(tokenizing.public_path(f"byte_bpe_50k.{kind}")) for kind in ("tiktoken", "json"))
-    for text in ["", " a  b\n\n c\t", "don't DON'T 12,345", "<|endoftext|> x", "né 😀 ſ　word", "x" * 3000, "\r\n \x0b"]:
-        assert ranks(text).tolist() == plain(text).tolist()
+    for special in (False, True):
+        ranks, plain = (tokenizing.encoder(tokenizing.public_path(f"byte_bpe_50k.{kind}"), special) for kind in ("tiktoken", "json"))
+        for text in ["", " a  b\n\n c\t", "don't DON'T 12,345", "<|endoftext|> x", "a <|endoftext|><|endoftext|>b<|endoftext", "né 😀 ſ　word", "x" * 3000, "\r\n \x0b"]:
+            assert ranks(text).tolist() == plain(text).tolist()
+
+
+def test_special_strings_are_the_ids_of_the_library(spark):
+    from tokenizers import Tokenizer
+
+    loaded = Tokenizer.from_file(tokenizing.public_path("byte_bpe_50k.json"))
+    text = "first<|endoftext|> second"
+    ids = [*loaded.encode(text, add_special_tokens=False).ids, packing.END_ID]
+    assert 50256 in ids
+    row = packing.pack(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), with_ids=True).first()
+    assert list(row.ids) == ids and row.length == len(ids) and row.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
 def test_pieces_and_places(spark, odd, odd_rows):
