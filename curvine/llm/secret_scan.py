@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from curvine.llm.common import text_of
 from curvine.session import checkpoint
@@ -28,14 +29,14 @@ CERTAIN = [
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20, r"AKIA[A-Z0-9]{16}"),
     ("hex", r"[0-9a-f]{24,}", 0, 24, r"[0-9a-f]{24}"),
 ]
-# Weak parts, in the same form.
+# Weak parts, in the same form; a key is of any length, in either alphabet of base 64.
 WEAK = [
     ("account", r"(?i:client_?id|access_?key_?id|account|user_?name|login|user)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@+-]+", 0, 0, r"(?i:client_?id|access_?key_?id|account|user_?name|login|user)[\"']?\x20*[:=]"),
-    ("key", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{32,128}={0,2}(?![A-Za-z0-9+/=_-])", 0, 32, r"[A-Za-z0-9+/]{32}"),
+    ("key", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,}+={0,2}(?!=)", 0, 32, r"[A-Za-z0-9+/_-]{32}"),
     ("endpoint", r"[a-z][a-z0-9+]{1,15}://[A-Za-z0-9.-]+(?::[0-9]+)?[A-Za-z0-9/_.-]*", 0, 0, r"[a-z0-9+]://"),
 ]
 KINDS = [k for k, *_ in CERTAIN + WEAK]
-KEY = "_row"
+KEY = "row_key"
 
 
 def _matches(pattern: str, group: int, test: str) -> Column:
@@ -53,9 +54,9 @@ def _row_key() -> Column:
 
 
 def find_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """``(_row, kind, start, end)``: certain spans, and the weak ones linked with complementary parts.
+    """``(row_key, kind, start, end)``: certain spans, and the weak ones linked with complementary parts.
 
-    Positions count code points, the end is exclusive. ``_row`` stands for id and text.
+    Positions count code points, the end is exclusive. ``row_key`` stands for id and text.
     """
     specs = CERTAIN + WEAK
 
@@ -116,41 +117,42 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     empty and has no span; null and repeated ids and repeated rows each keep their
     row; an empty table gives no rows; other columns are not read.
     """
-    return _with_spans(docs.select("doc_id", "text"), scope).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    found = _with_spans(docs.select("doc_id", "text"), scope)
+    counts = [F.coalesce(f"n_{k}", F.lit(0).cast("bigint")).alias(f"n_{k}") for k, *_ in CERTAIN]
+    return found.select("doc.doc_id", *counts, F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
 def _with_spans(docs: DataFrame, scope: int) -> DataFrame:
+    """``(doc, n_..., base_sha256, spans, list)``: the row as one struct, so that none of its names meets ours; null without spans."""
     order = F.element_at(F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))]), F.col("kind"))
     found = find_spans(docs, scope).groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("start", order.alias("order"), "end", "kind"))).alias("list"))
     base = F.filter("list", lambda s: s["order"] < len(CERTAIN))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("list", lambda s: s["kind"] == k)).cast("bigint")
-    digest = found.select(
-        KEY, *[count(k).alias(f"n_{k}") for k, *_ in CERTAIN], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("list")).alias("spans"), F.col("list").alias("_list")
-    )
-    rows = docs.withColumn(KEY, _row_key()).join(digest, KEY, "left")
-    none = {f"n_{k}": F.coalesce(f"n_{k}", F.lit(0).cast("bigint")) for k, *_ in CERTAIN}
-    return rows.withColumns({**none, "base_sha256": F.coalesce("base_sha256", F.sha2(F.lit(""), 256)), "spans": F.coalesce("spans", F.lit(""))})
+    digest = found.select(KEY, *[count(k).alias(f"n_{k}") for k, *_ in CERTAIN], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("list")).alias("spans"), "list")
+    return docs.select(F.struct("*").alias("doc"), _row_key().alias(KEY)).join(digest, KEY, "left").drop(KEY)
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", scope: int = SCOPE) -> DataFrame:
     """The documents with every span replaced by ``mark``; overlapping spans become one mark.
 
-    Columns stay as they are, but ``n_chars``, where there is one, follows the text of
-    a changed row. A null text stays null.
+    Columns stay as they are, whatever their names, but ``n_chars``, where it is a number,
+    follows the text of a changed row. A null text stays null; null and repeated ids and
+    repeated rows each keep their row; an empty table gives no rows.
     """
-    own = [c for c in docs.columns]
     rows = _with_spans(docs, scope)
+    text = F.col("doc.text")
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("bigint").alias("upto"))
     # spans come by start: copy what lies before, skip what is covered already
     step = lambda acc, s: F.struct(
         F.when(s["start"] < acc["upto"], acc["done"])
-        .otherwise(F.concat(acc["done"], F.substr(F.col("text"), (acc["upto"] + 1).cast("int"), (s["start"] - acc["upto"]).cast("int")), F.lit(mark)))
+        .otherwise(F.concat(acc["done"], F.substr(text, (acc["upto"] + 1).cast("int"), (s["start"] - acc["upto"]).cast("int")), F.lit(mark)))
         .alias("done"),
         F.greatest(acc["upto"], s["end"]).alias("upto"),
     )
-    clean = F.aggregate("_list", start, step, lambda acc: F.concat(acc["done"], F.substr(F.col("text"), (acc["upto"] + 1).cast("int"))))
-    changed = F.col("_list").isNotNull()
-    out = rows.withColumn("_clean", F.when(changed, clean).otherwise(F.col("text")))
-    columns = {"text": F.col("_clean"), "n_chars": F.when(changed, F.length("_clean").cast("bigint")).otherwise(F.col("n_chars")) if "n_chars" in own else None}
-    return out.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in own])
+    clean = F.aggregate("list", start, step, lambda acc: F.concat(acc["done"], F.substr(text, (acc["upto"] + 1).cast("int"))))
+    changed = F.col("list").isNotNull()
+    columns = {"text": F.when(changed, clean).otherwise(text)}
+    if "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, NumericType):
+        columns["n_chars"] = F.when(changed, F.length(columns["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    return rows.select(*[columns.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

@@ -152,6 +152,26 @@ def test_redaction(spark):
     assert got == sorted([(1, "é [secret]' and [secret].", 25), (2, "clean", 5), (3, None, None), (1, "[secret]", 8)], key=repr)
 
 
+@pytest.mark.parametrize("chars", [32, 128, 129, 150, 1000])
+@pytest.mark.parametrize("marks", ["", "-_"])
+def test_keys_of_any_length(spark, chars, marks):
+    key = ((KEY + marks) * (chars // 32 + 1))[: chars - 1] + "Z"
+    text = f"client_id=me {key} end"
+    row = secret_scan.scan(make(spark, [(1, text)])).first()
+    assert f"key:13:{13 + chars}" in row.spans.split(",")
+    assert secret_scan.redact(make(spark, [(1, text)])).first().text == "[secret] [secret] end"
+
+
+def test_redaction_of_clashing_names(spark, odd, odd_rows):
+    """Every other column comes back as it was, whatever its name."""
+    docs = make(spark, [(1, "token = 'abcdef12'"), (None, "secret=" + "a" * 30), *odd_rows])
+    out = secret_scan.redact(docs)
+    assert out.columns == docs.columns
+    others = [c for c in docs.columns if c != "text"]
+    assert sorted(out.select(others).collect(), key=repr) == sorted(docs.select(others).collect(), key=repr)
+    assert sum("[secret]" in (r.text or "") for r in out.collect()) == 2
+
+
 def test_secrets_of_an_empty_table(empty):
     assert secret_scan.scan(empty).count() == 0 and secret_scan.redact(empty).count() == 0
 
