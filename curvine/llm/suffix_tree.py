@@ -38,8 +38,8 @@ END = 10  # a word holds no line feed
 END_WORD = b"\n"
 # What a task works on at once, keeps before it passes its counts on, and sends in one batch.
 ROWS, PIECE_CHARS, MERGE_BYTES, TALLY_BYTES, BATCH_ROWS = 500, 1 << 18, 12 << 20, 24 << 20, 50_000
-# A block's texts, and the characters scored at once: each looks up the block's words anew.
-BLOCK_BYTES, SCORE_CHARS = 32 << 20, 1 << 20
+# A block's texts, and how many of them look up their words at once.
+BLOCK_BYTES, SCORE_ROWS = 32 << 20, 500
 # Keys: a mark, then the six bytes of a gram or the bytes of a word. Values travel as whole numbers of this unit.
 GRAM, WORD, UNIT = b"\x01", b"\x02", 1e-11
 UNIFORM = 1 / 256
@@ -65,11 +65,11 @@ def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return gram[keep], np.cumsum(lengths) - lengths
 
 
-def _pieces(texts: list[str], most: int = PIECE_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with at most so many characters; a longer text is a range of its own."""
+def _pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with a bounded number of characters; a longer text is a range of its own."""
     start = size = 0
     for i, text in enumerate(texts):
-        if i > start and size + len(text) > most:
+        if i > start and size + len(text) > PIECE_CHARS:
             yield start, i
             start, size = i, 0
         size += len(text)
@@ -267,33 +267,36 @@ def _wanted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scorer(total: int, kinds: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.select(["key", "value"])
         is_word = pc.starts_with(answers.column("key"), WORD)
-        grams = answers.filter(pc.invert(is_word))
-        gram, value = _grams_of(grams.column("key").combine_chunks()), grams.column("value").to_numpy() * UNIT
+        words = answers.filter(is_word)
+        named, count = words.column("key").combine_chunks(), words.column("value").to_numpy()
+        answers = answers.filter(pc.invert(is_word))
+        gram, value = _grams_of(answers.column("key").combine_chunks()), answers.column("value").to_numpy() * UNIT
+        del answers, words
         by = np.argsort(gram, kind="stable")
         gram, value = gram[by], value[by]
-        words = answers.filter(is_word)
-        named = words.column("key").combine_chunks()
-        count = words.column("value").to_numpy()
+        del by
         base, known = np.log10((count + 0.1) / (total + 0.1 * (kinds + 1))), count > 0
         out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        for batch in docs.select(["text"]).to_batches(max_chunksize=1000):
+        for batch in docs.select(["text"]).to_batches(max_chunksize=SCORE_ROWS):
             texts = batch.column(0).to_pylist()
-            for first, last in _pieces(texts, SCORE_CHARS):
-                own = [lower_words(t) for t in texts[first:last]]
-                asked, starts = _grams([symbols(w) for w in own])
+            own = [lower_words(t) for t in texts]
+            for first, last in _pieces(texts):
+                asked, starts = _grams([symbols(w) for w in own[first:last]])
                 # sorted queries are far quicker to look up
                 asked, inverse = np.unique(asked, return_inverse=True)
                 row = np.minimum(np.searchsorted(gram, asked), len(gram) - 1)
                 if not np.array_equal(gram[row], asked):
                     raise LookupError("a context of this block has no value")
                 out["score"] += np.add.reduceat(value[row][inverse], starts).tolist()
-                tokens = np.array([len(w) + 1 for w in own], np.int64)
-                place = pc.index_in(_marked(pa.array([x for w in own for x in [*w, END_WORD]], pa.binary())), value_set=named).to_numpy(zero_copy_only=False)
-                starts = np.cumsum(tokens) - tokens
-                out["n_tokens"] += tokens.tolist()
-                out["n_known"] += np.add.reduceat(known[place].astype(np.int64), starts).tolist()
-                out["base_score"] += [float(base[place[a : a + n]].sum()) for a, n in zip(starts, tokens)]
+            # the block's words are made ready for a lookup once for all these texts
+            tokens = np.array([len(w) + 1 for w in own], np.int64)
+            place = pc.index_in(_marked(pa.array([x for w in own for x in [*w, END_WORD]], pa.binary())), value_set=named).to_numpy(zero_copy_only=False)
+            starts = np.cumsum(tokens) - tokens
+            out["n_tokens"] += tokens.tolist()
+            out["n_known"] += np.add.reduceat(known[place].astype(np.int64), starts).tolist()
+            out["base_score"] += [float(base[place[a : a + n]].sum()) for a, n in zip(starts, tokens)]
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()),
