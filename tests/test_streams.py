@@ -65,6 +65,42 @@ def test_copies_do_not_grow_the_state(spark):
     assert [r.id for r in spark.read.parquet(f"{folder}/out").collect()] == [0]
 
 
+def test_old_survivors_leave_the_state(spark, moving):
+    """The watermark passes most survivors, so their timers fire between the steps."""
+    folder = scratch_folder(spark)
+    run = lambda arrivals: stateful.near_duplicate_stream(arrivals, PLANES, 2, 0.9, f"{folder}/out", f"{folder}/c", keep="200 seconds", late="10 seconds", once=True)
+    arrive(spark, moving, "vec_id bigint, ts timestamp, embedding array<double>", folder, run, [range(0, 60), range(60, 110), range(110, 160)])
+    assert sorted(r.id for r in spark.read.parquet(f"{folder}/out").collect()) == brute(moving, 0.9, 200)
+
+
+STREAMS = ("stream_assign", "stream_ood_score", "stream_anchor_vote", "stream_near_duplicates")
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_a_table_may_be_one_file_or_a_folder_of_files(spark, tmp_path, name):
+    """Rows a second apart that reach far beyond what the filter keeps and the delay of its watermark."""
+    from curvine.queries import QUERIES
+
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((240, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    rows = [(40 * i, x[i].tolist(), int(rng.integers(0, 10))) for i in range(240)]
+    # the first centres are the rows with the smallest ids
+    rows += [(i, x[i].tolist(), 0) for i in range(1, 10)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    found = []
+    for kind, parts in (("one", 1), ("many", 5)):
+        folder = f"{tmp_path}/{kind}"
+        frame.repartition(parts).write.parquet(f"{folder}/embeddings.parquet")
+        if kind == "one":
+            whole = next((tmp_path / kind / "embeddings.parquet").glob("*.parquet"))
+            (tmp_path / "file").mkdir()
+            (tmp_path / "file" / "embeddings.parquet").write_bytes(whole.read_bytes())
+            folder = f"{tmp_path}/file"
+        found.append(sorted(tuple(r) for r in QUERIES[name](spark, folder).collect()))
+    assert found[0] and found[0] == found[1]
+
+
 def test_the_state_store_setting_is_put_back(spark):
     before = spark.conf.get(stateful.PROVIDER, None)
     with stateful.rocksdb(spark):
