@@ -122,7 +122,11 @@ ARRIVAL = "vec_id bigint, embedding array<float>, label int"
 
 
 def _arrivals(spark, d):
-    return jobs.read_arrivals(spark, d, "embeddings.parquet", ARRIVAL)
+    """The table, a file or a folder of files (a stream takes either by a glob only).
+
+    All files come in one batch: a vote looks at the anchors that have come so far, the SQL at all.
+    """
+    return jobs.read_arrivals(spark, f"{d}/[e]mbeddings.parquet", "*", ARRIVAL, files_per_batch=None)
 
 
 @query("stream_assign", with_clusters_sql(10) + " SELECT vec_id, label, cid, cdist FROM a")

@@ -15,9 +15,10 @@ from pyspark.sql.streaming import StreamingQuery
 from curvine.operators import knn, ood, prompting
 
 
-def read_arrivals(spark: SparkSession, folder: str, pattern: str, schema: str, files_per_batch: int = 1) -> DataFrame:
-    """Parquet files of a folder as they arrive."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def read_arrivals(spark: SparkSession, folder: str, pattern: str, schema: str, files_per_batch: int | None = 1) -> DataFrame:
+    """Parquet files of a folder as they arrive; without ``files_per_batch`` a batch takes all that wait."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(folder)
 
 
 def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
