@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -256,10 +257,6 @@ def _gram_counts(df: DataFrame, id_col: str, texts: dict[int, Column], reference
     return _grams(df, id_col, texts, references, lower, max_n).groupBy(id_col, "refs", "n", "gram", "side").agg(F.count(F.lit(1)).alias("k"))
 
 
-def _side(side: int) -> Column:
-    return F.coalesce(F.max(F.when(F.col("side") == side, F.col("k"))), F.lit(0))
-
-
 # Tokens counted at once; a row with more is a part of its own.
 SARI_TOKENS = 200_000
 
@@ -348,25 +345,91 @@ def sari(df: DataFrame, *, id_col: str, source="source", prediction="prediction"
     return rows.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, sari double")
 
 
+# Bytes of texts whose n-grams are counted at once; a larger id is a part of its own.
+BLEU_BYTES = 1 << 21
+
+
+def _bleu_words(texts: pa.Array) -> pa.ListArray:
+    """The words of each text, as ``words`` finds them; a null text has none."""
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    flat = parts.flatten()
+    full = np.append(0, np.cumsum(pc.not_equal(flat, "").to_numpy(zero_copy_only=False)))
+    ends = np.append(0, np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False)))
+    return pa.ListArray.from_arrays(pa.array(full[ends], pa.int32()), flat.filter(pc.not_equal(flat, "")))
+
+
+def _bleu_part(rows: pa.ListArray, scored: np.ndarray) -> list[tuple[int, int | None, int | None]]:
+    """``(n, hit, all)`` for n-grams of 1 to 4 words and, with n = 0, the lengths of predictions and references.
+
+    A list holds the rows of one id, a row the prediction and then its references. The
+    n-grams of an id are counted together, unless it is not ``scored``.
+    """
+    id_of = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy(zero_copy_only=False))
+    texts = rows.flatten()
+    sizes = texts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    missing = texts.flatten().is_null().to_numpy(zero_copy_only=False)
+    lists = _bleu_words(texts.flatten())
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    row_of = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(row_of)) - first[row_of]
+
+    # the nearest length of each row's references, the shorter of two; none where a reference is null
+    mine = np.where(missing[first], 0, lengths[first])
+    order = np.lexsort((lengths, np.abs(lengths - mine[row_of]) * ~missing[first][row_of], place == 0, row_of))
+    has = np.bincount(row_of, (place > 0), len(sizes)) > 0
+    has &= np.bincount(row_of, missing & (place > 0), len(sizes)) == 0
+    near = lengths[order[first[has]]]
+    known = ~missing[first]
+    out = [(0, int(mine[known].sum()) if known.any() else None, int(near.sum()) if len(near) else None)]
+
+    codes = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    text = np.repeat(np.arange(len(row_of)), lengths)
+    keep = scored[id_of[row_of[text]]]
+    codes, text = codes[keep], text[keep]
+    for n, (gram, at) in enumerate(_gram_ids(codes, text, id_of[row_of[text]], 4), 1):
+        kinds, of = int(gram.max(initial=-1)) + 1, place[text[at]]
+        p, r = np.bincount(gram[of == 0], minlength=kinds), np.zeros(kinds, np.int64)
+        for k in range(1, int(of.max(initial=0)) + 1):
+            r = np.maximum(r, np.bincount(gram[of == k], minlength=kinds))
+        out.append((n, int(np.minimum(p, r).sum()), int(p.sum())))
+    return out
+
+
 def bleu(df: DataFrame, *, id_col: str, prediction="prediction", references="references", lower: bool = False, smooth: bool = True) -> DataFrame:
     """Corpus BLEU over whitespace tokens: clipped 1- to 4-gram precisions and brevity penalty.
 
     A count of matches without any hit is replaced by 1/2, 1/4, ... of one when ``smooth``.
+    Whole texts are shuffled by id once, rows of the same id and number of references
+    count together; a task numbers its words and reports ten sums for each part of at most
+    ``BLEU_BYTES`` or the largest id, never its n-grams.
     """
-    counts = _gram_counts(df, id_col, {PREDICTION: F.col(prediction)}, references, lower)
-    best = F.coalesce(F.max(F.when(F.col("side") >= 0, F.col("k"))), F.lit(0))
-    per_gram = counts.groupBy(id_col, "refs", "n", "gram").agg(_side(PREDICTION).alias("p"), best.alias("r"))
-    matched = per_gram.groupBy("n").agg(F.sum(F.least("p", "r")).alias("hit"), F.sum("p").alias("all"))
-    size = F.size(words(prediction, lower))
-    nearest = F.array_min(F.transform(references, lambda r: V.let(F.size(words(r, lower)), lambda n: F.struct(F.abs(n - F.col("pl")).alias("off"), n.alias("n")))))
-    lengths = df.select(size.alias("pl"), references).select("pl", nearest.alias("near")).agg(
-        F.sum("pl").alias("hyp_len"), F.sum("near.n").alias("ref_len")
-    )
-    table = F.map_from_entries(F.collect_list(F.struct("n", F.struct("hit", "all"))))
-    one = matched.agg(table.alias("m")).withColumn("_j", F.lit(1)).join(lengths.withColumn("_j", F.lit(1)), "_j")  # one row each
+    cased = (lambda c: F.lower(c)) if lower else (lambda c: c)
+    refs = F.coalesce(F.transform(F.col(references), cased), F.array().cast("array<string>"))
+    rows = df.select(id_col, F.size(references).alias("refs"), F.concat(F.array(cased(F.col(prediction))), refs).alias("texts"))
+    ids = rows.groupBy(id_col, "refs").agg(F.collect_list("texts").alias("rows")).select("refs", "rows")
+
+    def run(batches):
+        for batch in batches:
+            scored, texts = batch.column(0).is_valid().to_numpy(zero_copy_only=False), batch.column(1)
+            bytes_of = pc.fill_null(pc.binary_length(texts.flatten().flatten()), 0).to_numpy(zero_copy_only=False)
+            inner = np.append(0, np.cumsum(texts.flatten().value_lengths().to_numpy(zero_copy_only=False)))
+            outer = np.append(0, np.cumsum(texts.value_lengths().to_numpy(zero_copy_only=False)))
+            ends = np.append(0, np.cumsum(bytes_of, dtype=np.int64))[inner[outer]]
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + BLEU_BYTES, side="right")) - 1)
+                found = _bleu_part(texts.slice(first, last - first), scored[first:last])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["n", "hit", "all"])
+                first = last
+
+    parts = ids.mapInArrow(run, "n bigint, hit bigint, all bigint")
+    of = lambda n, name: F.sum(F.when(F.col("n") == n, F.col(name)))
+    counts = [of(n, name).alias(f"{name}{n}") for n in range(1, 5) for name in ("hit", "all")]
+    one = parts.agg(of(0, "hit").alias("hyp_len"), of(0, "all").alias("ref_len"), *counts)
     logs, zeros = F.lit(0.0), F.lit(0)
     for n in range(1, 5):
-        hit, all_ = F.coalesce(F.col("m")[n]["hit"], F.lit(0)), F.coalesce(F.col("m")[n]["all"], F.lit(0))
+        hit, all_ = F.coalesce(F.col(f"hit{n}"), F.lit(0)), F.coalesce(F.col(f"all{n}"), F.lit(0))
         zeros = zeros + F.when((hit == 0) & (all_ > 0), 1).otherwise(0)
         value = F.when(hit > 0, hit.cast("double")).otherwise(F.pow(F.lit(0.5), zeros) if smooth else F.lit(0.0))
         logs = logs + F.when(all_ > 0, F.ln(F.greatest(value / all_, F.lit(1e-300)))).otherwise(F.ln(F.lit(1e-300)))
@@ -422,15 +485,16 @@ def rouge_l(df: DataFrame, *, id_col: str, prediction="prediction", references="
     bits as the text has words, so a text of n words against one of m takes m steps.
     """
     side = lambda col: F.coalesce(words(col), F.array().cast("array<string>"))
-    rows = df.select(id_col, F.concat(F.array(side(F.col(prediction))), F.transform(references, side)).alias("texts")).filter(F.size("texts") > 1)
+    # long texts spread over the tasks, as they are: their words take more room
+    moved = df.filter(F.size(references) > 0).select(id_col, prediction, references).repartition(id_col)
+    rows = moved.select(id_col, F.concat(F.array(side(F.col(prediction))), F.transform(references, side)).alias("texts"))
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_rouge_part(batch.column(1)), pa.float64())], names=[id_col, "rouge_l"])
 
-    # long texts spread over the tasks
-    return rows.repartition(id_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, rouge_l double")
+    return rows.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, rouge_l double")
 
 
 def fkgl(text) -> Column:

@@ -95,6 +95,36 @@ def test_bleu_of_equal_texts_is_100(spark):
     assert math.isclose(ev.bleu(df, id_col="doc_id").collect()[0]["bleu"], 100.0)
 
 
+def test_bleu_counts_by_plain_counting(spark):
+    """Nulls, blanks, repeated and null ids, any number of references; n-grams never leave their task."""
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join(rng.choice(list("abcde"), rng.integers(0, 9)))
+    rows = [(int(i) if i % 7 else None, text() if i % 11 else " ", [text() for _ in range(rng.integers(0, 4))]) for i in np.repeat(np.arange(30), 2)]
+    rows += [(50, "a\tb  c\n", ["a b c", None]), (51, "a b", None), (52, "a b c", ["a", "a b c d e"])]
+    grams = lambda t, n: Counter(tuple(w[i : i + n]) for w in [(t or "").split()] for i in range(len(w) - n + 1))
+    groups = {}
+    for i, p, refs in rows:
+        if refs is not None:
+            groups.setdefault((i, len(refs)), []).append([p, *refs])
+    logs = 0.0
+    for n in range(1, 5):
+        hit = total = 0
+        for members in groups.values():
+            sides = [sum((grams(t, n) for t in side), Counter()) for side in zip(*members)]
+            best = {g: max((s[g] for s in sides[1:]), default=0) for g in sides[0]}
+            hit, total = hit + sum(min(k, best[g]) for g, k in sides[0].items()), total + sum(sides[0].values())
+        logs += math.log(hit / total) / 4
+    hyp = sum(len(p.split()) for _, p, _ in rows)
+    ref = sum(min((abs(len(r.split()) - len(p.split())), len(r.split())) for r in refs)[1] for _, p, refs in rows if refs and None not in refs)
+    frame = spark.createDataFrame(rows, "doc_id bigint, prediction string, references array<string>")
+    found = ev.bleu(frame, id_col="doc_id")
+    got = found.collect()[0]
+    assert (got.hyp_len, got.ref_len) == (hyp, ref)
+    assert math.isclose(got.bleu, 100 * math.exp(logs) * min(1.0, math.exp(1 - ref / hyp)))
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert ev.bleu(frame.limit(0), id_col="doc_id").collect()[0].hyp_len is None
+
+
 def test_ngrams_are_not_shuffled(triples):
     df, _ = triples
     plan = ev._gram_counts(df, "doc_id", {ev.PREDICTION: F.col("prediction")}, "references", True)._jdf.queryExecution().executedPlan().toString()
