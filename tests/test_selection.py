@@ -276,3 +276,36 @@ def test_stochastic_greedy_comes_close_to_plain_greedy(vectors, monkeypatch):
     # one step at a time gives the same picks
     monkeypatch.setattr(coreset, "MAX_BROADCAST_BYTES", 1)
     assert sorted(map(tuple, coreset.facility_stochastic(df, budget, eps=0.05).collect())) == sorted(map(tuple, drawn.collect()))
+
+
+def test_blocks_are_compared_in_bounded_memory(monkeypatch):
+    """No kernel over two blocks lays out their whole square, nor all its pairs at once."""
+    import pyarrow as pa
+
+    from curvine.functions import kernels
+    from curvine.operators import coreset, knn
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((700, 8))
+    block = pa.table({"id": np.arange(700), "vec": kernels.list_column(x, pa.float64())})
+    whole = {m: kernels.near(m, x, x) for m in ("sq_l2", "l1", "cosine")}
+    monkeypatch.setattr(kernels, "CHUNK_CELLS", 7000)
+    seen, plain = [], kernels.near_to
+
+    def watched(metric, b):
+        to_b = plain(metric, b)
+
+        def near(q):
+            seen.append(len(q) * len(b))
+            return to_b(q)
+
+        return near
+
+    monkeypatch.setattr(kernels, "near_to", watched)
+    assert np.isclose(coreset._span_kernel(0, block, block, metric="euclidean").column("span")[0].as_py() ** 2, whole["sq_l2"].max())
+    assert np.allclose(coreset._similarity("l1", x, x, 5.0), 5.0 - whole["l1"])
+    assert np.allclose(coreset._similarity("cosine", x, x, 0.0), 1.0 - whole["cosine"])
+    parts = list(knn._pairs_in_parts(0, block, None, metric="sq_l2", limit=9.0))
+    got = {(a, b) for t in parts for a, b in zip(t.column("query_id").to_pylist(), t.column("neighbor_id").to_pylist())}
+    assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(whole["sq_l2"] < 9.0)) if a < b}
+    assert len(parts) == 70 and max(seen) <= 7000
