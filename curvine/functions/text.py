@@ -168,6 +168,8 @@ def label_words(df: DataFrame, task: str, label_col: str, verbalizers: dict[str,
 # --- term weights ---------------------------------------------------------------------------
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
+# Bytes of texts whose term rows a task groups at once.
+TERM_BYTES = 4 << 20
 
 
 def tfidf(df: DataFrame, *, id_col: str, text_col: str, stop_words: list[str] | None = None, max_terms: int | None = None) -> DataFrame:
@@ -184,21 +186,23 @@ def tfidf(df: DataFrame, *, id_col: str, text_col: str, stop_words: list[str] |
     tokens = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN), F.lit(0))
     stops = F.array(*[F.lit(w) for w in stop_words]) if stop_words else None
     kept = F.filter(tokens, lambda t: ~F.array_contains(stops, t)) if stop_words else tokens
+    # as many partitions as the texts need, so that what a task groups does not grow with the table
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TERM_BYTES))
     # whole texts are shuffled by id once; the longer term rows are grouped in place, and
     # written down, as the vocabulary and both ways of the lookup read them
-    terms = df.repartition(id_col).select(id_col, F.explode(kept).alias("term"))
+    terms = df.repartition(tasks, id_col).select(id_col, F.explode(kept).alias("term"))
     counts = checkpoint(terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
     vocab = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     if max_terms is not None:
         vocab = vocab.orderBy(F.col("total").desc(), "term").limit(max_terms)
-    n = df.count()
     idf = vocab.select("term", "df", (F.ln((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     if max_terms is not None:
         with_idf = counts.join(broadcast_if_small(idf, max_terms), "term")
     else:
         # terms in very many texts; a text holds each once, so with t terms a text at most t * MAX_HOT_KEYS of them
         with_idf = join_lookup(counts, idf, "term", max(1000, n // MAX_HOT_KEYS), "df")
-    weighted = with_idf.select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    weighted = with_idf.select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w")).repartition(tasks, id_col)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return weighted.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 

@@ -285,3 +285,15 @@ def test_stored_anchors_vote_like_the_kernels(spark):
         near = knn.knn_join(df, df, 4, metric, id_col="id", vec_col="p", exclude_self=True)
         plain = {tuple(r) for r in prompting.vote(near, df, **names).collect()}
         assert {tuple(r) for r in prompting.knn_vote(df, df, 4, metric=metric, vec_col="p", exclude_self=True, **names).collect()} == plain
+
+
+def test_tfidf_groups_no_more_texts_a_task_in_a_larger_table(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(20))) for i in range(200)] + [(300, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    plain = {(r.doc_id, r.term): r.weight for r in T.tfidf(frame, id_col="doc_id", text_col="text", stop_words=[]).collect()}
+    monkeypatch.setattr(T, "TERM_BYTES", 500)
+    found = T.tfidf(frame, id_col="doc_id", text_col="text", stop_words=[])
+    size = sum(len(t or "") for _, t in rows)
+    assert "hashpartitioning(doc_id#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and f", {-(-size // 500)}), REPARTITION_BY_NUM" in plan
+    got = {(r.doc_id, r.term): r.weight for r in found.collect()}
+    assert got.keys() == plain.keys() and all(math.isclose(got[k], plain[k]) for k in got)
