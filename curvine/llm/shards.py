@@ -29,6 +29,8 @@ from curvine.session import checkpoint
 SHARDS = 24
 # Choices among equal parcels that are tried when none can move.
 TURNS = 3
+# Parcels (about 100 bytes each) that one task may move; a table of more stays spread over the shuffle partitions.
+TASK_PARCELS = 1 << 17
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -83,26 +85,35 @@ def cut_edges(parcels: DataFrame) -> DataFrame:
     return per_text.agg(F.coalesce(F.sum(edges), F.lit(0)).cast("bigint").alias("edges"), F.coalesce(F.sum(edges - F.col("whole")), F.lit(0)).cast("bigint").alias("cut"))
 
 
-def propagate(parcels: DataFrame, quota: list[int]) -> tuple[DataFrame, list[int]]:
-    """``(same, label, n)`` when no parcel moves any more, and the rows that each shard has left of its quota."""
+def propagate(parcels: DataFrame, quota: list[int], task_parcels: int = TASK_PARCELS) -> tuple[DataFrame, list[int]]:
+    """``(same, label, n)`` when no parcel moves any more, and the rows that each shard has left of its quota.
+
+    There are many rounds, and parcels are few beside the rows: up to ``task_parcels`` of them
+    are one task's work in every round, since a shuffle of so few costs more than the round.
+    """
     parcels = _within_quota(checkpoint(parcels), quota)
+    # rounds make no more parcels than there are
+    few = parcels.count() <= task_parcels
+    if few:
+        parcels = checkpoint(parcels.coalesce(1))
+    room = _room(parcels, quota)
     # among equals other aims are tried too, before anyone looks for room
-    ways = [partial(_to_most, turn=turn) for turn in range(TURNS)] + [_to_most_with_room, _to_one]
+    ways = [partial(_to_most, turn=turn) for turn in range(TURNS)] + [_to_most_with_room, partial(_to_one, few=few)]
     kind = 0
     while kind < len(ways):
-        room = _room(parcels, quota)
-        wishes = checkpoint(ways[kind](parcels, room))
+        wishes = ways[kind](parcels.coalesce(1), room) if few else checkpoint(ways[kind](parcels, room))
         asked = [[0] * len(quota) for _ in quota]
         for r in wishes.groupBy("label", "to").agg(F.sum("n").alias("n")).collect():
             asked[r["label"]][r["to"]] = r["n"]
         # texts that move as wholes have checked their room themselves
-        granted = asked if ways[kind] is _to_one else grant(asked, room, exchange=kind < TURNS)
+        granted = asked if kind == len(ways) - 1 else grant(asked, room, exchange=kind < TURNS)
         if not any(map(any, granted)):
             kind += 1
             continue
-        parcels = checkpoint(_moved(parcels, wishes, granted))
+        parcels = checkpoint(_moved(parcels, wishes, granted, few))
+        room = [r + sum(granted[s]) - sum(row[s] for row in granted) for s, r in enumerate(room)]
         kind = 0
-    return parcels, _room(parcels, quota)
+    return parcels, room
 
 
 def _room(parcels: DataFrame, quota: list[int]) -> list[int]:
@@ -142,38 +153,34 @@ def _overlap(low: int, high: int):
     return F.greatest(F.least(F.col("upto"), F.lit(high)) - F.greatest(F.col("upto") - F.col("n"), F.lit(low)), F.lit(0).cast("bigint"))
 
 
-def _beside(parcels: DataFrame, aims: DataFrame) -> DataFrame:
-    """``(same, label, to, n)``: the parcels that are smaller than their text's aim."""
-    joined = parcels.join(aims, "same").filter(F.col("label") != F.col("to"))
-    return joined.select("same", "label", "to", "n")
-
-
 def _to_most(parcels: DataFrame, room: list[int], turn: int) -> DataFrame:
     """Everyone wishes to go where most copies of the text are; among equals a hash decides, another one in each turn."""
-    best = F.max(F.struct("n", F.xxhash64(F.lit(turn), "same", "label").alias("turn"), "label"))
-    return _beside(parcels, parcels.groupBy("same").agg(best.alias("m")).select("same", F.col("m.label").alias("to")))
+    # a text has one parcel per shard at most
+    of_text = Window.partitionBy("same")
+    best = F.max(F.struct("n", F.xxhash64(F.lit(turn), "same", "label").alias("turn"), "label")).over(of_text)
+    return parcels.withColumn("to", best["label"]).filter(F.col("label") != F.col("to")).select("same", "label", "to", "n")
 
 
 def _to_most_with_room(parcels: DataFrame, room: list[int]) -> DataFrame:
     """Parcels wish to go to the largest one in a shard with room, if that is larger than they are."""
     own = F.struct("n", F.xxhash64("same", "label").alias("turn"))
-    open_ = parcels.filter(F.col("label").isin([s for s, r in enumerate(room) if r > 0]))
-    aims = open_.groupBy("same").agg(F.max(F.struct(own.alias("own"), F.col("label"))).alias("m")).select("same", F.col("m.own").alias("best"), F.col("m.label").alias("to"))
-    smaller = parcels.withColumn("own", own).join(aims, "same").filter((F.col("label") != F.col("to")) & (F.col("own") < F.col("best")))
-    return smaller.select("same", "label", "to", "n")
+    is_open = F.col("label").isin([s for s, r in enumerate(room) if r > 0])
+    aim = F.max(F.when(is_open, F.struct(own.alias("own"), F.col("label")))).over(Window.partitionBy("same"))
+    aimed = parcels.withColumns({"own": own, "aim": aim}).withColumn("to", F.col("aim.label"))
+    return aimed.filter((F.col("label") != F.col("to")) & (F.col("own") < F.col("aim.own"))).select("same", "label", "to", "n")
 
 
-def _to_one(parcels: DataFrame, room: list[int]) -> DataFrame:
+def _to_one(parcels: DataFrame, room: list[int], few: bool = False) -> DataFrame:
     """Texts in several shards wish to go as wholes to one with room for what is elsewhere; as many as fit, the largest first."""
     rooms = F.array(*[F.lit(r).cast("bigint") for r in room])
     texts = parcels.groupBy("same").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("kinds"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("own")).filter("kinds > 1")
     missing = lambda s: F.col("t") - F.coalesce(F.element_at("own", s), F.lit(0).cast("bigint"))
     fits = F.filter(F.transform(F.array(*[F.lit(s) for s in range(len(room))]), lambda s: F.struct(missing(s).alias("m"), F.xxhash64("same", s).alias("turn"), s.alias("to"))), lambda x: x["m"] <= F.element_at(rooms, x["to"] + 1))
     # the fewest rows to move; ties go by the text's own hash, so that not all wish for one shard
-    aims = texts.select("same", "t", F.array_min(fits).alias("a")).filter("a IS NOT NULL").select("same", "t", F.col("a.to").alias("to"), F.col("a.m").alias("m"))
-    lined = running_totals(aims, [F.col("t").desc(), F.col("same")], {"upto": F.col("m")}, ["to"], settle=True)
-    chosen = lined.filter(F.col("upto") <= F.element_at(rooms, F.col("to") + 1)).select("same", "to")
-    return parcels.join(chosen, "same").filter(F.col("label") != F.col("to")).select("same", "label", "to", "n")
+    aims = texts.select("same", "t", "own", F.array_min(fits).alias("a")).filter("a IS NOT NULL").select("same", "t", "own", F.col("a.to").alias("to"), F.col("a.m").alias("m"))
+    lined = running_totals(aims, [F.col("t").desc(), F.col("same")], {"upto": F.col("m")}, ["to"], settle=True, few=few)
+    chosen = lined.filter(F.col("upto") <= F.element_at(rooms, F.col("to") + 1))
+    return chosen.select("same", "to", F.explode("own").alias("label", "n")).filter(F.col("label") != F.col("to")).select("same", "label", "to", "n")
 
 
 def grant(asked: list[list[int]], room: list[int], exchange: bool = True) -> list[list[int]]:
@@ -226,12 +233,13 @@ def _rings(asked: list[list[int]], out: list[list[int]]):
             yield ring
 
 
-def _moved(parcels: DataFrame, wishes: DataFrame, granted: list[list[int]]) -> DataFrame:
+def _moved(parcels: DataFrame, wishes: DataFrame, granted: list[list[int]], few: bool = False) -> DataFrame:
     """The parcels after the granted moves, those of most copies first, the last of a line in part."""
-    lined = running_totals(wishes, [F.col("n").desc(), F.col("same")], {"upto": F.col("n")}, ["label", "to"])
+    lined = running_totals(wishes, [F.col("n").desc(), F.col("same")], {"upto": F.col("n")}, ["label", "to"], few=few)
     limit = F.element_at(F.element_at(F.array(*[F.array(*[F.lit(g).cast("bigint") for g in row]) for row in granted]), F.col("label") + 1), F.col("to") + 1)
     went = F.greatest(F.least(F.col("n"), limit - F.col("upto") + F.col("n")), F.lit(0).cast("bigint"))
     moves = lined.select("same", "label", "to", went.alias("m")).filter("m > 0")
     gone = moves.select("same", "label", (-F.col("m")).alias("n"))
     come = moves.select("same", F.col("to").alias("label"), F.col("m").alias("n"))
-    return parcels.unionByName(gone).unionByName(come).groupBy("same", "label").agg(F.sum("n").alias("n")).filter("n > 0")
+    changed = parcels.unionByName(gone).unionByName(come)
+    return (changed.coalesce(1) if few else changed).groupBy("same", "label").agg(F.sum("n").alias("n")).filter("n > 0")

@@ -22,19 +22,28 @@ def top_k_within(df: DataFrame, group: Sequence[str], order: Sequence[Column], k
 
 def running_totals(
     df: DataFrame, order: Sequence[Column], sums: dict[str, Column], group: Sequence[str] = (), totals_too: bool = False,
-    settle: bool = False,
+    settle: bool = False, few: bool = False,
 ) -> DataFrame:
     """Add inclusive running totals of ``sums`` in the given order, inside each group.
 
     ``totals_too`` also adds the total of the whole group as ``<name>_total``.
     Range partitioning reads its input twice, once for a sample; ``settle`` writes
-    the few columns down first, for inputs that are costly to compute.
+    the few columns down first, for inputs that are costly to compute. ``few``
+    says that the caller has counted the rows and one task may hold them all,
+    which then needs neither a range partitioning nor offsets.
 
     Rows are range partitioned by (group, order), so a hot group spreads over many
     partitions; totals per partition give the offsets, and each partition then
     accumulates on its own. ``order`` must name every row uniquely.
     """
     group = list(group)
+    if few:
+        whole = Window.partitionBy(*group)
+        upto = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = df.coalesce(1).withColumns({f"_v_{n}": c for n, c in sums.items()})
+        return summed.select(
+            *df.columns, *[F.sum(f"_v_{n}").over(upto).alias(n) for n in sums], *[F.sum(f"_v_{n}").over(whole).alias(f"{n}_total") for n in sums if totals_too]
+        )
     prepared = (checkpoint(df) if settle else df).withColumns({f"_v_{n}": c for n, c in sums.items()})
     # fixed by the checkpoint: a rerun task could draw other range bounds
     parts = checkpoint(

@@ -184,6 +184,22 @@ def test_propagation_never_cuts_more(spark):
     assert sum(quota) - sum(room) == sum(load)
 
 
+def test_few_parcels_are_moved_by_one_task(spark):
+    rows = [(f"t{t}", s, 1 + (t * 7 + s * 5) % 11) for t in range(60) for s in range(5) if (t + s) % 3]
+    parcels = spark.createDataFrame(rows, "same string, label int, n bigint")
+    total = sum(r[2] for r in rows)
+    quota = [total // 5 + 40 + (s < total % 5) for s in range(5)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        one, room = shards.propagate(parcels, quota)
+        spread, room_too = shards.propagate(parcels, quota, task_parcels=0)
+        assert one.rdd.getNumPartitions() == 1 < spread.rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(one.collect()) == sorted(spread.collect()) and room == room_too
+    assert room == [q - sum(r.n for r in one.collect() if r.label == s) for s, q in enumerate(quota)]
+
+
 def test_grants_keep_the_quotas():
     rng = np.random.default_rng(1)
     for exchange in (True, False):
