@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvine.llm.common import id_bucket, lower_words, text_of
+from curvine.session import shuffles_removed
 from curvine.sources.sinks import scratch_folder
 
 DEPTH = 5
@@ -205,19 +206,11 @@ def tree_probabilities(grams: DataFrame, depth: int = DEPTH, min_gain: float = M
     return below
 
 
-# Shuffle files of a finished query are removed when this setting is on.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def _written(df: DataFrame) -> DataFrame:
     """The rows as a compressed table in the shared folder; the shuffle that made them is removed."""
     spark, path = df.sparkSession, scratch_folder(df.sparkSession)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with shuffles_removed(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

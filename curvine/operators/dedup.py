@@ -56,15 +56,21 @@ def semdedup(
 CONTRACT_ROWS = 1 << 20
 
 
-def connected_components(edges: DataFrame, part_col: str | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, part_col: str | None = None, task_edges: int = CONTRACT_ROWS) -> DataFrame:
     """``(part, id, component)`` for every endpoint, the component named by its smallest id.
 
-    Tasks first contract the edges they hold to stars. Several graphs (``part_col``) then
-    advance together, by alternating large-star and small-star rounds (Kiveris et al.,
-    2014), which shorten long chains quickly, until the stars of all tasks agree.
+    Tasks first contract the edges they hold to stars; where fewer than ``task_edges`` are
+    left, one more task contracts these, and its stars are the answer. Several graphs
+    (``part_col``) else advance together, by alternating large-star and small-star rounds
+    (Kiveris et al., 2014), which shorten long chains quickly, until the stars of all tasks agree.
     """
     part = F.col(part_col).cast("bigint") if part_col else F.lit(0).cast("bigint")
-    stars = _agreed(checkpoint(_contracted(edges.select(part.alias("part"), F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v")).filter("u <> v"))))
+    stars = checkpoint(_contracted(edges.select(part.alias("part"), F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v")).filter("u <> v")))
+    # as many as a task holds before it would pass any on
+    if stars.count() < min(task_edges, CONTRACT_ROWS):
+        stars = checkpoint(_contracted(stars.coalesce(1)))
+    else:
+        stars = _agreed(stars)
     roots = stars.select("part", F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return stars.select("part", F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 

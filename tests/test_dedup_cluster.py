@@ -52,6 +52,27 @@ def test_many_copies_leave_one_and_emit_few_edges(spark):
     assert flags(out, "remove_e05") == set(range(1, 150))
 
 
+@pytest.mark.parametrize("task_edges", [0, 1 << 20])
+def test_components_in_rounds_and_by_one_task(spark, monkeypatch, task_edges):
+    rng = np.random.default_rng(11)
+    links = [(int(p), int(a), int(b)) for p, a, b in zip(rng.integers(0, 2, 900), rng.integers(0, 500, 900), rng.integers(0, 500, 900))]
+    links += [(0, i, i + 1) for i in range(1000, 1300)]
+    expected = {}
+    for p in (0, 1):
+        label = {x: x for q, a, b in links if q == p and a != b for x in (a, b)}
+        for _ in range(400):
+            for q, a, b in links:
+                if q == p and a != b:
+                    label[a] = label[b] = min(label[a], label[b])
+        expected |= {(p, x): c for x, c in label.items()}
+    if task_edges:
+        # few links need no rounds
+        monkeypatch.setattr(dedup, "_agreed", None)
+    edges = spark.createDataFrame(links, "p int, id_a bigint, id_b bigint").repartition(6)
+    rows = dedup.connected_components(edges, "p", task_edges).collect()
+    assert {(r["part"], r["id"]): r["component"] for r in rows} == expected and len(rows) == len(expected)
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     chain = [(i, i + 1) for i in range(0, 60)]
     star = [(100, 100 + i) for i in range(1, 40)]

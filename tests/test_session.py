@@ -1,6 +1,7 @@
 import os
 import subprocess
 import sys
+import tempfile
 from collections import Counter
 
 import numpy as np
@@ -12,6 +13,7 @@ from curvine.operators import active, cluster, evaluation, knn, ood
 from curvine.functions import text as T
 from curvine.plans import blocks
 from curvine.plans.bounded import TooLarge
+from curvine.session import checkpoint
 from curvine.sources import embeddings as E
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -152,3 +154,22 @@ def test_sari_counts_references_of_any_number(spark):
     got = {r["doc_id"]: r["sari"] for r in evaluation.sari(df, id_col="doc_id").collect()}
     for i, *texts in rows:
         assert got[i] == pytest.approx(brute_sari(*texts), abs=1e-9), i
+
+
+def test_checkpoint_removes_its_shuffles(spark):
+    import glob
+    import time
+
+    def files():
+        top = spark.conf.get("spark.local.dir", tempfile.gettempdir())
+        return set(glob.glob(f"{top}/blockmgr-*/*/shuffle_*"))
+
+    rows = spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count()
+    before, shuffled = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
+    kept = checkpoint(rows)
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert kept.count() == len(rows.collect()) == 100
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == shuffled
