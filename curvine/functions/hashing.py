@@ -25,6 +25,13 @@ def id_hash(col: Column | str, seed: int = 0) -> Column:
     return F.pmod(x * (x + F.lit(addend)), F.lit(MODULUS))
 
 
+def id_hash_values(ids: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The same hash of an array of 64-bit ids."""
+    multiplier, addend = _constants(seed)
+    x = ids % MODULUS * multiplier % MODULUS
+    return x * (x + addend) % MODULUS
+
+
 def id_hash_sql(expr: str, seed: int = 0) -> str:
     """The same hash as SQL text."""
     multiplier, addend = _constants(seed)

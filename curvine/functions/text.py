@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvine.functions import vectors as V
-from curvine.functions.hashing import id_hash
+from curvine.functions.hashing import MODULUS, id_hash, id_hash_values
 from curvine.plans.bounded import broadcast_if_small
 from curvine.plans.join_hot import MAX_HOT_KEYS, join_lookup
 from curvine.session import checkpoint
@@ -92,6 +96,51 @@ def mask_tokens(id_col, ids, *, mask_id: int, vocab: int, special: list[int] = (
     return F.transform(ids, replace), F.transform(ids, lambda t, i: F.when(chosen(t, i), t).otherwise(F.lit(-100)))
 
 
+# Rows of a batch that leaves a task, and tokens hashed at once.
+MASK_ROWS, MASK_TOKENS = 256, 1 << 18
+
+
+def mask_texts(docs: DataFrame, id_col: str, text_col: str, *, mask_id: int, vocab: int, special: list[int] = (), rate: float = 0.15, seed: int = 0) -> DataFrame:
+    """``(id_col, input_ids, labels)``: ``mask_tokens`` over the code points of whole texts, in one pass with arrays.
+
+    A null text has null ids and labels; without an id no token is chosen.
+    """
+
+    def masked(ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        chosen = (id_hash_values(place, 10 * seed + 1) % 1_000_000 < int(rate * 1_000_000)) & ~np.isin(ids, special)
+        picked = place[chosen]
+        kind = id_hash_values(picked, 10 * seed + 2) % 10
+        inputs, labels = ids.copy(), np.full(len(ids), -100, np.int32)
+        labels[chosen] = ids[chosen]
+        drawn = np.where(kind == 8, id_hash_values(picked, 10 * seed + 3) % vocab, ids[chosen])
+        inputs[chosen] = np.where(kind < 8, mask_id, drawn)
+        return inputs, labels
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, MASK_ROWS):
+                batch = whole.slice(at, MASK_ROWS)
+                texts, known = batch.column(text_col).to_pylist(), batch.column("_id").is_valid().to_numpy(zero_copy_only=False)
+                lengths = np.array([len(t or "") for t in texts], np.int64)
+                ends = np.cumsum(lengths)
+                ids = np.frombuffer("".join([t or "" for t in texts]).encode("utf-32-le", "surrogatepass"), np.int32)
+                # the remainder of the id first, so that the product stays inside 64 bits
+                base = batch.column("_id").fill_null(0).to_numpy() % MODULUS * POSITIONS - (ends - lengths)
+                row = np.repeat(np.arange(len(texts)), lengths)
+                inputs, labels = ids.copy(), np.full(len(ids), -100, np.int32)
+                for first in range(0, len(ids), MASK_TOKENS):
+                    part = slice(first, first + MASK_TOKENS)
+                    use = np.flatnonzero(known[row[part]]) + first
+                    inputs[use], labels[use] = masked(ids[use], base[row[use]] + use)
+                # a null offset makes a null list
+                offsets = pa.array(np.append(0, ends), pa.int32(), mask=np.append([t is None for t in texts], False))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(values)) for values in (inputs, labels)]
+                yield pa.RecordBatch.from_arrays([batch.column(id_col), *lists], names=[id_col, "input_ids", "labels"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col, F.col(id_col).cast("bigint").alias("_id")).mapInArrow(run, f"`{id_col}` {kind}, input_ids array<int>, labels array<int>")
+
+
 # --- prompts ---------------------------------------------------------------------------
 
 # The layout of a prompt per task, with the text fields in braces.

@@ -56,8 +56,7 @@ list_transform(ids, lambda t, i: CASE WHEN {chosen} THEN t ELSE -100 END) AS lab
 
 @query("mlm_masking", f"WITH {IDS_SQL} " + masking_sql(0.15, 103, 1000, 32))
 def mlm_masking(spark, d):
-    inputs, labels = T.mask_tokens("doc_id", "ids", mask_id=103, vocab=1000, special=[32])
-    return _ids(spark, d).select("doc_id", inputs.alias("input_ids"), labels.alias("labels"))
+    return T.mask_texts(table(spark, d, "documents"), "doc_id", "text", mask_id=103, vocab=1000, special=[32])
 
 
 WORD_SQL = "(CASE quality WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' END)"

@@ -131,6 +131,17 @@ def test_ngrams_are_not_shuffled(triples):
     assert plan.count("Exchange") == 1
 
 
+def test_mask_texts_equals_mask_tokens(spark, monkeypatch):
+    monkeypatch.setattr(T, "MASK_ROWS", 3)
+    monkeypatch.setattr(T, "MASK_TOKENS", 50)
+    rows = [(1, "plain words " * 20), (2, None), (3, ""), (None, "no id here"), (-4, "below zero 😀 ünï" * 9), (2**33, "a large id " * 5), (1, "twice"), (1, "twice"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    ids = docs.select("doc_id", F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c)).alias("ids"))
+    inputs, labels = T.mask_tokens("doc_id", "ids", mask_id=103, vocab=1000, special=[32], rate=0.3, seed=2)
+    got = T.mask_texts(docs, "doc_id", "text", mask_id=103, vocab=1000, special=[32], rate=0.3, seed=2)
+    assert sorted(map(str, got.collect())) == sorted(map(str, ids.select("doc_id", inputs.alias("input_ids"), labels.alias("labels")).collect()))
+
+
 def test_mask_tokens_shares_and_repeat(spark):
     df = spark.createDataFrame([(i, [7] * 500) for i in range(20)], "id bigint, ids array<int>")
     inputs, labels = T.mask_tokens("id", "ids", mask_id=1, vocab=1000, seed=3)
