@@ -360,3 +360,46 @@ def test_suffix_tree_of_few_rows(spark, empty):
     assert suffix_tree.score(empty).count() == 0
     only = suffix_tree.score(make(spark, [(1, "ab")]), F.lit(True)).collect()[0]
     assert only.train_tokens == 0 and abs(only.score - 4 * math.log10(1 / 256)) < 1e-9
+
+
+def test_suffix_tree_scores_long_texts_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    kinds = [b"w%d" % i for i in range(2000)]
+    texts = pa.array([b" ".join((kinds[i:] + kinds[:i]) * 10).decode() for i in range(100)])
+    known = suffix_tree._Tally()
+    held = np.zeros(len(texts), bool)
+    counts = pa.Table.from_batches([*known.add(texts, held), *known.flush()]).rename_columns({"n": "value"})
+    docs = pa.table({"doc_id": range(100), "held_out": held, "text": texts})
+    tracemalloc.start()
+    try:
+        got = suffix_tree._scorer(1, 1)(docs, counts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.column("n_tokens").to_pylist() == [20_001] * 100 and pc.all(pc.equal(got.column("n_known"), 20_001)).as_py()
+    # two million words as objects of their own take over 100 MB
+    assert peak < 80 << 20
+
+
+def test_suffix_tree_reads_all_blanks_and_letters():
+    import numpy as np
+
+    texts = [b"", b" ", b"A\tB\x0bc\x0c \r\nd", "Ä É 　x\x1c".encode(), b"\n\n\n", b"end", b"\x00 \x85"]
+    read = suffix_tree._Symbols(texts)
+    want = [t.lower().split() for t in texts]
+    words, tokens = read.words()
+    assert words.to_pylist() == [w for ws in want for w in [*ws, b"\n"]] and tokens.tolist() == [len(ws) + 1 for ws in want]
+    grams = []
+    for t in want:
+        padded = b"\n" * suffix_tree.DEPTH + suffix_tree.symbols(t)
+        grams += [int.from_bytes(padded[i : i + suffix_tree.DEPTH + 1]) for i in range(len(padded) - suffix_tree.DEPTH)]
+    assert read.grams().tolist() == grams and read.lengths.tolist() == [len(suffix_tree.symbols(t)) for t in want]
+    places = suffix_tree._Places(np.array(sorted(set(grams))))
+    assert places.of(np.array(grams)).tolist() == np.searchsorted(sorted(set(grams)), grams).tolist()
+    with pytest.raises(LookupError):
+        places.of(np.array([1 << 47]))
