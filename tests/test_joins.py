@@ -161,3 +161,44 @@ def test_plan_has_no_cross_join(vectors):
     text = knn.knn_join(df, df, 5, within="label")._jdf.queryExecution().toString()
     assert "Cartesian" not in text and "NestedLoop" not in text
     assert "WindowGroupLimit" in text
+
+
+@pytest.mark.parametrize("metric", ["sq_l2", "ip", "cosine"])
+@pytest.mark.parametrize("scale", [1.0, 300.0])
+def test_shortlists_in_single_precision_lose_no_neighbour(metric, scale, monkeypatch):
+    rng = np.random.default_rng(3)
+    q, b = rng.normal(size=(60, 16)) * scale, rng.normal(size=(4 * kernels.STRANDS + 7, 16)) * scale
+    # copies, distances that differ in the last digits only, zeros and repeated ids
+    b[100:700], b[700:1300], b[5], q[7] = q[3], q[3] * (1 + 1e-13), 0, 0
+    q_ids, b_ids = np.arange(60), np.arange(len(b)) % 1500
+    limits = np.full(60, 0.0)
+    for k in (1, 5, 40):
+        for skip in (False, True):
+            got = kernels.top_k(metric, q, b, k, q_ids, b_ids, skip, tie_ids=-b_ids)
+            limits[got[0]] = got[2]
+            below = kernels.up_to(metric, q, b, limits, q_ids, b_ids, skip)
+            with monkeypatch.context() as m:
+                m.setattr(kernels, "_shortlists", lambda *a, **o: None)
+                want = kernels.top_k(metric, q, b, k, q_ids, b_ids, skip, tie_ids=-b_ids)
+                want_below = kernels.up_to(metric, q, b, limits, q_ids, b_ids, skip)
+            assert all(np.array_equal(x, y) for x, y in zip(got + below, want + want_below))
+
+
+def test_shortlists_hold_for_far_vectors():
+    # near 1e8 rounding in double precision hides distances of a few units, so all must be summed again
+    b = np.zeros((4 * kernels.STRANDS, 2))
+    b[:, 0] = 1e8
+    b[:, 1] = np.arange(len(b)) / 64
+    qi, bi, dist = kernels.top_k("sq_l2", b[:20], b, 3, np.arange(20), np.arange(len(b)), True)
+    assert dist[:3].tolist() == [(1 / 64) ** 2, (2 / 64) ** 2, (3 / 64) ** 2] and bi[:3].tolist() == [1, 2, 3]
+    assert kernels.top_k("sq_l2", np.full((1, 2), np.nan), b, 3)[0].tolist() == []
+
+
+def test_nearest_rows_of_a_block_do_not_sort_the_block(monkeypatch):
+    seen = []
+    partition = np.partition
+    monkeypatch.setattr(np, "partition", lambda x, *a, **o: seen.append(x.shape[1]) or partition(x, *a, **o))
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(8 * kernels.STRANDS, 8))
+    kernels.top_k("sq_l2", x[:50], x, 5, np.arange(50), np.arange(len(x)), True)
+    assert seen and max(seen) <= kernels.STRANDS
