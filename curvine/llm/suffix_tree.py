@@ -223,8 +223,8 @@ def _counted(words: pa.Array, n: pa.Array) -> pa.Table:
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Words get a negative number made of their bytes, which deals and sorts them faster than the bytes do."""
-    return rows.withColumn("gram", F.when(F.col("gram") < 0, F.xxhash64("word").bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.col("gram")))
+    """Words get a negative number made of their bytes, which sorts them faster than the bytes do; it is short, as it cannot be compressed."""
+    return rows.withColumn("gram", F.when(F.col("gram") < 0, F.lit(A_WORD) - F.pmod(F.xxhash64("word"), F.lit(1 << 22))).otherwise(F.col("gram")))
 
 
 def count_corpus(rows: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def score(docs: DataFrame, held_out: Column | None = None, min_gain: float = MIN
     blocks = max(1, -(-size // block_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks))).repartition("block").sortWithinPartitions("block")
     wanted = _numbered(dealt.mapInArrow(_wanted_rows, "block bigint, gram bigint, word binary"))
-    answers = wanted.join(values, ["gram", "word"]).select("block", "gram", "word", "value")
+    answers = wanted.join(values, ["gram", "word"]).select("block", F.greatest("gram", F.lit(A_WORD)).alias("gram"), "word", "value")
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(int(total), int(kinds)), schema)
 
