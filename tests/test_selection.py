@@ -81,6 +81,25 @@ def test_lazy_facility_location_makes_the_plain_picks(vectors, metric, sim, monk
         assert picks == greedy(x, [int(i) for i in np.nonzero(label == c)[0]], b, sim)
 
 
+def test_rows_that_could_still_win_are_scored_by_blocks(vectors, monkeypatch):
+    df, x, label = vectors
+    asked, one_pass = set(), coreset._gain_pass
+
+    def watched(points, metric, spans, chosen, rows):
+        asked.update(i for some in rows.values() for i, _ in some)
+        return one_pass(points, metric, spans, chosen, rows)
+
+    monkeypatch.setattr(coreset, "_gain_pass", watched)
+    # a row without an id and a row that comes twice
+    more = df.filter("vec_id = 150").select(F.lit(None).cast("bigint").alias("vec_id"), "embedding", F.lit(7).alias("label")).unionByName(df.filter("label = 1").withColumn("label", F.lit(7)))
+    got = coreset.facility_select(df.unionByName(more), {0: 2, 7: 2}, metric="euclidean", block_rows=64, pull=2).orderBy("label", "step").collect()
+    rows = [int(i) for i in np.nonzero(label == 0)[0]]
+    assert [r["vec_id"] for r in got if r["label"] == 0] == greedy(x, rows, 2, euclid)
+    assert all(r["vec_id"] is not None for r in got) and len(got) == 4
+    # the rest of the hundred rows never came to the driver
+    assert len(asked & set(rows)) < 40
+
+
 def test_residual_select_stays_inside_the_candidates(vectors):
     df, x, label = vectors
     got = coreset.residual_select(df, {0: 4, 3: 3}, candidates=10, batch=2).collect()
